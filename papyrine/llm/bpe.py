@@ -12,6 +12,8 @@ without spaces or of any length is encoded whole; repeated rows give repeated re
 from __future__ import annotations
 
 import base64
+import gc
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -29,13 +31,17 @@ WIDE = 128
 #: Entries that the cache of a worker holds at most; a full cache is emptied.
 CACHE = 400_000
 #: White space by any library's reading: chunks that touch it aren't cut at blanks.
-ODD = "\u180e\u200b\ufeff"
+ODD = r"\s\x1c-\x1f\u180e\u200b\ufeff"
+#: A blank that sets chunks apart, and what stands for it among packed ids.
+APART, STAND_IN = "\u2003", b"\xff\xff\xff\xff"
+TOUCH = re.compile(f"{APART}[{ODD}]|[{ODD}]{APART}")
 
 
 class Encoder:
     """Ranks of byte strings and what is derived from them."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
+        self.cache = cache
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.ranks = ranks
@@ -62,6 +68,7 @@ class Encoder:
         self.pairs = dict(zip(zip(left, right), whole))
         self.byte_rank = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.single = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
         self.known: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.after: dict[str, bytes] = {}
@@ -193,33 +200,50 @@ class Encoder:
 
     def pieces(self, pieces: list[bytes]) -> list[bytes]:
         """The packed ids of each piece; a piece with a rank of its own is that one id."""
-        out: list[bytes] = [b""] * len(pieces)
-        wide: dict[int, list[int]] = {}
-        for i, piece in enumerate(pieces):
-            if (rank := self.ranks.get(piece)) is not None:
-                out[i] = rank.to_bytes(4, "little")
-            elif len(piece) > WIDE:
-                out[i] = self._one(piece)
-            elif piece:
-                wide.setdefault(max(2, 1 << (len(piece) - 1).bit_length()), []).append(i)
-        for size, members in wide.items():
+        out = list(map(self.single.get, pieces))
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        lengths = np.fromiter((len(pieces[i]) for i in rest), np.int64, len(rest))
+        order = np.argsort(lengths, kind="stable")
+        rest, lengths = np.array(rest, np.int64)[order], lengths[order]
+        at = int(np.searchsorted(lengths, 1))
+        for i in rest[:at].tolist():
+            out[i] = b""
+        size = 2
+        while size <= WIDE:
+            end = int(np.searchsorted(lengths, size, "right"))
             step = max(1, (1 << 19) // size)
-            for k in range(0, len(members), step):
-                some = members[k : k + step]
+            for k in range(at, end, step):
+                some = rest[k : min(end, k + step)].tolist()
                 for i, ids in zip(some, self._many([pieces[j] for j in some], size)):
                     out[i] = ids
+            at, size = max(at, end), size * 2
+        for i in rest[at:].tolist():
+            out[i] = self._one(pieces[i])
         return out
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        split = [self.pattern.findall(c) for c in chunks]
-        self._learn({p for ps in split for p in ps})
-        return [self.known[ps[0]] if len(ps) == 1 else b"".join(map(self.known.__getitem__, ps)) for ps in split]
+    def _chunks(self, chunks: list[str], head: str) -> list[bytes]:
+        """Packed ids of each chunk. All are matched at once, with a blank between them that no chunk holds or touches
+        and so is always a match of its own; its stand-in can't occur within or across ids, whose upper halves are 0."""
+        if not chunks:
+            return []
+        found = self.pattern.findall(head + (APART + head).join(chunks))
+        self._learn(set(found))
+        return b"".join(map(self.known.__getitem__, found)).split(STAND_IN)
 
     def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) > CACHE:
+        if len(self.known) > self.cache:
             self.known.clear()
         missing = list(pieces.difference(self.known))
         self.known.update(zip(missing, self.pieces([p.encode() for p in missing])))
+        self.known[APART] = STAND_IN
+
+    @staticmethod
+    def _odd(parts: list[str]) -> set[str]:
+        """Chunks that are empty or touch white space of any kind."""
+        whole = APART.join(parts)
+        if "" not in parts and whole.count(APART) == len(parts) - 1 and not TOUCH.search(APART + whole + APART):
+            return set()
+        return {p for p in parts if not p or APART in p or TOUCH.search(APART + p + APART)}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed little-endian ids of each text.
@@ -228,17 +252,19 @@ class Encoder:
         and what a chunk gives is cached. A chunk that is empty or touches other white space shows that its text
         can't be cut this way; that text is matched whole.
         """
-        if len(self.first) + len(self.after) > CACHE:
+        if len(self.first) + len(self.after) > self.cache:
             self.first.clear()
             self.after.clear()
         split = [t.split(" ") if t else None for t in texts]
         odd: set[str] = set()
-        for cache, head, wanted in (
-            (self.first, "", {s[0] for s in split if s}),
-            (self.after, " ", {p for s in split if s for p in s[1:]}),
-        ):
-            missing = [p for p in wanted.difference(cache) if not (bad := not p or p[0].isspace() or p[-1].isspace() or p[0] in ODD or p[-1] in ODD) or odd.add(p)]
-            cache.update(zip(missing, self._chunks([head + p for p in missing])))
+        heads = {s[0] for s in split if s}
+        tails = set().union(*(s[1:] for s in split if s)) if split else set()
+        for cache, head, wanted in ((self.first, "", heads), (self.after, " ", tails)):
+            missing = list(wanted.difference(cache))
+            if missing and (bad := self._odd(missing)):
+                odd |= bad
+                missing = [p for p in missing if p not in bad]
+            cache.update(zip(missing, self._chunks(missing, head)))
         out = []
         for text, parts in zip(texts, split):
             if parts is None:
@@ -251,6 +277,9 @@ class Encoder:
 
     def whole(self, text: str) -> bytes:
         found = self.pattern.findall(text)
+        if APART in found:  # here it is a character like any other
+            ids = dict(zip(found, self.pieces([p.encode() for p in found])))
+            return b"".join(map(ids.__getitem__, found))
         self._learn(set(found))
         return b"".join(map(self.known.__getitem__, found))
 
@@ -259,9 +288,11 @@ class Encoder:
 
 
 @lru_cache(2)
-def encoder(path: str) -> Encoder:
-    """One per worker process and rank file."""
-    return Encoder(path)
+def encoder(path: str, cache: int = CACHE) -> Encoder:
+    """One per worker process and rank file; its tables are left out of garbage collection."""
+    made = Encoder(path, cache)
+    gc.freeze()
+    return made
 
 
 def bpe_encode(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:

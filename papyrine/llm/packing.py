@@ -34,6 +34,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces of one length that are ranked together.
 BUCKET = 500
+#: Entries of a worker's cache, bytes of text encoded together.
+CACHE, SLICE = 800_000, 4 << 20
 
 
 def split_pieces(df: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, path: str | None = None) -> DataFrame:
@@ -50,9 +52,9 @@ def split_pieces(df: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID,
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, CACHE)
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, SLICE):
                 rows: list[int] = []
                 out: list[list] = [[] for _ in names[1:]]
                 for i, ids in enumerate(enc.encode(decode_texts(batch.column(1)))):
