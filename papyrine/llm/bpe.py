@@ -65,11 +65,11 @@ class Encoder:
             self.pair_ranks[slot[free]] = np.array(whole, np.int64)[rest[free]]
             waits = self.pair_keys[slot] != keys[rest]
             rest, slot = rest[waits], (slot[waits] + 1) & (self.slots - 1)
+        self.kind = np.int32 if len(self.tokens) * 2 * WIDE < 2**31 else np.int64  # of a rank with its position
         self.pairs = dict(zip(zip(left, right), whole))
         self.byte_rank = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.single = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
-        self.known: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.after: dict[str, bytes] = {}
 
@@ -101,7 +101,7 @@ class Encoder:
         token = np.full((n, size + 1), -1, np.int64)
         token[:, :size] = np.where(position < lengths[:, None], self.byte_rank[raw], -1)
         none = len(self.tokens) + 1
-        tree = np.empty((n, 2 * size), np.int64)
+        tree = np.empty((n, 2 * size), self.kind)
         inside = position[: size - 1] + 1 < lengths[:, None]
         tree[:, size:] = none * size
         ranks = self._merge_ranks(token[:, : size - 1].ravel(), token[:, 1:size].ravel(), none).reshape(n, size - 1)
@@ -116,7 +116,7 @@ class Encoder:
         tokens, rights, lefts, v = token.ravel(), right.ravel(), left.ravel(), size + 1
         live = np.arange(n)
         while len(live):
-            top = flat[live * w + 1]
+            top = flat[live * w + 1].astype(np.int64)
             some = top < none * size
             if not some.all():
                 live, top = live[some], top[some]
@@ -227,15 +227,9 @@ class Encoder:
         if not chunks:
             return []
         found = self.pattern.findall(head + (APART + head).join(chunks))
-        self._learn(set(found))
-        return b"".join(map(self.known.__getitem__, found)).split(STAND_IN)
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) > self.cache:
-            self.known.clear()
-        missing = list(pieces.difference(self.known))
-        self.known.update(zip(missing, self.pieces([p.encode() for p in missing])))
-        self.known[APART] = STAND_IN
+        ids = self._distinct(found)
+        ids[APART] = STAND_IN
+        return b"".join(map(ids.__getitem__, found)).split(STAND_IN)
 
     @staticmethod
     def _odd(parts: list[str]) -> set[str]:
@@ -277,11 +271,11 @@ class Encoder:
 
     def whole(self, text: str) -> bytes:
         found = self.pattern.findall(text)
-        if APART in found:  # here it is a character like any other
-            ids = dict(zip(found, self.pieces([p.encode() for p in found])))
-            return b"".join(map(ids.__getitem__, found))
-        self._learn(set(found))
-        return b"".join(map(self.known.__getitem__, found))
+        return b"".join(map(self._distinct(found).__getitem__, found))
+
+    def _distinct(self, found: list[str]) -> dict[str, bytes]:
+        distinct = list(set(found))
+        return dict(zip(distinct, self.pieces([p.encode() for p in distinct])))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -35,7 +35,7 @@ END_ID = 0
 #: Pieces of one length that are ranked together.
 BUCKET = 500
 #: Entries of a worker's cache, bytes of text encoded together.
-CACHE, SLICE = 800_000, 4 << 20
+CACHE, SLICE = 400_000, 4 << 20
 
 
 def split_pieces(df: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, path: str | None = None) -> DataFrame:
