@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import bpe, langid, packing, quality, secrets, simhash, toxicity, urls
+from papyrine.llm import bpe, langid, lm, packing, quality, search, secrets, simhash, toxicity, urls
 from papyrine.llm.common import held_out, pick, read
 
 
@@ -17,6 +17,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(read(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = pick(read(spark, sf_dir, "documents"), "doc_id", "text")
     model = toxicity.fit(documents, read(spark, sf_dir, "labels"))
@@ -24,6 +28,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(read(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
@@ -56,7 +64,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_toxicity, op5_simhash, op6_language_id, op7_quality, op8_secrets, op9_packing, op10_url_filter)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_bm25_search, op3_toxicity, op4_lm_scores, op5_simhash, op6_language_id, op7_quality, op8_secrets, op9_packing, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
