@@ -8,7 +8,8 @@ answer is exact, and so is the merge. Queries go to the shards in blocks of boun
 
 A document is never an answer to itself. Terms that occur in one document only can't match another and are left out of
 the indexes. Edge cases: null and empty texts match nothing and ask for nothing; null doc_ids are answers but no queries;
-ties go to the smaller doc_id (nulls last); repeated rows are separate answers; fewer than k answers are possible.
+ties go to the smaller doc_id (nulls last); repeated rows are separate answers; query rows that share an id keep the
+k best answers of all of them; fewer than k answers are possible.
 """
 
 from __future__ import annotations
