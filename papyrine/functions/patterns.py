@@ -5,6 +5,7 @@ The classes mean what Unicode-aware ``\\s`` and ``\\w`` mean in Python, and read
 
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 WS_INSIDE = WS[1:-1]
+WS_CHARS = "".join(chr(c) for a, b in ((0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)) for c in range(a, b + 1))
 W = r"[\p{L}\p{N}_]"
 D = r"\p{Nd}"
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from papyrine.functions.patterns import W, WS
+from papyrine.functions.patterns import WS_CHARS, W, WS
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -16,7 +16,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{WS}+|{WS}+\z", "")
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def squeeze(text: Column) -> Column:

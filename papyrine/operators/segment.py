@@ -18,26 +18,33 @@ def markdown_heading(line: Column, version: int = 2) -> Column:
     """Title of a ``#`` heading or null; version 1 keeps trailing marks and takes an empty title, version 2 neither."""
     pattern = f"(?d){P.HEADER_V1 if version == 1 else P.HEADER_V2}"
     title = strip(F.regexp_extract(line, pattern, 1))
-    return F.when(line.rlike(pattern), title if version == 1 else F.nullif(title, F.lit("")))
+    return F.when(line.startswith("#") & line.rlike(pattern), title if version == 1 else F.nullif(title, F.lit("")))
+
+
+def _roman(text: Column) -> Column:
+    numeral = F.upper(F.regexp_extract(text, f"(?di){P.ROMAN}", 1))
+    title = F.btrim(F.regexp_extract(text, f"(?di){P.ROMAN}", 2), F.lit(" .:-"))
+    # cheap tests first: most lines are too long or start with another letter
+    short = (F.char_length(text) <= P.ROMAN_LONGEST) & F.lower(F.left(text, F.lit(1))).isin(list("ivxlcdm"))
+    return F.when(short, F.when((numeral != "") & (F.char_length(title) >= 2), F.concat(numeral, F.lit(". "), title)))
+
+
+def _special(text: Column) -> Column:
+    return F.when(F.lower(F.left(text, F.lit(8))) == "abstract", F.when(F.rtrim(F.lower(text), F.lit(":.-")) == "abstract", F.lit("Abstract")))
 
 
 def roman_heading(line: Column) -> Column:
     """``"III. Title"`` of a line that starts with a Roman numeral, or null."""
 
-    def of(text: Column) -> Column:
-        numeral = F.upper(F.regexp_extract(text, f"(?di){P.ROMAN}", 1))
-        title = F.btrim(F.regexp_extract(text, f"(?di){P.ROMAN}", 2), F.lit(" .:-"))
-        return F.when((F.char_length(text) <= P.ROMAN_LONGEST) & (numeral != "") & (F.char_length(title) >= 2), F.concat(numeral, F.lit(". "), title))
-
-    return let(strip(line), of)
+    return let(strip(line), _roman)
 
 
 def special_heading(line: Column) -> Column:
-    return F.when(F.rtrim(F.lower(strip(line)), F.lit(":.-")) == "abstract", F.lit("Abstract"))
+    return _special(strip(line))
 
 
 def heading(line: Column, version: int = 2) -> Column:
-    return F.coalesce(markdown_heading(line, version), roman_heading(line), special_heading(line))
+    return F.coalesce(markdown_heading(line, version), let(strip(line), lambda text: F.coalesce(_roman(text), _special(text))))
 
 
 def paragraphs(body: Column) -> Column:
@@ -51,9 +58,7 @@ def parse_sections(md: Column, version: int = 2) -> Column:
     def cut(all_lines: Column) -> Column:
         marks = F.filter(F.transform(all_lines, lambda x, i: F.struct(i.alias("i"), heading(x, version).alias("title"))), lambda m: m["title"].isNotNull())
 
-        def build(found: Column) -> Column:
-            starts = F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.lit("Preamble").alias("title"))), found)
-
+        def build(starts: Column) -> Column:
             def section(m: Column, k: Column) -> Column:
                 end = F.coalesce(F.get(starts, k + 1)["i"], F.size(all_lines))
                 body = F.array_join(F.slice(all_lines, m["i"] + 2, F.greatest(end - m["i"] - 1, F.lit(0))), "\n")
@@ -61,7 +66,7 @@ def parse_sections(md: Column, version: int = 2) -> Column:
 
             return F.transform(starts, section)
 
-        return let(marks, build)
+        return let(F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.lit("Preamble").alias("title"))), marks), build)
 
     def drop(found: Column) -> Column:
         first = F.get(found, 0)
