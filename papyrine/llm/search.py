@@ -2,8 +2,8 @@
 
 Each shard holds an inverted index whose impacts use global document frequencies, counts and mean length (see ``shards``).
 For a query, postings of its rarer terms are summed; for its common terms each block of documents has a bound, the sum of
-their largest impacts in the block. The k best by partial sums, completed, give a threshold; only blocks, and in them
-documents, whose partial sum and bound reach it are completed. What is skipped can't be among the k best, so each shard's
+their largest impacts in the block. The best by partial sums, completed, give a threshold; only blocks whose best partial
+sum and bound reach it are completed, for all queries that need the block at once. What is skipped can't be among the k best, so each shard's
 answer is exact, and so is the merge. Queries go to the shards in blocks of bounded size, one pass for each.
 
 A document is never an answer to itself. Terms that occur in one document only can't match another and are left out of
@@ -27,8 +27,10 @@ from papyrine.llm.common import byte_texts, checkpoint_dir, materialize
 from papyrine.llm.shards import count_globally, make_shards, pack, totals, unpack, word_hashes, words
 
 K, K1, B = 10, 1.2, 0.75
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 12 << 20
 BLOCK = 128
+#: Queries that a shard answers together.
+TOGETHER = 64
 #: A term in more than one of so many documents of a shard is common there.
 COMMON = 8
 #: Packed bytes of the queries that are sent to all shards at once.
@@ -60,38 +62,59 @@ class Index:
         common = np.flatnonzero(size * COMMON > self.n)
         self.row = np.full(len(terms), -1)
         self.row[common] = np.arange(len(common))
-        width = -(-self.n // BLOCK) * BLOCK
-        self.dense = np.zeros((len(common), width))
+        self.blocks = -(-self.n // BLOCK)
+        dense = np.zeros((len(common), self.blocks * BLOCK))
         for r, t in enumerate(common):
-            self.dense[r, document[first[t] : first[t + 1]]] = impact[first[t] : first[t + 1]]
-        self.most = self.dense.reshape(len(common), -1, BLOCK).max(2) if width else np.zeros((len(common), 0))
+            dense[r, document[first[t] : first[t + 1]]] = impact[first[t] : first[t + 1]]
+        self.dense = np.ascontiguousarray(dense.reshape(len(common), self.blocks, BLOCK).transpose(1, 0, 2))  # block, term, document
+        self.most = self.dense.max(2).T if self.blocks else np.zeros((len(common), 0))
         self.rank = np.array([math.inf if i is None else i for i in ids], float)  # order among ties
 
-    def search(self, query: np.ndarray, own, k: int = K) -> list[tuple[float, object]]:
-        at = np.searchsorted(self.terms, query)
-        at = at[at < len(self.terms)]
-        at = at[np.isin(self.terms[at], query)]
-        rows = self.row[at]
-        rare, rows = at[rows < 0], rows[rows >= 0]
-        size = self.first[rare + 1] - self.first[rare]
-        where = np.repeat(self.first[rare] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
-        score = np.bincount(self.document[where], weights=self.impact[where], minlength=self.dense.shape[1]).astype(float)
-        if len(rows):
-            bound = np.repeat(self.most[rows].sum(0), BLOCK)
-            some = np.argpartition(-score, min(k, len(score) - 1))[: k + 1]  # one more: the query itself may be among them
-            whole = np.sort(score[some] + self.dense[np.ix_(rows, some)].sum(0))
-            threshold = whole[0] if len(some) > k else 0.0
-            live = np.flatnonzero(score + bound >= threshold - 1e-9)
-            value = score[live] + self.dense[np.ix_(rows, live)].sum(0)
-        else:
-            live = np.flatnonzero(score)
-            value = score[live]
-        value = np.round(value, 9)
-        keep = (value > 0) & (live < self.n)
-        live, value = live[keep], value[keep]
-        best = live[np.lexsort((self.rank[live], -value))[: k + 1 + self.ids.count(own) if own is not None else k]]
-        lookup = dict(zip(live.tolist(), value.tolist()))
-        return [(lookup[i], self.ids[i]) for i in best.tolist() if self.ids[i] != own or own is None][:k]
+    def search(self, queries: list[tuple[object, np.ndarray]], k: int = K) -> list[list[tuple[float, object]]]:
+        """The k best (score, id) for each (own id, sorted terms)."""
+        out: list[list[tuple[float, object]]] = []
+        for at in range(0, len(queries), TOGETHER):
+            out += self._together(queries[at : at + TOGETHER], k)
+        return out
+
+    def _together(self, queries: list[tuple[object, np.ndarray]], k: int) -> list[list[tuple[float, object]]]:
+        width = self.blocks * BLOCK
+        asks, score = np.zeros((len(queries), len(self.most))), np.empty((len(queries), width))
+        for i, (_, query) in enumerate(queries):
+            at = np.searchsorted(self.terms, query)
+            at[at == len(self.terms)] = 0
+            at = at[self.terms[at] == query] if len(self.terms) else at[:0]
+            rows = self.row[at]
+            asks[i, rows[rows >= 0]] = 1
+            rare = at[rows < 0]
+            size = self.first[rare + 1] - self.first[rare]
+            where = np.repeat(self.first[rare] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            score[i] = np.bincount(self.document[where], weights=self.impact[where], minlength=width)
+        # the k + 1 best by rarer terms (the query itself may be among them), completed, give each threshold
+        threshold = np.zeros(len(queries))
+        if width > k + 1:
+            some = np.argpartition(-score, k, axis=1)[:, : k + 1]
+            whole = np.take_along_axis(score, some, 1) + np.einsum("qdt,qt->qd", self.dense[some // BLOCK, :, some % BLOCK], asks)
+            threshold = whole.min(1)
+        top = score.reshape(len(queries), self.blocks, BLOCK).max(2) + asks @ self.most
+        live = top >= threshold[:, None] - 1e-9
+        for b in np.flatnonzero(live.any(0)).tolist():
+            some = np.flatnonzero(live[:, b])
+            score[some, b * BLOCK : (b + 1) * BLOCK] += asks[some] @ self.dense[b]
+        out = []
+        for i, (own, _) in enumerate(queries):
+            seen = np.repeat(live[i], BLOCK)
+            found = np.flatnonzero(seen & (score[i] > 0) & (score[i] >= threshold[i] - 1e-9))
+            value = np.round(score[i, found], 9)
+            best = np.lexsort((self.rank[found], -value)).tolist()
+            hits = []
+            for j in best:
+                if (name := self.ids[found[j]]) != own or own is None:
+                    hits.append((float(value[j]), name))
+                    if len(hits) == k:
+                        break
+            out.append(hits)
+        return out
 
 
 def top_k(df: DataFrame, every: int = 20, k: int = K) -> DataFrame:
@@ -126,7 +149,8 @@ def top_k(df: DataFrame, every: int = 20, k: int = K) -> DataFrame:
             for batch in batches:
                 for parts, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     index = Index(ids, *(unpack(p, kind) for p, kind in zip(parts, (np.uint64, np.int64, np.int64, np.float64))))
-                    rows = [(q, s, d) for q, terms in block.value for s, d in (index.search(unpack(terms, np.uint64), q, k) if index.n else [])]
+                    asked = [(q, unpack(terms, np.uint64)) for q, terms in block.value] if index.n else []
+                    rows = [(q, s, d) for (q, _), hits in zip(asked, index.search(asked, k)) for s, d in hits]
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], names=["query_id", "doc_id", "score"])
 
         # one shard is one row of work: spread them
