@@ -27,7 +27,7 @@ from papyrine.llm.common import byte_texts, checkpoint_dir, materialize
 from papyrine.llm.shards import count_globally, make_shards, pack, totals, unpack, word_hashes, words
 
 K, K1, B = 10, 1.2, 0.75
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 6 << 20
 BLOCK = 128
 #: Queries that a shard answers together.
 TOGETHER = 64
@@ -132,7 +132,7 @@ def top_k(df: DataFrame, every: int = 20, k: int = K) -> DataFrame:
         impact = np.log(1 + (n_docs - df_ + 0.5) / (df_ + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[document] / mean))
         terms, first = np.unique(term, return_index=True)
         ids = batch.column(0).to_pylist()
-        parts = [("index", None, [pack(x) for x in (terms, np.append(first, len(term)).astype(np.int64), document.astype(np.int64), impact)])]
+        parts = [("index", None, [pack(x) for x in (terms, np.append(first, len(term)).astype(np.int64), document.astype(np.int32), impact)])]
         order = np.argsort(document, kind="stable")
         cut = np.searchsorted(document[order], np.arange(len(ids) + 1))
         parts += [("query", q, [pack(np.sort(term[order[cut[i] : cut[i + 1]]]))]) for i, q in enumerate(ids) if q is not None and q % every == 0 and cut[i + 1] > cut[i]]
@@ -147,14 +147,14 @@ def top_k(df: DataFrame, every: int = 20, k: int = K) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], block=spark.sparkContext.broadcast(block)) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for parts, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    index = Index(ids, *(unpack(p, kind) for p, kind in zip(parts, (np.uint64, np.int64, np.int64, np.float64))))
+                for at in range(batch.num_rows):
+                    parts, ids = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
+                    index = Index(ids, *(unpack(p, kind) for p, kind in zip(parts, (np.uint64, np.int64, np.int32, np.float64))))
                     asked = [(q, unpack(terms, np.uint64)) for q, terms in block.value] if index.n else []
                     rows = [(q, s, d) for (q, _), hits in zip(asked, index.search(asked, k)) for s, d in hits]
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], names=["query_id", "doc_id", "score"])
 
-        # one shard is one row of work: spread them
-        indexes.repartition(max(1, spark.sparkContext.defaultParallelism * 2)).mapInArrow(run, "query_id long, doc_id long, score double").write.mode("append").parquet(path)
+        indexes.mapInArrow(run, "query_id long, doc_id long, score double").write.mode("append").parquet(path)
     found = spark.read.schema("query_id long, doc_id long, score double").parquet(path)
     # at most k rows a shard for each query
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
