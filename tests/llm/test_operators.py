@@ -306,6 +306,15 @@ def test_packing(spark, folders, result):
     assert len({r.sequence_id for r in found}) <= -(-sum(r.length for r in found) // 2048) + 1
 
 
+def test_packing_ids_of_blank_runs():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    run = packing._tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for text in ["", "x" + " " * 4998 + "y", "x" + " " * 30000 + "y", "a\n" * 9000, " \n\u2003" * 4000, "\n" * 5000, "<|endoftext|> a"]:
+        assert np.frombuffer(run(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(run("x" + " " * 500_000 + "y")) == 4 * 500_001
+
+
 def gapless(found):
     held = {}
     for r in found:
