@@ -60,7 +60,7 @@ def _own(value: np.ndarray, document: np.ndarray) -> np.ndarray:
 def lm_scores(df: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, logprob, per_token): base-10 logarithms summed over the words and the end mark, and their mean."""
     shards = make_shards(df, SHARD_BYTES, "lm-shards")
-    n_docs, n_words, _ = totals(shards)
+    n_docs, n_words = totals(shards)
     everything = n_words + n_docs
     key = df.schema["doc_id"]
 

@@ -16,15 +16,18 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.llm.common import byte_texts, checkpoint_dir, materialize
-from papyrine.llm.shards import count_globally, make_shards, pack, totals, unpack, word_hashes, words
+from papyrine.llm.shards import count_globally, make_shards, pack, pack_sorted, totals, unpack, unpack_sorted
 
 K, K1, B = 10, 1.2, 0.75
 SHARD_BYTES = 6 << 20
@@ -37,19 +40,55 @@ COMMON = 8
 PASS_BYTES = 12 << 20
 
 
-def _terms(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (document, term) pairs by term: documents, terms, tf; and document lengths."""
-    documents = [words(t) for t in byte_texts(batch.column(1))]
-    size = np.array([len(d) for d in documents], np.int64)
-    hashes = word_hashes(documents)
-    terms, at = np.unique(hashes, return_inverse=True)
-    key, tf = np.unique(at.astype(np.int64) * max(1, len(documents)) + np.repeat(np.arange(len(documents)), size), return_counts=True)
-    term, document = np.divmod(key, max(1, len(documents)))
-    return document, terms[term], tf, size
+def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of the distinct words (ASCII lower case), where each one's postings start, their documents and counts,
+    and the documents' lengths."""
+    kind = pa.large_string() if pa.types.is_large_string(texts.type) else pa.string()
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(kind), "")))
+    word = pc.list_flatten(split)
+    document = pc.list_parent_indices(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    full = pc.greater(pc.binary_length(word), 0)
+    document = document[full.to_numpy(zero_copy_only=False)]
+    coded = word.filter(full).dictionary_encode()
+    n = len(texts)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, byte_texts(coded.dictionary)), np.uint64, len(coded.dictionary))
+    order = np.argsort(hashes, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    key, tf = np.unique(place[coded.indices.to_numpy(zero_copy_only=False)] * max(1, n) + document, return_counts=True)
+    term, found = np.divmod(key, max(1, n))
+    return hashes[order], np.searchsorted(term, np.arange(len(order) + 1)), found, tf, np.bincount(document, minlength=n)
 
 
-def _items(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(_terms(batch)[1], return_counts=True)
+def _store(batch: pa.RecordBatch) -> tuple[bytes, int]:
+    """A shard's packed postings, and its number of words."""
+    terms, first, document, tf, size = _terms(batch.column(1))
+    row = [[pack_sorted(terms), pack(first.astype(np.int64)), pack(document.astype(np.int32)), pack(tf.astype(np.int32)), pack(size.astype(np.int64))], batch.column(0).to_pylist()]
+    out = pa.RecordBatch.from_arrays([pa.array([row[0]], pa.list_(pa.binary())), pa.array([row[1]], pa.list_(pa.int64()))], names=["parts", "ids"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, out.schema) as stream:
+        stream.write_batch(out)
+    return sink.getvalue().to_pybytes(), int(size.sum())
+
+
+def _load(data: bytes) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    row = pa.ipc.open_stream(data).read_next_batch()
+    terms, *rest = row.column(0)[0].as_py()
+    return row.column(1)[0].as_py(), unpack_sorted(terms), *(unpack(x, kind) for x, kind in zip(rest, (np.int64, np.int32, np.int32, np.int64)))
+
+
+def _items(shard: tuple) -> tuple[np.ndarray, np.ndarray]:
+    return shard[1], np.diff(shard[2])
+
+
+class Block:
+    """Queries that are asked together: their own ids, and their terms as places in one sorted vocabulary."""
+
+    def __init__(self, queries: list[tuple[object, np.ndarray]]):
+        self.own = [q for q, _ in queries]
+        self.first = np.cumsum([0, *(len(t) for _, t in queries)])
+        self.vocabulary, code = np.unique(np.concatenate([np.zeros(0, np.uint64), *(t for _, t in queries)]), return_inverse=True)
+        self.code = code.astype(np.int32)
 
 
 class Index:
@@ -68,32 +107,36 @@ class Index:
             dense[r, document[first[t] : first[t + 1]]] = impact[first[t] : first[t + 1]]
         self.dense = np.ascontiguousarray(dense.reshape(len(common), self.blocks, BLOCK).transpose(1, 0, 2))  # block, term, document
         self.most = self.dense.max(2).T if self.blocks else np.zeros((len(common), 0))
+        self.repeats = max(Counter(i for i in ids if i is not None).values(), default=1)  # rows that may be the query itself
         self.rank = np.array([math.inf if i is None else i for i in ids], float)  # order among ties
 
-    def search(self, queries: list[tuple[object, np.ndarray]], k: int = K) -> list[list[tuple[float, object]]]:
-        """The k best (score, id) for each (own id, sorted terms)."""
+    def search(self, block: Block, k: int = K) -> list[list[tuple[float, object]]]:
+        """The k best (score, id) for each query."""
+        place = np.searchsorted(self.terms, block.vocabulary)
+        place[place == len(self.terms)] = 0
+        place[self.terms[place] != block.vocabulary if len(self.terms) else slice(None)] = -1
         out: list[list[tuple[float, object]]] = []
-        for at in range(0, len(queries), TOGETHER):
-            out += self._together(queries[at : at + TOGETHER], k)
+        for start in range(0, len(block.own), TOGETHER):
+            own = block.own[start : start + TOGETHER]
+            first = block.first[start : start + len(own) + 1]
+            at = place[block.code[first[0] : first[-1]]]
+            query = np.repeat(np.arange(len(own)), np.diff(first))[at >= 0]
+            out += self._together(own, query, at[at >= 0], k)
         return out
 
-    def _together(self, queries: list[tuple[object, np.ndarray]], k: int) -> list[list[tuple[float, object]]]:
+    def _together(self, queries: list, query: np.ndarray, at: np.ndarray, k: int) -> list[list[tuple[float, object]]]:
         width = self.blocks * BLOCK
-        asks, score = np.zeros((len(queries), len(self.most))), np.empty((len(queries), width))
-        for i, (_, query) in enumerate(queries):
-            at = np.searchsorted(self.terms, query)
-            at[at == len(self.terms)] = 0
-            at = at[self.terms[at] == query] if len(self.terms) else at[:0]
-            rows = self.row[at]
-            asks[i, rows[rows >= 0]] = 1
-            rare = at[rows < 0]
-            size = self.first[rare + 1] - self.first[rare]
-            where = np.repeat(self.first[rare] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            score[i] = np.bincount(self.document[where], weights=self.impact[where], minlength=width)
-        # the k + 1 best by rarer terms (the query itself may be among them), completed, give each threshold
-        threshold = np.zeros(len(queries))
-        if width > k + 1:
-            some = np.argpartition(-score, k, axis=1)[:, : k + 1]
+        rows = self.row[at]
+        asks = np.zeros((len(queries), len(self.most)))
+        asks[query[rows >= 0], rows[rows >= 0]] = 1
+        rare, query = at[rows < 0], query[rows < 0]
+        size = self.first[rare + 1] - self.first[rare]
+        where = np.repeat(self.first[rare] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        score = np.bincount(np.repeat(query * width, size) + self.document[where], weights=self.impact[where], minlength=len(queries) * width).astype(float).reshape(len(queries), width)
+        # the k best by rarer terms and as many as the query's own rows may be, completed, give each threshold
+        threshold, most = np.zeros(len(queries)), k + self.repeats
+        if width > most:
+            some = np.argpartition(score, width - most, axis=1)[:, width - most :]
             whole = np.take_along_axis(score, some, 1) + np.einsum("qdt,qt->qd", self.dense[some // BLOCK, :, some % BLOCK], asks)
             threshold = whole.min(1)
         top = score.reshape(len(queries), self.blocks, BLOCK).max(2) + asks @ self.most
@@ -102,7 +145,7 @@ class Index:
             some = np.flatnonzero(live[:, b])
             score[some, b * BLOCK : (b + 1) * BLOCK] += asks[some] @ self.dense[b]
         out = []
-        for i, (own, _) in enumerate(queries):
+        for i, own in enumerate(queries):
             seen = np.repeat(live[i], BLOCK)
             found = np.flatnonzero(seen & (score[i] > 0) & (score[i] >= threshold[i] - 1e-9))
             value = np.round(score[i, found], 9)
@@ -120,41 +163,47 @@ class Index:
 def top_k(df: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best other documents for each whose id is divisible by ``every``."""
     spark = df.sparkSession
-    shards = make_shards(df, SHARD_BYTES, "search-shards")
-    n_docs, n_words, _ = totals(shards)
+    shards = make_shards(df, SHARD_BYTES, "search-shards", _store)
+    n_docs, n_words = totals(shards)
     mean = max(1.0, n_words / max(1, n_docs))
 
-    def build(batch: pa.RecordBatch, hashes: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
-        document, term, tf, size = _terms(batch)
-        df_ = total[np.searchsorted(hashes, term)]
-        keep = df_ > 1
-        document, term, tf, df_ = document[keep], term[keep], tf[keep], df_[keep]
-        impact = np.log(1 + (n_docs - df_ + 0.5) / (df_ + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[document] / mean))
-        terms, first = np.unique(term, return_index=True)
-        ids = batch.column(0).to_pylist()
-        parts = [("index", None, [pack(x) for x in (terms, np.append(first, len(term)).astype(np.int64), document.astype(np.int32), impact)])]
+    def build(shard: tuple, _: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, terms, first, document, tf, size = shard
+        size_of = np.diff(first)
+        used = total > 1
+        posting = np.repeat(used, size_of)
+        document, tf, term = document[posting], tf[posting], np.repeat(terms, size_of)[posting]
+        index = [pack_sorted(terms[used]), *map(pack, (total[used].astype(np.int64), np.cumsum(np.append(0, size_of[used])).astype(np.int64), document, tf, size))]
+        parts = [("index", None, index)]
         order = np.argsort(document, kind="stable")
         cut = np.searchsorted(document[order], np.arange(len(ids) + 1))
-        parts += [("query", q, [pack(np.sort(term[order[cut[i] : cut[i + 1]]]))]) for i, q in enumerate(ids) if q is not None and q % every == 0 and cut[i + 1] > cut[i]]
+        parts += [("query", q, [pack_sorted(term[order[cut[i] : cut[i + 1]]])]) for i, q in enumerate(ids) if q is not None and q % every == 0 and cut[i + 1] > cut[i]]
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts]), pa.array([p[1] for p in parts], pa.int64()), pa.array([p[2] for p in parts], pa.list_(pa.binary())), pa.array([ids if p[0] == "index" else None for p in parts], pa.list_(pa.int64()))], names=["kind", "query_id", "parts", "ids"])
 
-    built = materialize(count_globally(shards, _items, n_words, build, "kind string, query_id long, parts array<binary>, ids array<long>"), "search-index")
+    def open_index(parts: list[bytes], ids: list) -> Index:
+        terms = unpack_sorted(parts[0])
+        total, first, document, tf, size = (unpack(p, kind) for p, kind in zip(parts[1:], (np.int64, np.int64, np.int32, np.int32, np.int64)))
+        idf = np.log(1 + (n_docs - total + 0.5) / (total + 0.5))
+        impact = np.repeat(idf, np.diff(first)) * tf * (K1 + 1) / (tf + (K1 * (1 - B + B * size / mean))[document])
+        return Index(ids, terms, first, document, impact)
+
+    built = materialize(count_globally(shards, _items, n_words, build, "kind string, query_id long, parts array<binary>, ids array<long>", _load), "search-index")
     queries, indexes = built.where("kind = 'query'").select("query_id", F.get("parts", 0).alias("terms")), built.where("kind = 'index'").select("parts", "ids")
     passes = max(1, math.ceil((queries.agg(F.sum(F.length("terms"))).first()[0] or 0) / PASS_BYTES))
     path = f"{checkpoint_dir(spark)}/search-answers-{uuid.uuid4().hex}"
     for number in range(passes):
-        block = [(r.query_id, bytes(r.terms)) for r in queries.where(F.pmod(F.xxhash64("query_id", "terms"), F.lit(passes)) == number).collect()]  # about PASS_BYTES
+        asked = Block([(r.query_id, unpack_sorted(bytes(r.terms))) for r in queries.where(F.pmod(F.xxhash64("query_id", "terms"), F.lit(passes)) == number).collect()])  # about PASS_BYTES
+        sent = spark.sparkContext.broadcast(asked)
 
-        def run(batches: Iterator[pa.RecordBatch], block=spark.sparkContext.broadcast(block)) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(batch.num_rows):
-                    parts, ids = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
-                    index = Index(ids, *(unpack(p, kind) for p, kind in zip(parts, (np.uint64, np.int64, np.int32, np.float64))))
-                    asked = [(q, unpack(terms, np.uint64)) for q, terms in block.value] if index.n else []
-                    rows = [(q, s, d) for (q, _), hits in zip(asked, index.search(asked, k)) for s, d in hits]
+                    index = open_index(batch.column(0)[at].as_py(), batch.column(1)[at].as_py())
+                    rows = [(q, s, d) for q, hits in zip(sent.value.own, index.search(sent.value, k)) for s, d in hits] if index.n else []
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], names=["query_id", "doc_id", "score"])
 
         indexes.mapInArrow(run, "query_id long, doc_id long, score double").write.mode("append").parquet(path)
+        sent.unpersist()
     found = spark.read.schema("query_id long, doc_id long, score double").parquet(path)
     # at most k rows a shard for each query
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from papyrine.llm.common import byte_texts, materialize, pick, slices
 
 #: Distinct hashes that a bucket is meant to hold; buckets there are at least.
 PER_BUCKET, LEAST_BUCKETS = 4_000_000, 64
-Items = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]
+Items = Callable[[Any], tuple[np.ndarray, np.ndarray]]
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -56,8 +57,16 @@ def word_hashes(documents: list[list[bytes]]) -> np.ndarray:
     return np.fromiter((table[w] for d in documents for w in d), np.uint64, sum(map(len, documents)))
 
 
-def make_shards(df: DataFrame, limit: int, name: str) -> DataFrame:
-    """Stored rows (shard, n_docs, n_words, n_bytes, docs) of ``df``'s (doc_id, text); docs is an Arrow stream."""
+def whole_docs(batch: pa.RecordBatch) -> tuple[bytes, int]:
+    """The documents as an Arrow stream, and their number of words."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes(), sum(len(words(t)) for t in byte_texts(batch.column(1)))
+
+
+def make_shards(df: DataFrame, limit: int, name: str, store: Callable[[pa.RecordBatch], tuple[bytes, int]] = whole_docs) -> DataFrame:
+    """Stored rows (shard, n_docs, n_words, docs) of ``df``'s (doc_id, text); docs and n_words are what ``store`` gives."""
     df = pick(df, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,12 +75,10 @@ def make_shards(df: DataFrame, limit: int, name: str) -> DataFrame:
         task, held, size, made = TaskContext.get().partitionId(), [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(pa.Table.from_batches(held).combine_chunks())
-            texts = [t for b in held for t in byte_texts(b.column(1))]
-            row = (f"{task}-{made}", len(texts), sum(len(words(t)) for t in texts), sum(len(t or b"") for t in texts), sink.getvalue().to_pybytes())
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["shard", "n_docs", "n_words", "n_bytes", "docs"])
+            docs = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            data, n_words = store(docs)
+            row = (f"{task}-{made}", docs.num_rows, n_words, data)
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["shard", "n_docs", "n_words", "docs"])
 
         for whole in batches:
             for batch in slices(whole, 1, 1 << 20):
@@ -83,7 +90,7 @@ def make_shards(df: DataFrame, limit: int, name: str) -> DataFrame:
         if held:
             yield flush()
 
-    return materialize(df.mapInArrow(run, "shard string, n_docs long, n_words long, n_bytes long, docs binary"), name)
+    return materialize(df.mapInArrow(run, "shard string, n_docs long, n_words long, docs binary"), name)
 
 
 def open_docs(data: bytes) -> pa.RecordBatch:
@@ -91,20 +98,23 @@ def open_docs(data: bytes) -> pa.RecordBatch:
     return table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_arrays([pa.array([], f.type) for f in table.schema], schema=table.schema)
 
 
-def totals(shards: DataFrame) -> tuple[int, int, int]:
-    row = shards.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_docs", "n_words", "n_bytes"))).first()
+def totals(shards: DataFrame) -> tuple[int, int]:
+    row = shards.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_docs", "n_words"))).first()
     return tuple(row)
 
 
-def count_globally(shards: DataFrame, items: Items, expected: int, then: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``then(documents, hashes, total counts)`` for each shard; ``items`` gives a shard's sorted distinct hashes and counts."""
+def count_globally(shards: DataFrame, items: Items, expected: int, then: Callable[[Any, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str, load: Callable[[bytes], Any] = open_docs) -> DataFrame:
+    """``then(documents, hashes, total counts)`` for each shard; ``items`` gives a shard's sorted distinct hashes and counts.
+
+    ``load`` opens what the shard stored.
+    """
     bits = max(LEAST_BUCKETS, math.ceil(expected / PER_BUCKET)).bit_length() - 1
     shift = np.uint64(64 - bits)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hashes, counts = items(open_docs(data))
+                hashes, counts = items(load(data))
                 cut = np.searchsorted(hashes >> shift, np.arange((1 << bits) + 1, dtype=np.uint64))
                 rows = [(b, int(x), int(y)) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int32()), pa.array([pack_sorted(hashes[x:y]) for _, x, y in rows], pa.binary()), pa.array([pack(counts[x:y].astype(np.uint32)) for _, x, y in rows], pa.binary())], names=["shard", "bucket", "hashes", "counts"])
@@ -124,7 +134,7 @@ def count_globally(shards: DataFrame, items: Items, expected: int, then: Callabl
         found = np.concatenate([unpack(parts[i], np.int64) for i in order]) if parts else np.zeros(0, np.int64)
         out = []
         for data in documents.column("docs").to_pylist():
-            batch = open_docs(data)
+            batch = load(data)
             out += list(then(batch, items(batch)[0], found))
         return pa.Table.from_batches(out)
 
