@@ -33,9 +33,11 @@ K, K1, B = 10, 1.2, 0.75
 SHARD_BYTES = 6 << 20
 BLOCK = 128
 #: Queries that a shard answers together.
-TOGETHER = 64
+TOGETHER = 16
 #: A term in more than one of so many documents of a shard is common there.
 COMMON = 8
+#: No score that counts is smaller, and no sum is off by as much.
+SLACK = 1e-9
 #: Packed bytes of the queries that are sent to all shards at once.
 PASS_BYTES = 12 << 20
 
@@ -84,8 +86,8 @@ def _items(shard: tuple) -> tuple[np.ndarray, np.ndarray]:
 class Block:
     """Queries that are asked together: their own ids, and their terms as places in one sorted vocabulary."""
 
-    def __init__(self, queries: list[tuple[object, np.ndarray]]):
-        self.own = [q for q, _ in queries]
+    def __init__(self, queries: list[tuple[int, np.ndarray]]):
+        self.own = np.array([q for q, _ in queries], np.int64)
         self.first = np.cumsum([0, *(len(t) for _, t in queries)])
         self.vocabulary, code = np.unique(np.concatenate([np.zeros(0, np.uint64), *(t for _, t in queries)]), return_inverse=True)
         self.code = code.astype(np.int32)
@@ -108,56 +110,63 @@ class Index:
         self.dense = np.ascontiguousarray(dense.reshape(len(common), self.blocks, BLOCK).transpose(1, 0, 2))  # block, term, document
         self.most = self.dense.max(2).T if self.blocks else np.zeros((len(common), 0))
         self.repeats = max(Counter(i for i in ids if i is not None).values(), default=1)  # rows that may be the query itself
-        self.rank = np.array([math.inf if i is None else i for i in ids], float)  # order among ties
-
-    def search(self, block: Block, k: int = K) -> list[list[tuple[float, object]]]:
-        """The k best (score, id) for each query."""
+        self.known = np.array([i is not None for i in ids] + [False] * (self.blocks * BLOCK - self.n), bool)
+        self.id = np.array([i or 0 for i in ids] + [0] * (self.blocks * BLOCK - self.n), np.int64)
+        order = np.lexsort((self.id, ~self.known))
+        self.rank = np.empty(len(order), np.int64)  # order among ties
+        self.rank[order] = np.arange(len(order))
+
+    def search(self, block: Block, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best for each query: numbers of queries, ascending; of documents, best first; and scores."""
         place = np.searchsorted(self.terms, block.vocabulary)
         place[place == len(self.terms)] = 0
         place[self.terms[place] != block.vocabulary if len(self.terms) else slice(None)] = -1
-        out: list[list[tuple[float, object]]] = []
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for start in range(0, len(block.own), TOGETHER):
             own = block.own[start : start + TOGETHER]
             first = block.first[start : start + len(own) + 1]
             at = place[block.code[first[0] : first[-1]]]
             query = np.repeat(np.arange(len(own)), np.diff(first))[at >= 0]
-            out += self._together(own, query, at[at >= 0], k)
-        return out
+            query, found, score = self._together(own, query, at[at >= 0], k)
+            parts.append((query + start, found, score))
+        return tuple(map(np.concatenate, zip(*parts)))
 
-    def _together(self, queries: list, query: np.ndarray, at: np.ndarray, k: int) -> list[list[tuple[float, object]]]:
-        width = self.blocks * BLOCK
+    def _together(self, own: np.ndarray, query: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, width = len(own), self.blocks * BLOCK
         rows = self.row[at]
-        asks = np.zeros((len(queries), len(self.most)))
+        asks = np.zeros((n, len(self.most)))
         asks[query[rows >= 0], rows[rows >= 0]] = 1
         rare, query = at[rows < 0], query[rows < 0]
         size = self.first[rare + 1] - self.first[rare]
-        where = np.repeat(self.first[rare] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        score = np.bincount(np.repeat(query * width, size) + self.document[where], weights=self.impact[where], minlength=len(queries) * width).astype(float).reshape(len(queries), width)
-        # the k best by rarer terms and as many as the query's own rows may be, completed, give each threshold
-        threshold, most = np.zeros(len(queries)), k + self.repeats
-        if width > most:
-            some = np.argpartition(score, width - most, axis=1)[:, width - most :]
-            whole = np.take_along_axis(score, some, 1) + np.einsum("qdt,qt->qd", self.dense[some // BLOCK, :, some % BLOCK], asks)
+        where = np.repeat(self.first[rare] - (np.cumsum(size) - size), size)
+        where += np.arange(len(where))
+        cell = np.repeat(query * width, size)
+        cell += self.document[where]
+        score = np.bincount(cell, weights=self.impact[where], minlength=n * width).astype(float, copy=False).reshape(n, width)
+        # as many documents as k and the query's own rows, the best of their groups by rarer terms, completed, give each threshold
+        threshold, most = np.zeros(n), k + self.repeats
+        group = 16 if width // 16 > most else 1
+        if width // group > most:
+            groups = score.reshape(n, width // group, group)
+            inside = groups.argmax(2)
+            best = np.take_along_axis(groups, inside[:, :, None], 2)[:, :, 0]
+            some = np.argpartition(best, best.shape[1] - most, axis=1)[:, best.shape[1] - most :]
+            chosen = some * group + np.take_along_axis(inside, some, 1)
+            whole = np.take_along_axis(score, chosen, 1) + np.einsum("qdt,qt->qd", self.dense[chosen // BLOCK, :, chosen % BLOCK], asks)
             threshold = whole.min(1)
-        top = score.reshape(len(queries), self.blocks, BLOCK).max(2) + asks @ self.most
-        live = top >= threshold[:, None] - 1e-9
+        top = score.reshape(n, self.blocks, BLOCK).max(2) + asks @ self.most
+        live = top >= threshold[:, None] - SLACK
         for b in np.flatnonzero(live.any(0)).tolist():
             some = np.flatnonzero(live[:, b])
             score[some, b * BLOCK : (b + 1) * BLOCK] += asks[some] @ self.dense[b]
-        out = []
-        for i, own in enumerate(queries):
-            seen = np.repeat(live[i], BLOCK)
-            found = np.flatnonzero(seen & (score[i] > 0) & (score[i] >= threshold[i] - 1e-9))
-            value = np.round(score[i, found], 9)
-            best = np.lexsort((self.rank[found], -value)).tolist()
-            hits = []
-            for j in best:
-                if (name := self.ids[found[j]]) != own or own is None:
-                    hits.append((float(value[j]), name))
-                    if len(hits) == k:
-                        break
-            out.append(hits)
-        return out
+        query, found = np.nonzero(score >= np.maximum(threshold - SLACK, SLACK)[:, None])
+        kept = live[query, found // BLOCK] & ~(self.known[found] & (self.id[found] == own[query]))
+        query, found = query[kept], found[kept]
+        value = np.round(score[query, found], 9)
+        order = np.lexsort((self.rank[found], -value, query))
+        query = query[order]
+        nth = np.arange(len(query)) - np.searchsorted(query, query)
+        return query[nth < k], found[order][nth < k], value[order][nth < k]
 
 
 def top_k(df: DataFrame, every: int = 20, k: int = K) -> DataFrame:
@@ -199,8 +208,8 @@ def top_k(df: DataFrame, every: int = 20, k: int = K) -> DataFrame:
             for batch in batches:
                 for at in range(batch.num_rows):
                     index = open_index(batch.column(0)[at].as_py(), batch.column(1)[at].as_py())
-                    rows = [(q, s, d) for q, hits in zip(sent.value.own, index.search(sent.value, k)) for s, d in hits] if index.n else []
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], names=["query_id", "doc_id", "score"])
+                    query, found, score = index.search(sent.value, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(sent.value.own[query]), pa.array(index.id[found], mask=~index.known[found]), pa.array(score)], names=["query_id", "doc_id", "score"])
 
         indexes.mapInArrow(run, "query_id long, doc_id long, score double").write.mode("append").parquet(path)
         sent.unpersist()
