@@ -153,6 +153,15 @@ def test_index_prunes_nothing_it_needs():
         assert [(round(s, 6), i) for s, i in zip(scores.tolist(), found.tolist())] == [(round(-s, 6), i) for s, i in want]
 
 
+def test_rows_of_the_query_itself_take_no_place_among_the_best():
+    n = 600
+    impact = np.linspace(5, 1, n)  # of one term, rare in a shard of twelve times as many documents
+    ids = [7] * 15 + list(range(100, 100 + 12 * n - 15))
+    index = search.Index(ids, np.array([3], np.uint64), np.array([0, n]), np.arange(n), impact)
+    _, found, scores = index.search(search.Block([(7, np.array([3], np.uint64))]))
+    assert found.tolist() == list(range(15, 25)) and np.allclose(scores, impact[15:25])
+
+
 def test_lm_scores(result):
     docs = [(r["doc_id"], [*tokens(r["text"]), "</s>"]) for r in rows()]
     one, two = Counter(), Counter()
