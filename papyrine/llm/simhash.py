@@ -22,15 +22,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from papyrine.llm.common import append_columns, byte_texts, materialize, pick
+from papyrine.llm.common import append_columns, byte_texts, materialize, pick, slices
 from papyrine.llm.components import components
+from papyrine.llm.shards import pack, pack_sorted, unpack, unpack_sorted
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Reference fingerprints; the first two are all zeros and a half of ones, the rest pseudo-random.
 PIVOTS = np.concatenate([np.array([0, 0x00000000FFFFFFFF], np.uint64), np.random.default_rng(20).integers(0, 2**64, 14, dtype=np.uint64)])
 CHUNK = 2048
+#: For near copies: texts sampled for common shingles (at least, or a hundredth), the most of these, prefix hashes of a bucket.
+SAMPLE, COMMON, PER_BUCKET = 5000, 100_000, 1_000_000
 _M = (1 << 64) - 1
 
 
@@ -211,39 +214,147 @@ def _shared(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
-def near_unique(df: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 12) -> DataFrame:
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
+    """The sorted distinct hashes of the shingles."""
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(x, SEED) for x in shingles(text, size)]), "<u8"))
+
+
+def prefix(found: np.ndarray, similarity: float, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first hashes of a set in the order by frequency (as far as known) and value, as many as a similar set can't all lack."""
+    if len(common):
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        found = found[np.argsort(np.where(common[at] == found, often[at], 0), kind="stable")]
+    return found[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1]
+
+
+def common_shingles(stored: DataFrame, size: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that many texts of a sample have, and in how many; only the cost depends on the sample."""
+    k = max(1, min(100, rows // SAMPLE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 0):
+                found = np.concatenate([np.zeros(0, np.uint64), *(shingle_set(t, size) for t in byte_texts(batch.column(0)))])
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["h"])
+
+    counted = stored.where(F.pmod("__node", F.lit(k)) == 0).select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n"))
+    table = counted.where("n >= 4").orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    h = table.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return h[order], table.column("n").to_numpy()[order]
+
+
+def shared_signatures(stored: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(sig, node, n, pos): prefix hashes that several different sets have, with the sets' sizes and the places in their orders.
+
+    Batches send their hashes packed, by leading bits, to buckets, which drop what one set alone has.
+    """
+    rows, words = stored.agg(F.count("*"), F.coalesce(F.sum("__n"), F.lit(0))).first()
+    common, often = common_shingles(stored, size, rows)
+    bits = max(64, math.ceil((rows + (1 - similarity) * words) / PER_BUCKET)).bit_length() - 1
+    shift = np.uint64(64 - bits)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 1, 8 << 20):
+                sets = [shingle_set(t, size) for t in byte_texts(batch.column(1))]
+                parts = [prefix(s, similarity, common, often) if len(s) else s for s in sets]
+                sig, many = np.concatenate(parts).astype(np.uint64), [len(p) for p in parts]
+                doc, pos = np.repeat(np.arange(len(parts)), many), np.concatenate([np.arange(m) for m in many])
+                node, n = batch.column(0).to_numpy(), np.array([len(s) for s in sets], np.uint32)
+                order = np.argsort(sig, kind="stable")
+                cut = np.searchsorted(sig[order] >> shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+                out = []
+                for b, (x, y) in enumerate(zip(cut, cut[1:])):
+                    if y > x:
+                        one = order[x:y]
+                        of, at = np.unique(doc[one], return_inverse=True)
+                        out.append((b, pack_sorted(sig[one]), pack(pos[one].astype(np.uint32)), pack(at.astype(np.uint32)), pack(node[of]), pack(n[of])))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 6, [pa.int32()] + [pa.binary()] * 5)], names=["bucket", "sig", "pos", "at", "node", "n"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        read = lambda c, kind: [unpack(x, kind) for x in table.column(c).to_pylist()]
+        at = read("at", np.uint32)
+        sig = np.concatenate([unpack_sorted(x) for x in table.column("sig").to_pylist()])
+        pos = np.concatenate(read("pos", np.uint32))
+        node, n = (np.concatenate([x[i] for x, i in zip(read(c, kind), at)]) for c, kind in (("node", np.int64), ("n", np.uint32)))
+        order = np.lexsort((node, sig))
+        sig, node = sig[order], node[order]
+        first = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]  # equal sets are one node
+        order, sig, node = order[first], sig[first], node[first]
+        same = sig[1:] == sig[:-1]
+        keep = np.r_[same, False] | np.r_[False, same]
+        return pa.table({"sig": sig[keep].view(np.int64), "node": node[keep], "n": n[order][keep].astype(np.int32), "pos": pos[order][keep].astype(np.int32)})
+
+    sent = stored.select("__node", "text").mapInArrow(send, "bucket int, sig binary, pos binary, at binary, node binary, n binary")
+    return sent.groupBy("bucket").applyInArrow(meet, "sig long, node long, n int, pos int")
+
+
+def near_unique(df: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``df`` less all but one of each group of near copies (the least doc_id stays; of null ids any).
 
-    Texts are near copies if the Jaccard similarity of their sets of ``size``-word shingles is at least ``similarity``;
-    groups are what such links connect. SimHash fingerprints within 3 bits are always compared, those within ``radius``
-    bits with the recall of ``wide_masks``; every link is checked on the whole sets of shingles before it counts.
-    Texts without words are one group.
+    Texts are near copies if the Jaccard similarity of their sets of ``size``-word shingles (as 64-bit hashes) is at least
+    ``similarity``; groups are what such links connect. Texts with the same set, known by its 64-bit hash, are one node.
+    Two similar sets share a hash within their prefixes (prefix filtering, Chaudhuri et al., 2006), whatever the size of the
+    table, so no group is missed. First every node is compared with one other, of the least of its hashes' nodes the one that
+    it meets most often; then all pairs that share a hash and aren't connected yet, unless sizes and places rule them out.
+    Every link is checked on the whole sets before it counts. Texts without words are one group.
     """
     columns = df.columns
-    marked = fingerprints(df, size=size, name="__fp").withColumn("__row", F.monotonically_increasing_id())
-    stored = materialize(marked, "marked")
-    order = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id"), F.col("__row"))
-    rows = stored.select(F.col("__fp").alias("fp"), order.alias("o"))
-    distinct = materialize(rows.groupBy("fp").agg(F.min("o").alias("o")), "distinct")
-    masks = exact_masks(RADIUS) + wide_masks(distinct.count())
-    found = materialize(links(distinct.select("fp"), radius, masks).groupBy("a", "b").agg(F.min("d").alias("d")), "links")
-    # the shingle sets of one text for each linked fingerprint
-    ends = found.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct, "fp").select("fp", F.col("o.__row").alias("__row"))
 
-    def sets():
-        return lambda column: [[np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(x, SEED) for x in shingles(t, size)]), "<u8")).tobytes() for t in byte_texts(column)]]
+    def marks():
+        def make(column: pa.Array) -> list:
+            sets = [shingle_set(t, size) for t in byte_texts(column)]
+            return [[signed(xxhash.xxh3_64_intdigest(s.tobytes(), SEED)) for s in sets], [len(s) for s in sets]]
 
-    texts = stored.select("__row", "text").join(ends, "__row").select("fp", "text")
-    sketches = materialize(append_columns(texts, StructType([StructField("set", BinaryType())]), sets).select("fp", "set"), "sets")
-    pairs = found.join(sketches.withColumnsRenamed({"fp": "a", "set": "x"}), "a").join(sketches.withColumnsRenamed({"fp": "b", "set": "y"}), "b").select("a", "b", "x", "y")
+        return make
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            load = lambda c: [np.frombuffer(x, "<u8") for x in c.to_pylist()]
-            keep = pa.array([_shared(x, y) >= similarity for x, y in zip(load(batch.column(2)), load(batch.column(3)))], pa.bool_())
-            yield batch.select(["a", "b"]).filter(keep)
+    marked = append_columns(df, StructType([StructField("__node", LongType()), StructField("__n", LongType())]), marks)
+    stored = materialize(marked.withColumn("__row", F.monotonically_increasing_id()), "marked")
+    order = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id"), F.col("__row"))
+    rows = stored.select(F.col("__node").alias("node"), order.alias("o"))
+    shared = materialize(shared_signatures(stored, size, similarity), "signatures")
 
-    roots = components(pairs.mapInArrow(verify, "a long, b long"))
-    labelled = rows.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "o")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, center = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for a, part, node, text in zip(*(batch.column(i).to_pylist() for i in range(3)), byte_texts(batch.column(3))):
+                found = shingle_set(text, size)
+                if (a, part) != held:  # the center comes first
+                    held, center = (a, part), found
+                elif _shared(center, found) >= similarity:
+                    out.append((a, node))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], names=["a", "b"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that are similar; texts meet their pairs' a, in parts where it has many."""
+        many = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+        cut = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+        met = cut.select("a", "part", F.explode(F.array("a", "b")).alias("node")).distinct()
+        one = rows.groupBy("node").agg(F.min("o.__row").alias("__row"))
+        met = materialize(met.join(one, "node").select("__row", "a", "part", "node"), "met")
+        texts = stored.select("__row", "text").join(met, "__row").select("a", "part", "node", "text", (F.col("a") != F.col("node")).alias("later"))
+        texts = texts.repartition("a", "part").sortWithinPartitions("a", "part", "later").drop("later")
+        return materialize(texts.mapInArrow(compare, "a long, b long"), "verified")
+
+    def possible(p: str, q: str) -> Column:
+        """Whether two sets whose first common hash is this one can be similar by their sizes and places."""
+        n, m, i, j = (F.col(f"{x}.{c}") for c in ("n", "pos") for x in (p, q))
+        fits = F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6
+        return fits & (F.least(n - i, m - j) * (1 + similarity) >= similarity * (n + m) - 1e-6)
+
+    entry = F.struct("node", "n", "pos")
+    stars = shared.groupBy("sig").agg(F.min(entry).alias("p")).join(shared.select("sig", entry.alias("q")), "sig")
+    stars = stars.where((F.col("p.node") < F.col("q.node")) & possible("p", "q")).groupBy(F.col("p.node").alias("a"), F.col("q.node").alias("b")).agg(F.count("*").alias("n"))
+    near = verified(materialize(stars.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select("best.a", "b"), "pairs"))
+    roots = components(near)
+    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
+    left = materialize(rooted.join(apart, "sig"), "apart").select("sig", F.struct("node", "n", "pos", "root").alias("p"))
+    pairs = left.join(left.withColumnRenamed("p", "q"), "sig").where((F.col("p.node") < F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & possible("p", "q"))
+    far = verified(materialize(pairs.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct(), "pairs"))
+    roots = components(near.unionByName(far))
+    labelled = rows.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "o")
     stay = labelled.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.__row").alias("__row"))
     return pick(stored.join(stay, "__row", "left_semi"), *columns)

@@ -65,3 +65,29 @@ def test_wide_masks_reach_their_recall():
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_copies", "secrets", "packing"]
     assert re.fullmatch(r"[a-z_]+", "_".join(r for r, *_ in quality.THRESHOLDS))
+
+
+def brute_components(texts, similarity=0.8):
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if label[i] != label[j] and len(a & sets[j]) >= similarity * len(a | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    return label
+
+
+def test_near_copies_among_texts_of_one_template(spark):
+    """Near copies are found among many texts that share a template but aren't near copies themselves."""
+    import random
+
+    rnd = random.Random(8)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    template = [word() for _ in range(120)]
+    texts = [" ".join(template + [word() for _ in range(28)]) for _ in range(300)]
+    for i in range(0, 60):
+        w = texts[i].split()
+        w[-1 - i % 20] = word()
+        texts.append(" ".join(w))
+    out = simhash.near_unique(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in out) == list(range(300)) and len(set(brute_components(texts))) == 300
