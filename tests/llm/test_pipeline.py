@@ -91,3 +91,25 @@ def test_near_copies_among_texts_of_one_template(spark):
         texts.append(" ".join(w))
     out = simhash.near_unique(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in out) == list(range(300)) and len(set(brute_components(texts))) == 300
+
+
+def test_near_copies_at_the_threshold(spark):
+    """All pairs just over the similarity are found, in a small table as in a large one, and none just under it."""
+    import random
+
+    rnd = random.Random(9)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    texts = []
+    for i in range(150):
+        w = [word() for _ in range(rnd.randint(8, 400))]
+        v = list(w)
+        for at in rnd.sample(range(len(w)), max(1, len(w) // rnd.choice([44, 48, 56]))):
+            v[at] = word()
+        texts += [" ".join(w), " ".join(v)]
+    label = brute_components(texts)
+    assert 230 > len(set(label)) > 160
+    want = [i for i, x in enumerate(label) if x not in label[:i]]
+    for more in (0, 3000):
+        rows = list(enumerate(texts)) + [(10**6 + i, " ".join(word() for _ in range(12))) for i in range(more)]
+        out = simhash.near_unique(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(r.doc_id for r in out) == want + [10**6 + i for i in range(more)]
