@@ -113,3 +113,15 @@ def test_near_copies_at_the_threshold(spark):
         rows = list(enumerate(texts)) + [(10**6 + i, " ".join(word() for _ in range(12))) for i in range(more)]
         out = simhash.near_unique(spark.createDataFrame(rows, "doc_id long, text string")).collect()
         assert sorted(r.doc_id for r in out) == want + [10**6 + i for i in range(more)]
+
+
+def test_different_texts_with_one_fingerprint_stay(spark):
+    import random
+
+    rnd = random.Random(10)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    phrase = " ".join(word() for _ in range(11))
+    texts = [" ".join([phrase] * 200 + [word() for _ in range(1100)]) for _ in range(12)]
+    assert len({simhash.fingerprint(t.encode(), 5) for t in texts}) < 12
+    out = simhash.near_unique(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(out) == 12
