@@ -22,39 +22,48 @@ def lexrank_order(texts: list[str], threshold: float = 0.1, damping: float = 0.8
     n = len(texts)
     df = Counter(w for b in bags for w in b)
     words = {w: i for i, w in enumerate(df)}
-    x = np.zeros((n, len(words)))
-    for i, b in enumerate(bags):
-        for w, c in b.items():
-            x[i, words[w]] = c * (math.log(n / df[w]) + 1)
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-    link = (x @ x.T >= threshold).astype(float)
-    degree = link.sum(1, keepdims=True)
-    walk = np.divide(link, degree, out=np.full_like(link, 1 / max(n, 1)), where=degree > 0)
+    idf = np.array([math.log(n / c) + 1 for c in df.values()])
+    size = [len(b) for b in bags]
+    row = np.repeat(np.arange(n), size)
+    column = np.fromiter((words[w] for b in bags for w in b), np.int64, len(row))
+    value = np.fromiter((c for b in bags for c in b.values()), float, len(row)) * idf[column]
+    norm = np.sqrt(np.bincount(row, weights=value * value, minlength=n))
+    value = value / norm[row]
+    # postings by word, so a row of similarities needs no matrix
+    order = np.argsort(column, kind="stable")
+    by_row, by_value, start = row[order], value[order], np.searchsorted(column[order], np.arange(len(words) + 1))
+    ends = np.cumsum([0, *size])
+    links = []
+    for i in range(n):
+        near = np.zeros(n)
+        for k in range(ends[i], ends[i + 1]):
+            w = slice(start[column[k]], start[column[k] + 1])
+            near[by_row[w]] += value[k] * by_value[w]
+        links.append(np.flatnonzero(near >= threshold).astype(np.int32))
+    degree = np.array([len(x) for x in links])
+    to = np.concatenate([np.zeros(0, np.int32), *links])
     rank = np.full(n, 1 / max(n, 1))
     for _ in range(100):
-        new = (1 - damping) / n + damping * (walk.T @ rank)
-        if np.abs(new - rank).max() < 1e-9:
+        share = np.divide(rank, degree, out=np.zeros(n), where=degree > 0)
+        walked = np.bincount(to, weights=np.repeat(share, degree), minlength=n) + rank[degree == 0].sum() / max(n, 1)
+        new = (1 - damping) / max(n, 1) + damping * walked
+        if np.abs(new - rank).max(initial=0) < 1e-9:
             break
         rank = new
     return sorted(range(n), key=lambda i: (-round(float(rank[i]), 9), i))
 
 
-def summarize(text: Column, n: int = 2, most: int = 400) -> Column:
+def summarize(text: Column, n: int = 2) -> Column:
     """The ``n`` most central sentences in text order, joined by a blank; null without a sentence.
 
-    The graph is quadratic in sentences, so texts with more than ``most`` are ranked in runs of that many sentences and
-    the winners of all runs once more.
+    Texts of any length are ranked as a whole; only links are held, four bytes each.
     """
 
     @F.pandas_udf("string")
     def run(rows: pd.Series) -> pd.Series:
         def one(found) -> str | None:
             found = [] if found is None else list(found)
-            at = list(range(len(found)))
-            while len(at) > most:
-                at = sorted(i for k in range(0, len(at), most) for i in (at[k + j] for j in lexrank_order([found[x] for x in at[k : k + most]])[: max(n, 1)]))
-            best = [at[j] for j in lexrank_order([found[i] for i in at])[:n]] if at else []
+            best = lexrank_order(found)[:n] if found else []
             return " ".join(found[i] for i in sorted(best)) or None
 
         return rows.map(one)

@@ -187,3 +187,30 @@ def test_streams_process_each_file_once(spark, tmp_path):
         stream = spark.readStream.schema("paper_name string, paper_path string").parquet(names)
         incremental.resume_stream(stream, str(tmp_path / "new"), str(tmp_path / "m2")).awaitTermination()
     assert sorted(r.paper_name for r in spark.read.parquet(str(tmp_path / "new")).collect()) == ["a", "b"]
+
+
+def plain_lexrank(texts):
+    import math
+    import re
+    from collections import Counter
+
+    import numpy as np
+
+    bags = [Counter(re.findall(r"[^\W_]+", t.lower())) for t in texts]
+    df = Counter(w for b in bags for w in b)
+    x = np.array([[b[w] * (math.log(len(texts) / df[w]) + 1) for w in df] for b in bags])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    link = (x @ x.T >= 0.1).astype(float)
+    walk, rank = link / link.sum(1, keepdims=True), np.full(len(texts), 1 / len(texts))
+    for _ in range(100):
+        rank = 0.15 / len(texts) + 0.85 * walk.T @ rank
+    return sorted(range(len(texts)), key=lambda i: (-round(float(rank[i]), 9), i))
+
+
+def test_long_texts_are_ranked_as_a_whole(spark):
+    import random
+
+    rnd = random.Random(7)
+    found = [" ".join(f"W{int(rnd.paretovariate(0.6)) % 3000}" for _ in range(rnd.randint(3, 12))) + "." for _ in range(950)]
+    best = sorted(plain_lexrank(found)[:2])
+    assert one(spark, " ".join(found), summarize) == " ".join(found[i] for i in best)
