@@ -1,9 +1,10 @@
 """Operator 4: stupid-backoff scores against counts of the whole corpus, a document's own counts taken out.
 
-Counts of words and word pairs are tables partitioned by hash; each shard's exploded pairs meet their totals there (see
+Counts of n-grams up to an order (words and word pairs by default) are tables partitioned by hash; each shard's exploded pairs meet their totals there (see
 ``shards``) and are summed per document. For a word w after v in document d, with all counts less those of d:
-c(v w) / c(v) if the pair occurs elsewhere, else 0.4 c(w) / N, else (a word of d alone) 0.16 / (N + 1). A document starts
-with a start mark, and its end mark is scored as a word.
+c(v w) / c(v) if the pair occurs elsewhere, else 0.4 c(w) / N, else (a word of d alone) 0.16 / (N + 1). With a higher order
+longer n-grams are tried first, and each step down is another factor 0.4. A document starts with one start mark, and its end
+mark is scored as a word.
 
 Edge cases: a null, empty or blank text is scored on its end mark alone; equal texts in other rows count as other
 documents; null doc_ids are kept; a table of one document has only the last case; an empty table gives an empty one.
@@ -31,8 +32,11 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def grams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words with an end mark after each document, the pairs that they close, and their documents' numbers."""
+def grams(batch: pa.RecordBatch, order: int = 2) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """N-grams of each length by the word (or end mark) that closes them, the words' places and their documents' numbers.
+
+    An n-gram that would begin before the start mark is the word instead.
+    """
     documents = [words(t) for t in byte_texts(batch.column(1))]
     size = np.array([len(d) + 1 for d in documents], np.int64)
     last = np.cumsum(size) - 1
@@ -40,14 +44,19 @@ def grams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inner = np.ones(len(word), bool)
     inner[last] = False
     word[inner] = word_hashes(documents)
-    before = np.concatenate([[START], word[:-1]]).astype(np.uint64)
-    before[last[:-1] + 1] = START
-    return word, mix(before, word), np.repeat(np.arange(len(documents)), size)
+    place = np.arange(len(word)) - np.repeat(last + 1 - size, size)
+    found = [word]
+    for length in range(2, order + 1):
+        before = np.concatenate([[START], found[-1][:-1]]).astype(np.uint64)
+        if length == 2:
+            before[last[:-1] + 1] = START
+        found.append(np.where(place >= length - 2, mix(before[: len(word)], word), word))
+    return found, place, np.repeat(np.arange(len(documents)), size)
 
 
-def _items(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    word, pair, _ = grams(batch)
-    return np.unique(np.concatenate([word, pair]), return_counts=True)
+def _items(batch: pa.RecordBatch, order: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    found, place, _ = grams(batch, order)
+    return np.unique(np.concatenate([g[place >= i - 1] for i, g in enumerate(found)]), return_counts=True)
 
 
 def _own(value: np.ndarray, document: np.ndarray) -> np.ndarray:
@@ -57,7 +66,7 @@ def _own(value: np.ndarray, document: np.ndarray) -> np.ndarray:
     return count[at]
 
 
-def lm_scores(df: DataFrame) -> DataFrame:
+def lm_scores(df: DataFrame, order: int = 2) -> DataFrame:
     """(doc_id, n_tokens, logprob, per_token): base-10 logarithms summed over the words and the end mark, and their mean."""
     shards = make_shards(df, SHARD_BYTES, "lm-shards")
     n_docs, n_words = totals(shards)
@@ -65,19 +74,20 @@ def lm_scores(df: DataFrame) -> DataFrame:
     key = df.schema["doc_id"]
 
     def score(batch: pa.RecordBatch, hashes: np.ndarray, total: np.ndarray):
-        word, pair, document = grams(batch)
-        if not len(word):
+        found, place, document = grams(batch, order)
+        if not len(place):
             return
-        first = np.r_[True, document[1:] != document[:-1]]
+        first = place == 0
         size = np.bincount(document)
-        c1, c2 = (total[np.searchsorted(hashes, x)] for x in (word, pair))
-        o1, o2 = _own(word, document), _own(pair, document)
-        context = np.where(first, n_docs, np.concatenate([[0], c1[:-1]]))
-        own_context = np.where(first, 1, np.concatenate([[0], o1[:-1]]))
         n = everything - size[document]
-        pairs, singles, contexts = c2 - o2, c1 - o1, np.maximum(context - own_context, 1)
-        s = np.where(pairs > 0, pairs / contexts, np.where(singles > 0, BACKOFF * singles / np.maximum(n, 1), BACKOFF * BACKOFF / (n + 1)))
+        left = [total[np.searchsorted(hashes, g)] - _own(g, document) for g in found]  # counts in other documents
+        s = np.where(left[0] > 0, BACKOFF ** (order - 1) * left[0] / np.maximum(n, 1), BACKOFF**order / (n + 1))
+        for i in range(1, order):
+            context = np.concatenate([[0], left[i - 1][:-1]])
+            if i == 1:
+                context = np.where(first, n_docs - 1, context)
+            s = np.where((place >= i - 1) & (left[i] > 0), BACKOFF ** (order - 1 - i) * left[i] / np.maximum(context, 1), s)
         sums = np.add.reduceat(np.log10(s), np.flatnonzero(first))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int64)), pa.array(sums), pa.array(sums / size)], names=["doc_id", "n_tokens", "logprob", "per_token"])
 
-    return count_globally(shards, _items, 2 * everything, score, f"doc_id {key.dataType.simpleString()}, n_tokens long, logprob double, per_token double")
+    return count_globally(shards, lambda batch: _items(batch, order), order * everything, score, f"doc_id {key.dataType.simpleString()}, n_tokens long, logprob double, per_token double")

@@ -17,7 +17,7 @@ import xxhash
 from conftest import SF
 from tokenizers import Tokenizer
 
-from papyrine.llm import bpe, components, packing, quality, queries, search, secrets, shards, simhash, toxicity, trigrams, urls
+from papyrine.llm import bpe, components, lm, packing, quality, queries, search, secrets, shards, simhash, toxicity, trigrams, urls
 
 MID = SF.replace("0.001", "0.01")
 QUERIES = queries.queries()
@@ -435,3 +435,25 @@ def test_packed_integers():
 
 def test_quality_rules_name_known_ratios():
     assert all(rule and op in "<>" for rule, _, op, _ in quality.THRESHOLDS)
+
+
+def test_lm_scores_of_higher_orders(spark, folders):
+    docs = [(r["doc_id"], ["<s>", *tokens(r["text"]), "</s>"]) for r in rows()]
+    grams = lambda w: Counter(tuple(w[i - n + 1 : i + 1]) for n in range(1, 4) for i in range(1 if n == 1 else n - 1, len(w)))
+    every, want = Counter(), []
+    for _, w in docs:
+        every.update(grams(w))
+    total = sum(c for g, c in every.items() if len(g) == 1)
+    for d, w in docs:
+        own, s, n = grams(w), 0.0, total - len(w) + 1
+        left = lambda *g: len(docs) - 1 if g == ("<s>",) else every[g] - own[g]  # noqa: E731, B023
+        for i in range(1, len(w)):
+            p = 0.4**3 / (n + 1)
+            for k in (1, 2, 3):
+                g = tuple(w[i - k + 1 : i + 1])
+                if k <= i + 1 and left(*g) > 0:
+                    p = 0.4 ** (3 - k) * left(*g) / (left(*g[:-1]) if k > 1 else n)
+            s += math.log10(p)
+        want.append((d, len(w) - 1, round(s, 6)))
+    got = lm.lm_scores(spark.read.parquet(f"{folders['edge']}/documents.parquet"), order=3).collect()
+    assert sorted(((r.doc_id, r.n_tokens, round(r.logprob, 6)) for r in got), key=repr) == sorted(want, key=repr)
