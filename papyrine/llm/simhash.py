@@ -26,15 +26,16 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from papyrine.llm.common import append_columns, byte_texts, materialize, pick, slices
 from papyrine.llm.components import components
-from papyrine.llm.shards import pack, pack_sorted, unpack, unpack_sorted
+from papyrine.llm.shards import count_globally, make_shards, pack, pack_sorted, unpack, unpack_sorted
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Reference fingerprints; the first two are all zeros and a half of ones, the rest pseudo-random.
 PIVOTS = np.concatenate([np.array([0, 0x00000000FFFFFFFF], np.uint64), np.random.default_rng(20).integers(0, 2**64, 14, dtype=np.uint64)])
 CHUNK = 2048
-#: For near copies: texts sampled for common shingles (at least, or a hundredth), the most of these, prefix hashes of a bucket.
-SAMPLE, COMMON, PER_BUCKET = 5000, 100_000, 1_000_000
-_M = (1 << 64) - 1
+#: For near copies: hashes that a bucket is meant to hold.
+PER_BUCKET = 1_000_000
+#: A fingerprint of more than one of so many rows is frequent: there are fewer such fingerprints, so they fit a broadcast.
+FREQUENT = 500
 
 
 def exact_masks(radius: int, blocks: int | None = None, agree: int = 2) -> list[int]:
@@ -183,13 +184,16 @@ def links(distinct: DataFrame, radius: int = RADIUS, masks: list[int] | None = N
 def near_duplicates(df: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``df``'s (doc_id, text)."""
     prints = materialize(fingerprints(pick(df, "doc_id", "text"), size=size).select("doc_id", "fp"), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     roots = components(links(distinct, radius))
     labelled = roots.join(distinct, roots.node == distinct.fp).select("fp", "root", "least")
     classes = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     merged = labelled.join(classes, "root").select("fp", "component_id")
-    whole = distinct.join(merged, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(whole, "fp").select("doc_id", "fp", "component_id")
+    whole = materialize(distinct.join(merged, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")), "classes")
+    often = (distinct.agg(F.sum("n")).first()[0] or 0) / FREQUENT
+    common = F.broadcast(whole.where(F.col("n") > often).select("fp", "component_id"))  # fewer than FREQUENT rows
+    rest = prints.join(F.broadcast(common.select("fp")), "fp", "left_anti").join(whole.where(F.col("n") <= often).drop("n"), "fp")
+    return prints.join(common, "fp").unionByName(rest).select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: Column) -> Column:
@@ -197,18 +201,6 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def wide_masks(n: int, radius: int = 9, recall: float = 0.9, seed: int = 3) -> list[int]:
-    """Masks of random bits for fingerprints that differ in up to about ``radius`` bits.
-
-    A mask has as many bits as keep the groups of ``n`` fingerprints small; there are as many masks as let two fingerprints
-    at that radius agree on at least one of them with probability ``recall``.
-    """
-    bits = min(40, max(12, math.ceil(math.log2(max(n, 2))) - 4))
-    agree = math.prod((64 - radius - i) / (64 - i) for i in range(bits))
-    rng = np.random.default_rng(seed)
-    return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - agree)))]
-
-
 def _shared(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, True))
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
@@ -219,75 +211,88 @@ def shingle_set(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(x, SEED) for x in shingles(text, size)]), "<u8"))
 
 
-def prefix(found: np.ndarray, similarity: float, common: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The first hashes of a set in the order by frequency (as far as known) and value, as many as a similar set can't all lack."""
-    if len(common):
-        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-        found = found[np.argsort(np.where(common[at] == found, often[at], 0), kind="stable")]
-    return found[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1]
+def rare_first(found: np.ndarray, often: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix of a set in the order by frequency and value, as long as a similar set can't lack all of it, and its frequencies."""
+    order = np.lexsort((found, often))[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1]
+    return found[order], often[order]
 
 
-def common_shingles(stored: DataFrame, size: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that many texts of a sample have, and in how many; only the cost depends on the sample."""
-    k = max(1, min(100, rows // SAMPLE))
+def shared_enough(stored: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(node): sets of which at least ``similarity`` of the hashes occur in other rows too; no other set has a similar one.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, 0):
-                found = np.concatenate([np.zeros(0, np.uint64), *(shingle_set(t, size) for t in byte_texts(batch.column(0)))])
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["h"])
-
-    counted = stored.where(F.pmod("__node", F.lit(k)) == 0).select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n"))
-    table = counted.where("n >= 4").orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
-    h = table.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    return h[order], table.column("n").to_numpy()[order]
-
-
-def shared_signatures(stored: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(sig, node, n, pos): prefix hashes that several different sets have, with the sets' sizes and the places in their orders.
-
-    Batches send their hashes packed, by leading bits, to buckets, which drop what one set alone has.
+    Batches send their hashes packed, by leading bits, to buckets; a bucket sends back how many of each set's hashes it has
+    seen more than once, and the sums decide. Nothing is cut off: a hash in very many sets is one entry a set.
     """
-    rows, words = stored.agg(F.count("*"), F.coalesce(F.sum("__n"), F.lit(0))).first()
-    common, often = common_shingles(stored, size, rows)
-    bits = max(64, math.ceil((rows + (1 - similarity) * words) / PER_BUCKET)).bit_length() - 1
+    words = stored.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    bits = max(64, math.ceil(words / PER_BUCKET)).bit_length() - 1
     shift = np.uint64(64 - bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, made = TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in slices(whole, 1, 8 << 20):
-                sets = [shingle_set(t, size) for t in byte_texts(batch.column(1))]
-                parts = [prefix(s, similarity, common, often) if len(s) else s for s in sets]
-                sig, many = np.concatenate(parts).astype(np.uint64), [len(p) for p in parts]
-                doc, pos = np.repeat(np.arange(len(parts)), many), np.concatenate([np.arange(m) for m in many])
-                node, n = batch.column(0).to_numpy(), np.array([len(s) for s in sets], np.uint32)
+                node, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+                sets = [shingle_set(t, size) for t in byte_texts(batch.column(1).take(pa.array(first)))]
+                n = np.array([len(x) for x in sets], np.int64)
+                sig, of = np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), n).astype(np.uint32)
                 order = np.argsort(sig, kind="stable")
-                cut = np.searchsorted(sig[order] >> shift, np.arange((1 << bits) + 1, dtype=np.uint64))
-                out = []
+                sig, of = sig[order], of[order]
+                cut = np.searchsorted(sig >> shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+                out, name = [], f"{task}-{made}"
                 for b, (x, y) in enumerate(zip(cut, cut[1:])):
                     if y > x:
-                        one = order[x:y]
-                        of, at = np.unique(doc[one], return_inverse=True)
-                        out.append((b, pack_sorted(sig[one]), pack(pos[one].astype(np.uint32)), pack(at.astype(np.uint32)), pack(node[of]), pack(n[of])))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 6, [pa.int32()] + [pa.binary()] * 5)], names=["bucket", "sig", "pos", "at", "node", "n"])
+                        whose = (None, None) if out else (pack(node), pack(n))  # one of the rows says whose hashes they are
+                        out.append((name, b, pack_sorted(sig[x:y]), pack(of[x:y]), *whose))
+                made += 1
+                kinds = [pa.string(), pa.int32(), *[pa.binary()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], names=["batch", "bucket", "sig", "of", "node", "n"])
 
     def meet(table: pa.Table) -> pa.Table:
-        read = lambda c, kind: [unpack(x, kind) for x in table.column(c).to_pylist()]
-        at = read("at", np.uint32)
-        sig = np.concatenate([unpack_sorted(x) for x in table.column("sig").to_pylist()])
-        pos = np.concatenate(read("pos", np.uint32))
-        node, n = (np.concatenate([x[i] for x, i in zip(read(c, kind), at)]) for c, kind in (("node", np.int64), ("n", np.uint32)))
-        order = np.lexsort((node, sig))
-        sig, node = sig[order], node[order]
-        first = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]  # equal sets are one node
-        order, sig, node = order[first], sig[first], node[first]
-        same = sig[1:] == sig[:-1]
-        keep = np.r_[same, False] | np.r_[False, same]
-        return pa.table({"sig": sig[keep].view(np.int64), "node": node[keep], "n": n[order][keep].astype(np.int32), "pos": pos[order][keep].astype(np.int32)})
-
-    sent = stored.select("__node", "text").mapInArrow(send, "bucket int, sig binary, pos binary, at binary, node binary, n binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "sig long, node long, n int, pos int")
+        sigs = [unpack_sorted(x) for x in table.column("sig").to_pylist()]
+        _, at, many = np.unique(np.concatenate(sigs), return_inverse=True, return_counts=True)
+        more = np.split(many[at] > 1, np.cumsum([len(x) for x in sigs])[:-1])
+        seen = [pack(np.bincount(unpack(x, np.uint32)[y]).astype(np.uint32)) for x, y in zip(table.column("of").to_pylist(), more)]
+        return pa.table({"batch": table.column("batch"), "seen": pa.array(seen, pa.binary()), "node": table.column("node"), "n": table.column("n")})
+
+    def decide(table: pa.Table) -> pa.Table:
+        node, n = (next(unpack(x, np.int64) for x in table.column(c).to_pylist() if x is not None) for c in ("node", "n"))
+        total = np.zeros(len(n), np.int64)
+        for x in table.column("seen").to_pylist():
+            part = unpack(x, np.uint32)
+            total[: len(part)] += part
+        return pa.table({"node": node[(n > 0) & (total >= similarity * n - 1e-6)]})
+
+    sent = stored.select("__node", "text").mapInArrow(send, "batch string, bucket int, sig binary, of binary, node binary, n binary")
+    answered = sent.groupBy("bucket").applyInArrow(meet, "batch string, seen binary, node binary, n binary")
+    return answered.groupBy("batch").applyInArrow(decide, "node long").distinct()
+
+
+def signatures(some: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(sig, node, n, pos): the prefix hashes that several of the sets of ``some`` (node, text, n) have, with sizes and places.
+
+    Hashes are ordered by the number of sets of ``some`` that have them, rare ones first.
+    """
+    shards = make_shards(some.select(F.col("node").alias("doc_id"), "text"), 4 << 20, "near-shards")
+    words = some.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def sets_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [shingle_set(t, size) for t in byte_texts(batch.column(1))]
+
+    def items(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(np.concatenate([np.zeros(0, np.uint64), *sets_of(batch)]), return_counts=True)
+
+    def cut(batch: pa.RecordBatch, hashes: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        out = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
+        for node, found in zip(batch.column(0).to_pylist(), sets_of(batch)):
+            sig, often = rare_first(found, total[np.searchsorted(hashes, found)], similarity)
+            pos = np.flatnonzero(often > 1)
+            out.append((sig[pos], np.full(len(pos), node, np.int64), np.full(len(pos), len(found), np.int64), pos))
+        sig, node, n, pos = map(np.concatenate, zip(*out))
+        yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node), pa.array(n.astype(np.int32)), pa.array(pos.astype(np.int32))], names=["sig", "node", "n", "pos"])
+
+    return count_globally(shards, items, words, cut, "sig long, node long, n int, pos int")
 
 
 def near_unique(df: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -295,10 +300,14 @@ def near_unique(df: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFr
 
     Texts are near copies if the Jaccard similarity of their sets of ``size``-word shingles (as 64-bit hashes) is at least
     ``similarity``; groups are what such links connect. Texts with the same set, known by its 64-bit hash, are one node.
-    Two similar sets share a hash within their prefixes (prefix filtering, Chaudhuri et al., 2006), whatever the size of the
-    table, so no group is missed. First every node is compared with one other, of the least of its hashes' nodes the one that
-    it meets most often; then all pairs that share a hash and aren't connected yet, unless sizes and places rule them out.
-    Every link is checked on the whole sets before it counts. Texts without words are one group.
+    A set can only have a similar one if others share enough of its hashes (``shared_enough``); only these go on. Candidates
+    are first what ``links`` finds by their fingerprints through pivot tables, and of each set the one of its hashes' least
+    sets that it meets most often; then, since SimHash alone loses pairs at this similarity, all pairs that share a hash of
+    their prefixes (Chaudhuri et al., 2006; two similar sets always do) and aren't connected yet, unless sizes and places
+    rule them out. Every link is checked on the whole sets before it counts.
+
+    Edge cases: texts without words (null, empty, blank) are one group; a text shorter than a shingle is one shingle; of rows
+    with one doc_id and one text the first read stays; an empty table gives an empty one; extra columns are kept as they are.
     """
     columns = df.columns
 
@@ -312,8 +321,10 @@ def near_unique(df: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFr
     marked = append_columns(df, StructType([StructField("__node", LongType()), StructField("__n", LongType())]), marks)
     stored = materialize(marked.withColumn("__row", F.monotonically_increasing_id()), "marked")
     order = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id"), F.col("__row"))
-    rows = stored.select(F.col("__node").alias("node"), order.alias("o"))
-    shared = materialize(shared_signatures(stored, size, similarity), "signatures")
+    least = materialize(stored.groupBy(F.col("__node").alias("node")).agg(F.min(order).alias("o")), "nodes")
+    picked = least.join(shared_enough(stored, size, similarity), "node").select("node", F.col("o.__row").alias("__row"))
+    some = materialize(stored.select("__row", "text", F.col("__n").alias("n")).join(picked, "__row").select("node", "text", "n"), "candidates")
+    shared = materialize(signatures(some, size, similarity), "signatures")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, center = None, np.zeros(0, np.uint64)
@@ -332,9 +343,7 @@ def near_unique(df: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFr
         many = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
         cut = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
         met = cut.select("a", "part", F.explode(F.array("a", "b")).alias("node")).distinct()
-        one = rows.groupBy("node").agg(F.min("o.__row").alias("__row"))
-        met = materialize(met.join(one, "node").select("__row", "a", "part", "node"), "met")
-        texts = stored.select("__row", "text").join(met, "__row").select("a", "part", "node", "text", (F.col("a") != F.col("node")).alias("later"))
+        texts = some.select("node", "text").join(met, "node").select("a", "part", "node", "text", (F.col("a") != F.col("node")).alias("later"))
         texts = texts.repartition("a", "part").sortWithinPartitions("a", "part", "later").drop("later")
         return materialize(texts.mapInArrow(compare, "a long, b long"), "verified")
 
@@ -344,17 +353,23 @@ def near_unique(df: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFr
         fits = F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6
         return fits & (F.least(n - i, m - j) * (1 + similarity) >= similarity * (n + m) - 1e-6)
 
+    prints = materialize(fingerprints(some, size=size).select("node", "fp"), "fingerprints")
+    first = prints.groupBy("fp").agg(F.min("node").alias("center"))
+    same = prints.join(first, "fp").where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b"))
+    ends = [first.select(F.col("fp").alias(x), F.col("center").alias(f"{x}_node")) for x in ("a", "b")]
+    alike = links(first.select("fp")).select("a", "b").join(ends[0], "a").join(ends[1], "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+
     entry = F.struct("node", "n", "pos")
     stars = shared.groupBy("sig").agg(F.min(entry).alias("p")).join(shared.select("sig", entry.alias("q")), "sig")
     stars = stars.where((F.col("p.node") < F.col("q.node")) & possible("p", "q")).groupBy(F.col("p.node").alias("a"), F.col("q.node").alias("b")).agg(F.count("*").alias("n"))
-    near = verified(materialize(stars.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select("best.a", "b"), "pairs"))
+    stars = stars.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select("best.a", "b")
+    near = verified(materialize(stars.unionByName(same).unionByName(alike).distinct(), "pairs"))
     roots = components(near)
     rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
     left = materialize(rooted.join(apart, "sig"), "apart").select("sig", F.struct("node", "n", "pos", "root").alias("p"))
     pairs = left.join(left.withColumnRenamed("p", "q"), "sig").where((F.col("p.node") < F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & possible("p", "q"))
     far = verified(materialize(pairs.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct(), "pairs"))
-    roots = components(near.unionByName(far))
-    labelled = rows.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "o")
+    labelled = least.join(components(near.unionByName(far)), "node", "left").select(F.coalesce("root", "node").alias("root"), "o")
     stay = labelled.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.__row").alias("__row"))
     return pick(stored.join(stay, "__row", "left_semi"), *columns)

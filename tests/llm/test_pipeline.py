@@ -52,16 +52,6 @@ def test_runs_whole(spark, folders):  # noqa: F811
     assert ids <= clean and len(ids) > 0.6 * len(clean)
 
 
-def test_wide_masks_reach_their_recall():
-    import random
-
-    rnd = random.Random(6)
-    for n in (1000, 10**6):
-        masks = simhash.wide_masks(n)
-        hit = sum(any(not changed & m for m in masks) for changed in (sum(1 << b for b in rnd.sample(range(64), 9)) for _ in range(2000)))
-        assert hit / 2000 >= 0.85
-
-
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_copies", "secrets", "packing"]
     assert re.fullmatch(r"[a-z_]+", "_".join(r for r, *_ in quality.THRESHOLDS))
