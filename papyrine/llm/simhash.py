@@ -34,6 +34,8 @@ PIVOTS = np.concatenate([np.array([0, 0x00000000FFFFFFFF], np.uint64), np.random
 CHUNK = 2048
 #: For near copies: hashes that a bucket is meant to hold.
 PER_BUCKET = 1_000_000
+#: Hashes of the sets that meet in one cell, of either side.
+CELL = 800_000
 #: A fingerprint of more than one of so many rows is frequent: there are fewer such fingerprints, so they fit a broadcast.
 FREQUENT = 500
 
@@ -295,6 +297,69 @@ def signatures(some: DataFrame, size: int, similarity: float) -> DataFrame:
     return count_globally(shards, items, words, cut, "sig long, node long, n int, pos int")
 
 
+def similar_rows(sets: list[np.ndarray], root: np.ndarray, own: np.ndarray, inside: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of similar sets of different roots, a spanning forest of them; only of different ``own`` unless ``inside``."""
+    n = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), n)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    posted, start = row[order], np.searchsorted(code[order], np.arange(int(code.max(initial=-1)) + 2))
+    ends = np.cumsum(np.append(0, n))
+    _, label = np.unique(root, return_inverse=True)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(len(sets)):
+        some = code[ends[i] : ends[i + 1]]
+        many = start[some + 1] - start[some]
+        at = np.repeat(start[some] - (np.cumsum(many) - many), many)
+        both = np.bincount(posted[at + np.arange(len(at))], minlength=len(sets))
+        hit = np.flatnonzero((both >= similarity * (n + n[i] - both)) & (label > label[i]) & (inside | (own != own[i])))
+        left.append(np.full(len(hit), i)), right.append(hit)
+    a, b = np.concatenate(left), np.concatenate(right)
+    kept = forest(label[a], label[b], np.zeros(len(a), np.int64), len(sets))
+    return a[kept], b[kept]
+
+
+def apart(rooted: DataFrame, some: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(a, b): links between similar sets that share a prefix hash but not yet a root, enough to connect them.
+
+    The sets of a hash meet in cells of bounded size, and pairs stay inside their task. Those of its most frequent root
+    are cut into cells with the others only, not with each other.
+    """
+    per_root = rooted.groupBy("sig", "root").agg(F.sum("n").alias("n"))
+    top = per_root.groupBy("sig").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("roots")).where("roots > 1")
+    top = top.select("sig", F.col("top.root").alias("first"), F.ceil(F.col("top.n") / CELL).cast("int").alias("g"), F.ceil((F.col("all") - F.col("top.n")) / CELL).cast("int").alias("o"))
+    cell = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    big, g, o = F.col("root") == F.col("first"), F.col("g"), F.col("o")
+    met = rooted.join(top, "sig").withColumn("own", F.when(big, F.pmod(F.xxhash64("node"), g)).otherwise(g + F.pmod(F.xxhash64("node"), o)).cast("int"))
+    with_big = F.transform(F.sequence(F.lit(0), g - 1), lambda i: cell(i, F.col("own")))
+    among = F.transform(F.sequence(g, g + o - 1), lambda k: cell(F.least("own", k), F.greatest("own", k)))
+    cells = F.when(big, F.transform(F.sequence(g, g + o - 1), lambda j: cell(F.col("own"), j))).otherwise(F.concat(with_big, among))
+    met = materialize(met.select("sig", "node", "root", "own", F.explode(cells).alias("c")).select("sig", "c.i", "c.j", "own", "root", "node"), "cells")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        key = None
+
+        def links_of() -> pa.RecordBatch:
+            node, root, own = (np.array([x[k] for x in held], np.int64) for k in (0, 1, 2))
+            a, b = similar_rows([x[3] for x in held], root, own, key[1] == key[2], similarity) if held else (np.zeros(0, np.int64),) * 2
+            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+        for batch in batches:
+            sig, i, j, own, root, node = (batch.column(k).to_pylist() for k in range(6))
+            for k, text in enumerate(byte_texts(batch.column(6))):
+                if (sig[k], i[k], j[k]) != key:
+                    if held:
+                        yield links_of()
+                    held, key = [], (sig[k], i[k], j[k])
+                held.append((node[k], root[k], own[k], shingle_set(text, size)))
+        if held:
+            yield links_of()
+
+    texts = met.join(some.select("node", "text"), "node").select(*met.columns, "text")
+    return texts.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(compare, "a long, b long")
+
+
 def near_unique(df: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``df`` less all but one of each group of near copies (the least doc_id stays; of null ids any).
 
@@ -303,8 +368,7 @@ def near_unique(df: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFr
     A set can only have a similar one if others share enough of its hashes (``shared_enough``); only these go on. Candidates
     are first what ``links`` finds by their fingerprints through pivot tables, and of each set the one of its hashes' least
     sets that it meets most often; then, since SimHash alone loses pairs at this similarity, all pairs that share a hash of
-    their prefixes (Chaudhuri et al., 2006; two similar sets always do) and aren't connected yet, unless sizes and places
-    rule them out. Every link is checked on the whole sets before it counts.
+    their prefixes (Chaudhuri et al., 2006; two similar sets always do) and aren't connected yet (``apart``). Every link is checked on the whole sets before it counts.
 
     Edge cases: texts without words (null, empty, blank) are one group; a text shorter than a shingle is one shingle; of rows
     with one doc_id and one text the first read stays; an empty table gives an empty one; extra columns are kept as they are.
@@ -365,11 +429,8 @@ def near_unique(df: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFr
     stars = stars.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select("best.a", "b")
     near = verified(materialize(stars.unionByName(same).unionByName(alike).distinct(), "pairs"))
     roots = components(near)
-    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
-    left = materialize(rooted.join(apart, "sig"), "apart").select("sig", F.struct("node", "n", "pos", "root").alias("p"))
-    pairs = left.join(left.withColumnRenamed("p", "q"), "sig").where((F.col("p.node") < F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & possible("p", "q"))
-    far = verified(materialize(pairs.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct(), "pairs"))
+    rooted = materialize(shared.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root")), "rooted")
+    far = materialize(apart(rooted, some, size, similarity), "verified")
     labelled = least.join(components(near.unionByName(far)), "node", "left").select(F.coalesce("root", "node").alias("root"), "o")
     stay = labelled.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.__row").alias("__row"))
     return pick(stored.join(stay, "__row", "left_semi"), *columns)
