@@ -1,10 +1,15 @@
 """Operator 4: stupid-backoff scores against counts of the whole corpus, a document's own counts taken out.
 
-Counts of n-grams up to an order (words and word pairs by default) are tables partitioned by hash; each shard's exploded pairs meet their totals there (see
-``shards``) and are summed per document. For a word w after v in document d, with all counts less those of d:
-c(v w) / c(v) if the pair occurs elsewhere, else 0.4 c(w) / N, else (a word of d alone) 0.16 / (N + 1). With a higher order
-longer n-grams are tried first, and each step down is another factor 0.4. A document starts with one start mark, and its end
-mark is scored as a word.
+Counts of n-grams up to an order (words, pairs and triples by default) are tables partitioned by hash, an order at a time; each
+shard's exploded n-grams meet their totals there (see ``shards``) and are summed per document. For a word w after the
+context h in document d, with all counts less those of d: c(h w) / c(h) if the n-gram occurs elsewhere, else 0.4 times the
+same with a context shorter by a word, down to 0.4^(order-1) c(w) / N, and for a word of d alone 0.4^order / (N + 1). A
+document starts with one start mark, and its end mark is scored as a word; n-grams that would begin before the start mark
+don't exist.
+
+An n-gram can only occur in another document if both of the n-grams one word shorter inside it do, so only such ones
+are counted: what is left out has the count zero anyway. Rows are packed by shard and bucket (sorted hash differences), as
+plain rows of (hash, document, count) would be some eight times the input in exchanges.
 
 Edge cases: a null, empty or blank text is scored on its end mark alone; equal texts in other rows count as other
 documents; null doc_ids are kept; a table of one document has only the last case; an empty table gives an empty one.
@@ -12,14 +17,17 @@ documents; null doc_ids are kept; a table of one document has only the last case
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from papyrine.llm.common import byte_texts
-from papyrine.llm.shards import count_globally, make_shards, totals, word_hashes, words
+from papyrine.llm.common import byte_texts, materialize
+from papyrine.llm.shards import count_globally, make_shards, pack, pack_sorted, totals, unpack, unpack_sorted, word_hashes, words
 
-BACKOFF = 0.4
+BACKOFF, ORDER = 0.4, 3
 SHARD_BYTES = 8 << 20
 START, END = np.uint64(0x9D8A0F1E2C3B4A59), np.uint64(0x1F2E3D4C5B6A7988)
 
@@ -32,62 +40,101 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def grams(batch: pa.RecordBatch, order: int = 2) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """N-grams of each length by the word (or end mark) that closes them, the words' places and their documents' numbers.
-
-    An n-gram that would begin before the start mark is the word instead.
-    """
+class Shard:
+    """The words (and end marks) of a shard's documents, and what is known of their n-grams' counts so far."""
+
+    def __init__(self, data: bytes):
+        row = pa.ipc.open_stream(data).read_next_batch()
+        vocabulary, code, size, *left = row.column(0)[0].as_py()
+        self.ids = pa.concat_arrays([row.column(1).flatten()])
+        self.parts = [vocabulary, code, size]
+        self.size = unpack(size, np.int64)
+        self.word = unpack_sorted(vocabulary)[unpack(code, np.uint32)]
+        self.document = np.repeat(np.arange(len(self.size)), self.size)
+        self.place = np.arange(len(self.word)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        #: By order: occurrences in other documents of the n-gram that each word closes.
+        self.left = [unpack(x, np.int64) for x in left]
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the words that close an n-gram which may occur elsewhere, and the n-grams' hashes."""
+        found = self.word
+        for length in range(2, n + 1):
+            before = np.concatenate([[START], found[:-1]]).astype(np.uint64)[: len(found)]
+            if length == 2:
+                before[self.place == 0] = START
+            found = mix(before, self.word)
+        if n == 1:
+            return np.arange(len(found)), found
+        shorter = self.left[n - 2] > 0
+        before = np.concatenate([[False], shorter[:-1]])[: len(shorter)] if n > 2 else self.context(2) > 0
+        at = np.flatnonzero(shorter & before & (self.place >= n - 2))
+        return at, found[at]
+
+    def context(self, n: int, n_docs: int = 2) -> np.ndarray:
+        """Occurrences elsewhere of the n-grams less their last words; a start mark is in every document."""
+        out = np.concatenate([[0], self.left[n - 2][:-1]])[: len(self.word)]
+        return np.where(self.place == 0, n_docs - 1, out) if n == 2 else out
+
+    def store(self) -> bytes:
+        return _stored(self.parts + [pack(x) for x in self.left], self.ids)
+
+
+def _stored(parts: list[bytes], ids: pa.Array) -> bytes:
+    batch = pa.RecordBatch.from_arrays([pa.array([parts], pa.list_(pa.binary())), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)], names=["parts", "ids"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _read(batch: pa.RecordBatch) -> tuple[bytes, int]:
+    """A shard's documents as codes of a vocabulary of hashes, and their number of words."""
     documents = [words(t) for t in byte_texts(batch.column(1))]
     size = np.array([len(d) + 1 for d in documents], np.int64)
-    last = np.cumsum(size) - 1
     word = np.full(int(size.sum()), END, np.uint64)
     inner = np.ones(len(word), bool)
-    inner[last] = False
+    inner[np.cumsum(size) - 1] = False
     word[inner] = word_hashes(documents)
-    place = np.arange(len(word)) - np.repeat(last + 1 - size, size)
-    found = [word]
-    for length in range(2, order + 1):
-        before = np.concatenate([[START], found[-1][:-1]]).astype(np.uint64)
-        if length == 2:
-            before[last[:-1] + 1] = START
-        found.append(np.where(place >= length - 2, mix(before[: len(word)], word), word))
-    return found, place, np.repeat(np.arange(len(documents)), size)
+    vocabulary, code = np.unique(word, return_inverse=True)
+    return _stored([pack_sorted(vocabulary), pack(code.astype(np.uint32)), pack(size)], batch.column(0)), int(inner.sum())
 
 
-def _items(batch: pa.RecordBatch, order: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    found, place, _ = grams(batch, order)
-    return np.unique(np.concatenate([g[place >= i - 1] for i, g in enumerate(found)]), return_counts=True)
+def _items(n: int, shard: Shard) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(shard.grams(n)[1], return_counts=True)
 
 
-def _own(value: np.ndarray, document: np.ndarray) -> np.ndarray:
-    """How often each value occurs in its document."""
-    _, n = np.unique(value, return_inverse=True)
-    _, at, count = np.unique(document * (int(n.max(initial=0)) + 1) + n, return_inverse=True, return_counts=True)
-    return count[at]
+def _elsewhere(shard: Shard, n: int, hashes: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """By word, how often the n-gram that it closes occurs in other documents."""
+    at, found = shard.grams(n)
+    code = np.searchsorted(hashes, found)
+    _, own, count = np.unique(shard.document[at] * max(1, len(hashes)) + code, return_inverse=True, return_counts=True)
+    out = np.zeros(len(shard.word), np.int64)
+    out[at] = total[code] - count[own]
+    return out
 
 
-def lm_scores(df: DataFrame, order: int = 2) -> DataFrame:
+def lm_scores(df: DataFrame, order: int = ORDER) -> DataFrame:
     """(doc_id, n_tokens, logprob, per_token): base-10 logarithms summed over the words and the end mark, and their mean."""
-    shards = make_shards(df, SHARD_BYTES, "lm-shards")
+    shards = make_shards(df, SHARD_BYTES, "lm-shards", _read)
     n_docs, n_words = totals(shards)
     everything = n_words + n_docs
-    key = df.schema["doc_id"]
-
-    def score(batch: pa.RecordBatch, hashes: np.ndarray, total: np.ndarray):
-        found, place, document = grams(batch, order)
-        if not len(place):
-            return
-        first = place == 0
-        size = np.bincount(document)
-        n = everything - size[document]
-        left = [total[np.searchsorted(hashes, g)] - _own(g, document) for g in found]  # counts in other documents
-        s = np.where(left[0] > 0, BACKOFF ** (order - 1) * left[0] / np.maximum(n, 1), BACKOFF**order / (n + 1))
-        for i in range(1, order):
-            context = np.concatenate([[0], left[i - 1][:-1]])
-            if i == 1:
-                context = np.where(first, n_docs - 1, context)
-            s = np.where((place >= i - 1) & (left[i] > 0), BACKOFF ** (order - 1 - i) * left[i] / np.maximum(context, 1), s)
-        sums = np.add.reduceat(np.log10(s), np.flatnonzero(first))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int64)), pa.array(sums), pa.array(sums / size)], names=["doc_id", "n_tokens", "logprob", "per_token"])
-
-    return count_globally(shards, lambda batch: _items(batch, order), order * everything, score, f"doc_id {key.dataType.simpleString()}, n_tokens long, logprob double, per_token double")
+    key = df.schema["doc_id"].dataType.simpleString()
+
+    def extend(n: int, shard: Shard, hashes: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        shard.left.append(_elsewhere(shard, n, hashes, total))
+        yield pa.RecordBatch.from_arrays([pa.array([shard.store()], pa.binary())], names=["docs"])
+
+    def score(shard: Shard, hashes: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        shard.left.append(_elsewhere(shard, order, hashes, total))
+        n = everything - shard.size[shard.document]
+        s = np.where(shard.left[0] > 0, BACKOFF ** (order - 1) * shard.left[0] / np.maximum(n, 1), BACKOFF**order / (n + 1))
+        for length in range(2, order + 1):
+            count = shard.left[length - 1]
+            s = np.where(count > 0, BACKOFF ** (order - length) * count / np.maximum(shard.context(length, n_docs), 1), s)
+        sums = np.add.reduceat(np.log10(s), np.flatnonzero(shard.place == 0)) if len(s) else np.zeros(0)
+        yield pa.RecordBatch.from_arrays([shard.ids, pa.array(shard.size), pa.array(sums), pa.array(sums / shard.size)], names=["doc_id", "n_tokens", "logprob", "per_token"])
+
+    for n in range(1, order):
+        counted = count_globally(shards, partial(_items, n), everything, partial(extend, n), "shard string, docs binary", Shard, named=True)
+        shards = materialize(counted, f"lm-shards-{n}")
+    return count_globally(shards, partial(_items, order), everything, score, f"doc_id {key}, n_tokens long, logprob double, per_token double", Shard)

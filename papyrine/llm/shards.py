@@ -103,10 +103,10 @@ def totals(shards: DataFrame) -> tuple[int, int]:
     return tuple(row)
 
 
-def count_globally(shards: DataFrame, items: Items, expected: int, then: Callable[[Any, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str, load: Callable[[bytes], Any] = open_docs) -> DataFrame:
+def count_globally(shards: DataFrame, items: Items, expected: int, then: Callable[[Any, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str, load: Callable[[bytes], Any] = open_docs, named: bool = False) -> DataFrame:
     """``then(documents, hashes, total counts)`` for each shard; ``items`` gives a shard's sorted distinct hashes and counts.
 
-    ``load`` opens what the shard stored.
+    ``load`` opens what the shard stored; with ``named`` the shard's name is put before the columns of ``then``.
     """
     bits = max(LEAST_BUCKETS, math.ceil(expected / PER_BUCKET)).bit_length() - 1
     shift = np.uint64(64 - bits)
@@ -136,7 +136,8 @@ def count_globally(shards: DataFrame, items: Items, expected: int, then: Callabl
         for data in documents.column("docs").to_pylist():
             batch = load(data)
             out += list(then(batch, items(batch)[0], found))
-        return pa.Table.from_batches(out)
+        whole = pa.Table.from_batches(out)
+        return whole.add_column(0, "shard", pa.array([documents.column("shard")[0].as_py()] * whole.num_rows, pa.string())) if named else whole
 
     asked = shards.select("shard", "docs").mapInArrow(ask, "shard string, bucket int, hashes binary, counts binary")
     answered = asked.groupBy("bucket").applyInArrow(answer, "shard string, bucket int, totals binary")

@@ -162,21 +162,6 @@ def test_rows_of_the_query_itself_take_no_place_among_the_best():
     assert found.tolist() == list(range(15, 25)) and np.allclose(scores, impact[15:25])
 
 
-def test_lm_scores(result):
-    docs = [(r["doc_id"], [*tokens(r["text"]), "</s>"]) for r in rows()]
-    one, two = Counter(), Counter()
-    for _, w in docs:
-        one.update(w), two.update(zip(["<s>", *w], w))
-    total, want = sum(one.values()), []
-    for d, w in docs:
-        o1, o2, s, n = Counter(w), Counter(zip(["<s>", *w], w)), 0.0, total - len(w)
-        for v, x in zip(["<s>", *w], w):
-            pair, single, context = two[v, x] - o2[v, x], one[x] - o1[x], (len(docs) - 1) if v == "<s>" else one[v] - o1[v]
-            s += math.log10(pair / context if pair else 0.4 * single / n if single else 0.16 / (n + 1))
-        want.append((d, len(w), round(s, 6)))
-    assert sorted(((r.doc_id, r.n_tokens, round(r.logprob, 6)) for r in result("op4_lm_scores")), key=repr) == sorted(want, key=repr)
-
-
 def fingerprint(text, size=3):
     w = tokens(text)
     grams = [b" ".join(w[i : i + size]) for i in range(len(w) - size + 1)] if len(w) >= size else [b" ".join(w)] if w else []
@@ -437,9 +422,9 @@ def test_quality_rules_name_known_ratios():
     assert all(rule and op in "<>" for rule, _, op, _ in quality.THRESHOLDS)
 
 
-def test_lm_scores_of_higher_orders(spark, folders):
-    docs = [(r["doc_id"], ["<s>", *tokens(r["text"]), "</s>"]) for r in rows()]
-    grams = lambda w: Counter(tuple(w[i - n + 1 : i + 1]) for n in range(1, 4) for i in range(1 if n == 1 else n - 1, len(w)))
+def lm_brute_force(docs, order):
+    docs = [(d, ["<s>", *w, "</s>"]) for d, w in docs]
+    grams = lambda w: Counter(tuple(w[i - n + 1 : i + 1]) for n in range(1, order + 1) for i in range(max(1, n - 1), len(w)))
     every, want = Counter(), []
     for _, w in docs:
         every.update(grams(w))
@@ -448,12 +433,23 @@ def test_lm_scores_of_higher_orders(spark, folders):
         own, s, n = grams(w), 0.0, total - len(w) + 1
         left = lambda *g: len(docs) - 1 if g == ("<s>",) else every[g] - own[g]  # noqa: E731, B023
         for i in range(1, len(w)):
-            p = 0.4**3 / (n + 1)
-            for k in (1, 2, 3):
+            p = 0.4**order / (n + 1)
+            for k in range(1, order + 1):
                 g = tuple(w[i - k + 1 : i + 1])
                 if k <= i + 1 and left(*g) > 0:
-                    p = 0.4 ** (3 - k) * left(*g) / (left(*g[:-1]) if k > 1 else n)
+                    p = 0.4 ** (order - k) * left(*g) / (left(*g[:-1]) if k > 1 else n)
             s += math.log10(p)
         want.append((d, len(w) - 1, round(s, 6)))
-    got = lm.lm_scores(spark.read.parquet(f"{folders['edge']}/documents.parquet"), order=3).collect()
-    assert sorted(((r.doc_id, r.n_tokens, round(r.logprob, 6)) for r in got), key=repr) == sorted(want, key=repr)
+    return sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_scores(spark, folders, result, monkeypatch, order):
+    """In many shards, and the query itself at its order."""
+    docs = [(r["doc_id"], tokens(r["text"])) for r in rows()]
+    want = lm_brute_force(docs, order)
+    monkeypatch.setattr(lm, "SHARD_BYTES", 2000)
+    got = lm.lm_scores(spark.read.parquet(f"{folders['edge']}/documents.parquet").repartition(5), order).collect()
+    assert sorted(((r.doc_id, r.n_tokens, round(r.logprob, 6)) for r in got), key=repr) == want
+    if order == lm.ORDER:
+        assert sorted(((r.doc_id, r.n_tokens, round(r.logprob, 6)) for r in result("op4_lm_scores")), key=repr) == want
