@@ -10,6 +10,7 @@ Rules that hold for all of them:
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,16 +19,11 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 #: Text bytes that one call of a row-local function handles at most (a single longer text goes alone).
 SLICE_BYTES = 2 << 20
 
-DOCUMENT_FIELDS = StructType([
-    StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType()),
-    StructField("source", StringType()), StructField("n_chars", LongType()),
-])
-
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -41,10 +37,12 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set, as in tests, a local one is set."""
+    """The cluster's shared folder. Where none is set, a local master gets one of its own; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = known.get() if known.isDefined() else "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -58,6 +56,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys with more than one of so many rows are frequent: there are fewer such keys, so they fit a broadcast.
+FREQUENT = 500
+
+
+def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """``rows`` with the columns of ``table`` for their keys (each once there, none missing) but ``count``.
+
+    ``count`` is the number of rows of a key. Keys with a large share of the rows are joined by broadcast, so they are
+    spread as the rows are; the others by an exchange.
+    """
+    often = (table.agg(F.sum(count)).first()[0] or 0) / FREQUENT
+    common = F.broadcast(table.where(F.col(count) > often).drop(count))  # fewer than FREQUENT rows
+    seldom = table.where(F.col(count) <= often).drop(count)
+    rest = rows.join(F.broadcast(common.select(*keys)), keys, "left_anti").join(seldom, keys)
+    return rows.join(common, keys).unionByName(rest)
+
+
+def chance(seed: str, *columns: str) -> Column:
+    """A number from 0 to 1 that depends on these columns only, as fine as a double: rows below a share are a draw of it."""
+    return F.xxhash64(*columns, F.lit(seed)).cast("double") / F.lit(2.0**64) + F.lit(0.5)
+
+
 def remainder(doc_id: Column) -> Column:
     """crc32 of doc_id as text, modulo 3; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3

@@ -18,13 +18,12 @@ documents; null doc_ids are kept; a table of one document has only the last case
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from papyrine.llm.common import byte_texts, materialize
+from papyrine.llm.common import byte_texts
 from papyrine.llm.shards import count_globally, make_shards, pack, pack_sorted, totals, unpack, unpack_sorted, word_hashes, words
 
 BACKOFF, ORDER = 0.4, 3
@@ -41,50 +40,48 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """The words (and end marks) of a shard's documents, and what is known of their n-grams' counts so far."""
+    """The words (and end marks) of a shard's documents, and what it has learnt of their n-grams."""
 
     def __init__(self, data: bytes):
         row = pa.ipc.open_stream(data).read_next_batch()
-        vocabulary, code, size, *left = row.column(0)[0].as_py()
-        self.ids = pa.concat_arrays([row.column(1).flatten()])
-        self.parts = [vocabulary, code, size]
+        vocabulary, code, size = row.column(0)[0].as_py()
+        self.ids = row.column(1).flatten()
         self.size = unpack(size, np.int64)
-        self.word = unpack_sorted(vocabulary)[unpack(code, np.uint32)]
+        self.vocabulary, self.code = unpack_sorted(vocabulary), unpack(code, np.uint32)
         self.document = np.repeat(np.arange(len(self.size)), self.size)
-        self.place = np.arange(len(self.word)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
-        #: By order: occurrences in other documents of the n-gram that each word closes.
-        self.left = [unpack(x, np.int64) for x in left]
-
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the words that close an n-gram which may occur elsewhere, and the n-grams' hashes."""
-        found = self.word
-        for length in range(2, n + 1):
-            before = np.concatenate([[START], found[:-1]]).astype(np.uint64)[: len(found)]
-            if length == 2:
+        self.place = np.arange(len(self.code)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        #: By order less one: hashes of the n-grams that each word closes; their occurrences in other documents.
+        self.hash, self.left = [self.vocabulary[self.code]], []
+
+    def grams(self, number: int) -> np.ndarray:
+        """Positions of the words that close an n-gram of ``number + 1`` words which may occur elsewhere."""
+        if not number:
+            return np.arange(len(self.code))
+        if len(self.hash) == number:
+            before = np.concatenate([[START], self.hash[-1][:-1]]).astype(np.uint64)[: len(self.code)]
+            if number == 1:
                 before[self.place == 0] = START
-            found = mix(before, self.word)
-        if n == 1:
-            return np.arange(len(found)), found
-        shorter = self.left[n - 2] > 0
-        before = np.concatenate([[False], shorter[:-1]])[: len(shorter)] if n > 2 else self.context(2) > 0
-        at = np.flatnonzero(shorter & before & (self.place >= n - 2))
-        return at, found[at]
-
-    def context(self, n: int, n_docs: int = 2) -> np.ndarray:
-        """Occurrences elsewhere of the n-grams less their last words; a start mark is in every document."""
-        out = np.concatenate([[0], self.left[n - 2][:-1]])[: len(self.word)]
-        return np.where(self.place == 0, n_docs - 1, out) if n == 2 else out
+            self.hash.append(mix(before, self.hash[0]))
+        return np.flatnonzero((self.left[number - 1] > 0) & (self.context(number) > 0) & (self.place >= number - 1))
 
-    def store(self) -> bytes:
-        return _stored(self.parts + [pack(x) for x in self.left], self.ids)
+    def context(self, number: int, n_docs: int = 2) -> np.ndarray:
+        """Occurrences elsewhere of the n-grams less their last words; a start mark is in every document."""
+        out = np.concatenate([[0], self.left[number - 1][:-1]])[: len(self.code)]
+        return np.where(self.place == 0, n_docs - 1, out) if number == 1 else out
 
+    def items(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+        if not number:
+            return self.vocabulary, np.bincount(self.code, minlength=len(self.vocabulary))
+        at = self.grams(number)
+        return np.unique(self.hash[number][at], return_counts=True)
 
-def _stored(parts: list[bytes], ids: pa.Array) -> bytes:
-    batch = pa.RecordBatch.from_arrays([pa.array([parts], pa.list_(pa.binary())), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)], names=["parts", "ids"])
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+    def learn(self, number: int, hashes: np.ndarray, total: np.ndarray) -> None:
+        at = self.grams(number)
+        code = np.searchsorted(hashes, self.hash[number][at]) if number else self.code.astype(np.int64)
+        _, own, count = np.unique(self.document[at] * max(1, len(hashes)) + code, return_inverse=True, return_counts=True)
+        left = np.zeros(len(self.code), np.int64)
+        left[at] = total[code] - count[own]
+        self.left.append(left)
 
 
 def _read(batch: pa.RecordBatch) -> tuple[bytes, int]:
@@ -96,21 +93,12 @@ def _read(batch: pa.RecordBatch) -> tuple[bytes, int]:
     inner[np.cumsum(size) - 1] = False
     word[inner] = word_hashes(documents)
     vocabulary, code = np.unique(word, return_inverse=True)
-    return _stored([pack_sorted(vocabulary), pack(code.astype(np.uint32)), pack(size)], batch.column(0)), int(inner.sum())
-
-
-def _items(n: int, shard: Shard) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(shard.grams(n)[1], return_counts=True)
-
-
-def _elsewhere(shard: Shard, n: int, hashes: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """By word, how often the n-gram that it closes occurs in other documents."""
-    at, found = shard.grams(n)
-    code = np.searchsorted(hashes, found)
-    _, own, count = np.unique(shard.document[at] * max(1, len(hashes)) + code, return_inverse=True, return_counts=True)
-    out = np.zeros(len(shard.word), np.int64)
-    out[at] = total[code] - count[own]
-    return out
+    parts, ids = [pack_sorted(vocabulary), pack(code.astype(np.uint32)), pack(size)], batch.column(0)
+    row = pa.RecordBatch.from_arrays([pa.array([parts], pa.list_(pa.binary())), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)], names=["parts", "ids"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(row)
+    return sink.getvalue().to_pybytes(), int(inner.sum())
 
 
 def lm_scores(df: DataFrame, order: int = ORDER) -> DataFrame:
@@ -120,21 +108,13 @@ def lm_scores(df: DataFrame, order: int = ORDER) -> DataFrame:
     everything = n_words + n_docs
     key = df.schema["doc_id"].dataType.simpleString()
 
-    def extend(n: int, shard: Shard, hashes: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
-        shard.left.append(_elsewhere(shard, n, hashes, total))
-        yield pa.RecordBatch.from_arrays([pa.array([shard.store()], pa.binary())], names=["docs"])
-
-    def score(shard: Shard, hashes: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
-        shard.left.append(_elsewhere(shard, order, hashes, total))
+    def score(shard: Shard) -> Iterator[pa.RecordBatch]:
         n = everything - shard.size[shard.document]
         s = np.where(shard.left[0] > 0, BACKOFF ** (order - 1) * shard.left[0] / np.maximum(n, 1), BACKOFF**order / (n + 1))
-        for length in range(2, order + 1):
-            count = shard.left[length - 1]
-            s = np.where(count > 0, BACKOFF ** (order - length) * count / np.maximum(shard.context(length, n_docs), 1), s)
+        for number in range(1, order):
+            count = shard.left[number]
+            s = np.where(count > 0, BACKOFF ** (order - 1 - number) * count / np.maximum(shard.context(number, n_docs), 1), s)
         sums = np.add.reduceat(np.log10(s), np.flatnonzero(shard.place == 0)) if len(s) else np.zeros(0)
         yield pa.RecordBatch.from_arrays([shard.ids, pa.array(shard.size), pa.array(sums), pa.array(sums / shard.size)], names=["doc_id", "n_tokens", "logprob", "per_token"])
 
-    for n in range(1, order):
-        counted = count_globally(shards, partial(_items, n), everything, partial(extend, n), "shard string, docs binary", Shard, named=True)
-        shards = materialize(counted, f"lm-shards-{n}")
-    return count_globally(shards, partial(_items, order), everything, score, f"doc_id {key}, n_tokens long, logprob double, per_token double", Shard)
+    return count_globally(shards, Shard, everything, score, f"doc_id {key}, n_tokens long, logprob double, per_token double", order)

@@ -79,8 +79,17 @@ def _load(data: bytes) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.nda
     return row.column(1)[0].as_py(), unpack_sorted(terms), *(unpack(x, kind) for x, kind in zip(rest, (np.int64, np.int32, np.int32, np.int64)))
 
 
-def _items(shard: tuple) -> tuple[np.ndarray, np.ndarray]:
-    return shard[1], np.diff(shard[2])
+class Shard:
+    """An open shard and the total counts of its terms."""
+
+    def __init__(self, data: bytes):
+        self.parts = _load(data)
+
+    def items(self, _: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.parts[1], np.diff(self.parts[2])
+
+    def learn(self, _: int, hashes: np.ndarray, total: np.ndarray) -> None:
+        self.total = total
 
 
 class Block:
@@ -176,8 +185,8 @@ def top_k(df: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     n_docs, n_words = totals(shards)
     mean = max(1.0, n_words / max(1, n_docs))
 
-    def build(shard: tuple, _: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids, terms, first, document, tf, size = shard
+    def build(shard: Shard) -> Iterator[pa.RecordBatch]:
+        (ids, terms, first, document, tf, size), total = shard.parts, shard.total
         size_of = np.diff(first)
         used = total > 1
         posting = np.repeat(used, size_of)
@@ -196,7 +205,7 @@ def top_k(df: DataFrame, every: int = 20, k: int = K) -> DataFrame:
         impact = np.repeat(idf, np.diff(first)) * tf * (K1 + 1) / (tf + (K1 * (1 - B + B * size / mean))[document])
         return Index(ids, terms, first, document, impact)
 
-    built = materialize(count_globally(shards, _items, n_words, build, "kind string, query_id long, parts array<binary>, ids array<long>", _load), "search-index")
+    built = materialize(count_globally(shards, Shard, n_words, build, "kind string, query_id long, parts array<binary>, ids array<long>"), "search-index")
     queries, indexes = built.where("kind = 'query'").select("query_id", F.get("parts", 0).alias("terms")), built.where("kind = 'index'").select("parts", "ids")
     passes = max(1, math.ceil((queries.agg(F.sum(F.length("terms"))).first()[0] or 0) / PASS_BYTES))
     path = f"{checkpoint_dir(spark)}/search-answers-{uuid.uuid4().hex}"

@@ -3,14 +3,17 @@
 A shard is one stored row with the documents of up to ``limit`` bytes of text. Counting over all shards is an exchange:
 each shard sends its distinct item hashes once, with its own counts, to buckets by the hashes' leading bits; a bucket sums
 them and sends each shard the totals of what it asked for. However common an item is, it is one entry a shard, so no key
-is hot, and the bytes moved are packed, sorted differences rather than rows.
+is hot, and the bytes moved are packed, sorted differences rather than rows. Shards are stored as a table bucketed by their
+names, so the totals come to them and they are never exchanged themselves.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
-from typing import Any
+from functools import partial, reduce
+from typing import Any, Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +22,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import byte_texts, materialize, pick, slices
+from papyrine.llm.common import byte_texts, checkpoint_dir, materialize, pick, slices
 
 #: Distinct hashes that a bucket is meant to hold; buckets there are at least.
 PER_BUCKET, LEAST_BUCKETS = 4_000_000, 64
-Items = Callable[[Any], tuple[np.ndarray, np.ndarray]]
+#: Buckets of a table of shards: as many as the input's partitions, within these bounds.
+LEAST_PARTS, MOST_PARTS = 12, 50_000
+
+
+class Counted(Protocol):
+    """An open shard: for each round its sorted distinct hashes with their counts in it, and what it does with the totals."""
+
+    def items(self, number: int) -> tuple[np.ndarray, np.ndarray]: ...
+
+    def learn(self, number: int, hashes: np.ndarray, total: np.ndarray) -> None: ...
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -90,7 +102,11 @@ def make_shards(df: DataFrame, limit: int, name: str, store: Callable[[pa.Record
         if held:
             yield flush()
 
-    return materialize(df.mapInArrow(run, "shard string, n_docs long, n_words long, docs binary"), name)
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    parts = min(MOST_PARTS, max(LEAST_PARTS, df.rdd.getNumPartitions()))
+    made = df.mapInArrow(run, "shard string, n_docs long, n_words long, docs binary")
+    made.write.bucketBy(parts, "shard").option("path", f"{checkpoint_dir(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
 
 
 def open_docs(data: bytes) -> pa.RecordBatch:
@@ -103,42 +119,65 @@ def totals(shards: DataFrame) -> tuple[int, int]:
     return tuple(row)
 
 
-def count_globally(shards: DataFrame, items: Items, expected: int, then: Callable[[Any, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str, load: Callable[[bytes], Any] = open_docs, named: bool = False) -> DataFrame:
-    """``then(documents, hashes, total counts)`` for each shard; ``items`` gives a shard's sorted distinct hashes and counts.
+def count_globally(shards: DataFrame, load: Callable[[bytes], Counted], expected: int, then: Callable[[Any], Iterator[pa.RecordBatch]], schema: str, rounds: int = 1) -> DataFrame:
+    """``then`` of each shard, opened by ``load``, after it has learnt the totals of what it asks for in each of the rounds.
 
-    ``load`` opens what the shard stored; with ``named`` the shard's name is put before the columns of ``then``.
+    What a shard asks for in a round may depend on what it learnt before; ``expected`` is the number of items of a round.
     """
     bits = max(LEAST_BUCKETS, math.ceil(expected / PER_BUCKET)).bit_length() - 1
     shift = np.uint64(64 - bits)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(shard: str, opened: Counted, number: int) -> pa.RecordBatch:
+        hashes, counts = opened.items(number)
+        cut = np.searchsorted(hashes >> shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+        rows = [(b, int(x), int(y)) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
+        return pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int32()), pa.array([pack_sorted(hashes[x:y]) for _, x, y in rows], pa.binary()), pa.array([pack(counts[x:y].astype(np.uint32)) for _, x, y in rows], pa.binary())], names=["shard", "bucket", "hashes", "counts"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hashes, counts = items(load(data))
-                cut = np.searchsorted(hashes >> shift, np.arange((1 << bits) + 1, dtype=np.uint64))
-                rows = [(b, int(x), int(y)) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int32()), pa.array([pack_sorted(hashes[x:y]) for _, x, y in rows], pa.binary()), pa.array([pack(counts[x:y].astype(np.uint32)) for _, x, y in rows], pa.binary())], names=["shard", "bucket", "hashes", "counts"])
+                yield ask(shard, load(data), 0)
 
-    def answer(table: pa.Table) -> pa.Table:
+    def answer(number: int, table: pa.Table) -> pa.Table:
         shard, bucket = table.column("shard"), table.column("bucket")
         parts = [unpack_sorted(x) for x in table.column("hashes").to_pylist()]
         counts = np.concatenate([unpack(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64)
         _, at = np.unique(np.concatenate(parts), return_inverse=True)
         total = np.bincount(at, weights=counts).astype(np.int64)[at]
         ends = np.cumsum([len(p) for p in parts])
-        return pa.table({"shard": shard, "bucket": bucket, "totals": pa.array([pack(t) for t in np.split(total, ends[:-1])], pa.binary())})
+        return pa.table({"shard": shard, "round": pa.array([number] * len(parts), pa.int32()), "bucket": bucket, "totals": pa.array([pack(t) for t in np.split(total, ends[:-1])], pa.binary())})
+
+    def learnt(documents: pa.Table, answers: pa.Table, so_far: int) -> Iterator[tuple[str, Counted]]:
+        order = np.lexsort((answers.column("bucket").to_numpy(), answers.column("round").to_numpy()))
+        number, parts = answers.column("round").to_pylist(), answers.column("totals").to_pylist()
+        totals = [np.concatenate([np.zeros(0, np.int64), *(unpack(parts[i], np.int64) for i in order if number[i] == k)]) for k in range(so_far)]
+        for shard, data in zip(documents.column("shard").to_pylist(), documents.column("docs").to_pylist()):
+            opened = load(data)
+            for k, total in enumerate(totals):
+                opened.learn(k, opened.items(k)[0], total)
+            yield shard, opened
+
+    def next_(number: int, documents: pa.Table, answers: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([ask(shard, opened, number) for shard, opened in learnt(documents, answers, number)])
 
     def finish(documents: pa.Table, answers: pa.Table) -> pa.Table:
-        order = np.argsort(answers.column("bucket").to_numpy(), kind="stable")
-        parts = answers.column("totals").to_pylist()
-        found = np.concatenate([unpack(parts[i], np.int64) for i in order]) if parts else np.zeros(0, np.int64)
-        out = []
-        for data in documents.column("docs").to_pylist():
-            batch = load(data)
-            out += list(then(batch, items(batch)[0], found))
-        whole = pa.Table.from_batches(out)
-        return whole.add_column(0, "shard", pa.array([documents.column("shard")[0].as_py()] * whole.num_rows, pa.string())) if named else whole
-
-    asked = shards.select("shard", "docs").mapInArrow(ask, "shard string, bucket int, hashes binary, counts binary")
-    answered = asked.groupBy("bucket").applyInArrow(answer, "shard string, bucket int, totals binary")
-    return shards.select("shard", "docs").groupBy("shard").cogroup(answered.groupBy("shard")).applyInArrow(finish, schema)
+        return pa.Table.from_batches([x for _, opened in learnt(documents, answers, rounds) for x in then(opened)])
+
+    docs, asks, told = shards.select("shard", "docs"), "shard string, bucket int, hashes binary, counts binary", "shard string, round int, bucket int, totals binary"
+    known: list[DataFrame] = []
+    for k in range(rounds):
+        if k:
+            asked = docs.groupBy("shard").cogroup(reduce(DataFrame.unionByName, known).groupBy("shard")).applyInArrow(_named(partial(next_, k)), asks)
+        else:
+            asked = docs.mapInArrow(first, asks)
+        answered = asked.groupBy("bucket").applyInArrow(_one(partial(answer, k)), told)
+        known.append(materialize(answered, "totals") if rounds > 1 else answered)
+    return docs.groupBy("shard").cogroup(reduce(DataFrame.unionByName, known).groupBy("shard")).applyInArrow(finish, schema)
+
+
+def _one(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    return lambda table: f(table)
+
+
+def _named(f: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    return lambda left, right: f(left, right)

@@ -14,7 +14,7 @@ as one shingle; null doc_ids are kept and never chosen as component_id unless al
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -24,9 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from papyrine.llm.common import append_columns, byte_texts, materialize, pick, slices
+from papyrine.llm.common import append_columns, byte_texts, join_spread, materialize, pick, slices
 from papyrine.llm.components import components
-from papyrine.llm.shards import count_globally, make_shards, pack, pack_sorted, unpack, unpack_sorted
+from papyrine.llm.shards import count_globally, make_shards, open_docs, pack, pack_sorted, unpack, unpack_sorted
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Reference fingerprints; the first two are all zeros and a half of ones, the rest pseudo-random.
@@ -35,9 +35,7 @@ CHUNK = 2048
 #: For near copies: hashes that a bucket is meant to hold.
 PER_BUCKET = 1_000_000
 #: Hashes of the sets that meet in one cell, of either side.
-CELL = 800_000
-#: A fingerprint of more than one of so many rows is frequent: there are fewer such fingerprints, so they fit a broadcast.
-FREQUENT = 500
+CELL = 400_000
 
 
 def exact_masks(radius: int, blocks: int | None = None, agree: int = 2) -> list[int]:
@@ -192,10 +190,7 @@ def near_duplicates(df: DataFrame, size: int = SHINGLE, radius: int = RADIUS) ->
     classes = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     merged = labelled.join(classes, "root").select("fp", "component_id")
     whole = materialize(distinct.join(merged, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")), "classes")
-    often = (distinct.agg(F.sum("n")).first()[0] or 0) / FREQUENT
-    common = F.broadcast(whole.where(F.col("n") > often).select("fp", "component_id"))  # fewer than FREQUENT rows
-    rest = prints.join(F.broadcast(common.select("fp")), "fp", "left_anti").join(whole.where(F.col("n") <= often).drop("n"), "fp")
-    return prints.join(common, "fp").unionByName(rest).select("doc_id", "fp", "component_id")
+    return join_spread(prints, whole, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: Column) -> Column:
@@ -279,22 +274,27 @@ def signatures(some: DataFrame, size: int, similarity: float) -> DataFrame:
     shards = make_shards(some.select(F.col("node").alias("doc_id"), "text"), 4 << 20, "near-shards")
     words = some.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
-    def sets_of(batch: pa.RecordBatch) -> list[np.ndarray]:
-        return [shingle_set(t, size) for t in byte_texts(batch.column(1))]
+    class Sets:
+        def __init__(self, data: bytes):
+            batch = open_docs(data)
+            self.node, self.sets = batch.column(0).to_pylist(), [shingle_set(t, size) for t in byte_texts(batch.column(1))]
 
-    def items(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(np.concatenate([np.zeros(0, np.uint64), *sets_of(batch)]), return_counts=True)
+        def items(self, _: int) -> tuple[np.ndarray, np.ndarray]:
+            return np.unique(np.concatenate([np.zeros(0, np.uint64), *self.sets]), return_counts=True)
 
-    def cut(batch: pa.RecordBatch, hashes: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def learn(self, _: int, hashes: np.ndarray, total: np.ndarray) -> None:
+            self.hashes, self.total = hashes, total
+
+    def cut(shard: Sets) -> Iterator[pa.RecordBatch]:
         out = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
-        for node, found in zip(batch.column(0).to_pylist(), sets_of(batch)):
-            sig, often = rare_first(found, total[np.searchsorted(hashes, found)], similarity)
+        for node, found in zip(shard.node, shard.sets):
+            sig, often = rare_first(found, shard.total[np.searchsorted(shard.hashes, found)], similarity)
             pos = np.flatnonzero(often > 1)
             out.append((sig[pos], np.full(len(pos), node, np.int64), np.full(len(pos), len(found), np.int64), pos))
         sig, node, n, pos = map(np.concatenate, zip(*out))
         yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node), pa.array(n.astype(np.int32)), pa.array(pos.astype(np.int32))], names=["sig", "node", "n", "pos"])
 
-    return count_globally(shards, items, words, cut, "sig long, node long, n int, pos int")
+    return count_globally(shards, Sets, words, cut, "sig long, node long, n int, pos int")
 
 
 def similar_rows(sets: list[np.ndarray], root: np.ndarray, own: np.ndarray, inside: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -319,12 +319,29 @@ def similar_rows(sets: list[np.ndarray], root: np.ndarray, own: np.ndarray, insi
     return a[kept], b[kept]
 
 
+def cells(batches: Iterator[pa.RecordBatch], work: Callable[[tuple, list], pa.RecordBatch], keys: int = 3) -> Iterator[pa.RecordBatch]:
+    """``work`` of each cell's key and rows, which come one cell after another."""
+    held: list[tuple] = []
+    key = None
+    for batch in batches:
+        for row in zip(*(byte_texts(c) if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) else c.to_pylist() for c in batch.columns)):
+            if row[:keys] != key:
+                if held:
+                    yield work(key, held)
+                held, key = [], row[:keys]
+            held.append(row[keys:])
+    if held:
+        yield work(key, held)
+
+
 def apart(rooted: DataFrame, some: DataFrame, size: int, similarity: float) -> DataFrame:
     """(a, b): links between similar sets that share a prefix hash but not yet a root, enough to connect them.
 
-    The sets of a hash meet in cells of bounded size, and pairs stay inside their task. Those of its most frequent root
-    are cut into cells with the others only, not with each other.
+    The sets of a hash meet in cells of bounded size, and pairs stay inside their task: first sizes and places alone, then
+    the texts of those that aren't ruled out. The sets of a hash's most frequent root are cut into cells with the others
+    only, not with each other. A set of fewer than four hashes has no similar one but itself at 0.8.
     """
+    rooted = rooted.where((F.col("n") - 1) / F.col("n") >= similarity - 1e-9)
     per_root = rooted.groupBy("sig", "root").agg(F.sum("n").alias("n"))
     top = per_root.groupBy("sig").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("roots")).where("roots > 1")
     top = top.select("sig", F.col("top.root").alias("first"), F.ceil(F.col("top.n") / CELL).cast("int").alias("g"), F.ceil((F.col("all") - F.col("top.n")) / CELL).cast("int").alias("o"))
@@ -333,31 +350,34 @@ def apart(rooted: DataFrame, some: DataFrame, size: int, similarity: float) -> D
     met = rooted.join(top, "sig").withColumn("own", F.when(big, F.pmod(F.xxhash64("node"), g)).otherwise(g + F.pmod(F.xxhash64("node"), o)).cast("int"))
     with_big = F.transform(F.sequence(F.lit(0), g - 1), lambda i: cell(i, F.col("own")))
     among = F.transform(F.sequence(g, g + o - 1), lambda k: cell(F.least("own", k), F.greatest("own", k)))
-    cells = F.when(big, F.transform(F.sequence(g, g + o - 1), lambda j: cell(F.col("own"), j))).otherwise(F.concat(with_big, among))
-    met = materialize(met.select("sig", "node", "root", "own", F.explode(cells).alias("c")).select("sig", "c.i", "c.j", "own", "root", "node"), "cells")
+    into = F.when(big, F.transform(F.sequence(g, g + o - 1), lambda j: cell(F.col("own"), j))).otherwise(F.concat(with_big, among))
+    met = met.select("sig", "node", "root", "own", "n", "pos", F.explode(into).alias("c")).select("sig", "c.i", "c.j", "own", "root", "node", "n", "pos")
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def work(key: tuple, held: list) -> pa.RecordBatch:
+            own, root, node, n, pos = np.array(held, np.int64).T
+            needed = np.zeros(len(n), bool)
+            for k in range(len(n)):
+                least = np.minimum(n, n[k])
+                hit = (root != root[k]) & (least >= similarity * np.maximum(n, n[k]) - 1e-6) & (np.minimum(n - pos, n[k] - pos[k]) * (1 + similarity) >= similarity * (n + n[k]) - 1e-6)
+                needed[k] = (hit & ((key[1] == key[2]) | (own != own[k]))).any()
+            m = int(needed.sum())
+            return pa.RecordBatch.from_arrays([*(pa.array([x] * m, t) for x, t in zip(key, (pa.int64(), pa.int32(), pa.int32()))), pa.array(own[needed], pa.int32()), pa.array(root[needed]), pa.array(node[needed])], names=["sig", "i", "j", "own", "root", "node"])
+
+        return cells(batches, work)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        key = None
-
-        def links_of() -> pa.RecordBatch:
-            node, root, own = (np.array([x[k] for x in held], np.int64) for k in (0, 1, 2))
-            a, b = similar_rows([x[3] for x in held], root, own, key[1] == key[2], similarity) if held else (np.zeros(0, np.int64),) * 2
+        def work(key: tuple, held: list) -> pa.RecordBatch:
+            own, root, node = (np.array([x[k] for x in held], np.int64) for k in range(3))
+            a, b = similar_rows([shingle_set(x[3], size) for x in held], root, own, key[1] == key[2], similarity)
             return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
-        for batch in batches:
-            sig, i, j, own, root, node = (batch.column(k).to_pylist() for k in range(6))
-            for k, text in enumerate(byte_texts(batch.column(6))):
-                if (sig[k], i[k], j[k]) != key:
-                    if held:
-                        yield links_of()
-                    held, key = [], (sig[k], i[k], j[k])
-                held.append((node[k], root[k], own[k], shingle_set(text, size)))
-        if held:
-            yield links_of()
+        return cells(batches, work)
 
-    texts = met.join(some.select("node", "text"), "node").select(*met.columns, "text")
-    return texts.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(compare, "a long, b long")
+    in_cells = lambda df: df.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    left = materialize(in_cells(met).mapInArrow(thin, "sig long, i int, j int, own int, root long, node long"), "cells")
+    texts = left.join(some.select("node", "text"), "node").select("sig", "i", "j", "own", "root", "node", "text")
+    return in_cells(texts).mapInArrow(compare, "a long, b long")
 
 
 def near_unique(df: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -429,7 +449,7 @@ def near_unique(df: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFr
     stars = stars.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select("best.a", "b")
     near = verified(materialize(stars.unionByName(same).unionByName(alike).distinct(), "pairs"))
     roots = components(near)
-    rooted = materialize(shared.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root")), "rooted")
+    rooted = shared.join(roots, "node", "left").select("sig", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
     far = materialize(apart(rooted, some, size, similarity), "verified")
     labelled = least.join(components(near.unionByName(far)), "node", "left").select(F.coalesce("root", "node").alias("root"), "o")
     stay = labelled.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.__row").alias("__row"))

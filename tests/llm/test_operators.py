@@ -12,12 +12,13 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+import regex
 import tiktoken
 import xxhash
 from conftest import SF
 from tokenizers import Tokenizer
 
-from papyrine.llm import bpe, components, lm, packing, quality, queries, search, secrets, shards, simhash, toxicity, trigrams, urls
+from papyrine.llm import bpe, common, components, langid, lm, packing, quality, queries, search, secrets, shards, simhash, toxicity, trigrams, urls
 
 MID = SF.replace("0.001", "0.01")
 QUERIES = queries.queries()
@@ -290,7 +291,6 @@ def test_redaction(spark):
 
 def test_packing(spark, folders, result):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = []
     for r in rows():
         ids = [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 0]
@@ -304,13 +304,34 @@ def test_packing(spark, folders, result):
 
 def test_packing_ids_of_blank_runs():
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     run = packing._tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    for text in ["", "x" + " " * 4998 + "y", "x" + " " * 30000 + "y", "a\n" * 9000, " \n\u2003" * 4000, "\n" * 5000, "<|endoftext|> a"]:
+    for text in ["", "x" + " " * 4998 + "y", "x" + " " * 30000 + "y", "a\n" * 9000, " \n\u2003" * 4000, "\n" * 5000, "<|endoftext|> a", "a<|endoftext|>", "a <|endoftext|><|endoftext|>b <|endoftext", "<|endoftext|>" + " " * 6000 + "a<|endoftext|>" + "\n" * 7000 + "<|endoftext|>"]:
         assert np.frombuffer(run(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
     assert len(run("x" + " " * 500_000 + "y")) == 4 * 500_001
 
 
+def test_packing_cuts_at_the_added_token(spark):
+    """Texts whose cuts lie before, after and at the added token."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    some = ["a " * n + "<|endoftext|>" + " b" * m for n in (0, 1, 2046, 2047, 2048, 2049) for m in (0, 1, 2046, 2047, 2048, 2049)] + ["<|endoftext|>" * n for n in (2047, 2048, 4100)]
+    found = packing.pack(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")).collect()
+    want = []
+    for d, text in enumerate(some):
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+        cuts = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        want += [(d, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    assert by_id(found, "piece", "start", "length", "ids_crc32") == sorted(want, key=repr)
+    gapless(found)
+
+
+def test_packing_of_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET", 3)
+    monkeypatch.setattr(packing, "STRETCH", 4)
+    found = packing.pack(spark.createDataFrame([(None, "same text")] * 300, "doc_id long, text string").repartition(3)).collect()
+    gapless(found)
+    assert len(found) == 300 and len({(r.sequence_id, r.offset) for r in found}) == 300
+
+
 def gapless(found):
     held = {}
     for r in found:
@@ -403,7 +424,8 @@ def test_edge_scores(result):
     n = len(rows())
     assert len(result("op3_toxicity")) == n and all(0 <= r.score <= 1 for r in result("op3_toxicity"))
     found = {(r.doc_id, r.lang_pred) for r in result("op6_language_id")}
-    blank = {r["doc_id"] for r in rows() if not re.search(r"[^\W\d_]", r["text"] or "")} - {r["doc_id"] for r in rows() if re.search(r"[^\W\d_]", r["text"] or "")}
+    letter = regex.compile(r"\p{L}").search
+    blank = {r["doc_id"] for r in rows() if not letter(r["text"] or "")} - {r["doc_id"] for r in rows() if letter(r["text"] or "")}
     assert len(result("op6_language_id")) == n and {d for d, x in found if x == "und"} == blank
 
 
@@ -453,3 +475,117 @@ def test_lm_scores(spark, folders, result, monkeypatch, order):
     assert sorted(((r.doc_id, r.n_tokens, round(r.logprob, 6)) for r in got), key=repr) == want
     if order == lm.ORDER:
         assert sorted(((r.doc_id, r.n_tokens, round(r.logprob, 6)) for r in result("op4_lm_scores")), key=repr) == want
+
+
+def test_draws_of_any_share(spark):
+    """A share of a very large table isn't rounded to none."""
+    assert min(1.0, langid.PER_LANGUAGE / 1e10) > 0
+    drawn = spark.range(4_000_000).withColumn("c", common.chance("x", "id"))
+    n, low, high = drawn.selectExpr("count_if(c < 2.5e-5)", "min(c)", "max(c)").first()
+    assert 60 <= n <= 145 and 0 <= low < 1e-5 and 1 - 1e-5 < high <= 1
+
+
+def test_language_forward_pass():
+    """The tables give what convolution, pooling and softmax give one by one; training lowers the loss."""
+    rnd = np.random.default_rng(4)
+    codes, label = rnd.integers(0, 256, (60, langid.WINDOW)), rnd.integers(0, 3, 60)
+    codes[label == 1, ::3] = 7
+    net = langid.train(langid.CODES[codes], label, ["a", "b", "c"], epochs=2)
+    got = np.exp(net.log_probabilities(np.ascontiguousarray(langid.CODES[codes].T), net.tables()))
+    for row, found in zip(langid.CODES[codes], got):
+        pooled = np.concatenate([np.max([sum(f[j][row[i + j]] for j in range(len(f))) for i in range(len(row) - len(f) + 1)], axis=0) for f in net.filters])
+        z = np.maximum(pooled + net.bias, 0) @ net.dense + net.shift
+        assert np.allclose(found, np.exp(z - z.max()) / np.exp(z - z.max()).sum(), atol=1e-4)
+
+
+def test_letters_are_of_category_l(spark):
+    some = [(1, "\u00bd \u00b2 \u2460 123"), (2, "\u5b57"), (3, "\u02b0"), (4, None), (5, "\u0301_")]
+    net = langid.train(langid.windows("ab cd".encode()), np.array([0]), ["x"], epochs=1)
+    got = {r.doc_id: r.lang_pred for r in langid.predict(spark.createDataFrame(some, "doc_id long, text string"), net).collect()}
+    assert got == {1: "und", 2: "x", 3: "x", 4: "und", 5: "und"}
+
+
+class Tree:
+    """The path-template tree in plain Python, recursively."""
+
+    def __init__(self, pages):  # of (host, path, label)
+        self.out, hosts = {}, {}
+        labels = [x for *_, x in pages if x]
+        prior = (labels.count("block") + 1) / (len(labels) + 2)
+        for host, path, label in pages:
+            hosts.setdefault(host, []).append((tuple(self.form(s) for s in path.split("/") if s), label))
+        for host, some in hosts.items():
+            self.node(host, "", [(s, s, x) for s, x in some], self.smooth(some, prior))
+
+    @staticmethod
+    def form(s):
+        s = re.sub(r"^[0-9]+(?=$|\.[a-z]{1,5}$)", "{n}", s)
+        return re.sub(r"^(?=[^.]*[0-9])[0-9A-Za-z_-]{12,}(?=$|\.[a-z]{1,5}$)", "{x}", s)
+
+    @staticmethod
+    def smooth(some, above):
+        labels = [x[-1] for x in some if x[-1]]
+        return (labels.count("block") + urls.SMOOTH * above) / (len(labels) + urls.SMOOTH)
+
+    def node(self, host, prefix, some, purity):  # some: of (whole path, rest, label)
+        while some and all(r and r[0] == some[0][1][0] for _, r, _ in some):
+            prefix, some = f"{prefix}/{some[0][1][0]}", [(w, r[1:], x) for w, r, x in some]
+        kids = {}
+        for w, r, x in some:
+            kids.setdefault(r[0] if r else "", []).append((w, r[1:], x))
+        inner = {k: v for k, v in kids.items() if k}
+        if len(inner) > urls.CHILDREN and sum(map(len, inner.values())) < urls.RARE * len(inner):
+            inner = {"{*}": [x for v in inner.values() for x in v]}
+        if "" in kids:
+            for w, _, _ in kids[""]:
+                self.out[host, w] = (prefix or "/", self.smooth(kids[""], purity))
+        pools, groups, alone = {}, [], []
+        for k, v in inner.items():
+            labels = [x for *_, x in v if x]
+            if labels:
+                pools.setdefault(math.floor(labels.count("block") / len(labels) * urls.STEPS + 0.5), []).append((k, v))
+            else:
+                alone.append([(k, v)])
+        before = None
+        for step in sorted(pools):
+            labels = [x for _, v in pools[step] for *_, x in v if x]
+            l, b = len(labels), labels.count("block")
+            if before:
+                share, gap = (b + before[1]) / (l + before[0]), before[1] / before[0] - b / l
+            if before and gap * gap <= urls.ALIKE * share * (1 - share) * (1 / l + 1 / before[0]):
+                groups[-1] += pools[step]
+            else:
+                groups.append(list(pools[step]))
+            before = (l, b)
+        for number, group in enumerate(groups + alone, 1):
+            name = group[0][0] if len(group) == 1 else f"{{~{number}}}"
+            rows = [x for _, v in group for x in v]
+            purity_below = self.smooth(rows, purity)
+            if any(r for _, r, _ in rows):
+                self.node(host, f"{prefix}/{name}", rows, purity_below) if rows else None
+            else:
+                self.ended(host, f"{prefix}/{name}", rows, purity_below)
+
+    def ended(self, host, prefix, rows, purity):
+        self.node(host, prefix, rows, purity)
+
+
+def test_url_tree(spark):
+    """Templates and purities at any depth are those of the plain tree; deep, long and odd paths included."""
+    rnd = random.Random(12)
+    names = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
+    made = [f"http://a.com/u/{n}/post/{rnd.randrange(999)}" for n in names[:40]] + [f"http://a.com/u/{n}/about" for n in names[:40]]
+    made += [x.replace("a.com", "f.com") for x in made]
+    made += [f"http://b.com/{x}/{s}/{n}" for x in ("de", "fr", "it") for s in ("p", "q", "r") for n in names[: rnd.randint(2, 30)]]
+    made += [f"http://c.net/{'/'.join(rnd.choice(['de', 'fr', 'k', '7', 'zz.html', 'a1b2c3d4e5f6g7']) for _ in range(rnd.randint(0, 6)))}" for _ in range(400)]
+    made += [f"http://d.com/{rnd.choice(['de', 'fr'])}/{'x/' * 3000}{k}" for k in ("a", "b", "b")] + ["http://d.com", "http://d.com/de/", None, "", "x://?a/b"] + [f"http://e.com/{rnd.choice(['de', 'fr', 'es', 'it'])}/{rnd.choice('abcd')}/{rnd.choice('ef')}" for _ in range(600)]
+    rules = [urls.UrlRule("block", "com", "/de/"), urls.UrlRule("allow", "com", "/fr/"), urls.UrlRule("block", "net", "/de/"), urls.UrlRule("allow", "net", "/fr/"), urls.UrlRule("block", "e.com", "/it/a"), urls.UrlRule("allow", "e.com", "/it/b"), urls.UrlRule("block", "f.com", "/u/a")]
+    found = urls.judge(spark.createDataFrame(list(enumerate(made)), "page_id long, url string"), rules).collect()
+    verdict = {r.text: r.verdict for r in rules}
+    tree = Tree([(r.host, r.path, verdict.get(r.rule)) for r in found])
+    assert len(found) == len(made)
+    for r in found:
+        template, purity = tree.out[r.host, tuple(Tree.form(s) for s in r.path.split("/") if s)]
+        assert r.template == template and math.isclose(r.purity, purity, rel_tol=1e-9), r
+        assert r.verdict == (verdict[r.rule] if r.rule else "block" if purity >= urls.REJECT else "allow")
+    assert {r.template for r in found if r.host == "a.com"} == {"/u/{*}/post/{n}", "/u/{*}/about"}
