@@ -37,24 +37,34 @@ from papyrine.llm.common import decode_texts, materialize, pick, slices
 
 CAPACITY = 2048
 END_ID = 0
+#: Fixed value: the vocabulary's added token, which the tokenizers library finds in texts before it splits them.
+ADDED = (("<|endoftext|>", 50256),)
 #: Pieces of one length that are ranked together.
 BUCKET = 500
+#: Buckets of one length whose counts are summed together.
+STRETCH = 1000
 #: A run of white space that tiktoken's matcher isn't given: it gives up on runs some hundred times as long.
 LONG_RUN = 5000
 LONG_BLANK = re.compile(rf"\s{{{LONG_RUN}}}")
 
 
 @lru_cache(2)
-def _tokenizer(path: str) -> Callable[[str], bytes]:
+def _tokenizer(path: str, added: tuple[tuple[str, int], ...] = ADDED) -> Callable[[str], bytes]:
     """One per worker process and rank file: the packed little-endian ids of a text."""
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    library = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    known = dict(added)
+    library = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=known)
+    either = re.compile("(" + "|".join(map(re.escape, sorted(known, key=len, reverse=True))) + ")") if known else None
+
+    def by_part(text: str) -> bytes:
+        parts = either.split(text) if either else [text]
+        return b"".join(known[x].to_bytes(4, "little") if x in known else encoder(path).whole(x) for x in parts if x)
 
     def run(text: str) -> bytes:
         if len(text) >= LONG_RUN and LONG_BLANK.search(text):
-            return encoder(path).whole(text)
-        return np.frombuffer(array("I", library.encode_ordinary(text)), np.uint32).astype("<u4", copy=False).tobytes()
+            return by_part(text)
+        return np.frombuffer(array("I", library.encode(text, allowed_special="all")), np.uint32).astype("<u4", copy=False).tobytes()
 
     return run
 
@@ -62,8 +72,8 @@ def _tokenizer(path: str) -> Callable[[str], bytes]:
 def split_pieces(df: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, path: str | None = None) -> DataFrame:
     """One row for each piece of ``df``'s (doc_id, text): doc_id, piece, start, length, ids_crc32 and, if asked for, ids.
 
-    The ids are those of the tokenizers library on the same vocabulary, special tokens' strings being ordinary text; tiktoken
-    gives the same ones faster. A text with a very long run of white space goes through ``bpe.Encoder``.
+    The ids are those of the tokenizers library on the same vocabulary, with its added tokens; tiktoken gives the same ones
+    faster. A text with a very long run of white space goes through ``bpe.Encoder``.
     """
     path = path or public_tokenizers.path(RANK_FILE)
     df = pick(df, "doc_id", "text")
@@ -207,21 +217,26 @@ class Plan:
 
 def pack(df: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """``split_pieces`` with sequence_id (0..) and offset; as few sequences as the plan finds."""
-    pieces = materialize(split_pieces(df, capacity, end_id, with_ids), "pieces")
+    pieces = materialize(split_pieces(df, capacity, end_id, with_ids).withColumn("__at", F.monotonically_increasing_id()), "pieces")
     return assign(pieces, capacity)
 
 
-def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Give each row of ``pieces`` (a stored table with length) its place."""
-    spark = pieces.sparkSession
-    histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
+def assign(stored: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Give each row of ``stored`` (a stored table with length and a different ``__at`` in each row) its place."""
+    spark = stored.sparkSession
+    pieces = stored.drop("__at")
+    histogram = {r.length: r.n for r in stored.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     runs = sorted(Plan(histogram, capacity).runs)
     # 'capacity' rows at most: broadcast by construction
     share = spark.createDataFrame([(k, 1 + v // BUCKET) for k, v in sorted(histogram.items())], "length long, buckets long")
-    salted = pieces.join(F.broadcast(share), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets"))).drop("buckets")
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = salted.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    salted = stored.join(F.broadcast(share), "length").withColumn("bucket", F.pmod(F.xxhash64("__at"), F.col("buckets"))).drop("buckets")
+    # running totals over buckets, and over stretches of buckets before them, so no task sees all buckets of a length
+    held = salted.groupBy("length", "bucket").agg(F.count("*").alias("n")).withColumn("stretch", F.floor(F.col("bucket") / STRETCH))
+    so_far = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    stretches = held.groupBy("length", "stretch").agg(F.sum("n").alias("n")).select("length", "stretch", F.coalesce(F.sum("n").over(so_far("length", "stretch")), F.lit(0)).alias("before"))
+    starts = held.withColumn("within", F.coalesce(F.sum("n").over(so_far("length", "stretch", "bucket")), F.lit(0))).join(stretches, ["length", "stretch"])
+    starts = starts.select("length", "bucket", (F.col("before") + F.col("within")).alias("first"))
+    inside = Window.partitionBy("length", "bucket").orderBy("__at")
     ranked = salted.withColumn("within", F.row_number().over(inside) - 1).join(starts, ["length", "bucket"])
     ranked = ranked.select(*pieces.columns, (F.col("first") + F.col("within")).alias("rank"))
     table = np.array(runs, np.int64).reshape(-1, 5)
