@@ -1,13 +1,13 @@
 """Operator 6: language identification by a byte convolutional network.
 
-Bytes are read as ``CLASSES`` codes (letters regardless of case, digits, punctuation, lead bytes, continuation bytes).
-Filters of several widths run over windows of ``WINDOW`` bytes; their maxima over the window feed a softmax. Training is
+Bytes are read as ``CLASSES`` codes, ASCII letters regardless of case. Filters of several widths run over windows of ``WINDOW`` bytes; their maxima over the window feed a softmax. Training is
 stochastic gradient descent (Adam) in numpy on windows of a bounded sample of labelled documents. For prediction every
 filter bank is a table over code n-grams, so a convolution is one look-up a byte; all windows of a whole text vote by
 their mean log-probability, weighted by their bytes.
 
-Bounds, all parameters: about ``PER_LANGUAGE`` documents of each language (drawn by a hash of doc_id), ``WINDOWS`` windows
-from anywhere in each, the ``LANGUAGES`` most frequent labels.
+Bounds of the training sample, all parameters: about ``PER_LANGUAGE`` documents of each language (drawn by a hash of doc_id
+and text, equal texts of a language once), ``WINDOWS`` windows from anywhere in each. All labels are learnt; they are taken
+to be languages, so their list goes to the driver.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; short texts are one padded window; if no row
 is labelled every text is ``und``; ties go to the label that sorts first; repeated rows get equal results.
@@ -15,35 +15,29 @@ is labelled every text is ``und``; ties go to the label that sorts first; repeat
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StringType, StructField, StructType
 
-from papyrine.llm.common import append_columns, byte_texts, pick, remainder, slices
+from papyrine.llm.common import append_columns, byte_texts, chance, pick, remainder, slices
 
-WINDOW, WIDTHS, FILTERS, CLASSES = 256, (2, 3, 4), 16, 48
-PER_LANGUAGE, WINDOWS, LANGUAGES, EPOCHS = 1500, 4, 64, 8
+WINDOW, WIDTHS, FILTERS, CLASSES = 256, (2, 3, 4), 16, 256
+PER_LANGUAGE, WINDOWS, EPOCHS = 1500, 4, 8
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: Windows that are looked up together.
 TOGETHER = 128
 
 
 def _codes() -> np.ndarray:
-    code = np.zeros(256, np.int32)
-    code[33:127] = 28
-    for i in range(26):
-        code[65 + i] = code[97 + i] = 1 + i
-    code[48:58] = 27
-    code[0xC0:] = 30
-    code[0xC3] = 29
-    code[0x80:0xC0] = 31 + (np.arange(0x80, 0xC0) & 15)
+    code = np.arange(CLASSES, dtype=np.int32)
+    code[65:91] += 32
     return code
 
 
@@ -59,26 +53,19 @@ class Network:
     shift: np.ndarray
 
     def tables(self) -> list[list[np.ndarray]]:
-        """Per width, tables over 2 or 3 codes whose entries add up to the responses."""
-        out = []
-        for f in self.filters:
-            pair = lambda a, b: (a[:, None] + b[None]).reshape(-1, FILTERS)
-            if len(f) == 3:
-                out.append([(f[0][:, None, None] + f[1][None, :, None] + f[2][None, None]).reshape(-1, FILTERS)])
-            else:
-                out.append([pair(f[i], f[i + 1]) for i in range(0, len(f), 2)])
-        return out
+        """Per width, tables over one or two codes whose entries add up to the responses."""
+        pair = lambda a, b: (a[:, None] + b[None]).reshape(-1, FILTERS)
+        return [[pair(f[i], f[i + 1]) if i + 1 < len(f) else f[i] for i in range(0, len(f), 2)] for f in self.filters]
 
     def pooled(self, codes: np.ndarray, tables: list[list[np.ndarray]]) -> np.ndarray:
         """codes (bytes, windows) -> maxima (windows, all filters)."""
         two = codes[:-1] * CLASSES + codes[1:]
-        three = two[:-1] * CLASSES + codes[2:]
         out = []
         for width, table in zip(WIDTHS, tables):
-            r = table[0][three] if width == 3 else table[0][two]
-            if width == 4:
-                r = r[:-2]
-                r += table[1][two[2:]]
+            n = len(codes) - width + 1
+            r = table[0][two[:n]]
+            for k, t in enumerate(table[1:], 1):
+                r += t[(two if 2 * k + 1 < width else codes)[2 * k : 2 * k + n]]
             out.append(r.max(0))
         return np.maximum(np.concatenate(out, 1) + self.bias, 0)
 
@@ -104,14 +91,12 @@ def train(codes: np.ndarray, label: np.ndarray, languages: list[str], epochs: in
             some = order[at : at + TOGETHER]
             x, y = np.ascontiguousarray(codes[some].T), label[some]
             n = len(some)
-            tables = net.tables()
-            two = x[:-1] * CLASSES + x[1:]
-            three = two[:-1] * CLASSES + x[2:]
             place, value = [], []
-            for width, table in zip(WIDTHS, tables):
-                r = table[0][three] if width == 3 else table[0][two]
-                if width == 4:
-                    r = r[:-2] + table[1][two[2:]]
+            for f in net.filters:
+                m = len(x) - len(f) + 1
+                r = f[0][x[:m]]
+                for j in range(1, len(f)):
+                    r += f[j][x[j : j + m]]
                 p = r.argmax(0)
                 place.append(p)
                 value.append(np.take_along_axis(r, p[None], 0)[0])
@@ -149,12 +134,12 @@ def windows(text: bytes) -> np.ndarray:
 def fit(documents: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = EPOCHS) -> Network | None:
     """Learn from (doc_id, text, lang) of the rows whose crc32 remainder isn't 1; None if none has a label."""
     known = pick(documents, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id")) != 1))
-    share = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    share = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a language
     if not share:
         return None
     languages = sorted(r.lang for r in share)
-    limit = F.coalesce(F.create_map(*(x for r in share for x in (F.lit(r.lang), F.lit(int(1_000_000 * min(1.0, per_language / r.n))))))[F.col("lang")], F.lit(0))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < limit).select("lang", "text")
+    below = F.create_map(*(x for r in share for x in (F.lit(r.lang), F.lit(min(1.0, per_language / r.n)))))[F.col("lang")]
+    drawn = known.where(chance("language", "doc_id", "text") < below).groupBy("lang", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -169,7 +154,7 @@ def fit(documents: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = EP
                         part.append(text[at : at + size].ljust(WINDOW, b"\0"))
                 yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(part, pa.binary())], names=["lang", "part"])
 
-    rows = drawn.mapInArrow(cut, StructType([StructField("lang", StringType()), StructField("part", BinaryType())])).collect()  # PER_LANGUAGE * WINDOWS * LANGUAGES windows at most, or so
+    rows = drawn.mapInArrow(cut, StructType([StructField("lang", StringType()), StructField("part", BinaryType())])).collect()  # about PER_LANGUAGE * WINDOWS windows a language
     if not rows:
         return None
     rows.sort(key=lambda r: (r.lang, bytes(r.part)))
