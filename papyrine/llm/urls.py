@@ -1,24 +1,28 @@
 """Operator 10: URL filter by a path-template tree.
 
-Per host, paths become templates: segments that name an item (numbers, long hexadecimal or mixed codes) turn into
-wildcards at once; the children of a branch that are many and rarely repeated are generalised too. Sibling branches whose
-labelled purities don't differ by a two-proportion test are merged. A template is rejected if its purity, the share of
-blocked among its labelled pages smoothed towards its branch, its host and the whole table in turn, is high enough.
-Labels come from the rules: pages that a rule decides are the labelled ones. Everything is aggregation (with map-side
-combine) and joins on (host, template), so a host with a third of all pages is as many rows as it has templates.
+Per host, paths become templates from the root down. Segments that name an item by their form (numbers, long mixed codes)
+are wildcards at once. At each node that branches, children that are many and rarely repeated become one wildcard, and of
+the others those with similar labelled purity are merged: siblings are pooled by twentieths of purity, and neighbouring
+pools that a two-proportion test can't tell apart are one. Merged siblings are one node further down. A node's purity is
+the share of blocked among its labelled pages, smoothed towards its parent's, and so on up to the host and the whole table;
+a page is rejected if its leaf's is high enough. Labels come from the rules: pages that a rule decides are the labelled ones.
+
+A round handles the next branching of every node at once (what all paths below a node share is skipped), so there are as
+many rounds as branchings on the deepest path, whatever its length. Rows are distinct paths, not pages; a key with a large
+share of them is joined by a broadcast of bounded size (``join_spread``).
 
 Edge cases: a null url or one without ``://`` has an empty host and path, no rule, and the verdict of its template; pages
-without a path have the empty template; null page_ids, repeated rows and ties are kept row by row; an empty table gives none.
+without a path have the template ``/``; null page_ids, repeated rows and ties are kept row by row; an empty table gives none.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import materialize, pick
+from papyrine.llm.common import join_spread, materialize, pick
 
 
 @dataclass(frozen=True)
@@ -35,10 +39,10 @@ class UrlRule:
 RULES = [UrlRule("allow", "org", "/"), UrlRule("block", "example.org", "/es/"), UrlRule("block", "example.org", "/en/1"), UrlRule("allow", "com", "/fr/"), UrlRule("block", "com", "/de/")]
 #: Weight, in pages, of the level above when a purity is smoothed; purity from which a template is rejected.
 SMOOTH, REJECT = 5.0, 0.8
-#: A branch with more children than this, of which each has fewer than ``RARE`` pages on average, is a wildcard.
+#: A node with more children than this, of which each has fewer than ``RARE`` pages on average, has one wildcard child.
 CHILDREN, RARE = 20, 5.0
-#: Square of the normal quantile below which two purities count as alike.
-ALIKE = 1.96**2
+#: Square of the normal quantile below which two purities count as alike; steps of purity in which siblings are pooled.
+ALIKE, STEPS = 1.96**2, 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -64,6 +68,70 @@ def segments(path: Column) -> Column:
     return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), form)
 
 
+def _smooth(blocked: Column, labelled: Column, above: Column) -> Column:
+    return (blocked + F.lit(SMOOTH) * above) / (labelled + F.lit(SMOOTH))
+
+
+def _totals() -> list[Column]:
+    return [F.sum(c).alias(c) for c in ("pages", "labelled", "blocked")]
+
+
+def _branch(now: DataFrame) -> DataFrame:
+    """One round: rows (host, key, prefix, rest, purity, pages, labelled, blocked) one branching further down."""
+    ends = now.groupBy("host", "prefix").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"), F.count("*").alias("rows"))
+    differ = F.array_position(F.zip_with("lo", "hi", lambda a, b: F.equal_null(a, b)), False)
+    ends = ends.select("host", "prefix", "rows", F.when(differ > 0, differ - 1).otherwise(F.size("lo")).cast("int").alias("common"))
+    at = join_spread(now, ends, ["host", "prefix"], "rows")
+    # of what all paths of a node share the end is known: the first and last path share it too
+    skipped = F.concat(F.col("prefix"), F.array_join(F.transform(F.slice("rest", F.lit(1), F.col("common")), lambda s: F.concat(F.lit("/"), s)), ""))
+    rest = F.slice("rest", F.col("common") + 1, F.greatest(F.size("rest") - F.col("common"), F.lit(0)))
+    at = at.withColumn("prefix", skipped).withColumn("rest", rest).drop("common")
+    at = materialize(at.withColumn("child", F.coalesce(F.get("rest", 0), F.lit(""))), "url-round")
+    kids = at.groupBy("host", "prefix", "child").agg(*_totals(), F.first("purity").alias("above"), F.count("*").alias("rows"))
+    inner = F.col("child") != ""
+    wide = kids.groupBy("host", "prefix").agg(F.count(F.when(inner, 1)).alias("children"), F.sum(F.when(inner, F.col("pages"))).alias("beside"))
+    wide = wide.select("host", "prefix", F.coalesce((F.col("children") > CHILDREN) & (F.col("beside") < RARE * F.col("children")), F.lit(False)).alias("open"))
+    kids = materialize(kids.join(wide, ["host", "prefix"]).withColumn("name", F.when(inner & F.col("open"), F.lit("{*}")).otherwise(F.col("child"))), "url-children")
+    named = kids.groupBy("host", "prefix", "name").agg(*_totals(), F.first("above").alias("above"))
+    # siblings by steps of purity; neighbouring steps that can't be told apart are one group
+    step = F.when((F.col("name") != "") & (F.col("labelled") > 0), F.round(F.col("blocked") / F.col("labelled") * STEPS).cast("int"))
+    named = named.withColumn("step", step)
+    pools = named.where("step IS NOT NULL").groupBy("host", "prefix", "step").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.count("*").alias("n"))
+    order = Window.partitionBy("host", "prefix").orderBy("step")  # at most STEPS + 1 rows
+    l0, b0 = F.lag("l").over(order), F.lag("b").over(order)
+    share, gap = (b0 + F.col("b")) / (l0 + F.col("l")), b0 / l0 - F.col("b") / F.col("l")
+    alike = gap * gap <= F.lit(ALIKE) * share * (1 - share) * (1 / l0 + 1 / F.col("l"))
+    pools = pools.withColumn("apart", F.when(alike, 0).otherwise(1)).withColumn("group", F.sum("apart").over(order))
+    whole = Window.partitionBy("host", "prefix", "group")
+    pools = pools.select("host", "prefix", "step", "group", F.sum("l").over(whole).alias("l"), F.sum("b").over(whole).alias("b"), F.sum("n").over(whole).alias("n"))
+    named = named.join(pools, ["host", "prefix", "step"], "left")
+    label = F.when(F.col("n") > 1, F.concat(F.lit("{~"), F.col("group").cast("string"), F.lit("}"))).otherwise(F.col("name"))
+    purity = _smooth(F.coalesce("b", "blocked"), F.coalesce("l", "labelled"), F.col("above"))
+    named = named.select("host", "prefix", "name", F.when(F.col("name") == "", F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), label)).alias("next"), purity.alias("now_purity"))
+    moves = kids.select("host", "prefix", "child", "name", "rows").join(named, ["host", "prefix", "name"]).select("host", "prefix", "child", "rows", "next", "now_purity")
+    moved = join_spread(at.drop("rows"), materialize(moves, "url-moves"), ["host", "prefix", "child"], "rows")
+    rest = F.slice("rest", F.lit(2), F.greatest(F.size("rest") - 1, F.lit(0)))
+    done = F.col("child") == ""
+    return moved.select("host", "key", F.col("next").alias("prefix"), F.when(done, F.lit(None)).otherwise(rest).alias("rest"), F.col("now_purity").alias("purity"), "pages", "labelled", "blocked")
+
+
+def templates(leaves: DataFrame) -> DataFrame:
+    """(host, key, template, purity, pages) of stored ``leaves`` (host, key, segments, pages, labelled, blocked)."""
+    whole = leaves.agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("l"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("b")).first()
+    prior = (whole.b + 1.0) / (whole.l + 2.0)
+    hosts = leaves.groupBy("host").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.count("*").alias("rows"))
+    hosts = hosts.select("host", "rows", _smooth(F.col("b"), F.col("l"), F.lit(prior)).alias("purity"))
+    now = join_spread(leaves, hosts, ["host"], "rows").select("host", "key", F.lit("").alias("prefix"), F.col("segments").alias("rest"), "purity", "pages", "labelled", "blocked")
+    done = None
+    while True:
+        now = materialize(_branch(now), "url-nodes")
+        ended = now.where("rest IS NULL").select("host", "key", F.when(F.col("prefix") == "", F.lit("/")).otherwise(F.col("prefix")).alias("template"), "purity", "pages")
+        done = ended if done is None else done.unionByName(ended)
+        now = now.where("rest IS NOT NULL")
+        if now.isEmpty():
+            return done
+
+
 def judge(df: DataFrame, rules: list[UrlRule] = RULES, key: str = "page_id", url: str = "url") -> DataFrame:
     """(key, host, path, rule, verdict, template, purity) for each row."""
     df = pick(df, key, url)
@@ -72,39 +140,11 @@ def judge(df: DataFrame, rules: list[UrlRule] = RULES, key: str = "page_id", url
     verdict = F.create_map(*(F.lit(x) for r in rules for x in (r.text, r.verdict))) if rules else None
     pages = pages.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("segments", segments(F.col("path")))
     label = F.try_element_at(verdict, F.coalesce("rule", F.lit(""))) if rules else F.lit(None).cast("string")
-    pages = pages.withColumn("label", label)
-    sums = [F.count("*").alias("n"), F.count("label").alias("labelled"), F.count(F.when(F.col("label") == "block", 1)).alias("blocked")]
-    # leaves of the raw tree: a branch is the first segment, the rest hangs below it
-    branch, rest = F.coalesce(F.get("segments", 0), F.lit("")), F.array_join(F.slice("segments", 2, 1_000_000), "/")
-    pages = pages.withColumn("branch", branch).withColumn("rest", rest).drop("segments")
-    leaves = materialize(pages.groupBy("host", "branch", "rest").agg(*sums), "url-leaves")
-    total = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
-    # many rare children of one branch become one wildcard; so do many rare branches of a host
-    wide = leaves.groupBy("host", "branch").agg(F.count("*").alias("children"), F.sum("n").alias("pages"))
-    wide = wide.withColumn("open", (F.col("children") > CHILDREN) & (F.col("pages") < RARE * F.col("children")))
-    hosts = wide.groupBy("host").agg(F.count("*").alias("branches"), F.sum("pages").alias("host_pages"))
-    hosts = hosts.select("host", ((F.col("branches") > CHILDREN) & (F.col("host_pages") < RARE * F.col("branches"))).alias("host_open"))
-    shape = wide.select("host", "branch", "open").join(hosts, "host").withColumn("to_branch", F.when(F.col("host_open"), F.lit("{*}")).otherwise(F.col("branch")))
-    general = leaves.join(shape, ["host", "branch"]).withColumn("to_rest", F.when(F.col("open"), F.lit("{*}")).otherwise(F.col("rest")))
-    templates = general.groupBy("host", F.col("to_branch").alias("tb"), F.col("to_rest").alias("tr")).agg(*total)
-    # siblings with the same rest merge if their labelled purities are alike: each joins the pool of its siblings or stays apart
-    pool = templates.groupBy("host", "tr").agg(F.sum("labelled").alias("pl"), F.sum("blocked").alias("pb"))
-    other_l, other_b = F.col("pl") - F.col("labelled"), F.col("pb") - F.col("blocked")
-    share = F.try_divide("pb", "pl")
-    apart = F.try_divide("blocked", "labelled") - F.try_divide(other_b, other_l)
-    alike = (F.col("labelled") > 0) & (other_l > 0) & (apart * apart <= ALIKE * share * (1 - share) * (F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), other_l)))
-    merged = templates.join(pool, ["host", "tr"]).withColumn("alike", F.coalesce(alike, F.lit(False))).withColumn("group", F.when(F.col("alike"), F.lit("{~}")).otherwise(F.col("tb")))
-    groups = merged.groupBy("host", "tr", "group").agg(F.sum("labelled").alias("gl"), F.sum("blocked").alias("gb"))
-    by_branch = merged.groupBy("host", "tb").agg(F.sum("labelled").alias("bl"), F.sum("blocked").alias("bb"))
-    by_host = merged.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("blocked").alias("hb"))
-    whole = merged.agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("al"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("ab")).first()
-    prior = (whole.ab + 1.0) / (whole.al + 2.0)
-    smooth = lambda b, n, above: (F.col(b) + SMOOTH * above) / (F.col(n) + SMOOTH)
-    scored = merged.join(groups, ["host", "tr", "group"]).join(by_branch, ["host", "tb"]).join(by_host, "host")
-    scored = scored.withColumn("purity", smooth("gb", "gl", smooth("bb", "bl", smooth("hb", "hl", F.lit(prior)))))
-    scored = scored.select("host", "tb", "tr", F.concat(F.lit("/"), F.concat_ws("/", "group", "tr")).alias("template"), "purity")
-    # every leaf gets its template's purity, every page its leaf's
-    named = materialize(general.select("host", "branch", "rest", F.col("to_branch").alias("tb"), F.col("to_rest").alias("tr")).join(scored, ["host", "tb", "tr"]).select("host", "branch", "rest", "template", "purity"), "url-templates")
-    out = pages.join(named, ["host", "branch", "rest"])
+    pages = pages.withColumn("label", label).withColumn("key", F.array_join("segments", "/"))
+    counts = [F.count("*").alias("pages"), F.count("label").alias("labelled"), F.count(F.when(F.col("label") == "block", 1)).alias("blocked")]
+    leaves = pages.groupBy("host", "key").agg(*counts)
+    leaves = materialize(leaves.withColumn("segments", F.when(F.col("key") == "", F.array().cast("array<string>")).otherwise(F.split("key", "/"))), "url-leaves")
+    named = materialize(templates(leaves), "url-templates")
+    out = join_spread(pages.drop("segments"), named, ["host", "key"], "pages")
     final = F.coalesce("label", F.when(F.col("purity") >= REJECT, F.lit("block")).otherwise(F.lit("allow")))
     return out.select(k, "host", "path", "rule", final.alias("verdict"), "template", "purity")
