@@ -1,23 +1,26 @@
-"""Operator 2: exact top-k search by BM25 over sharded inverted indexes with block-max pruning.
+"""Operator 2: exact top-k search by BM25 over sharded inverted indexes with block-max WAND pruning.
 
-Each shard holds an inverted index whose impacts use global document frequencies, counts and mean length (see ``shards``).
-For a query, postings of its rarer terms are summed; for its common terms each block of documents has a bound, the sum of
-their largest impacts in the block. The best by partial sums, completed, give a threshold; only blocks whose best partial
-sum and bound reach it are completed, for all queries that need the block at once. What is skipped can't be among the k best, so each shard's
-answer is exact, and so is the merge. Queries go to the shards in blocks of bounded size, one pass for each.
+Each shard holds an inverted index whose impacts use global document frequencies, counts and mean length (see ``shards``);
+similar documents lie together in blocks, so that blocks differ in what they can score. For a query, the short lists (terms
+in few documents of the shard) are read whole: their blocks' maxima are as long as they. For all other terms each block
+has its largest impact. Their sum and the best by the short lists bound a block's scores. Blocks with the highest bounds
+come first and give a threshold, as do the k best of a sample of shards that all queries ask before; only blocks whose bound
+reaches it are completed, for all queries that need the block at once. What is skipped can't be among the k best, so each
+shard's answer is exact, and so is the merge. Completed scores are sums of 32-bit products; what comes within their error of
+a threshold is scored again in 64 bits. Queries go to the shards in sets of bounded size.
 
 A document is never an answer to itself. Terms that occur in one document only can't match another and are left out of
 the indexes. Edge cases: null and empty texts match nothing and ask for nothing; null doc_ids are answers but no queries;
 ties go to the smaller doc_id (nulls last); repeated rows are separate answers; query rows that share an id keep the
-k best answers of all of them; fewer than k answers are possible.
+k best answers of all of them, each row once by its best score; fewer than k answers are possible.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,20 +29,20 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import byte_texts, checkpoint_dir, materialize
+from papyrine.llm.common import byte_texts, materialize
 from papyrine.llm.shards import count_globally, make_shards, pack, pack_sorted, totals, unpack, unpack_sorted
 
 K, K1, B = 10, 1.2, 0.75
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 24 << 20
 BLOCK = 128
 #: Queries that a shard answers together.
-TOGETHER = 16
-#: A term in more than one of so many documents of a shard is common there.
-COMMON = 8
-#: No score that counts is smaller, and no sum is off by as much.
-SLACK = 1e-9
-#: Packed bytes of the queries that are sent to all shards at once.
-PASS_BYTES = 12 << 20
+TOGETHER = 256
+#: A term in more than one of so many documents of a shard has a long list there.
+LONG = 32
+#: No sum of 32-bit products is off by as much, as a part of the largest possible score.
+ERROR = 1e-5
+#: Packed bytes of the queries that are sent to all shards at once; one of so many shards gives the first thresholds.
+PASS_BYTES, SAMPLE = 24 << 20, 8
 
 
 def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -102,80 +105,144 @@ class Block:
         self.code = code.astype(np.int32)
 
 
+def cluster(rows: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """An order in which similar columns of ``rows`` (terms, documents) lie together: halves along the main direction, and so on."""
+
+    def split(some: np.ndarray) -> list[np.ndarray]:
+        if len(some) <= block:
+            return [some]
+        x = rows[:, some]
+        x = x - x.mean(1, keepdims=True)
+        v = np.random.default_rng(len(some)).normal(size=len(some)).astype(np.float32)
+        for _ in range(8):
+            v = x.T @ (x @ v)
+            v /= np.linalg.norm(v) or 1.0
+        order = some[np.argsort(v, kind="stable")]
+        half = -(-len(some) // (2 * block)) * block
+        return split(order[:half]) + split(order[half:])
+
+    return np.concatenate(split(np.arange(rows.shape[1]))) if rows.shape[1] else np.zeros(0, np.int64)
+
+
+def long_rows(n: int, first: np.ndarray, document: np.ndarray, impact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms with long lists, and their impacts by document (terms, documents)."""
+    size = np.diff(first)
+    some = np.flatnonzero(size * LONG > n)
+    rows = np.zeros((len(some), n), np.float32)
+    at = np.concatenate([np.zeros(0, np.int64), *(np.arange(first[t], first[t + 1]) for t in some)])
+    rows[np.repeat(np.arange(len(some)), size[some]), document[at]] = impact[at]
+    return some, rows
+
+
 class Index:
-    """One shard: terms with their postings' impacts, dense rows for common terms."""
+    """One shard: terms with their postings' impacts, and by block the impacts and maxima of the terms with long lists."""
 
     def __init__(self, ids: list, terms: np.ndarray, first: np.ndarray, document: np.ndarray, impact: np.ndarray):
-        self.ids, self.n = ids, len(ids)
+        self.n, self.blocks = len(ids), -(-len(ids) // BLOCK)
         self.terms, self.first, self.document, self.impact = terms, first, document, impact
-        size = np.diff(first)
-        common = np.flatnonzero(size * COMMON > self.n)
+        some, rows = long_rows(self.n, first, document, impact)
         self.row = np.full(len(terms), -1)
-        self.row[common] = np.arange(len(common))
-        self.blocks = -(-self.n // BLOCK)
-        dense = np.zeros((len(common), self.blocks * BLOCK))
-        for r, t in enumerate(common):
-            dense[r, document[first[t] : first[t + 1]]] = impact[first[t] : first[t + 1]]
-        self.dense = np.ascontiguousarray(dense.reshape(len(common), self.blocks, BLOCK).transpose(1, 0, 2))  # block, term, document
-        self.most = self.dense.max(2).T if self.blocks else np.zeros((len(common), 0))
+        self.row[some] = np.arange(len(some))
+        self.dense = [np.ascontiguousarray(rows[:, b * BLOCK : (b + 1) * BLOCK]) for b in range(self.blocks)]
+        self.most = np.stack([d.max(1) for d in self.dense], 1) if self.blocks and len(some) else np.zeros((len(some), self.blocks), np.float32)
         self.repeats = max(Counter(i for i in ids if i is not None).values(), default=1)  # rows that may be the query itself
-        self.known = np.array([i is not None for i in ids] + [False] * (self.blocks * BLOCK - self.n), bool)
-        self.id = np.array([i or 0 for i in ids] + [0] * (self.blocks * BLOCK - self.n), np.int64)
+        self.known = np.array([i is not None for i in ids], bool)
+        self.id = np.array([i or 0 for i in ids], np.int64)
         order = np.lexsort((self.id, ~self.known))
         self.rank = np.empty(len(order), np.int64)  # order among ties
         self.rank[order] = np.arange(len(order))
+        term = np.repeat(np.arange(len(terms)), np.diff(first))
+        order = np.argsort(document, kind="stable")  # the postings by document
+        self.by_term, self.by_impact = term[order], impact[order]
+        self.start = np.searchsorted(document[order], np.arange(self.n + 1))
 
-    def search(self, block: Block, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The k best for each query: numbers of queries, ascending; of documents, best first; and scores."""
+    def search(self, block: Block, k: int = K, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best for each query, if they reach ``least``: numbers of queries, ascending; of documents, best first; scores."""
         place = np.searchsorted(self.terms, block.vocabulary)
         place[place == len(self.terms)] = 0
         place[self.terms[place] != block.vocabulary if len(self.terms) else slice(None)] = -1
         parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for start in range(0, len(block.own), TOGETHER):
+        for start in range(0, len(block.own) if self.n else 0, TOGETHER):
             own = block.own[start : start + TOGETHER]
             first = block.first[start : start + len(own) + 1]
             at = place[block.code[first[0] : first[-1]]]
             query = np.repeat(np.arange(len(own)), np.diff(first))[at >= 0]
-            query, found, score = self._together(own, query, at[at >= 0], k)
+            above = np.zeros(len(own)) if least is None else least[start : start + TOGETHER]
+            query, found, score = self._together(own, query, at[at >= 0], k, above)
             parts.append((query + start, found, score))
         return tuple(map(np.concatenate, zip(*parts)))
 
-    def _together(self, own: np.ndarray, query: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n, width = len(own), self.blocks * BLOCK
+    def _together(self, own: np.ndarray, query: np.ndarray, at: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, n = len(own), self.n
         rows = self.row[at]
-        asks = np.zeros((n, len(self.most)))
+        asks = np.zeros((q, len(self.most)), np.float32)
         asks[query[rows >= 0], rows[rows >= 0]] = 1
-        rare, query = at[rows < 0], query[rows < 0]
-        size = self.first[rare + 1] - self.first[rare]
-        where = np.repeat(self.first[rare] - (np.cumsum(size) - size), size)
-        where += np.arange(len(where))
-        cell = np.repeat(query * width, size)
-        cell += self.document[where]
-        score = np.bincount(cell, weights=self.impact[where], minlength=n * width).astype(float, copy=False).reshape(n, width)
-        # as many documents as k and the query's own rows, the best of their groups by rarer terms, completed, give each threshold
-        threshold, most = np.zeros(n), k + self.repeats
-        group = 16 if width // 16 > most else 1
-        if width // group > most:
-            groups = score.reshape(n, width // group, group)
-            inside = groups.argmax(2)
-            best = np.take_along_axis(groups, inside[:, :, None], 2)[:, :, 0]
-            some = np.argpartition(best, best.shape[1] - most, axis=1)[:, best.shape[1] - most :]
-            chosen = some * group + np.take_along_axis(inside, some, 1)
-            whole = np.take_along_axis(score, chosen, 1) + np.einsum("qdt,qt->qd", self.dense[chosen // BLOCK, :, chosen % BLOCK], asks)
-            threshold = whole.min(1)
-        top = score.reshape(n, self.blocks, BLOCK).max(2) + asks @ self.most
-        live = top >= threshold[:, None] - SLACK
-        for b in np.flatnonzero(live.any(0)).tolist():
-            some = np.flatnonzero(live[:, b])
-            score[some, b * BLOCK : (b + 1) * BLOCK] += asks[some] @ self.dense[b]
-        query, found = np.nonzero(score >= np.maximum(threshold - SLACK, SLACK)[:, None])
-        kept = live[query, found // BLOCK] & ~(self.known[found] & (self.id[found] == own[query]))
+        short, whose, asker = at[rows < 0], query[rows < 0], query
+        size = self.first[short + 1] - self.first[short]
+        where = np.repeat(self.first[short] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        cell = np.repeat(whose * n, size) + self.document[where]
+        score = np.bincount(cell, weights=self.impact[where], minlength=q * n).astype(float, copy=False).reshape(q, n)
+        edges = np.arange(self.blocks) * BLOCK
+        bound = np.maximum.reduceat(score, edges, axis=1) + asks @ self.most
+        slack = ERROR * np.maximum(1.0, bound.max(1))
+        done = np.zeros(bound.shape, bool)
+
+        def complete(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(0)).tolist():
+                some = np.flatnonzero(wanted[:, b])
+                score[some, b * BLOCK : (b + 1) * BLOCK] += asks[some] @ self.dense[b]
+            done[wanted] = True
+
+        # the blocks with the highest bounds give a first threshold of their own: the k-th best in them, rows of the query aside
+        threshold, most = least - slack, min(n, k + self.repeats)
+        pivots = min(self.blocks, -(-most // BLOCK) + 1)
+        chosen = np.argpartition(bound, self.blocks - pivots, axis=1)[:, self.blocks - pivots :]
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, chosen, True, 1)
+        complete(first & (bound >= threshold[:, None]))
+        inside = (chosen[:, :, None] * BLOCK + np.arange(BLOCK)).reshape(q, -1)
+        seen = np.where((inside < n) & np.repeat(np.take_along_axis(done, chosen, 1), BLOCK, axis=1), np.take_along_axis(score, np.minimum(inside, n - 1), 1), 0.0)
+        threshold = np.maximum(threshold, np.partition(seen, seen.shape[1] - most, axis=1)[:, seen.shape[1] - most] - 2 * slack)
+        complete(~done & (bound >= threshold[:, None]))
+        query, found = np.nonzero(score >= np.maximum(threshold, 1e-12)[:, None])
+        kept = done[query, found // BLOCK] & ~(self.known[found] & (self.id[found] == own[query]))
         query, found = query[kept], found[kept]
-        value = np.round(score[query, found], 9)
+        value = score[query, found]
+        # what is among the k best but for the error
+        order = np.lexsort((-value, query))
+        query, found, value = query[order], found[order], value[order]
+        begin = np.searchsorted(query, np.arange(q))
+        last = np.minimum(begin + k - 1, np.searchsorted(query, np.arange(q), "right") - 1)
+        kept = value >= (value[np.maximum(last, 0)] - 2 * slack)[query] if len(value) else np.zeros(0, bool)
+        query, found = query[kept], found[kept]
+        value = np.round(self._exactly(at, asker, query, found), 9)
         order = np.lexsort((self.rank[found], -value, query))
-        query = query[order]
+        query, found, value = query[order], found[order], value[order]
         nth = np.arange(len(query)) - np.searchsorted(query, query)
-        return query[nth < k], found[order][nth < k], value[order][nth < k]
+        kept = (nth < k) & (value > 0) & (value >= least[query])
+        return query[kept], found[kept], value[kept]
+
+    def _exactly(self, term: np.ndarray, whose: np.ndarray, query: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Scores of documents for queries (ascending) that ask for ``term``, summed in 64 bits in the order of the terms."""
+        out, asked = np.zeros(len(query)), np.zeros(len(self.terms), bool)
+        begin, mine = np.searchsorted(query, np.arange(int(whose.max(initial=-1)) + 2)), np.searchsorted(whose, np.arange(int(whose.max(initial=-1)) + 2))
+        for q in np.unique(query).tolist():
+            some = slice(begin[q], begin[q + 1])
+            d = found[some]
+            asked[term[mine[q] : mine[q + 1]]] = True
+            size = self.start[d + 1] - self.start[d]
+            where = np.repeat(self.start[d] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            hit = asked[self.by_term[where]]
+            out[some] = np.bincount(np.repeat(np.arange(len(d)), size)[hit], weights=self.by_impact[where[hit]], minlength=len(d))
+            asked[term[mine[q] : mine[q + 1]]] = False
+        return out
+
+
+def best(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query, each document's row once; found has (query_id, at, doc_id, score)."""
+    once = found.groupBy("query_id", "at").agg(F.max("score").alias("score"), F.first("doc_id").alias("doc_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "at"))
+    return once.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def top_k(df: DataFrame, every: int = 20, k: int = K) -> DataFrame:
@@ -185,13 +252,24 @@ def top_k(df: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     n_docs, n_words = totals(shards)
     mean = max(1.0, n_words / max(1, n_docs))
 
+    def impacts(total: np.ndarray, first: np.ndarray, document: np.ndarray, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
+        idf = np.log(1 + (n_docs - total + 0.5) / (total + 0.5))
+        return np.repeat(idf, np.diff(first)) * tf * (K1 + 1) / (tf + (K1 * (1 - B + B * size / mean))[document])
+
     def build(shard: Shard) -> Iterator[pa.RecordBatch]:
         (ids, terms, first, document, tf, size), total = shard.parts, shard.total
         size_of = np.diff(first)
         used = total > 1
         posting = np.repeat(used, size_of)
         document, tf, term = document[posting], tf[posting], np.repeat(terms, size_of)[posting]
-        index = [pack_sorted(terms[used]), *map(pack, (total[used].astype(np.int64), np.cumsum(np.append(0, size_of[used])).astype(np.int64), document, tf, size))]
+        terms, total, first = terms[used], total[used].astype(np.int64), np.cumsum(np.append(0, size_of[used])).astype(np.int64)
+        moved = cluster(long_rows(len(ids), first, document, impacts(total, first, document, tf, size))[1])
+        to = np.empty(len(moved), np.int64)
+        to[moved] = np.arange(len(moved))
+        ids, size, document = [ids[i] for i in moved], size[moved], to[document].astype(np.int32)
+        order = np.lexsort((document, np.repeat(np.arange(len(terms)), np.diff(first))))
+        document, tf = document[order], tf[order]
+        index = [pack_sorted(terms), *map(pack, (total, first, document, tf, size))]
         parts = [("index", None, index)]
         order = np.argsort(document, kind="stable")
         cut = np.searchsorted(document[order], np.arange(len(ids) + 1))
@@ -201,28 +279,36 @@ def top_k(df: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     def open_index(parts: list[bytes], ids: list) -> Index:
         terms = unpack_sorted(parts[0])
         total, first, document, tf, size = (unpack(p, kind) for p, kind in zip(parts[1:], (np.int64, np.int64, np.int32, np.int32, np.int64)))
-        idf = np.log(1 + (n_docs - total + 0.5) / (total + 0.5))
-        impact = np.repeat(idf, np.diff(first)) * tf * (K1 + 1) / (tf + (K1 * (1 - B + B * size / mean))[document])
-        return Index(ids, terms, first, document, impact)
+        return Index(ids, terms, first, document, impacts(total, first, document, tf, size))
 
     built = materialize(count_globally(shards, Shard, n_words, build, "kind string, query_id long, parts array<binary>, ids array<long>"), "search-index")
     queries, indexes = built.where("kind = 'query'").select("query_id", F.get("parts", 0).alias("terms")), built.where("kind = 'index'").select("parts", "ids")
+    least_hash = indexes.agg(F.min(F.xxhash64("ids"))).first()[0]
+    sample = (F.pmod(F.xxhash64("ids"), F.lit(SAMPLE)) == 0) | (F.xxhash64("ids") == F.lit(least_hash or 0))  # one at least
     passes = max(1, math.ceil((queries.agg(F.sum(F.length("terms"))).first()[0] or 0) / PASS_BYTES))
-    path = f"{checkpoint_dir(spark)}/search-answers-{uuid.uuid4().hex}"
-    for number in range(passes):
-        asked = Block([(r.query_id, unpack_sorted(bytes(r.terms))) for r in queries.where(F.pmod(F.xxhash64("query_id", "terms"), F.lit(passes)) == number).collect()])  # about PASS_BYTES
-        sent = spark.sparkContext.broadcast(asked)
+    schema = "query_id long, at long, doc_id long, score double"
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def ask(some: DataFrame, asked: Block, least: np.ndarray) -> DataFrame:
+        sent = spark.sparkContext.broadcast((asked, least))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(batch.num_rows):
                     index = open_index(batch.column(0)[at].as_py(), batch.column(1)[at].as_py())
-                    query, found, score = index.search(sent.value, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(sent.value.own[query]), pa.array(index.id[found], mask=~index.known[found]), pa.array(score)], names=["query_id", "doc_id", "score"])
+                    asked, least = sent.value
+                    query, found, score = index.search(asked, k, least)
+                    name = xxhash.xxh64_intdigest(b"".join([*batch.column(0)[at].as_py(), index.id.tobytes()])) >> 1  # of the shard
+                    row = (np.uint64(name) + found.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(asked.own[query]), pa.array(row), pa.array(index.id[found], mask=~index.known[found]), pa.array(score)], names=["query_id", "at", "doc_id", "score"])
 
-        indexes.mapInArrow(run, "query_id long, doc_id long, score double").write.mode("append").parquet(path)
+        out = materialize(some.mapInArrow(run, schema), "search-answers")
         sent.unpersist()
-    found = spark.read.schema("query_id long, doc_id long, score double").parquet(path)
-    # at most k rows a shard for each query
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+        return out
+
+    answers: list[DataFrame] = []
+    for number in range(passes):
+        asked = Block([(r.query_id, unpack_sorted(bytes(r.terms))) for r in queries.where(F.pmod(F.xxhash64("query_id", "terms"), F.lit(passes)) == number).collect()])  # about PASS_BYTES
+        answers.append(ask(indexes.where(sample), asked, np.zeros(len(asked.own))))
+        reached = {r.query_id: r.score for r in best(answers[-1], k).where(F.col("rank") == k).select("query_id", "score").collect()}  # a row a query
+        answers.append(ask(indexes.where(~sample), asked, np.array([reached.get(x, 0.0) for x in asked.own.tolist()])))
+    return best(reduce(DataFrame.unionByName, answers), k).select("query_id", "rank", "doc_id", "score")
