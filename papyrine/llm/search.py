@@ -36,13 +36,13 @@ K, K1, B = 10, 1.2, 0.75
 SHARD_BYTES = 24 << 20
 BLOCK = 128
 #: Queries that a shard answers together.
-TOGETHER = 256
-#: A term in more than one of so many documents of a shard has a long list there.
-LONG = 32
+TOGETHER, AT_ONCE = 256, 8
+#: A term in more than one of so many documents of a shard has a long list there; so many of them put documents in order.
+LONG, FEATURES = 32, 256
 #: No sum of 32-bit products is off by as much, as a part of the largest possible score.
 ERROR = 1e-5
 #: Packed bytes of the queries that are sent to all shards at once; one of so many shards gives the first thresholds.
-PASS_BYTES, SAMPLE = 24 << 20, 8
+PASS_BYTES, SAMPLE = 32 << 20, 8
 
 
 def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -124,10 +124,12 @@ def cluster(rows: np.ndarray, block: int = BLOCK) -> np.ndarray:
     return np.concatenate(split(np.arange(rows.shape[1]))) if rows.shape[1] else np.zeros(0, np.int64)
 
 
-def long_rows(n: int, first: np.ndarray, document: np.ndarray, impact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms with long lists, and their impacts by document (terms, documents)."""
+def long_rows(n: int, first: np.ndarray, document: np.ndarray, impact: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Terms with long lists (the ``most`` frequent of them), and their impacts by document (terms, documents)."""
     size = np.diff(first)
     some = np.flatnonzero(size * LONG > n)
+    if most is not None and len(some) > most:
+        some = np.sort(some[np.argsort(-size[some], kind="stable")[:most]])
     rows = np.zeros((len(some), n), np.float32)
     at = np.concatenate([np.zeros(0, np.int64), *(np.arange(first[t], first[t + 1]) for t in some)])
     rows[np.repeat(np.arange(len(some)), size[some]), document[at]] = impact[at]
@@ -178,10 +180,16 @@ class Index:
         asks = np.zeros((q, len(self.most)), np.float32)
         asks[query[rows >= 0], rows[rows >= 0]] = 1
         short, whose, asker = at[rows < 0], query[rows < 0], query
-        size = self.first[short + 1] - self.first[short]
-        where = np.repeat(self.first[short] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        cell = np.repeat(whose * n, size) + self.document[where]
-        score = np.bincount(cell, weights=self.impact[where], minlength=q * n).astype(float, copy=False).reshape(q, n)
+        score = np.empty((q, n))
+        cuts = np.searchsorted(whose, np.arange(0, q + AT_ONCE, AT_ONCE))
+        for low, x, y in zip(range(0, q, AT_ONCE), cuts, cuts[1:]):  # so many queries' lists at once as caches hold
+            size = self.first[short[x:y] + 1] - self.first[short[x:y]]
+            where = np.repeat(self.first[short[x:y]] - (np.cumsum(size) - size), size)
+            where += np.arange(len(where))
+            cell = np.repeat((whose[x:y] - low) * n, size)
+            cell += self.document[where]
+            some = min(AT_ONCE, q - low)
+            score[low : low + some] = np.bincount(cell, weights=self.impact[where], minlength=some * n).reshape(some, n)
         edges = np.arange(self.blocks) * BLOCK
         bound = np.maximum.reduceat(score, edges, axis=1) + asks @ self.most
         slack = ERROR * np.maximum(1.0, bound.max(1))
@@ -263,7 +271,7 @@ def top_k(df: DataFrame, every: int = 20, k: int = K) -> DataFrame:
         posting = np.repeat(used, size_of)
         document, tf, term = document[posting], tf[posting], np.repeat(terms, size_of)[posting]
         terms, total, first = terms[used], total[used].astype(np.int64), np.cumsum(np.append(0, size_of[used])).astype(np.int64)
-        moved = cluster(long_rows(len(ids), first, document, impacts(total, first, document, tf, size))[1])
+        moved = cluster(long_rows(len(ids), first, document, impacts(total, first, document, tf, size), FEATURES)[1])
         to = np.empty(len(moved), np.int64)
         to[moved] = np.arange(len(moved))
         ids, size, document = [ids[i] for i in moved], size[moved], to[document].astype(np.int32)
@@ -292,11 +300,14 @@ def top_k(df: DataFrame, every: int = 20, k: int = K) -> DataFrame:
         sent = spark.sparkContext.broadcast((asked, least))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked, least = sent.value
             for batch in batches:
                 for at in range(batch.num_rows):
                     index = open_index(batch.column(0)[at].as_py(), batch.column(1)[at].as_py())
-                    asked, least = sent.value
                     query, found, score = index.search(asked, k, least)
+                    full = np.flatnonzero(np.bincount(query, minlength=len(asked.own)) >= k)  # what k documents reach is a threshold for the task's next shards
+                    least = least.copy()
+                    least[full] = np.maximum(least[full], score[np.searchsorted(query, full) + k - 1])
                     name = xxhash.xxh64_intdigest(b"".join([*batch.column(0)[at].as_py(), index.id.tobytes()])) >> 1  # of the shard
                     row = (np.uint64(name) + found.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(asked.own[query]), pa.array(row), pa.array(index.id[found], mask=~index.known[found]), pa.array(score)], names=["query_id", "at", "doc_id", "score"])
