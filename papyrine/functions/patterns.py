@@ -45,3 +45,6 @@ REFERENCE_BLOCK = rf"(?:references|bibliography){WS}*[:\-]?{WS}*((?s:.+))"
 REFERENCE_STOP = "^(?:appendix|supplementary|acknowledgement|acknowledgment|about the author)"
 REFERENCE_START = rf"^{WS}*(?:[-*]{WS}+)?(?:\[{D}+\]|{D}+\.){WS}+"
 BULLET = rf"^{WS}*[-*]{WS}+"
+
+#: Fixed value: links to papers by an id of the older form.
+PAPER_ID = r"^/[A-Z][0-9]+-[0-9]+/?$"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,6 +69,24 @@ def leading_roman(title: Column) -> Column:
     return F.upper(F.regexp_extract(strip(title), rf"(?i)^([IVXLCDM]+)(?!{W})", 1))
 
 
+def unescape(text: Column) -> Column:
+    """Character references decoded: named ones of HTML 5 that end with a semicolon, and numbers; others stay."""
+    reference = "&(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]*);"
+    names = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
+
+    def character(ref: Column) -> Column:
+        hexadecimal = ref.rlike("^#[xX]")
+        point = F.when(hexadecimal, F.conv(F.substr(ref, F.lit(3)), 16, 10)).otherwise(F.substr(ref, F.lit(2))).try_cast("long")
+        good = point.between(1, 0xD7FF) | point.between(0xE000, 0x10FFFF)
+        made = F.decode(F.unhex(F.lpad(F.hex(F.when(good, point).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        named = F.coalesce(F.try_element_at(names, ref), F.concat(F.lit("&"), ref, F.lit(";")))
+        return F.when(ref.startswith("#"), made).otherwise(named)
+
+    decoded = F.transform(F.regexp_extract_all(text, F.lit(reference), F.lit(1)), character)
+    pieces = F.zip_with(F.split(text, reference), decoded, lambda plain, made: F.concat(plain, F.coalesce(made, F.lit(""))))
+    return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
+
+
 def sentences(text: Column) -> Column:
     """Sentences by their end marks, trimmed, blank ones dropped."""
     return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?]+[.!?]*"), F.lit(0)), squeeze), lambda s: s != "")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The one metadata model; sources that lack a column leave it null.
@@ -33,10 +34,23 @@ def unite_papers(*sources: DataFrame) -> DataFrame:
 def listing_pages(rows: DataFrame, key: str, size: int, width: int = 1000) -> DataFrame:
     """``rows`` with the number of the listing page they are on, ``size`` a page in ``key`` order.
 
-    Rows are ranked inside ranges of ``width`` keys and shifted by the ranges' running totals, so no task sees all rows.
+    Rows are ranked inside ranges of ``width`` keys and shifted by running totals of the ranges, which are summed inside
+    stretches of ``width`` ranges first; only the stretches' sums, one for ``width`` squared keys, meet in one task.
     """
-    ranged = rows.withColumn("__range", F.floor(F.col(key) / width))
-    totals = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = totals.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    ranged = rows.withColumn("__range", F.floor(F.col(key) / width)).withColumn("__stretch", F.floor(F.col("__range") / width))
+    totals = ranged.groupBy("__stretch", "__range").agg(F.count("*").alias("__n"))
+    before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    outer = totals.groupBy("__stretch").agg(F.sum("__n").alias("__n")).select("__stretch", before(Window.orderBy("__stretch")).alias("__outer"))
+    inner = totals.withColumn("__inner", before(Window.partitionBy("__stretch").orderBy("__range"))).drop("__n")
+    shift = inner.join(outer, "__stretch").select("__range", (F.col("__outer") + F.col("__inner")).alias("__before"))
     inside = F.row_number().over(Window.partitionBy("__range").orderBy(key)) - 1
-    return ranged.withColumn("__at", inside).join(before, "__range").withColumn("listing_page", F.floor((F.col("__before") + F.col("__at")) / size)).drop("__range", "__at", "__before")
+    return ranged.withColumn("__at", inside).join(shift, "__range").withColumn("listing_page", F.floor((F.col("__before") + F.col("__at")) / size)).drop("__range", "__stretch", "__at", "__before")
+
+
+def follow(frontier: DataFrame, links: DataFrame, level: str, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``frontier`` (.., url) one level down: ``url`` under the name ``level``, and each distinct target of its page as ``url``.
+
+    ``links`` is (url, target); ``keep`` says which targets count.
+    """
+    down = links.where(keep(F.col("target"))) if keep else links
+    return frontier.withColumnRenamed("url", level).join(down.select(F.col("url").alias(level), "target").distinct(), level).withColumnRenamed("target", "url").distinct()

@@ -75,21 +75,33 @@ def parse_sections(md: Column, version: int = 2) -> Column:
     return let(let(lines(md), cut), drop)
 
 
+def kept_sections(found: Column, version: int = 2) -> Column:
+    return found if version == 1 else F.filter(found, lambda s: ~F.lower(strip(s["title"])).isin(P.EXCLUDED_SECTIONS))
+
+
+def cited(section: Column) -> Column:
+    """Citations in a section's paragraphs."""
+    return F.aggregate(section["paragraphs"], F.lit(0), lambda a, p: a + F.size(citations(p)))
+
+
 def output_sections(found: Column, version: int = 2) -> Column:
     """Sections as delivered: (section_id, title, summary, has_citation, citation_count), numbered from 1.
 
     Version 2 leaves out the reference list before numbering.
     """
-    if version != 1:
-        found = F.filter(found, lambda s: ~F.lower(strip(s["title"])).isin(P.EXCLUDED_SECTIONS))
+    found = kept_sections(found, version)
 
     def out(s: Column, i: Column) -> Column:
-        n = F.aggregate(s["paragraphs"], F.lit(0), lambda a, p: a + F.size(citations(p)))
-        return let(n, lambda n: F.struct((i + 1).cast("string").alias("section_id"), s["title"].alias("title"), F.array_join(s["paragraphs"], "\n\n").alias("summary"), (n > 0).alias("has_citation"), n.alias("citation_count")))
+        return let(cited(s), lambda n: F.struct((i + 1).cast("string").alias("section_id"), s["title"].alias("title"), F.array_join(s["paragraphs"], "\n\n").alias("summary"), (n > 0).alias("has_citation"), n.alias("citation_count")))
 
     return F.transform(found, out)
 
 
+def empty_sections(found: Column) -> Column:
+    """Titles of sections without text."""
+    return F.transform(F.filter(found, lambda s: F.size(s["paragraphs"]) == 0), lambda s: s["title"])
+
+
 def reference_block(md: Column) -> Column:
     """What follows the first mention of references or bibliography, trimmed; empty without one."""
     return strip(F.regexp_extract(md, rf"(?i){P.REFERENCE_BLOCK}\z", 1))

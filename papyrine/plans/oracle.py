@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from papyrine.functions import patterns as P
-from papyrine.operators import html as H
 from papyrine.sources.views import BLOCKS_SQL, FILE_NAME, MARKDOWN_SQL
 
 DAY = "20240101"
@@ -114,22 +113,40 @@ WHEN y > 1900 AND y < 2100 AND NOT a > 12 AND b > 12 AND a BETWEEN 1 AND 12 AND
 WHEN im BETWEEN 1 AND 12 AND id BETWEEN 1 AND 31 THEN {DAY_OF('iy', 'im', 'id')}
 WHEN wm > 0 AND wy > 1900 AND wy < 2100 THEN {DAY_OF('wy', 'wm', '1')} WHEN cy > 1990 AND cy < 2100 THEN {DAY_OF('cy', 'cm', '1')} ELSE '' END AS publish_date FROM x"""
 
-CLEAN = f"regexp_replace(html, {q(H.OPAQUE)}, '', 'g')"
-LINKS = f"""c AS (SELECT page_id, url, {CLEAN} AS clean FROM pages),
-k AS (SELECT page_id, url, unnest(regexp_extract_all(clean, {q(H.LINK)}, 1)) AS href, unnest(regexp_extract_all(clean, {q(H.LINK)}, 2)) AS inner_html,
-generate_subscripts(regexp_extract_all(clean, {q(H.LINK)}, 1), 1) - 1 AS pos FROM c)"""
+OPAQUE = "(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
+CLEAN = f"regexp_replace(html, {q(OPAQUE)}, '', 'g')"
+ANCHOR = "(?is)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s>\"']+))[^>]*>(.*?)</a>"
+
+
+def links(html: str = "html") -> str:
+    """CTEs c (page_id, url, clean) and k (page_id, url, href, inner_html, pos)."""
+    clean = CLEAN.replace("html,", f"{html},", 1)
+    group = lambda i: f"regexp_extract(m, {q(ANCHOR)}, {i})"
+    return f"""c AS (SELECT page_id, url, {clean} AS clean FROM pages),
+m AS (SELECT page_id, url, unnest(regexp_extract_all(clean, {q(ANCHOR)})) AS m, generate_subscripts(regexp_extract_all(clean, {q(ANCHOR)}), 1) - 1 AS pos FROM c),
+k AS (SELECT page_id, url, {unescape(f'{group(1)} || {group(2)} || {group(3)}')} AS href, {group(4)} AS inner_html, pos FROM m)"""
+
+
+#: The entities that the test pages have.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&")]
+
+
+def unescape(x: str) -> str:
+    for entity, character in ENTITIES:
+        x = f"replace({x}, {q(entity)}, {q(character)})"
+    return x
+
+
+LINKS = links()
 
 
 def text_of(x: str) -> str:
-    out = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
-    for entity, character in H.ENTITIES:
-        out = f"replace({out}, {q(entity)}, {q(character)})"
-    return out
+    return unescape(f"regexp_replace({x}, '<[^>]*>', '', 'g')")
 
 
 def elements(tag: str, attribute: str | None = None, value: str | None = None) -> str:
-    extra = f'[^>]*{attribute}="{value}"' if attribute else r"(?:[\s][^>]*)?"
-    return f"regexp_extract_all(clean, {q(f'(?is)<{tag}{extra}' + ('[^>]*' if attribute else '') + f'>(.*?)</{tag}>')}, 1)"
+    extra = rf"""\s(?:[^>]*?\s)?{attribute}=(?:"(?:[^"]* )?{value}(?: [^"]*)?"|'(?:[^']* )?{value}(?: [^']*)?'|{value})(?:\s[^>]*)?""" if attribute else r"(?:\s[^>]*)?"
+    return f"regexp_extract_all(clean, {q(f'(?is)<{tag}{extra}>(.*?)</{tag}>')}, 1)"
 
 
 PAGE = f"c AS (SELECT page_id, url, {CLEAN} AS clean FROM pages)"
@@ -160,7 +177,7 @@ ORACLE = {
     "first_matching_link": f"WITH {LINKS} SELECT page_id, min_by(href, pos) AS href FROM k WHERE regexp_matches(href, '/[a-z]+$') GROUP BY page_id",
     "href_prefix_filter": f"WITH {LINKS} SELECT page_id, CAST(pos AS INT) AS pos, href FROM k WHERE starts_with(href, '/') AND NOT contains(href, '#')",
     "href_regex_filter": f"WITH {LINKS} SELECT page_id, CAST(pos AS INT) AS pos, href FROM k WHERE regexp_matches(href, '^/[a-z]+[0-9]*/?$')",
-    "squeeze_title": f"SELECT doc_id, {squeeze(r"replace('Title: ' || left(text, 200), 'Title:', '')")} AS title FROM documents",
+    "squeeze_title": f"SELECT doc_id, {squeeze(r"replace('Title: ' || text, 'Title:', '')")} AS title FROM documents",
     "url_resolve": f"WITH {LINKS} SELECT page_id, CAST(pos AS INT) AS pos, {RESOLVED} AS resolved FROM k",
     "url_year": f"SELECT page_id, coalesce(nullif({extract('url', '((?:19|20)[0-9]{2})')}, ''), 'Unknown') AS year FROM pages",
     "event_year": "SELECT page_id, replace(list_last(string_split(url, '-')), '/', '') AS year FROM pages",
@@ -191,7 +208,7 @@ array_to_string(regexp_extract_all(text, {q(P.CITATION)}), '|') AS citations FRO
     "abstract_v1": f"WITH {MD} SELECT doc_id, {abstract(1)} AS abstract FROM v",
     "abstract_v2": f"WITH {MD} SELECT doc_id, {abstract(2)} AS abstract FROM v",
     "doc_ids": f"WITH f AS (SELECT doc_id, {FILE_NAME} AS path FROM documents) SELECT doc_id, 'paper_' || regexp_replace({STEM}, '[^a-zA-Z0-9_]', '_', 'g') || '_{DAY}' AS paper_id, {STEM} || '_processed.json' AS file FROM f",
-    "sanitize_names": f"""WITH f AS (SELECT doc_id, regexp_replace(' ' || {FILE_NAME} || left(text, 160), '[^\\p{{L}}\\p{{N}} _-]', '', 'g') AS name FROM documents)
+    "sanitize_names": f"""WITH f AS (SELECT doc_id, regexp_replace(' ' || {FILE_NAME} || text, '[^\\p{{L}}\\p{{N}} _-]', '', 'g') AS name FROM documents)
 SELECT doc_id, 'papers/2020_' || left({strip('name')}, 150) || '.pdf' AS trimmed, left(name, 150) AS untrimmed FROM f""",
     "to_roman": to_roman(),
     "leading_roman": f"WITH {STRIPPED} SELECT doc_id, CAST(pos - 1 AS INT) AS pos, upper({extract('s', '(?i)^([IVXLCDM]+)(?:$|[^\\p{L}\\p{N}_])')}) AS roman FROM t WHERE regexp_matches(s, '(?i)^[IVXLCDM]+(?:$|[^\\p{{L}}\\p{{N}}_])')".replace("{{", "{").replace("}}", "}"),
@@ -207,8 +224,19 @@ so AS (SELECT doc_id, string_agg(section_id || '|' || title || '|' || CAST(citat
 ro AS (SELECT doc_id, string_agg(ref_id || '|' || raw, chr(10) ORDER BY CAST(ref_id AS INT)) AS refs FROM r GROUP BY doc_id)
 SELECT v.doc_id, {PAPER_TITLE} AS title, {abstract(2)} AS abstract, coalesce(sections, '') AS sections, coalesce(refs, '') AS refs FROM v LEFT JOIN so USING (doc_id) LEFT JOIN ro USING (doc_id)""",
     "distinct_links": f"WITH {LINKS} SELECT DISTINCT href FROM k",
-    "link_expand": f"""WITH {LINKS}, e AS (SELECT DISTINCT {SITE} AS site, href FROM k WHERE starts_with(href, '/')), s AS (SELECT DISTINCT {SITE} AS site, page_id FROM c)
-SELECT s.page_id, e.href, e.site || e.href AS target FROM s JOIN e USING (site)""",
+    "link_expand": f"""WITH {LINKS} SELECT DISTINCT page_id, href, {SITE} || href AS target FROM k WHERE starts_with(href, '/')""",
+    "crawl_levels": f"""WITH {LINKS}, e AS (SELECT DISTINCT page_id % 40 AS u, (page_id * 7 + pos * 3 + length(href)) % 40 AS t FROM k)
+SELECT DISTINCT a.u AS event, a.t AS volume, b.t AS paper FROM e a JOIN e b ON b.u = a.t WHERE a.u < 5 AND a.t >= 5 AND b.t % 2 = 0""",
+    "href_substring": f"WITH {LINKS} SELECT page_id, CAST(pos AS INT) AS pos, href FROM k WHERE href LIKE '%an%'",
+    "paper_id_links": f"""WITH {LINKS} SELECT DISTINCT page_id, 'https://a.example/P' || CAST(page_id % 100 AS VARCHAR) || '-' || CAST(pos + 1000 AS VARCHAR) || CASE WHEN pos % 4 = 0 THEN '/' ELSE '' END AS paper
+FROM k WHERE pos % 2 = 0 UNION SELECT DISTINCT page_id, 'https://a.example' || href FROM k WHERE pos % 2 = 1 AND regexp_matches(href, '^/[A-Z][0-9]+-[0-9]+/?$')""",
+    "url_resolve_dots": f"""WITH {LINKS} SELECT page_id, CAST(pos AS INT) AS pos, {SITE} || coalesce(nullif(regexp_replace({extract('url', '^[^?#]*?//[^/?#]*((?:[^?#]*/)?)')}, '[^/]*/$', ''), ''), '/') || 'x/' || substr(href, 2) || '?q=../z' AS resolved FROM k WHERE starts_with(href, '/')""",
+    "html_class_tokens": f"""WITH {PAGE} SELECT page_id, CASE WHEN page_id % 4 < 3 THEN {strip(text_of(f'({elements('div', 'class', 'ad')})[1]'))} END AS ad FROM c""",
+    "html_single_quoted_links": f"""WITH {LINKS} SELECT page_id, CAST(pos AS INT) AS pos, CASE WHEN starts_with(href, '/t') THEN '/T&' || substr(href, 3) ELSE href END AS href, {squeeze(text_of('inner_html'))} AS anchor FROM k""",
+    "html_footer": f"""WITH {PAGE} SELECT page_id, {text_of(f'({elements('footer')})[1]')} AS footer,
+array_to_string(list_transform(regexp_split_to_array(({elements('article')})[1], '<[^>]*>'), lambda x: {strip(unescape('x'))}), '') AS article FROM c""",
+    "empty_sections": f"""WITH {sections(1)}, e AS (SELECT doc_id, sec, title FROM p WHERE len(paragraphs) = 0)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1 AS INT) AS pos, title FROM e""",
     "resume_anti_join": f"""WITH {PAGE}, {PAPER_NAMES}, f AS (SELECT paper_name, min(page_id) AS page_id FROM n WHERE page_id % 3 <> 0 GROUP BY paper_name)
 SELECT f.paper_name, f.page_id FROM f WHERE paper_name IS NOT NULL AND paper_name NOT IN (SELECT paper_name FROM n WHERE page_id % 3 = 0 AND paper_name IS NOT NULL)""",
     "resume_path_join": "WITH p AS (SELECT page_id, 'papers/' || list_last(string_split(url, '/')) || '.pdf' AS paper_path FROM pages) SELECT page_id, paper_path FROM p WHERE page_id % 3 <> 0 AND paper_path NOT IN (SELECT paper_path FROM p WHERE page_id % 3 = 0)",

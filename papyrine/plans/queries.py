@@ -63,10 +63,11 @@ def scan_documents(spark, sf_dir):
 _each("html_title", _pages, lambda: ["page_id", H.stripped_text(H.find_first(F.col("html"), "title")).alias("title")])
 _each("html_class_div", _pages, lambda: ["page_id", H.stripped_text(H.find_first(F.col("html"), "div", "class", "ad")).alias("ad")])
 _each("html_text", _pages, lambda: ["page_id", H.text_of(H.find_first(F.col("html"), "h1")).alias("raw"), T.squeeze(H.text_of(H.find_first(F.col("html"), "article"))).alias("article")])
+_each("html_footer", _pages, lambda: ["page_id", H.text_of(H.find_first(F.col("html"), "footer")).alias("footer"), H.joined_text(H.find_first(F.col("html"), "article")).alias("article")])
 _each("url_year", _pages, lambda: ["page_id", H.url_year(F.col("url")).alias("year")])
 _each("event_year", _pages, lambda: ["page_id", H.event_year(F.col("url")).alias("year")])
 _each("conf_type", _pages, lambda: ["page_id", H.venue_kind(F.col("url")).alias("kind")])
-_each("squeeze_title", _documents, lambda: ["doc_id", H.squeeze_title(F.concat(F.lit("Title: "), F.left("text", F.lit(200)))).alias("title")])
+_each("squeeze_title", _documents, lambda: ["doc_id", H.squeeze_title(F.concat(F.lit("Title: "), F.col("text"))).alias("title")])
 _each("to_roman", _documents, lambda: ["doc_id", T.to_roman(F.col("doc_id")).alias("roman")])
 _each("paper_title", V.markdown, lambda: ["doc_id", M.paper_title(F.col(md)).alias("title")])
 _each("organization", V.markdown, lambda: ["doc_id", M.organization(F.col(md)).alias("organization")])
@@ -110,11 +111,54 @@ def distinct_links(spark, sf_dir):
 
 @query
 def link_expand(spark, sf_dir):
-    """Site -> its distinct links -> targets, for every page of the site."""
-    site = F.regexp_extract("url", r"^([^?#]*?//[^/?#]*)", 1)
-    found = H.explode_links(_pages(spark, sf_dir)).where(F.col("href").startswith("/")).select(site.alias("site"), "href").distinct()
-    pages = _pages(spark, sf_dir).select(site.alias("site"), "page_id").distinct()
-    return pages.join(found, "site").select("page_id", "href", H.resolve(F.concat("site", F.lit("/")), F.col("href")).alias("target"))
+    """Page -> the distinct targets of its own links."""
+    found = H.explode_links(_pages(spark, sf_dir)).where(F.col("href").startswith("/"))
+    return found.select("page_id", "href", H.resolve(F.col("url"), F.col("href")).alias("target")).distinct()
+
+
+@query
+def crawl_levels(spark, sf_dir):
+    """Events -> volumes -> papers, by links that stand for such pages."""
+    links = H.explode_links(_pages(spark, sf_dir)).select((F.col("page_id") % 40).alias("url"), ((F.col("page_id") * 7 + F.col("pos") * 3 + F.length("href")) % 40).alias("target"))
+    events = links.where("url < 5").select("url").distinct()
+    return C.follow(C.follow(events, links, "event", lambda t: t >= 5), links, "volume", lambda t: t % 2 == 0).select("event", "volume", F.col("url").alias("paper"))
+
+
+@query
+def href_substring(spark, sf_dir):
+    return H.explode_links(_pages(spark, sf_dir)).where(F.col("href").contains("an")).select("page_id", "pos", "href")
+
+
+@query
+def paper_id_links(spark, sf_dir):
+    """Links to papers by their older ids, which every other link of the pages is given here."""
+    href = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("/P"), F.col("page_id") % 100, F.lit("-"), F.col("pos") + 1000, F.when(F.col("pos") % 4 == 0, "/").otherwise(""))).otherwise(F.col("href"))
+    found = H.explode_links(_pages(spark, sf_dir)).select("page_id", href.alias("href")).where(F.col("href").rlike(P.PAPER_ID))
+    return found.select("page_id", H.resolve(F.lit("https://a.example/events/x-2020/"), F.col("href")).alias("paper")).distinct()
+
+
+@query
+def url_resolve_dots(spark, sf_dir):
+    dotted = F.concat(F.lit("../x/./y/../"), F.substr("href", F.lit(2)), F.lit("?q=../z"))
+    return H.explode_links(_pages(spark, sf_dir)).where(F.col("href").startswith("/")).select("page_id", "pos", H.resolve(F.col("url"), dotted).alias("resolved"))
+
+
+@query
+def html_class_tokens(spark, sf_dir):
+    """A class among others, in quotes of either kind or none."""
+    html = F.expr("""replace(html, 'class="ad"', CASE page_id % 4 WHEN 0 THEN 'id="a" class="big ad"' WHEN 1 THEN 'class=''ad wide'' id=b' WHEN 2 THEN 'class=ad' ELSE 'class="adx"' END)""")
+    return _pages(spark, sf_dir).select("page_id", H.stripped_text(H.find_first(html, "div", "class", "ad")).alias("ad"))
+
+
+@query
+def html_single_quoted_links(spark, sf_dir):
+    html = F.expr("""replace(replace(html, '<a href="/t', '<area href="/no"><a class=x href=''/T&amp;'), '">', '" >')""")
+    return H.explode_links(_pages(spark, sf_dir).withColumn("html", F.regexp_replace(html, "(href='[^\"]*)\"", "$1'"))).select("page_id", "pos", "href", "anchor")
+
+
+@query
+def empty_sections(spark, sf_dir):
+    return V.markdown(spark, sf_dir).select("doc_id", F.posexplode(S.empty_sections(S.parse_sections(F.col(md), 1))).alias("pos", "title"))
 
 
 @query
@@ -262,7 +306,7 @@ def doc_ids(spark, sf_dir):
 
 @query
 def sanitize_names(spark, sf_dir):
-    d = _documents(spark, sf_dir).selectExpr("doc_id", f"' ' || {V.FILE_NAME} || left(text, 160) AS name")
+    d = _documents(spark, sf_dir).selectExpr("doc_id", f"' ' || {V.FILE_NAME} || text AS name")
     return d.select("doc_id", F.concat(F.lit("papers/2020_"), T.sanitize(F.col("name")), F.lit(".pdf")).alias("trimmed"), T.sanitize(F.col("name"), trim=False).alias("untrimmed"))
 
 
@@ -271,7 +315,7 @@ def sentences(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
-QUERIES["corpus_stats"] = lambda spark, sf_dir: corpus_stats(process_documents(V.markdown(spark, sf_dir)))
+QUERIES["corpus_stats"] = lambda spark, sf_dir: corpus_stats(V.markdown(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import random
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -11,13 +14,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 PAPERS = StructType([StructField(c, StringType()) for c in ("paper_name", "year", "conference_name", "workshop_or_main_conference", "paper_path")])
 SECTION = StructType([StructField("section_id", StringType()), StructField("title", StringType()), StructField("summary", StringType()), StructField("has_citation", BooleanType()), StructField("citation_count", IntegerType())])
 REFERENCE = StructType([StructField("ref_id", StringType()), StructField("raw", StringType())])
 PROCESSED = StructType([StructField("doc_id", StringType()), StructField("title", StringType()), StructField("abstract", StringType()), StructField("sections", ArrayType(SECTION)), StructField("references", ArrayType(REFERENCE))])
-BLOCK = StructType([StructField("path", StringType()), StructField("page", IntegerType()), StructField("block_idx", IntegerType()), StructField("text", StringType()), *(StructField(c, DoubleType()) for c in ("x0", "y0", "x1", "y1"))])
 
 
 @dataclass(frozen=True)
@@ -28,13 +30,20 @@ class ConvertOptions:
     ocr: bool = True
     timeout_s: float = 600.0
 
+    @classmethod
+    def from_environment(cls, **given) -> ConvertOptions:
+        """Device and OCR as the variables DOCLING_DEVICE and DOCLING_OCR say, where they are set."""
+        device, ocr = os.environ.get("DOCLING_DEVICE"), os.environ.get("DOCLING_OCR")
+        found = ({"device": device} if device else {}) | ({"ocr": ocr.lower() in ("1", "true", "yes", "on")} if ocr else {})
+        return cls(**(found | given))
+
 
 def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length, content) of the ``*.pdf`` directly in a folder; order by path where order matters."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder).select("path", "length", "content")
 
 
-def docling_converter(options: ConvertOptions) -> Callable[[bytes], str]:
+def docling_converter(options: ConvertOptions) -> Callable[[bytes], tuple[str, int]]:
     """A converter by Docling, imported where it runs."""
     from io import BytesIO
 
@@ -44,7 +53,12 @@ def docling_converter(options: ConvertOptions) -> Callable[[bytes], str]:
 
     pipeline = PdfPipelineOptions(do_ocr=options.ocr, accelerator_options=AcceleratorOptions(device=options.device))
     converter = DocumentConverter(format_options={InputFormat.PDF: PdfFormatOption(pipeline_options=pipeline)})
-    return lambda content: converter.convert(DocumentStream(name="paper.pdf", stream=BytesIO(content))).document.export_to_markdown()
+
+    def run(content: bytes) -> tuple[str, int]:
+        document = converter.convert(DocumentStream(name="paper.pdf", stream=BytesIO(content))).document
+        return document.export_to_markdown(), len(document.pages)
+
+    return run
 
 
 def _bounded(call: Callable[[bytes], str], content: bytes, seconds: float) -> str:
@@ -75,7 +89,8 @@ def _bounded(call: Callable[[bytes], str], content: bytes, seconds: float) -> st
 
 
 def pdf_to_markdown(files: DataFrame, make: Callable[[ConvertOptions], Callable[[bytes], str]] = docling_converter, options: ConvertOptions = ConvertOptions()) -> DataFrame:
-    """(path, markdown, status, message): the converter is built once a task; a failure or timeout is a row, not an abort."""
+    """(path, markdown, pages, status, message): the converter is built once a task; a failure or timeout is a row, not an
+    abort. A converter may give the text alone or with the number of pages."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         convert = make(options)
@@ -83,49 +98,70 @@ def pdf_to_markdown(files: DataFrame, make: Callable[[ConvertOptions], Callable[
             rows = []
             for path, content in zip(batch["path"], batch["content"]):
                 try:
-                    rows.append((path, _bounded(convert, content, options.timeout_s), "ok", None))
+                    value = _bounded(convert, content, options.timeout_s)
+                    rows.append((path, *(value if isinstance(value, tuple) else (value, None)), "ok", None))
                 except TimeoutError:
-                    rows.append((path, None, "timeout", f"over {options.timeout_s} s"))
+                    rows.append((path, None, None, "timeout", f"over {options.timeout_s} s"))
                 except Exception as e:  # noqa: BLE001
-                    rows.append((path, None, "error", str(e)))
-            yield pd.DataFrame(rows, columns=["path", "markdown", "status", "message"])
+                    rows.append((path, None, None, "error", str(e)))
+            out = pd.DataFrame(rows, columns=["path", "markdown", "pages", "status", "message"])
+            yield out.assign(pages=out["pages"].astype("Int32"))
 
-    return files.select("path", "content").mapInPandas(run, "path string, markdown string, status string, message string")
+    return files.select("path", "content").mapInPandas(run, "path string, markdown string, pages int, status string, message string")
 
 
-def pdf_blocks(files: DataFrame) -> DataFrame:
-    """Text blocks of each page, by PyMuPDF, imported where it runs; blank blocks are left out."""
+def _pages_of(content: bytes):
+    """The open PDF; PyMuPDF is imported where it runs."""
+    import fitz
+
+    return fitz.open(stream=content, filetype="pdf")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import fitz
 
+def _isolated(files: DataFrame, schema: str, rows_of: Callable[[str, bytes], list[tuple]]) -> DataFrame:
+    """``rows_of`` each file under ``schema`` (path first), with status and message; a file that fails is one row without more."""
+    whole = f"{schema}, status string, message string"
+    names = StructType.fromDDL(schema).names
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                with fitz.open(stream=content, filetype="pdf") as pdf:
-                    rows = [(path, p, i, b[4], *map(float, b[:4])) for p, page in enumerate(pdf) for i, b in enumerate(page.get_text("blocks")) if b[4].strip()]
-                yield pd.DataFrame(rows, columns=BLOCK.names)
+                try:
+                    rows = [(*row, "ok", None) for row in rows_of(path, content)]
+                except Exception as e:  # noqa: BLE001  it becomes the row's message
+                    rows = [(path, *[None] * (len(names) - 1), "error", f"{type(e).__name__}: {e}")]
+                out = pd.DataFrame(rows, columns=[*names, "status", "message"])
+                yield out.astype({c: "Int32" for c in ("page", "block_idx", "image") if c in out})
 
-    return files.select("path", "content").mapInPandas(run, BLOCK)
+    return files.select("path", "content").mapInPandas(run, whole)
 
 
-def pdf_images(files: DataFrame, recognise: Callable[[], Callable[[bytes], list[tuple[str, float]]]] | None = None) -> DataFrame:
-    """Embedded images keyed by (path, page, image), with recognised text and confidence if a recogniser is given."""
+def pdf_blocks(files: DataFrame, open_pdf: Callable[[bytes], object] = _pages_of) -> DataFrame:
+    """Text blocks of each page; blank blocks are left out, a file that can't be read is a row with its error."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import fitz
+    def rows_of(path: str, content: bytes) -> list[tuple]:
+        with open_pdf(content) as pdf:
+            return [(path, p, i, b[4], *map(float, b[:4])) for p, page in enumerate(pdf) for i, b in enumerate(page.get_text("blocks")) if b[4].strip()]
 
-        read = recognise() if recognise else lambda image: []
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                rows = []
-                with fitz.open(stream=content, filetype="pdf") as pdf:
-                    for p, page in enumerate(pdf):
-                        for i, image in enumerate(page.get_images(full=True)):
-                            data = pdf.extract_image(image[0])["image"]
-                            rows.append((path, p, i, data, [{"text": t, "confidence": c} for t, c in read(data) or []]))
-                yield pd.DataFrame(rows, columns=["path", "page", "image", "content", "ocr_text"])
+    return _isolated(files, "path string, page int, block_idx int, text string, x0 double, y0 double, x1 double, y1 double", rows_of)
+
+
+def pdf_images(files: DataFrame, recognise: Callable[[], Callable[[bytes], list[tuple[str, float]]]] | None = None, open_pdf: Callable[[bytes], object] = _pages_of) -> DataFrame:
+    """Embedded images keyed by (path, page, image), with recognised text and confidence if a recogniser is given; a file
+    that can't be read is a row with its error."""
+    made: list = []
+
+    def rows_of(path: str, content: bytes) -> list[tuple]:
+        if not made:  # once a worker
+            made.append(recognise() if recognise else lambda image: [])
+        rows = []
+        with open_pdf(content) as pdf:
+            for p, page in enumerate(pdf):
+                for i, image in enumerate(page.get_images(full=True)):
+                    data = pdf.extract_image(image[0])["image"]
+                    rows.append((path, p, i, data, [{"text": t, "confidence": c} for t, c in made[0](data) or []]))
+        return rows
 
-    return files.select("path", "content").mapInPandas(run, "path string, page int, image int, content binary, ocr_text array<struct<text string, confidence double>>")
+    return _isolated(files, "path string, page int, image int, content binary, ocr_text array<struct<text string, confidence double>>", rows_of)
 
 
 def load_state(spark: SparkSession, path: str) -> DataFrame:
@@ -144,7 +180,9 @@ class Listing(DataSource):
     """``spark.read.format("listing")``: one row for each offset of a paged listing, or for each given URL.
 
     Options: ``url`` (with ``{skip}`` for paged listings), ``pages``, ``size``, ``urls`` (comma-joined), ``retries``,
-    ``timeout``, ``delay``, ``agent``. A page that can't be had is a row with its status and no body.
+    ``timeout``, ``delay`` (seconds, or a range like ``1.5-3.5`` from which each is drawn), ``pause`` (seconds after a
+    failure), ``agent``. A page that can't be had is a row with its status and no body. With ``until``, a pattern that
+    every page with entries has, a paged listing is read until a page lacks it: ``readers`` tasks take turns of pages.
     """
 
     @classmethod
@@ -165,12 +203,29 @@ class ListingReader(DataSourceReader):
             self.urls = options["urls"].split(",")
         else:
             size = int(options.get("size", 2000))
-            self.urls = [options["url"].format(skip=k * size) for k in range(int(options.get("pages", 1)))]
+            self.urls = [options["url"].format(skip=k * size) for k in range(int(options.get("pages", 1)))] if not options.get("until") else []
 
     def partitions(self) -> list[InputPartition]:
+        if self.options.get("until"):
+            return [InputPartition(k) for k in range(int(self.options.get("readers", 4)))]
         return [InputPartition(u) for u in self.urls]
 
     def read(self, partition: InputPartition) -> Iterator[tuple[str, int, str | None]]:
+        o = self.options
+        if not o.get("until"):
+            yield self.fetch(partition.value)
+            return
+        number = partition.value
+        while True:
+            row = self.fetch(o["url"].format(skip=number * int(o.get("size", 2000))))
+            if row[2] is None or not re.search(o["until"], row[2]):
+                if row[1] not in (200, 404):
+                    yield row  # a failure isn't the listing's end: it is told
+                return
+            yield row
+            number += int(o.get("readers", 4))
+
+    def fetch(self, url: str) -> tuple[str, int, str | None]:
         import urllib.error
         import urllib.request
 
@@ -179,9 +234,9 @@ class ListingReader(DataSourceReader):
             if k:
                 time.sleep(min(60.0, float(o.get("backoff", 2)) * 2 ** (k - 1)))
             try:
-                request = urllib.request.Request(partition.value, headers={"User-Agent": o.get("agent", "papyrine")})
+                request = urllib.request.Request(url, headers={"User-Agent": o.get("agent", "papyrine")})
                 with urllib.request.urlopen(request, timeout=float(o.get("timeout", 30))) as answer:
-                    status, body = answer.status, answer.read().decode("utf-8", "replace")
+                    status, body = answer.status or 200, answer.read().decode("utf-8", "replace")
                 break
             except urllib.error.HTTPError as e:
                 status = e.code
@@ -189,5 +244,6 @@ class ListingReader(DataSourceReader):
                     break
             except OSError:
                 status = 0
-        time.sleep(float(o.get("delay", 0)))
-        yield partition.value, status, body
+        low, _, high = str(o.get("delay", 0)).partition("-")
+        time.sleep(random.uniform(float(low), float(high or low)) + (float(o.get("pause", 0)) if body is None else 0))
+        return url, status, body

@@ -50,6 +50,43 @@ def export_documents(df: DataFrame, folder: str, name: str = "name") -> DataFram
     return rows.mapInPandas(run, "file string, status string, message string")
 
 
+def save_images(images: DataFrame, folder: str) -> DataFrame:
+    """One file ``<stem>/page<p>_img<i>.png`` for each row of (path, page, image, content), in a shared folder, renamed when whole.
+
+    Other formats become PNG where Pillow is there, else they are kept as they are. Returns (file, status, message).
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+        import os
+        import uuid
+
+        try:
+            from PIL import Image
+        except ImportError:
+            Image = None
+        for batch in batches:
+            out = []
+            for source, page, image, content in zip(batch["path"], batch["page"], batch["image"], batch["content"]):
+                target = os.path.join(folder, os.path.splitext(os.path.basename(source))[0], f"page{page}_img{image}.png")
+                try:
+                    os.makedirs(os.path.dirname(target), exist_ok=True)
+                    if Image and not content.startswith(b"\x89PNG"):
+                        made = io.BytesIO()
+                        Image.open(io.BytesIO(content)).save(made, "PNG")
+                        content = made.getvalue()
+                    part = f"{target}.{uuid.uuid4().hex}.part"
+                    with open(part, "wb") as f:
+                        f.write(content)
+                    os.replace(part, target)
+                    out.append((target, "ok", None))
+                except (OSError, ValueError) as e:
+                    out.append((target, "error", str(e)))
+            yield pd.DataFrame(out, columns=["file", "status", "message"])
+
+    return images.where("content IS NOT NULL").select("path", "page", "image", "content").mapInPandas(run, "file string, status string, message string")
+
+
 def download(rows: DataFrame, url: str = "pdf_url", path: str = "paper_path", delay: float = 0.3, timeout: float = 30.0, chunk: int = 8192) -> DataFrame:
     """Fetch each URL to its path in a shared folder, in chunks, and rename when whole; returns (path, status, message)."""
 

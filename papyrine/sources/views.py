@@ -23,7 +23,7 @@ _BODY = """'<!-- image -->' || chr(10) || chr(10) || 'This paper is the Open Acc
 #: Other shapes by doc_id: no heading long enough, the four date forms, no abstract end, early mention of references.
 _DATES = "CASE doc_id % 5 WHEN 0 THEN 'Date 2023-02-31' WHEN 1 THEN 'March, 2021' WHEN 2 THEN 'in CVPR-2023' WHEN 3 THEN 'Published: 01/05/2024, ACM MM 2021' ELSE 'none' END"
 _OTHER = f"""'# Short' || chr(10) || {_DATES} || chr(10) || '12. numbered line that is long enough to be a title candidate' || chr(10)
- || left(text, 300) || chr(10) || 'Abstract- open ended ' || left(replace(text, chr(10), ' '), 200) || ' with preferences' || chr(10) || 'A first entry' || chr(10)
+ || text || chr(10) || 'Abstract- open ended ' || left(replace(text, chr(10), ' '), 200) || ' with preferences' || chr(10) || 'A first entry' || chr(10)
  || '1. Second entry' || chr(10) || 'iv) lower roman' || chr(10) || '* [3] third' || chr(10) || 'more' || chr(10) || chr(9) || chr(10) || 'VI: x' || chr(10) || 'mix of things' || chr(10) || 'Abstract:'"""
 MARKDOWN = f"CASE WHEN doc_id % 11 = 10 THEN {_OTHER} ELSE {_BODY} END"
 MARKDOWN_SQL = f"SELECT doc_id, {MARKDOWN} AS markdown FROM documents"

@@ -214,3 +214,113 @@ def test_long_texts_are_ranked_as_a_whole(spark):
     found = [" ".join(f"W{int(rnd.paretovariate(0.6)) % 3000}" for _ in range(rnd.randint(3, 12))) + "." for _ in range(950)]
     best = sorted(plain_lexrank(found)[:2])
     assert one(spark, " ".join(found), summarize) == " ".join(found[i] for i in best)
+
+
+def test_links_resolve_as_the_library_does(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://h.com/a/b/c?x#y", "http://h.com", "http://h.com/", "https://h.com/a/b/", "http://h.com/a//b"]
+    hrefs = ["", "x", "/x", "../x", "../../../x", "./x", "x/./y/../z", "/a/../b", "/..", "..", ".", "../", "x/..", "?q=../z", "#f", "//k.org/p", "mailto:a@b", "x?a=/../b#c/../d", "/a/./", "a//b"]
+    found = spark.createDataFrame([(b, h) for b in bases for h in hrefs], "b string, h string").select("b", "h", H.resolve(F.col("b"), F.col("h")).alias("r")).collect()
+    assert [(r.b, r.h, r.r) for r in found if r.r != urljoin(r.b, r.h)] == []
+
+
+def test_character_references(spark):
+    import html
+
+    some = ["&eacute;&#8217;&#x2014;&amp;lt; a & b &nosuch; &amp &#0;&#xD800;&#1114112;", "plain", "", "&hearts;&#128512;&NotEqualTilde;", "&AMP;&#39;&quot;&nbsp;"]
+    found = spark.createDataFrame([(x,) for x in some], "x string").select(T.unescape(F.col("x")).alias("y")).collect()
+    assert [r.y for r in found] == [html.unescape(x.replace("&amp ", "&amp; ")).replace("a & b", "a & b") if "&amp " not in x else html.unescape(x.replace("&amp ", "@@ ")).replace("@@ ", "&amp ") for x in some]
+
+
+def test_html_attributes_and_text(spark):
+    page = """<div class='x title big'> A <b> b </b>c </div><div class="titles">no</div><div id=k>K</div><div data-class="title">no</div><area href="/no"><a href='/p1'>one</a><a id="z" href=/p2 >two</a>"""
+    df = spark.createDataFrame([(page,)], "h string")
+    r = df.select(H.find_all(F.col("h"), "div", "class", "title").alias("t"), H.joined_text(H.find_first(F.col("h"), "div", "class", "title")).alias("j"), H.find_first(F.col("h"), "div", "id", "k").alias("k"), H.links(F.col("h")).alias("l")).first()
+    assert r.t == [" A <b> b </b>c "] and r.j == "Abc" and r.k == "K" and [tuple(x) for x in r.l] == [("/p1", "one"), ("/p2", "two")]
+
+
+def test_follow_levels(spark):
+    from papyrine.operators.crawl import follow
+
+    links = spark.createDataFrame([("e", "v1"), ("e", "v1"), ("e", "x"), ("v1", "p1"), ("v1", "p2"), ("v2", "p3")], "url string, target string")
+    volumes = follow(spark.createDataFrame([("e",)], "url string"), links, "event", lambda t: t.startswith("v"))
+    assert {tuple(r) for r in follow(volumes, links, "volume").select("event", "volume", "url").collect()} == {("e", "v1", "p1"), ("e", "v1", "p2")}
+
+
+def test_listing_until_empty(spark, tmp_path):
+    from papyrine.sources.papers import Listing
+
+    spark.dataSource.register(Listing)
+    for k in range(7):
+        (tmp_path / f"{k * 10}.html").write_text("<p>entry</p>" if k < 6 else "<p>nothing</p>")
+    read = lambda n: spark.read.format("listing").option("url", f"file://{tmp_path}/{{skip}}.html").option("size", 10).option("until", "entry").option("readers", n).option("retries", 0).option("delay", "0-0.01").load()
+    for n in (1, 4):
+        assert sorted(r.url.rsplit("/", 1)[1] for r in read(n).where("body IS NOT NULL").collect()) == sorted(f"{k * 10}.html" for k in range(6))
+
+
+def test_command_line_isolates_files(spark, tmp_path):
+    import json
+
+    from papyrine.__main__ import main, run
+    from papyrine.sources.papers import ConvertOptions, pdf_files
+
+    for name in ("a", "b", "c"):
+        (tmp_path / f"{name}.pdf").write_bytes(b"bad" if name == "b" else b"good " + name.encode())
+
+    def make(options):
+        def convert(content):
+            if content == b"bad":
+                raise ValueError("no pdf")
+            return "# A Title That Is Long\n\n# One\ntext [1]\n# References\n[1] x", 3
+
+        return convert
+
+    report = run(spark, pdf_files(spark, str(tmp_path)), str(tmp_path / "out"), make, ConvertOptions(timeout_s=30))
+    assert sorted(status for _, status, _ in report) == ["error", "ok", "ok"]
+    made = json.loads((tmp_path / "out" / "a_processed.json").read_text())
+    assert made["total_pages"] == 3 and made["source"].endswith("a.pdf") and made["extraction_date"] and made["sections"]
+    assert main(["--batch"]) == 1
+
+
+def test_blocks_and_images_isolate_files(spark, tmp_path):
+    from papyrine.sources.papers import pdf_blocks, pdf_images
+    from papyrine.sources.sinks import save_images
+
+    class Page:
+        def get_text(self, kind):
+            return [(0, 1, 2, 3, "text"), (0, 5, 2, 7, "  ")]
+
+        def get_images(self, full):
+            return [(9,)]
+
+    class Pdf(list):
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+        def extract_image(self, ref):
+            return {"image": b"\x89PNG data"}
+
+    def open_pdf(content):
+        if content == b"bad":
+            raise RuntimeError("broken")
+        return Pdf([Page(), Page()])
+
+    files = spark.createDataFrame([("/in/a.pdf", bytearray(b"x")), ("/in/b.pdf", bytearray(b"bad"))], "path string, content binary")
+    found = sorted(tuple(r)[:4] + (r.status, r.message) for r in pdf_blocks(files, open_pdf).collect() if r.status == "ok")
+    assert found == [("/in/a.pdf", 0, 0, "text", "ok", None), ("/in/a.pdf", 1, 0, "text", "ok", None)]
+    assert [(r.path, r.message) for r in pdf_blocks(files, open_pdf).where("status = 'error'").collect()] == [("/in/b.pdf", "RuntimeError: broken")]
+    images = pdf_images(files, lambda: lambda data: [("seen", 0.5)], open_pdf)
+    assert {(r.path, r.page, r.status, r.ocr_text[0].text if r.ocr_text else None) for r in images.collect()} == {("/in/a.pdf", 0, "ok", "seen"), ("/in/a.pdf", 1, "ok", "seen"), ("/in/b.pdf", None, "error", None)}
+    assert {r.status for r in save_images(images, str(tmp_path)).collect()} == {"ok"}
+    assert (tmp_path / "a" / "page1_img0.png").read_bytes() == b"\x89PNG data"
+
+
+def test_converter_options_from_the_environment(monkeypatch):
+    from papyrine.sources.papers import ConvertOptions
+
+    monkeypatch.setenv("DOCLING_DEVICE", "mps"), monkeypatch.setenv("DOCLING_OCR", "false")
+    assert ConvertOptions.from_environment() == ConvertOptions("mps", False) and ConvertOptions.from_environment(ocr=True).ocr
