@@ -96,9 +96,11 @@ class Shard:
 
 
 class Block:
-    """Queries that are asked together: their own ids, and their terms as places in one sorted vocabulary."""
+    """Queries that are asked together: their own ids, their terms as places in one sorted vocabulary, and the terms' weights
+    (one each, unless they are given)."""
 
-    def __init__(self, queries: list[tuple[int, np.ndarray]]):
+    def __init__(self, queries: list[tuple[int, np.ndarray]], weights: np.ndarray | None = None):
+        self.weights = weights
         self.own = np.array([q for q, _ in queries], np.int64)
         self.first = np.cumsum([0, *(len(t) for _, t in queries)])
         self.vocabulary, code = np.unique(np.concatenate([np.zeros(0, np.uint64), *(t for _, t in queries)]), return_inverse=True)
@@ -169,17 +171,18 @@ class Index:
             first = block.first[start : start + len(own) + 1]
             at = place[block.code[first[0] : first[-1]]]
             query = np.repeat(np.arange(len(own)), np.diff(first))[at >= 0]
+            weight = (np.ones(len(at)) if block.weights is None else block.weights[first[0] : first[-1]])[at >= 0]
             above = np.zeros(len(own)) if least is None else least[start : start + TOGETHER]
-            query, found, score = self._together(own, query, at[at >= 0], k, above)
+            query, found, score = self._together(own, query, at[at >= 0], weight, k, above)
             parts.append((query + start, found, score))
         return tuple(map(np.concatenate, zip(*parts)))
 
-    def _together(self, own: np.ndarray, query: np.ndarray, at: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _together(self, own: np.ndarray, query: np.ndarray, at: np.ndarray, weight: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         q, n = len(own), self.n
-        rows = self.row[at]
+        rows, asker = self.row[at], query
         asks = np.zeros((q, len(self.most)), np.float32)
-        asks[query[rows >= 0], rows[rows >= 0]] = 1
-        short, whose, asker = at[rows < 0], query[rows < 0], query
+        asks[query[rows >= 0], rows[rows >= 0]] = weight[rows >= 0]
+        short, whose, factor = at[rows < 0], query[rows < 0], weight[rows < 0]
         score = np.empty((q, n))
         cuts = np.searchsorted(whose, np.arange(0, q + AT_ONCE, AT_ONCE))
         for low, x, y in zip(range(0, q, AT_ONCE), cuts, cuts[1:]):  # so many queries' lists at once as caches hold
@@ -189,7 +192,7 @@ class Index:
             cell = np.repeat((whose[x:y] - low) * n, size)
             cell += self.document[where]
             some = min(AT_ONCE, q - low)
-            score[low : low + some] = np.bincount(cell, weights=self.impact[where], minlength=some * n).reshape(some, n)
+            score[low : low + some] = np.bincount(cell, weights=self.impact[where] * np.repeat(factor[x:y], size), minlength=some * n).reshape(some, n)
         edges = np.arange(self.blocks) * BLOCK
         bound = np.maximum.reduceat(score, edges, axis=1) + asks @ self.most
         slack = ERROR * np.maximum(1.0, bound.max(1))
@@ -223,26 +226,25 @@ class Index:
         last = np.minimum(begin + k - 1, np.searchsorted(query, np.arange(q), "right") - 1)
         kept = value >= (value[np.maximum(last, 0)] - 2 * slack)[query] if len(value) else np.zeros(0, bool)
         query, found = query[kept], found[kept]
-        value = np.round(self._exactly(at, asker, query, found), 9)
+        value = np.round(self._exactly(at, weight, asker, query, found), 9)
         order = np.lexsort((self.rank[found], -value, query))
         query, found, value = query[order], found[order], value[order]
         nth = np.arange(len(query)) - np.searchsorted(query, query)
         kept = (nth < k) & (value > 0) & (value >= least[query])
         return query[kept], found[kept], value[kept]
 
-    def _exactly(self, term: np.ndarray, whose: np.ndarray, query: np.ndarray, found: np.ndarray) -> np.ndarray:
+    def _exactly(self, term: np.ndarray, weight: np.ndarray, whose: np.ndarray, query: np.ndarray, found: np.ndarray) -> np.ndarray:
         """Scores of documents for queries (ascending) that ask for ``term``, summed in 64 bits in the order of the terms."""
-        out, asked = np.zeros(len(query)), np.zeros(len(self.terms), bool)
+        out, asked = np.zeros(len(query)), np.zeros(len(self.terms))
         begin, mine = np.searchsorted(query, np.arange(int(whose.max(initial=-1)) + 2)), np.searchsorted(whose, np.arange(int(whose.max(initial=-1)) + 2))
         for q in np.unique(query).tolist():
             some = slice(begin[q], begin[q + 1])
             d = found[some]
-            asked[term[mine[q] : mine[q + 1]]] = True
+            asked[term[mine[q] : mine[q + 1]]] = weight[mine[q] : mine[q + 1]]
             size = self.start[d + 1] - self.start[d]
             where = np.repeat(self.start[d] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            hit = asked[self.by_term[where]]
-            out[some] = np.bincount(np.repeat(np.arange(len(d)), size)[hit], weights=self.by_impact[where[hit]], minlength=len(d))
-            asked[term[mine[q] : mine[q + 1]]] = False
+            out[some] = np.bincount(np.repeat(np.arange(len(d)), size), weights=self.by_impact[where] * asked[self.by_term[where]], minlength=len(d))
+            asked[term[mine[q] : mine[q + 1]]] = 0
         return out
 
 

@@ -1,17 +1,19 @@
 """Operator 3: toxicity by the nearest labelled examples.
 
-Labelled examples are TF-IDF vectors over words and word beginnings that labels single out; equal vectors are one entry
-with its counts of either label. Entries lie in blocks; a term's postings carry their largest weight per block. A query
-adds up block bounds, visits blocks from the highest bound down and stops when no bound can reach its k-th best score, so
-the k nearest entries by cosine are exact. They vote with weights that fall with distance; a logistic curve fitted to
-leave-one-out votes turns votes into probabilities. The neighbours are returned as evidence.
-
-Bounds, all parameters: at most about ``PER_CLASS`` labelled rows of each label (drawn by a hash of doc_id) are examples;
-at most ``TERMS`` terms. Document frequencies are counted over all documents.
-
-Edge cases: null and empty texts and texts without any term get the share of toxic examples without one; null labels and
-null doc_ids aren't learnt from; repeated rows score alike; ties between entries go to the lower entry; without labels
-every score is 0; an empty table gives an empty one.
+Labelled examples are TF-IDF vectors over all words of theirs: (1 + log tf) idf, times how strongly the word goes with
+either label (the size of its z-value among the examples), scaled to length one. They lie in a block-max inverted index (see
+``search.Index``): short lists are read whole, long ones have maxima by block, and only blocks that can hold one of the
+k nearest are completed, so the k nearest examples by cosine are exact. They vote with weights that fall with distance; a
+logistic curve turns votes into probabilities. It is fitted on votes of one half of the examples, whose weights and index
+come from the other half. The neighbours are returned as evidence.
+
+Bound of the training sample, a parameter: about ``PER_CLASS`` labelled rows of each label (drawn by a hash of doc_id). All
+their words are kept; document frequencies are counted over all documents.
+
+Edge cases: null and empty texts and texts without a known word get the share of toxic examples without one; null labels and
+null doc_ids aren't learnt from, a doc_id with both labels counts as toxic; repeated rows score alike; equal examples are
+one entry with its counts of either label; ties between entries go to the lower entry; without examples of both labels
+every score is the share of toxic labels; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,149 +22,103 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from papyrine.llm.common import append_columns, decode_texts, materialize, pick, remainder, slices
+from papyrine.llm.common import append_columns, chance, decode_texts, materialize, pick, remainder, slices
+from papyrine.llm.search import Block, Index
 
-PER_CLASS, TERMS, MIN_DF, MIN_Z = 4000, 4096, 5, 6.0
-NEIGHBOURS, BLOCK, MASS = 10, 64, 0.2
-BEGINNING = 5
+PER_CLASS = 4000
+NEIGHBOURS, MASS = 10, 0.2
 THRESHOLD = 0.7
-#: Results that a worker keeps by vector.
-CACHE = 50_000
 WORDS = re.compile(r"[^\W_]+")
 
 
-def terms_of(text: str | None) -> set[str]:
-    """Words as they are, beginnings of longer words with a trailing ``*``."""
-    words = set(WORDS.findall(text.lower())) if text else set()
-    return {w for w in words if len(w) > 1} | {w[:BEGINNING] + "*" for w in words if len(w) > BEGINNING}
-
-
-class Counts:
-    """Occurrences of chosen terms in a text, by one automaton over all of them."""
-
-    def __init__(self, terms: list[str]):
-        self.automaton = ahocorasick.Automaton()
-        for i, term in enumerate(terms):
-            key, start = term.rstrip("*"), term.endswith("*")
-            held = self.automaton.get(key, ())
-            self.automaton.add_word(key, (*held, (i, len(key), start)))
-        self.some = bool(terms)
-        if self.some:
-            self.automaton.make_automaton()
-
-    def __call__(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        if not text or not self.some:
-            return out
-        text = text.lower()
-        last = len(text)
-        for end, found in self.automaton.iter(text):
-            for i, size, start in found:
-                at = end - size
-                if at >= 0 and text[at].isalnum():
-                    continue
-                follows = end + 1 < last and text[end + 1].isalnum()
-                if follows == start:  # a beginning goes on, a word ends
-                    out[i] = out.get(i, 0) + 1
-        return out
+def count_words(text: str | None) -> Counter:
+    return Counter(WORDS.findall(text.lower())) if text else Counter()
 
 
 @dataclass
-class Index:
-    """Block-max inverted index over unit vectors; ``toxic`` and ``clean`` are an entry's weighted labels."""
+class Examples:
+    """Labelled entries as sorted rows (entry, term, count), and how many rows of either label each stands for."""
 
-    vectors: list[tuple[tuple[int, ...], tuple[float, ...]]]
-    toxic: np.ndarray
+    entry: np.ndarray
+    term: np.ndarray
+    count: np.ndarray
     clean: np.ndarray
-    n_terms: int
-    postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
-
-    def __post_init__(self):
-        by_term: dict[int, list[tuple[int, float]]] = {}
-        for e, (terms, weights) in enumerate(self.vectors):
-            for t, w in zip(terms, weights):
-                by_term.setdefault(t, []).append((e, w))
-        for t, entries in by_term.items():
-            e = np.array([x[0] for x in entries])
-            w = np.array([x[1] for x in entries])
-            blocks, first = np.unique(e // BLOCK, return_index=True)
-            self.postings[t] = (e, w, blocks, np.append(first, len(e)), np.maximum.reduceat(w, first))
-
-    def nearest(self, terms, weights, k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
-        """(cosine, entry) of the k nearest entries that share a term, best first."""
-        n_blocks = -(-len(self.vectors) // BLOCK)
-        bound = np.zeros(n_blocks)
-        lists = [(w, *self.postings[t]) for t, w in zip(terms, weights) if t in self.postings]
-        for w, _, _, blocks, _, most in lists:
-            bound[blocks] += w * most
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for w, e, v, blocks, first, _ in lists:
-                at = int(np.searchsorted(blocks, b))
-                if at < len(blocks) and blocks[at] == b:
-                    lo, hi = first[at], first[at + 1]
-                    score[e[lo:hi] - b * BLOCK] += w * v[lo:hi]
-            hits = np.flatnonzero(score)
-            best = sorted([*best, *((-round(float(score[i]), 12), b * BLOCK + int(i)) for i in hits if b * BLOCK + int(i) != without)])[:k]
-        return [(-s, e) for s, e in best]
+    toxic: np.ndarray
+
+    def some(self, keep: np.ndarray) -> Examples:
+        place = np.cumsum(keep) - 1
+        rows = keep[self.entry]
+        return Examples(place[self.entry[rows]], self.term[rows], self.count[rows], self.clean[keep], self.toxic[keep])
 
 
-@dataclass
 class Model:
-    terms: list[str]
-    idf: np.ndarray
-    index: Index
-    prior: float
-    none: float
-    slope: float = 1.0
-    shift: float = 0.0
-
-    def vector(self, counts: dict[int, int]) -> tuple[tuple[int, ...], tuple[float, ...]]:
-        some = sorted(counts)
-        raw = [(1 + math.log(counts[t])) * float(self.idf[t]) for t in some]
-        norm = math.sqrt(sum(x * x for x in raw)) or 1.0
-        return tuple(some), tuple(x / norm for x in raw)
-
-    def vote(self, near: list[tuple[float, int]], own: tuple[int, float, float] | None = None) -> float:
-        """Share of toxic weight among neighbours and a prior of weight ``MASS``; a neighbour at distance d (1 less its
-        cosine) weighs (1 - d) squared. ``own`` takes one example out."""
-        toxic, total = self.prior * MASS, MASS
-        for cosine, e in near:
-            w = cosine * cosine
-            t, c = float(self.index.toxic[e]), float(self.index.clean[e])
-            if own and own[0] == e:
-                t, c = t - own[1], c - own[2]
-            toxic += w * t
-            total += w * (t + c)
-        return toxic / total
-
-    def probability(self, vote: float) -> float:
-        vote = min(max(vote, 1e-6), 1 - 1e-6)
-        x = self.slope * math.log(vote / (1 - vote)) + self.shift
-        return 1 / (1 + math.exp(-max(-35.0, min(35.0, x))))
-
-    def score(self, counts: dict[int, int]) -> tuple[float, str]:
-        """Probability, and evidence as ``terms=cosine`` of the nearest entries."""
-        if not counts:
-            return self.none, ""
-        terms, weights = self.vector(counts)
-        near = self.index.nearest(terms, weights)
-        if not near:
-            return self.none, ""
-        said = ";".join(f"{'+'.join(self.terms[t] for t in self.index.vectors[e][0][:4])}={c:.3f}" for c, e in near[:3])
-        return self.probability(self.vote(near)), said
+    """Weights of the terms, the entries' index, and what turns a vote into a probability."""
+
+    def __init__(self, words: list[str], idf: np.ndarray, examples: Examples, class_weight: tuple[float, float], prior: float):
+        self.words, self.examples, self.prior, self.none = words, examples, prior, prior
+        self.slope, self.shift = 1.0, 0.0
+        self.clean, self.toxic = examples.clean * class_weight[0], examples.toxic * class_weight[1]
+        n = examples.clean.sum() + examples.toxic.sum()
+        of = lambda x: np.bincount(examples.term, weights=x[examples.entry], minlength=len(words))
+        share = (of(examples.clean) + of(examples.toxic)) / max(1, n)
+        expected = examples.toxic.sum() * share
+        z = (of(examples.toxic) - expected) / np.sqrt(expected * (1 - share) + 1e-9)
+        self.weight = idf * np.abs(z) * (share > 0)
+        value = self.vectors(examples.entry, examples.term, examples.count, len(examples.clean))
+        order = np.lexsort((examples.entry, examples.term))
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(examples.term, minlength=len(words)))])
+        self.document, self.impact = examples.entry[order], value[order]
+        self._index: Index | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_index": None, "examples": None}
+
+    @property
+    def index(self) -> Index:
+        if self._index is None:
+            self._index = Index(list(range(len(self.clean))), np.arange(len(self.words)).astype(np.uint64), self.first, self.document, self.impact)
+        return self._index
+
+    def vectors(self, row: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+        """The weights of the terms of n rows, each row of length one."""
+        raw = (1 + np.log(count)) * self.weight[term]
+        norm = np.sqrt(np.bincount(row, weights=raw * raw, minlength=n))
+        return raw / np.where(norm > 0, norm, 1)[row]
+
+    def nearest(self, row: np.ndarray, term: np.ndarray, count: np.ndarray, n: int, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, entries and cosines of each row's k nearest entries that share a term of weight, best first; sorted rows given."""
+        cut = np.searchsorted(row, np.arange(n + 1))
+        block = Block([(-1, term[a:b].astype(np.uint64)) for a, b in zip(cut, cut[1:])], self.vectors(row, term, count, n))
+        return self.index.search(block, k)
+
+    def votes(self, row: np.ndarray, entry: np.ndarray, cosine: np.ndarray, n: int) -> np.ndarray:
+        """Share of toxic weight among the neighbours and a prior of weight ``MASS``; one at distance d (1 less its cosine)
+        weighs (1 - d) squared; rows without neighbours have -1."""
+        w = cosine * cosine
+        toxic, clean = (np.bincount(row, weights=w * x[entry], minlength=n) for x in (self.toxic, self.clean))
+        share = (self.prior * MASS + toxic) / (MASS + toxic + clean)
+        return np.where(np.bincount(row, minlength=n) > 0, share, -1.0)
+
+    def probability(self, vote: np.ndarray) -> np.ndarray:
+        v = np.clip(vote, 1e-6, 1 - 1e-6)
+        made = 1 / (1 + np.exp(-np.clip(self.slope * np.log(v / (1 - v)) + self.shift, -35, 35)))
+        return np.where(vote < 0, self.none, made)
+
+    def names(self) -> list[str]:
+        """Each entry's label and its terms of most weight."""
+        order = np.lexsort((-self.impact, self.document))
+        term = np.repeat(np.arange(len(self.words)), np.diff(self.first))[order]
+        cut = np.searchsorted(self.document[order], np.arange(len(self.clean) + 1))
+        label = np.where(self.toxic > self.clean, "toxic", "clean")
+        return [f"{x}:{'+'.join(self.words[t] for t in term[a : min(b, a + 3)])}" for x, a, b in zip(label, cut, cut[1:])]
 
 
 def _curve(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -181,101 +137,119 @@ def _curve(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[fl
     return max(0.1, float(w[0])), float(w[1])
 
 
-def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, terms: int = TERMS) -> Model:
+def _no_examples(prior: float) -> Model:
+    none = np.zeros(0, np.int64)
+    return Model([], np.zeros(0), Examples(none, none, none, none, none), (1.0, 1.0), prior)
+
+
+def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Learn from ``labels`` (doc_id, toxic) of rows whose crc32 remainder isn't 1, and the texts of ``documents``."""
-    spark = documents.sparkSession
     documents = pick(documents, "doc_id", "text")
     known = pick(labels, "doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (remainder(F.col("doc_id")) != 1))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     total = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = {c: min(1.0, per_class / n) for c, n in total.items()}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, int(1_000_000 * share.get(1, 0))).otherwise(int(1_000_000 * share.get(0, 0)))
-    chosen = known.where(draw)  # about ``per_class`` rows of each label: broadcast by construction
-    sample = materialize(documents.join(F.broadcast(chosen), "doc_id").select("toxic", "text"), "toxicity-sample")
-    size = Counter({r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()})
-    weight = {c: total[c] / size[c] for c in size}
-    prior = total.get(1, 0) / max(1, sum(total.values()))
-    if not size[0] or not size[1]:
-        return Model([], np.zeros(0), Index([], np.zeros(0), np.zeros(0), 0), prior, prior)
+    chosen = known.where(chance("toxicity", "doc_id") < F.when(F.col("toxic") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)))
+    # about ``per_class`` rows of each label: broadcast by construction; rows that share a drawn id have one text each
+    drawn = documents.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.first("toxic").alias("toxic"), F.first("text").alias("text"))
+    sample = materialize(drawn.select("toxic", "text"), "toxicity-sample")
 
-    def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 1):
-                tally: dict[str, list[int]] = {}
-                for toxic, text in zip(batch.column(0).to_pylist(), decode_texts(batch.column(1))):
-                    for t in terms_of(text):
-                        tally.setdefault(t, [0, 0])[toxic] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), *(pa.array([v[i] for v in tally.values()], pa.int64()) for i in (0, 1))], names=["term", "clean", "toxic"])
-
-    tallied = sample.mapInArrow(count_terms, StructType([StructField("term", StringType()), StructField("clean", LongType()), StructField("toxic", LongType())]))
-    a, b = F.col("toxic"), F.col("clean")
-    p = (a + b) / F.lit(size[0] + size[1])
-    expected = F.lit(size[1]) * p
-    z = (a - expected) / F.sqrt(expected * (1 - p) + 1e-9)
-    chosen_terms = tallied.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where((a >= MIN_DF) & (z >= MIN_Z)).orderBy(z.desc(), "term").limit(terms)
-    vocabulary = [r.term for r in chosen_terms.collect()]
+                found = [sorted(count_words(t).items()) for t in decode_texts(batch.column(1))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[w for w, _ in x] for x in found], pa.list_(pa.string())), pa.array([[n for _, n in x] for x in found], pa.list_(pa.int32()))], names=["toxic", "words", "counts"])
+
+    # of about ``per_class`` rows of each label
+    table = sample.mapInArrow(split, "toxic int, words array<string>, counts array<int>").toArrow().combine_chunks()
+    prior = total.get(1, 0) / max(1, sum(total.values()))
+    toxic = table.column("toxic").to_numpy()
+    size = Counter(toxic.tolist())
+    if not size[0] or not size[1]:
+        return _no_examples(prior)
+    entries: dict[tuple, list[int]] = {}
+    for label, words, counts in zip(toxic.tolist(), table.column("words").to_pylist(), table.column("counts").to_pylist()):
+        entries.setdefault((tuple(words), tuple(counts)), [0, 0])[label] += 1
+    none = entries.pop(((), ()), [0, 0])
+    rows = sorted(entries.items())
+    vocabulary = sorted({w for (words, _), _ in rows for w in words})
+    number = {w: i for i, w in enumerate(vocabulary)}
 
     def count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = Counts(vocabulary), np.zeros(len(vocabulary) + 1, np.int64)
+        n = np.zeros(len(number) + 1, np.int64)
         for whole in batches:
             for batch in slices(whole, 0):
                 for text in decode_texts(batch.column(0)):
                     n[-1] += 1
-                    for t in counts(text):
-                        n[t] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n)], names=["term", "n"])
+                    if text:
+                        n[[number[w] for w in set(WORDS.findall(text.lower())) if w in number]] += 1
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], names=["term", "n"])
 
     frequency = documents.select("text").mapInArrow(count_documents, StructType([StructField("term", IntegerType()), StructField("n", LongType())]))
-    df = {r.term: r.n for r in frequency.groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    everything = df.get(len(vocabulary), 0)
-    idf = np.array([math.log((1 + everything) / (1 + df.get(i, 0))) + 1 for i in range(len(vocabulary))])
-    model = Model(vocabulary, idf, Index([], np.zeros(0), np.zeros(0), 0), prior, prior)
-
-    def count_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(vocabulary)
-        for whole in batches:
-            for batch in slices(whole, 1):
-                found = [sorted(counts(t).items()) for t in decode_texts(batch.column(1))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([",".join(f"{t}:{n}" for t, n in x) for x in found], pa.string())], names=["toxic", "counts"])
-
-    rows = sample.mapInArrow(count_sample, StructType([StructField("toxic", IntegerType()), StructField("counts", StringType())]))
-    entries = rows.groupBy("counts", "toxic").agg(F.count("*").alias("n")).collect()  # at most the sample's rows
-    labelled: dict[str, list[float]] = {}
-    for r in entries:
-        labelled.setdefault(r.counts, [0, 0])[r.toxic] = r.n
-    none = labelled.pop("", [0, 0])
+    df = np.zeros(len(number) + 1)
+    for r in frequency.groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row a known word
+        df[r.term] = r.n
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+    length = np.array([len(words) for (words, _), _ in rows], np.int64)
+    examples = Examples(
+        np.repeat(np.arange(len(rows)), length), np.array([number[w] for (words, _), _ in rows for w in words], np.int64), np.array([c for (_, counts), _ in rows for c in counts], float),
+        np.array([n[0] for _, n in rows], float), np.array([n[1] for _, n in rows], float))
+    # entries with the same word of most weight lie together
+    everything = sum(total.values()) / sum(size.values())
+    weight = (total[0] / size[0] / everything, total[1] / size[1] / everything)
+    model = Model(vocabulary, idf, _together(vocabulary, idf, examples, weight, prior), weight, prior)
     model.none = (none[1] * weight[1] + prior) / (none[0] * weight[0] + none[1] * weight[1] + 1)
-    parsed = [(model.vector({int(t): int(n) for t, n in (x.split(":") for x in key.split(","))}), v) for key, v in labelled.items()]
-    parsed.sort(key=lambda x: (-max(zip(x[0][1], x[0][0]))[1], x[0]))  # entries with the same leading term lie together
-    model.index = Index([v for v, _ in parsed], np.array([n[1] * weight[1] for _, n in parsed]), np.array([n[0] * weight[0] for _, n in parsed]), len(vocabulary))
-    votes, toxic, weights = [], [], []
-    for e, ((t, w), n) in enumerate(parsed):
-        near = model.index.nearest(t, w)
-        for label in (0, 1):
-            if n[label]:
-                votes.append(model.vote(near, (e, weight[1] * label, weight[0] * (1 - label))))
-                toxic.append(label)
-                weights.append(n[label] * weight[label])
+    votes, truth, weights = [], [], []
+    half = np.arange(len(model.clean)) % 2 == 0
+    for ours in (half, ~half):
+        theirs, asked = model.examples.some(~ours), model.examples.some(ours)
+        if not theirs.clean.sum() or not theirs.toxic.sum() or not ours.any():
+            continue
+        other = Model(vocabulary, idf, theirs, weight, prior)
+        n = len(asked.clean)
+        found = other.votes(*other.nearest(asked.entry, asked.term, asked.count, n), n)
+        for label, many in ((0, asked.clean), (1, asked.toxic)):
+            some = (many > 0) & (found >= 0)
+            votes.append(found[some]), truth.append(np.full(int(some.sum()), label)), weights.append(many[some] * weight[label])
     if votes:
-        model.slope, model.shift = _curve(np.array(votes), np.array(toxic), np.array(weights))
+        model.slope, model.shift = _curve(*map(np.concatenate, (votes, truth, weights)))
     return model
 
 
+def _together(words: list[str], idf: np.ndarray, examples: Examples, weight: tuple[float, float], prior: float) -> Examples:
+    """The examples in the order of their words of most weight, so that blocks differ in what they can score."""
+    model = Model(words, idf, examples, weight, prior)
+    n = len(examples.clean)
+    value = model.vectors(examples.entry, examples.term, examples.count, n)
+    order = np.lexsort((-value, examples.entry))
+    lead = examples.term[order[np.searchsorted(examples.entry[order], np.arange(n))]]
+    place = np.empty(n, np.int64)
+    moved = np.lexsort((np.arange(n), lead))
+    place[moved] = np.arange(n)
+    entry = place[examples.entry]
+    rows = np.lexsort((examples.term, entry))
+    return Examples(entry[rows], examples.term[rows], examples.count[rows], examples.clean[moved], examples.toxic[moved])
+
+
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` with ``score`` (probability that the text is toxic) and ``evidence``."""
+    sent = df.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def make():
-        counts, cache = Counts(model.terms), {}
-
-        def one(t: str | None) -> tuple[float, str]:
-            found = counts(t)
-            key = tuple(sorted(found.items()))
-            if key not in cache:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                cache[key] = model.score(found)
-            return cache[key]
-
-        return lambda column: [list(x) for x in zip(*map(one, decode_texts(column)))] if len(column) else [[], []]
+        model = sent.value
+        number, names = {w: i for i, w in enumerate(model.words)}, model.names()
+
+        def run(column: pa.Array) -> list:
+            found = [sorted((number[w], c) for w, c in count_words(t).items() if w in number) for t in decode_texts(column)]
+            n = len(found)
+            row = np.repeat(np.arange(n), [len(x) for x in found])
+            term, count = (np.array([x[k] for f in found for x in f], kind) for k, kind in ((0, np.int64), (1, float)))
+            near = model.nearest(row, term, count, n)
+            cut = np.searchsorted(near[0], np.arange(n + 1))
+            said = [";".join(f"{names[e]}={c:.3f}" for e, c in zip(near[1][a : min(b, a + 3)].tolist(), near[2][a : min(b, a + 3)].tolist())) for a, b in zip(cut, cut[1:])]
+            return [model.probability(model.votes(*near, n)), said]
+
+        return run
 
     return append_columns(df, StructType([StructField("score", DoubleType()), StructField("evidence", StringType())]), make, text)

@@ -423,17 +423,41 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(p for t, p in held if not t) == 0
 
 
-def test_block_max_neighbours_are_exact():
-    rnd = np.random.default_rng(1)
-    model = toxicity.Model([str(i) for i in range(30)], rnd.random(30) + 1, None, 0.1, 0.0)
-    vectors = sorted({model.vector({int(t): int(rnd.integers(1, 4)) for t in rnd.choice(30, rnd.integers(1, 6), replace=False)}) for _ in range(400)})
-    index = toxicity.Index(vectors, np.ones(len(vectors)), np.ones(len(vectors)), 30)
-    for _ in range(60):
-        terms, weights = model.vector({int(t): 1 for t in rnd.choice(30, 3, replace=False)})
-        q = dict(zip(terms, weights))
-        want = sorted((-round(sum(q.get(t, 0) * w for t, w in zip(*v)), 12), e) for e, v in enumerate(vectors))
-        want = [(-s, e) for s, e in want if s < 0][:10]
-        assert [e for _, e in index.nearest(terms, weights)] == [e for _, e in want]
+def plain_scores(model, texts):
+    """Scores by cosines with every entry, one at a time."""
+    number = {w: i for i, w in enumerate(model.words)}
+    entries = [{} for _ in model.clean]
+    for t in range(len(model.words)):
+        for at in range(model.first[t], model.first[t + 1]):
+            entries[model.document[at]][t] = model.impact[at]
+    for e in entries:
+        assert not e or math.isclose(math.sqrt(sum(x * x for x in e.values())), 1) or not any(e.values())
+    out = []
+    for text in texts:
+        v = {number[w]: (1 + math.log(c)) * model.weight[number[w]] for w, c in toxicity.count_words(text).items() if w in number}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1
+        near = sorted((-round(sum(x / norm * e.get(t, 0) for t, x in v.items()), 9), i) for i, e in enumerate(entries))
+        near = [(-c, i) for c, i in near if c < 0][: toxicity.NEIGHBOURS]
+        toxic, clean = (sum(c * c * x[i] for c, i in near) for x in (model.toxic, model.clean))
+        vote = (model.prior * toxicity.MASS + toxic) / (toxicity.MASS + toxic + clean)
+        logit = model.slope * math.log(max(1e-6, min(1 - 1e-6, vote)) / (1 - max(1e-6, min(1 - 1e-6, vote)))) + model.shift
+        out.append(1 / (1 + math.exp(-max(-35, min(35, logit)))) if near else model.none)
+    return out
+
+
+@pytest.mark.parametrize("where", ["edge", SF])
+def test_toxicity_is_that_of_plain_cosines(spark, folders, where):
+    """The whole query, ties and repeated rows included, against exhaustive cosines over all words of all examples."""
+    where = folders.get(where, where)
+    documents = spark.read.parquet(f"{where}/documents.parquet")
+    model = toxicity.fit(documents, spark.read.parquet(f"{where}/labels.parquet"))
+    truth = documents.select("doc_id", "text").collect()
+    known = {w for r in truth for w in toxicity.count_words(r.text)}
+    assert set(model.words) <= known and len(model.words) > 100
+    want = sorted(((r.doc_id, round(x, 6)) for r, x in zip(truth, plain_scores(model, [r.text for r in truth]))), key=repr)
+    got = sorted(((r.doc_id, round(r.score, 6)) for r in QUERIES["op3_toxicity"](spark, where).collect()), key=repr)
+    assert [x for x, _ in got] == [x for x, _ in want] and np.allclose(sorted(x for _, x in got), sorted(x for _, x in want), atol=2e-6)
+    assert sum(a == b for a, b in zip(got, want)) >= 0.99 * len(want)
 
 
 def test_edge_scores(result):
