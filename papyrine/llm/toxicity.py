@@ -26,6 +26,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
@@ -54,7 +56,7 @@ class Examples:
     toxic: np.ndarray
 
     def some(self, keep: np.ndarray) -> Examples:
-        place = np.cumsum(keep) - 1
+        place = (np.cumsum(keep) - 1).astype(np.int32)
         rows = keep[self.entry]
         return Examples(place[self.entry[rows]], self.term[rows], self.count[rows], self.clean[keep], self.toxic[keep])
 
@@ -63,7 +65,7 @@ class Model:
     """Weights of the terms, the entries' index, and what turns a vote into a probability."""
 
     def __init__(self, words: list[str], idf: np.ndarray, examples: Examples, class_weight: tuple[float, float], prior: float):
-        self.words, self.examples, self.prior, self.none = words, examples, prior, prior
+        self.words, self.prior, self.none = words, prior, prior
         self.slope, self.shift = 1.0, 0.0
         self.clean, self.toxic = examples.clean * class_weight[0], examples.toxic * class_weight[1]
         n = examples.clean.sum() + examples.toxic.sum()
@@ -79,7 +81,7 @@ class Model:
         self._index: Index | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_index": None, "examples": None}
+        return self.__dict__ | {"_index": None}
 
     @property
     def index(self) -> Index:
@@ -158,22 +160,30 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
         for whole in batches:
             for batch in slices(whole, 1):
                 found = [sorted(count_words(t).items()) for t in decode_texts(batch.column(1))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[w for w, _ in x] for x in found], pa.list_(pa.string())), pa.array([[n for _, n in x] for x in found], pa.list_(pa.int32()))], names=["toxic", "words", "counts"])
+                words, counts = pa.array([[w for w, _ in x] for x in found], pa.list_(pa.string())), pa.array([[n for _, n in x] for x in found], pa.list_(pa.int32()))
+                key = [xxhash.xxh3_64_intdigest(repr(x)) >> 1 for x in found]  # equal examples have equal keys
+                yield pa.RecordBatch.from_arrays([batch.column(0), words, counts, pa.array(key, pa.int64())], names=["toxic", "words", "counts", "key"])
 
-    # of about ``per_class`` rows of each label
-    table = sample.mapInArrow(split, "toxic int, words array<string>, counts array<int>").toArrow().combine_chunks()
+    # about ``per_class`` rows of each label
+    table = sample.mapInArrow(split, "toxic int, words array<string>, counts array<int>, key long").toArrow().combine_chunks()
     prior = total.get(1, 0) / max(1, sum(total.values()))
-    toxic = table.column("toxic").to_numpy()
+    toxic, key, length = table.column("toxic").to_numpy(), table.column("key").to_numpy(), pc.list_value_length(table.column("words")).to_numpy()
     size = Counter(toxic.tolist())
     if not size[0] or not size[1]:
         return _no_examples(prior)
-    entries: dict[tuple, list[int]] = {}
-    for label, words, counts in zip(toxic.tolist(), table.column("words").to_pylist(), table.column("counts").to_pylist()):
-        entries.setdefault((tuple(words), tuple(counts)), [0, 0])[label] += 1
-    none = entries.pop(((), ()), [0, 0])
-    rows = sorted(entries.items())
-    vocabulary = sorted({w for (words, _), _ in rows for w in words})
+    none = np.bincount(toxic[length == 0], minlength=2)
+    coded = pc.list_flatten(table.column("words")).combine_chunks().dictionary_encode()
+    vocabulary = sorted(coded.dictionary.to_pylist())
     number = {w: i for i, w in enumerate(vocabulary)}
+    term = np.array([number[w] for w in coded.dictionary.to_pylist()], np.int32)[coded.indices.to_numpy()]
+    count = pc.list_flatten(table.column("counts")).to_numpy().astype(np.float32)
+    del table, coded
+    _, one, entry = np.unique(np.where(length > 0, key, -1), return_index=True, return_inverse=True)
+    labelled = [np.bincount(entry[toxic == label], minlength=len(one)).astype(float) for label in (0, 1)]
+    stays = np.zeros(len(length), bool)
+    stays[one[length[one] > 0]] = True  # the first of equal examples, none of the empty ones
+    place, rows = np.cumsum(stays) - 1, np.repeat(stays, length)
+    examples = Examples(np.repeat(place, length)[rows].astype(np.int32), term[rows], count[rows], labelled[0][entry[stays]], labelled[1][entry[stays]])
 
     def count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(number) + 1, np.int64)
@@ -191,27 +201,26 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     for r in frequency.groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row a known word
         df[r.term] = r.n
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    length = np.array([len(words) for (words, _), _ in rows], np.int64)
-    examples = Examples(
-        np.repeat(np.arange(len(rows)), length), np.array([number[w] for (words, _), _ in rows for w in words], np.int64), np.array([c for (_, counts), _ in rows for c in counts], float),
-        np.array([n[0] for _, n in rows], float), np.array([n[1] for _, n in rows], float))
     # entries with the same word of most weight lie together
     everything = sum(total.values()) / sum(size.values())
     weight = (total[0] / size[0] / everything, total[1] / size[1] / everything)
-    model = Model(vocabulary, idf, _together(vocabulary, idf, examples, weight, prior), weight, prior)
-    model.none = (none[1] * weight[1] + prior) / (none[0] * weight[0] + none[1] * weight[1] + 1)
+    examples = _together(vocabulary, idf, examples, weight, prior)
+    del term, count, key, rows, number
     votes, truth, weights = [], [], []
-    half = np.arange(len(model.clean)) % 2 == 0
+    half = np.arange(len(examples.clean)) % 2 == 0
     for ours in (half, ~half):
-        theirs, asked = model.examples.some(~ours), model.examples.some(ours)
+        theirs, asked = examples.some(~ours), examples.some(ours)
         if not theirs.clean.sum() or not theirs.toxic.sum() or not ours.any():
             continue
-        other = Model(vocabulary, idf, theirs, weight, prior)
-        n = len(asked.clean)
+        other, n = Model(vocabulary, idf, theirs, weight, prior), len(asked.clean)
         found = other.votes(*other.nearest(asked.entry, asked.term, asked.count, n), n)
+        del other, theirs
         for label, many in ((0, asked.clean), (1, asked.toxic)):
             some = (many > 0) & (found >= 0)
             votes.append(found[some]), truth.append(np.full(int(some.sum()), label)), weights.append(many[some] * weight[label])
+        del asked
+    model = Model(vocabulary, idf, examples, weight, prior)
+    model.none = (none[1] * weight[1] + prior) / (none[0] * weight[0] + none[1] * weight[1] + 1)
     if votes:
         model.slope, model.shift = _curve(*map(np.concatenate, (votes, truth, weights)))
     return model
@@ -224,7 +233,7 @@ def _together(words: list[str], idf: np.ndarray, examples: Examples, weight: tup
     value = model.vectors(examples.entry, examples.term, examples.count, n)
     order = np.lexsort((-value, examples.entry))
     lead = examples.term[order[np.searchsorted(examples.entry[order], np.arange(n))]]
-    place = np.empty(n, np.int64)
+    place = np.empty(n, np.int32)
     moved = np.lexsort((np.arange(n), lead))
     place[moved] = np.arange(n)
     entry = place[examples.entry]
