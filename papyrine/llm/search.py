@@ -4,7 +4,7 @@ Each shard holds an inverted index whose impacts use global document frequencies
 similar documents lie together in blocks, so that blocks differ in what they can score. For a query, the short lists (terms
 in few documents of the shard) are read whole: their blocks' maxima are as long as they. For all other terms each block
 has its largest impact. Their sum and the best by the short lists bound a block's scores. Blocks with the highest bounds
-come first and give a threshold, as do the k best of a sample of shards that all queries ask before; only blocks whose bound
+come first and give a threshold, as do the k best of the shards asked before, a few first and then more; only blocks whose bound
 reaches it are completed, for all queries that need the block at once. What is skipped can't be among the k best, so each
 shard's answer is exact, and so is the merge. Completed scores are sums of 32-bit products; what comes within their error of
 a threshold is scored again in 64 bits. Queries go to the shards in sets of bounded size.
@@ -41,8 +41,8 @@ TOGETHER, AT_ONCE = 256, 8
 LONG, FEATURES = 32, 256
 #: No sum of 32-bit products is off by as much, as a part of the largest possible score.
 ERROR = 1e-5
-#: Packed bytes of the queries that are sent to all shards at once; one of so many shards gives the first thresholds.
-PASS_BYTES, SAMPLE = 32 << 20, 8
+#: Packed bytes of the queries that are sent to all shards at once; how many times as many shards each round asks.
+PASS_BYTES, GROW = 32 << 20, 4
 
 
 def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -155,7 +155,7 @@ class Index:
         order = np.lexsort((self.id, ~self.known))
         self.rank = np.empty(len(order), np.int64)  # order among ties
         self.rank[order] = np.arange(len(order))
-        term = np.repeat(np.arange(len(terms)), np.diff(first))
+        term = np.repeat(np.arange(len(terms), dtype=np.int32), np.diff(first))
         order = np.argsort(document, kind="stable")  # the postings by document
         self.by_term, self.by_impact = term[order], impact[order]
         self.start = np.searchsorted(document[order], np.arange(self.n + 1))
@@ -293,8 +293,6 @@ def top_k(df: DataFrame, every: int = 20, k: int = K) -> DataFrame:
 
     built = materialize(count_globally(shards, Shard, n_words, build, "kind string, query_id long, parts array<binary>, ids array<long>"), "search-index")
     queries, indexes = built.where("kind = 'query'").select("query_id", F.get("parts", 0).alias("terms")), built.where("kind = 'index'").select("parts", "ids")
-    least_hash = indexes.agg(F.min(F.xxhash64("ids"))).first()[0]
-    sample = (F.pmod(F.xxhash64("ids"), F.lit(SAMPLE)) == 0) | (F.xxhash64("ids") == F.lit(least_hash or 0))  # one at least
     passes = max(1, math.ceil((queries.agg(F.sum(F.length("terms"))).first()[0] or 0) / PASS_BYTES))
     schema = "query_id long, at long, doc_id long, score double"
 
@@ -319,9 +317,16 @@ def top_k(df: DataFrame, every: int = 20, k: int = K) -> DataFrame:
         return out
 
     answers: list[DataFrame] = []
+    n_shards = indexes.count()
+    shares = [GROW ** -i for i in range(math.ceil(math.log(max(1, n_shards), GROW)), -1, -1)]
+    order = F.xxhash64("ids").cast("double") / F.lit(2.0**64) + F.lit(0.5)
     for number in range(passes):
         asked = Block([(r.query_id, unpack_sorted(bytes(r.terms))) for r in queries.where(F.pmod(F.xxhash64("query_id", "terms"), F.lit(passes)) == number).collect()])  # about PASS_BYTES
-        answers.append(ask(indexes.where(sample), asked, np.zeros(len(asked.own))))
-        reached = {r.query_id: r.score for r in best(answers[-1], k).where(F.col("rank") == k).select("query_id", "score").collect()}  # a row a query
-        answers.append(ask(indexes.where(~sample), asked, np.array([reached.get(x, 0.0) for x in asked.own.tolist()])))
+        least, mine = np.zeros(len(asked.own)), []
+        for low, high in zip([0.0, *shares], shares):  # a draw of the shards that grows: what the k best of it reach is a threshold for the others
+            mine.append(ask(indexes.where((order >= low) & (order < high) if high < 1 else order >= low), asked, least))
+            if high < 1:
+                reached = {r.query_id: r.score for r in best(reduce(DataFrame.unionByName, mine), k).where(F.col("rank") == k).select("query_id", "score").collect()}  # a row a query
+                least = np.array([reached.get(x, 0.0) for x in asked.own.tolist()])
+        answers += mine
     return best(reduce(DataFrame.unionByName, answers), k).select("query_id", "rank", "doc_id", "score")

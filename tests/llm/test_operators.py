@@ -134,7 +134,7 @@ def test_search_is_exhaustive(spark, folders, monkeypatch, small):
     if small:
         rnd = random.Random(14)
         data = [*data, *({"doc_id": 1000 + i // 2 * (1 + i % 2), "text": " ".join(rnd.choice("abcdefghijklmnop") * rnd.randint(1, 2) for _ in range(rnd.randint(0, 30)))} for i in range(900))]
-        for name, value in (("SHARD_BYTES", 3000), ("PASS_BYTES", 4000), ("SAMPLE", 3)):
+        for name, value in (("SHARD_BYTES", 3000), ("PASS_BYTES", 4000), ("GROW", 3)):
             monkeypatch.setattr(search, name, value)
     df = spark.createDataFrame([(r["doc_id"], r["text"]) for r in data], "doc_id long, text string").repartition(3 if small else 1)
     want = search_brute_force(data)
