@@ -45,6 +45,16 @@ def count_words(text: str | None) -> Counter:
     return Counter(WORDS.findall(text.lower())) if text else Counter()
 
 
+def coded(texts: list[str | None], number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, numbers and counts of the known words of texts, by row and number."""
+    found = [WORDS.findall(t.lower()) if t else [] for t in texts]
+    words = pa.array([w for x in found for w in x], pa.string()).dictionary_encode()
+    term = np.array([number.get(w, -1) for w in words.dictionary.to_pylist()], np.int64)[words.indices.to_numpy()]
+    row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    key, count = np.unique(row[term >= 0] * max(1, len(number)) + term[term >= 0], return_counts=True)
+    return *np.divmod(key, max(1, len(number))), count.astype(float)
+
+
 @dataclass
 class Examples:
     """Labelled entries as sorted rows (entry, term, count), and how many rows of either label each stands for."""
@@ -189,10 +199,8 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
         n = np.zeros(len(number) + 1, np.int64)
         for whole in batches:
             for batch in slices(whole, 0):
-                for text in decode_texts(batch.column(0)):
-                    n[-1] += 1
-                    if text:
-                        n[[number[w] for w in set(WORDS.findall(text.lower())) if w in number]] += 1
+                n[-1] += batch.num_rows
+                n[:-1] += np.bincount(coded(decode_texts(batch.column(0)), number)[1], minlength=len(number))
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], names=["term", "n"])
 
@@ -250,11 +258,8 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         number, names = {w: i for i, w in enumerate(model.words)}, model.names()
 
         def run(column: pa.Array) -> list:
-            found = [sorted((number[w], c) for w, c in count_words(t).items() if w in number) for t in decode_texts(column)]
-            n = len(found)
-            row = np.repeat(np.arange(n), [len(x) for x in found])
-            term, count = (np.array([x[k] for f in found for x in f], kind) for k, kind in ((0, np.int64), (1, float)))
-            near = model.nearest(row, term, count, n)
+            n = len(column)
+            near = model.nearest(*coded(decode_texts(column), number), n)
             cut = np.searchsorted(near[0], np.arange(n + 1))
             said = [";".join(f"{names[e]}={c:.3f}" for e, c in zip(near[1][a : min(b, a + 3)].tolist(), near[2][a : min(b, a + 3)].tolist())) for a, b in zip(cut, cut[1:])]
             return [model.probability(model.votes(*near, n)), said]
