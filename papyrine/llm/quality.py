@@ -31,9 +31,9 @@ STOP_WORDS = {
     "es": ["el", "la", "los", "las", "de", "del", "que", "y", "en", "un", "una", "por", "con", "para", "no", "se"],
 }
 
-#: (rule, ratio, comparison, threshold): a text that meets any of them isn't kept.
+#: (rule, ratio, comparison, threshold): a text that meets any of them isn't kept. The stop-word rule takes texts to be in one
+#: of the languages above; for a corpus of others their words have to be added, or the rule left out of the table.
 THRESHOLDS = [
-    ("too_long", "n_words", ">", 200_000),
     ("short_words", "mean_word_chars", "<", 2.0),
     ("long_words", "mean_word_chars", ">", 20.0),
     ("symbols", "symbol_ratio", ">", 0.2),
