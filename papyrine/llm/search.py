@@ -39,6 +39,7 @@ BLOCK = 128
 TOGETHER, AT_ONCE = 256, 8
 #: A term in more than one of so many documents of a shard has a long list there; so many of them put documents in order.
 LONG, FEATURES = 32, 256
+NO_ID = np.iinfo(np.int64).max
 #: No sum of 32-bit products is off by as much, as a part of the largest possible score.
 ERROR = 1e-5
 #: Packed bytes of the queries that are sent to all shards at once; how many times as many shards each round asks.
@@ -160,8 +161,11 @@ class Index:
         self.by_term, self.by_impact = term[order], impact[order]
         self.start = np.searchsorted(document[order], np.arange(self.n + 1))
 
-    def search(self, block: Block, k: int = K, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The k best for each query, if they reach ``least``: numbers of queries, ascending; of documents, best first; scores."""
+    def search(self, block: Block, k: int = K, least: np.ndarray | None = None, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best for each query: numbers of queries, ascending; of documents, best first; and scores.
+
+        Only what is over ``least``, or as good and of an id up to ``last``.
+        """
         place = np.searchsorted(self.terms, block.vocabulary)
         place[place == len(self.terms)] = 0
         place[self.terms[place] != block.vocabulary if len(self.terms) else slice(None)] = -1
@@ -173,11 +177,12 @@ class Index:
             query = np.repeat(np.arange(len(own)), np.diff(first))[at >= 0]
             weight = (np.ones(len(at)) if block.weights is None else block.weights[first[0] : first[-1]])[at >= 0]
             above = np.zeros(len(own)) if least is None else least[start : start + TOGETHER]
-            query, found, score = self._together(own, query, at[at >= 0], weight, k, above)
+            until = np.full(len(own), NO_ID) if last is None else last[start : start + TOGETHER]
+            query, found, score = self._together(own, query, at[at >= 0], weight, k, above, until)
             parts.append((query + start, found, score))
         return tuple(map(np.concatenate, zip(*parts)))
 
-    def _together(self, own: np.ndarray, query: np.ndarray, at: np.ndarray, weight: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _together(self, own: np.ndarray, query: np.ndarray, at: np.ndarray, weight: np.ndarray, k: int, least: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         q, n = len(own), self.n
         rows, asker = self.row[at], query
         asks = np.zeros((q, len(self.most)), np.float32)
@@ -230,7 +235,8 @@ class Index:
         order = np.lexsort((self.rank[found], -value, query))
         query, found, value = query[order], found[order], value[order]
         nth = np.arange(len(query)) - np.searchsorted(query, query)
-        kept = (nth < k) & (value > 0) & (value >= least[query])
+        tie = (value == least[query]) & (np.where(self.known[found], self.id[found], NO_ID) <= last[query])
+        kept = (nth < k) & (value > 0) & ((value > least[query]) | tie)
         return query[kept], found[kept], value[kept]
 
     def _exactly(self, term: np.ndarray, weight: np.ndarray, whose: np.ndarray, query: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -296,18 +302,20 @@ def top_k(df: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     passes = max(1, math.ceil((queries.agg(F.sum(F.length("terms"))).first()[0] or 0) / PASS_BYTES))
     schema = "query_id long, at long, doc_id long, score double"
 
-    def ask(some: DataFrame, asked: Block, least: np.ndarray) -> DataFrame:
-        sent = spark.sparkContext.broadcast((asked, least))
+    def ask(some: DataFrame, asked: Block, least: np.ndarray, last: np.ndarray) -> DataFrame:
+        sent = spark.sparkContext.broadcast((asked, least, last))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            asked, least = sent.value
+            asked, least, last = sent.value
             for batch in batches:
                 for at in range(batch.num_rows):
                     index = open_index(batch.column(0)[at].as_py(), batch.column(1)[at].as_py())
-                    query, found, score = index.search(asked, k, least)
+                    query, found, score = index.search(asked, k, least, last)
                     full = np.flatnonzero(np.bincount(query, minlength=len(asked.own)) >= k)  # what k documents reach is a threshold for the task's next shards
-                    least = least.copy()
-                    least[full] = np.maximum(least[full], score[np.searchsorted(query, full) + k - 1])
+                    least, last, tenth = least.copy(), last.copy(), np.searchsorted(query, full) + k - 1
+                    reached, ids = score[tenth], np.where(index.known[found[tenth]], index.id[found[tenth]], NO_ID)
+                    last[full] = np.where(reached > least[full], ids, np.minimum(last[full], ids))  # nothing here is under ``least``
+                    least[full] = reached
                     name = xxhash.xxh64_intdigest(b"".join([*batch.column(0)[at].as_py(), index.id.tobytes()])) >> 1  # of the shard
                     row = (np.uint64(name) + found.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(asked.own[query]), pa.array(row), pa.array(index.id[found], mask=~index.known[found]), pa.array(score)], names=["query_id", "at", "doc_id", "score"])
@@ -322,11 +330,12 @@ def top_k(df: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     order = F.xxhash64("ids").cast("double") / F.lit(2.0**64) + F.lit(0.5)
     for number in range(passes):
         asked = Block([(r.query_id, unpack_sorted(bytes(r.terms))) for r in queries.where(F.pmod(F.xxhash64("query_id", "terms"), F.lit(passes)) == number).collect()])  # about PASS_BYTES
-        least, mine = np.zeros(len(asked.own)), []
+        least, last, mine = np.zeros(len(asked.own)), np.full(len(asked.own), NO_ID), []
         for low, high in zip([0.0, *shares], shares):  # a draw of the shards that grows: what the k best of it reach is a threshold for the others
-            mine.append(ask(indexes.where((order >= low) & (order < high) if high < 1 else order >= low), asked, least))
+            mine.append(ask(indexes.where((order >= low) & (order < high) if high < 1 else order >= low), asked, least, last))
             if high < 1:
-                reached = {r.query_id: r.score for r in best(reduce(DataFrame.unionByName, mine), k).where(F.col("rank") == k).select("query_id", "score").collect()}  # a row a query
-                least = np.array([reached.get(x, 0.0) for x in asked.own.tolist()])
+                reached = {r.query_id: (r.score, NO_ID if r.doc_id is None else r.doc_id) for r in best(reduce(DataFrame.unionByName, mine), k).where(F.col("rank") == k).select("query_id", "score", "doc_id").collect()}  # a row a query
+                pairs = [reached.get(x, (0.0, NO_ID)) for x in asked.own.tolist()]
+                least, last = np.array([x for x, _ in pairs]), np.array([x for _, x in pairs], np.int64)
         answers += mine
     return best(reduce(DataFrame.unionByName, answers), k).select("query_id", "rank", "doc_id", "score")
