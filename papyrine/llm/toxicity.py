@@ -182,12 +182,12 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     if not size[0] or not size[1]:
         return _no_examples(prior)
     none = np.bincount(toxic[length == 0], minlength=2)
-    coded = pc.list_flatten(table.column("words")).combine_chunks().dictionary_encode()
-    vocabulary = sorted(coded.dictionary.to_pylist())
+    flat = pc.list_flatten(table.column("words")).combine_chunks().dictionary_encode()
+    vocabulary = sorted(flat.dictionary.to_pylist())
     number = {w: i for i, w in enumerate(vocabulary)}
-    term = np.array([number[w] for w in coded.dictionary.to_pylist()], np.int32)[coded.indices.to_numpy()]
+    term = np.array([number[w] for w in flat.dictionary.to_pylist()], np.int32)[flat.indices.to_numpy()]
     count = pc.list_flatten(table.column("counts")).to_numpy().astype(np.float32)
-    del table, coded
+    del table, flat
     _, one, entry = np.unique(np.where(length > 0, key, -1), return_index=True, return_inverse=True)
     labelled = [np.bincount(entry[toxic == label], minlength=len(one)).astype(float) for label in (0, 1)]
     stays = np.zeros(len(length), bool)
