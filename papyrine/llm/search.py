@@ -29,11 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import byte_texts, materialize
+from papyrine.llm.common import byte_texts, materialize, pick
 from papyrine.llm.shards import count_globally, make_shards, pack, pack_sorted, totals, unpack, unpack_sorted
 
 K, K1, B = 10, 1.2, 0.75
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 16 << 20
 BLOCK = 128
 #: Queries that a shard answers together.
 TOGETHER, AT_ONCE = 256, 8
@@ -264,7 +264,9 @@ def best(found: DataFrame, k: int) -> DataFrame:
 def top_k(df: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best other documents for each whose id is divisible by ``every``."""
     spark = df.sparkSession
-    shards = make_shards(df, SHARD_BYTES, "search-shards", _store)
+    # shards of rows from everywhere: what a few shards reach is a good threshold for all
+    mixed = pick(df, "doc_id", "text").repartition(max(1, df.rdd.getNumPartitions()))
+    shards = make_shards(mixed, SHARD_BYTES, "search-shards", _store)
     n_docs, n_words = totals(shards)
     mean = max(1.0, n_words / max(1, n_docs))
 
