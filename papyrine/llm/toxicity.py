@@ -183,11 +183,13 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
         return _no_examples(prior)
     none = np.bincount(toxic[length == 0], minlength=2)
     flat = pc.list_flatten(table.column("words")).combine_chunks().dictionary_encode()
-    vocabulary = sorted(flat.dictionary.to_pylist())
+    rank = pc.sort_indices(flat.dictionary).to_numpy()  # as Python sorts them: by bytes of UTF-8, or code points
+    vocabulary, place = flat.dictionary.take(pa.array(rank)).to_pylist(), np.empty(len(rank), np.int32)
+    place[rank] = np.arange(len(rank))
+    term = place[flat.indices.to_numpy()]
     number = {w: i for i, w in enumerate(vocabulary)}
-    term = np.array([number[w] for w in flat.dictionary.to_pylist()], np.int32)[flat.indices.to_numpy()]
     count = pc.list_flatten(table.column("counts")).to_numpy().astype(np.float32)
-    del table, flat
+    del table, flat, rank, place
     _, one, entry = np.unique(np.where(length > 0, key, -1), return_index=True, return_inverse=True)
     labelled = [np.bincount(entry[toxic == label], minlength=len(one)).astype(float) for label in (0, 1)]
     stays = np.zeros(len(length), bool)
@@ -205,15 +207,14 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], names=["term", "n"])
 
     frequency = documents.select("text").mapInArrow(count_documents, StructType([StructField("term", IntegerType()), StructField("n", LongType())]))
-    df = np.zeros(len(number) + 1)
-    for r in frequency.groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row a known word
-        df[r.term] = r.n
+    df, counted = np.zeros(len(number) + 1), frequency.groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row a known word
+    df[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     # entries with the same word of most weight lie together
     everything = sum(total.values()) / sum(size.values())
     weight = (total[0] / size[0] / everything, total[1] / size[1] / everything)
     examples = _together(vocabulary, idf, examples, weight, prior)
-    del term, count, key, rows, number
+    del term, count, key, rows, entry, number
     votes, truth, weights = [], [], []
     half = np.arange(len(examples.clean)) % 2 == 0
     for ours in (half, ~half):
