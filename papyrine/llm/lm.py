@@ -27,6 +27,8 @@ from papyrine.llm.common import byte_texts
 from papyrine.llm.shards import count_globally, make_shards, pack, pack_sorted, totals, unpack, unpack_sorted, word_hashes, words
 
 BACKOFF, ORDER = 0.4, 3
+#: Decimals of the scores that the query gives; sums differ in the last bits by the order of their parts.
+DIGITS = 6
 SHARD_BYTES = 8 << 20
 START, END = np.uint64(0x9D8A0F1E2C3B4A59), np.uint64(0x1F2E3D4C5B6A7988)
 
@@ -118,3 +120,27 @@ def lm_scores(df: DataFrame, order: int = ORDER) -> DataFrame:
         yield pa.RecordBatch.from_arrays([shard.ids, pa.array(shard.size), pa.array(sums), pa.array(sums / shard.size)], names=["doc_id", "n_tokens", "logprob", "per_token"])
 
     return count_globally(shards, Shard, everything, score, f"doc_id {key}, n_tokens long, logprob double, per_token double", order)
+
+
+def _oracle() -> str:
+    """The same scores for DuckDB, over documents, as the query rounds them; the marks are a blank and the empty word."""
+    n = range(1, ORDER + 1)
+    gram = {k: ", ".join(f"w{j}" for j in range(k)) for k in n}
+    before = ", ".join(f"lag(w0, {j}, ' ') OVER x AS w{j}" for j in n[:-1])
+    left = ", ".join(f"CASE WHEN place >= {k - 2} THEN count(*) OVER (PARTITION BY {gram[k]}, place >= {k - 2}) - count(*) OVER (PARTITION BY r, {gram[k]}, place >= {k - 2}) ELSE 0 END AS l{k}" for k in n)
+    context = ", ".join(f"lag(l{k - 1}, 1, {'n_docs - 1' if k == 2 else 0}) OVER x AS h{k}" for k in n[1:])
+    cases = " ".join(f"WHEN l{k} > 0 THEN {BACKOFF ** (ORDER - k)!r}::DOUBLE * l{k} / greatest({f'h{k}' if k > 1 else 'everything - size'}, 1)" for k in reversed(n))
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT r, doc_id, list_append(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> ''), '') AS words FROM d),
+u AS (SELECT r, doc_id, unnest(words) AS w0, unnest(range(len(words))) AS place, len(words) AS size FROM t),
+b AS (SELECT *, {before} FROM u WINDOW x AS (PARTITION BY r ORDER BY place)),
+c AS (SELECT *, {left} FROM b),
+e AS (SELECT count(*) AS n_docs, sum(len(words)) AS everything FROM t),
+h AS (SELECT *, {context} FROM c, e WINDOW x AS (PARTITION BY r ORDER BY place)),
+s AS (SELECT r, doc_id, size, log10(CASE {cases} ELSE {BACKOFF**ORDER!r}::DOUBLE / (everything - size + 1) END) AS part FROM h)
+SELECT any_value(doc_id) AS doc_id, CAST(any_value(size) AS BIGINT) AS n_tokens, round(sum(part), {DIGITS}) AS logprob, round(sum(part) / any_value(size), {DIGITS}) AS per_token FROM s GROUP BY r
+"""
+
+
+ORACLE_SQL = _oracle()

@@ -29,7 +29,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.lm_scores(read(spark, sf_dir, "documents"))
+    scored = lm.lm_scores(read(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_tokens", *(F.round(c, lm.DIGITS).alias(c) for c in ("logprob", "per_token")))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality": quality.ORACLE_SQL}
+    return {"op2_bm25_search": search.ORACLE_SQL, "op4_lm_scores": lm.ORACLE_SQL, "op7_quality": quality.ORACLE_SQL}

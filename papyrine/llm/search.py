@@ -341,3 +341,21 @@ def top_k(df: DataFrame, every: int = 20, k: int = K) -> DataFrame:
                 least, last = np.array([x for x, _ in pairs]), np.array([x for _, x in pairs], np.int64)
         answers += mine
     return best(reduce(DataFrame.unionByName, answers), k).select("query_id", "rank", "doc_id", "score")
+
+
+#: The same answers by scoring every document that shares a word, for DuckDB, over documents.
+ORACLE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT r, doc_id, unnest(regexp_split_to_array(text, '[\x20\x09-\x0D]+')) AS term FROM d),
+p AS (SELECT r, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM w WHERE term <> '' GROUP BY r, term),
+s AS (SELECT r, sum(tf) AS size FROM p GROUP BY r),
+a AS (SELECT count(*) AS n, greatest(1.0, coalesce(sum(size), 0) / greatest(1, count(*))) AS mean FROM d LEFT JOIN s USING (r)),
+f AS (SELECT term, count(*) AS total FROM p GROUP BY term HAVING count(*) > 1),
+i AS (SELECT r, doc_id, term, ln(1 + (n - total + 0.5) / (total + 0.5)) * tf * {K1 + 1}::DOUBLE / (tf + {K1}::DOUBLE * ({1 - B}::DOUBLE + {B}::DOUBLE * size / mean)) AS impact
+      FROM p JOIN f USING (term) JOIN s USING (r), a),
+m AS (SELECT q.r AS asker, any_value(q.doc_id) AS query_id, i.r, any_value(i.doc_id) AS doc_id, round(sum(impact), 9) AS score
+      FROM p AS q JOIN i USING (term) WHERE q.doc_id % 20 = 0 AND q.doc_id IS DISTINCT FROM i.doc_id GROUP BY q.r, i.r),
+o AS (SELECT query_id, r, any_value(doc_id) AS doc_id, max(score) AS score FROM m GROUP BY query_id, r),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id NULLS LAST, r) AS place FROM o)
+SELECT query_id, CAST(place AS INT) AS rank, doc_id, score FROM n WHERE place <= {K}
+"""

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -517,6 +518,25 @@ def test_lm_scores(spark, folders, result, monkeypatch, order):
         assert sorted(((r.doc_id, r.n_tokens, round(r.logprob, 6)) for r in result("op4_lm_scores")), key=repr) == want
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+@pytest.mark.parametrize("kind", ["edge", "empty"])
+def test_query_equals_sql(folders, result, name, kind):
+    """On awkward rows and on an empty table."""
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folders[kind]}/documents.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    found = result(name, kind)
+    if kind == "empty":
+        assert not found and not want.fetchall()
+        return
+    fields = sorted(set(want.columns))
+    assert fields == sorted(found[0].__fields__)
+    plain = lambda get: tuple(round(get(c), 6) if isinstance(get(c), float) else get(c) for c in fields)
+    ours = [plain(lambda c: r[c]) for r in found]  # noqa: B023
+    theirs = [plain(lambda c: r[want.columns.index(c)]) for r in want.fetchall()]  # noqa: B023
+    assert sorted(ours, key=repr) == sorted(theirs, key=repr)
+
+
 def test_draws_of_any_share(spark):
     """A share of a very large table isn't rounded to none."""
     assert min(1.0, langid.PER_LANGUAGE / 1e10) > 0
