@@ -168,6 +168,22 @@ def to_roman() -> str:
     return f"SELECT doc_id, repeat('M', n // 1000) || {digit(100, hundreds)} || {digit(10, tens)} || {digit(1, ones)} AS roman FROM (SELECT doc_id, greatest(doc_id, 1) AS n FROM documents)"
 
 
+#: Sentences' TF-IDF cosines from 0.1 up are links, a sentence without words leads everywhere; a hundred damped steps.
+LEXRANK = f"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda x: {squeeze('x')}), lambda x: x <> '') AS s FROM documents),
+e AS (SELECT doc_id, len(s) AS n, CAST(generate_subscripts(s, 1) AS INT) AS pos, unnest(s) AS sentence FROM d),
+w AS (SELECT doc_id, n, pos, unnest(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}]+')) AS word FROM e),
+tf AS (SELECT doc_id, n, pos, word, count(*) AS c FROM w GROUP BY ALL),
+raw AS (SELECT doc_id, pos, word, c * (ln(n / count(*) OVER (PARTITION BY doc_id, word)) + 1) AS x FROM tf),
+unit AS (SELECT doc_id, pos, word, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id, pos)) AS x FROM raw),
+near AS (SELECT a.doc_id, a.pos AS a, b.pos AS b FROM unit a JOIN unit b USING (doc_id, word) GROUP BY ALL HAVING sum(a.x * b.x) >= 0.1),
+every AS (SELECT doc_id, a, b FROM near UNION ALL SELECT e.doc_id, e.pos, o.pos FROM e ANTI JOIN w USING (doc_id, pos) JOIN e o USING (doc_id)),
+walk AS MATERIALIZED (SELECT doc_id, a, b, 0.85 / count(*) OVER (PARTITION BY doc_id, a) AS share FROM every),
+r AS (SELECT 0 AS step, doc_id, pos, n, CAST(1 AS DOUBLE) / n AS rank FROM e
+UNION ALL SELECT r.step + 1, r.doc_id, walk.b, r.n, CAST(0.15 AS DOUBLE) / r.n + sum(r.rank * walk.share) FROM r JOIN walk ON walk.doc_id = r.doc_id AND walk.a = r.pos WHERE r.step < 100 GROUP BY r.step, r.doc_id, walk.b, r.n),
+best AS (SELECT doc_id, pos FROM r WHERE step = 100 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(rank, 9) DESC, pos) <= 2),
+told AS (SELECT doc_id, string_agg(sentence, ' ' ORDER BY pos) AS summary FROM best JOIN e USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, summary FROM documents LEFT JOIN told USING (doc_id)"""
+
 ORACLE = {
     "scan_documents": "SELECT doc_id, lang, source, length(text) AS n_characters FROM documents WHERE n_chars > 500",
     "html_title": f"WITH {PAGE} SELECT page_id, {strip(text_of(f'({elements('title')})[1]'))} AS title FROM c",
@@ -217,6 +233,7 @@ SELECT doc_id, 'papers/2020_' || left({strip('name')}, 150) || '.pdf' AS trimmed
     "references_v2": f"WITH {references(2)} SELECT doc_id, ref_id, raw FROM r",
     "sentences": f"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda x: {squeeze('x')}), lambda x: x <> '') AS s FROM documents)
 SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS INT) AS pos, unnest(s) AS sentence FROM s""",
+    "lexrank": LEXRANK,
     "corpus_stats": f"""WITH {sections_out(2)}, {references(2).removeprefix(MD + ', ')}, a AS (SELECT count(*) AS n_documents, count(*) FILTER ({abstract(2)} <> '') AS n_abstracts FROM v)
 SELECT n_documents, (SELECT count(*) FROM o) AS n_sections, (SELECT count(*) FROM r) AS n_references, (SELECT sum(citation_count) FROM o) AS n_citations, n_abstracts FROM a""",
     "processed_document": f"""WITH {sections_out(2)}, {references(2).removeprefix(MD + ', ')},
