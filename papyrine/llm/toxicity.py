@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from papyrine.llm.common import append_columns, chance, decode_texts, materialize, pick, remainder, slices
-from papyrine.llm.search import Block, Index
+from papyrine.llm.search import TOGETHER, Block, Index
 
 PER_CLASS = 4000
 NEIGHBOURS, MASS = 10, 0.2
@@ -71,6 +71,26 @@ class Examples:
         return Examples(place[self.entry[rows]], self.term[rows], self.count[rows], self.clean[keep], self.toxic[keep])
 
 
+def weigh(n_words: int, idf: np.ndarray, examples: Examples) -> np.ndarray:
+    """idf times how strongly a word goes with either label: the size of its z-value among the examples."""
+    n = examples.clean.sum() + examples.toxic.sum()
+    of = lambda x: np.bincount(examples.term, weights=x[examples.entry], minlength=n_words)
+    toxic = of(examples.toxic)
+    share = (of(examples.clean) + toxic) / max(1, n)
+    expected = examples.toxic.sum() * share
+    z = (toxic - expected) / np.sqrt(expected * (1 - share) + 1e-9)
+    return idf * np.abs(z) * (share > 0)
+
+
+def vectors(weight: np.ndarray, row: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """The weights of the terms of n rows, each row of length one."""
+    out = weight[term]
+    out *= 1 + np.log(count)
+    norm = np.sqrt(np.bincount(row, weights=out * out, minlength=n))
+    out /= np.where(norm > 0, norm, 1)[row]
+    return out
+
+
 class Model:
     """Weights of the terms, the entries' index, and what turns a vote into a probability."""
 
@@ -78,13 +98,8 @@ class Model:
         self.words, self.prior, self.none = words, prior, prior
         self.slope, self.shift = 1.0, 0.0
         self.clean, self.toxic = examples.clean * class_weight[0], examples.toxic * class_weight[1]
-        n = examples.clean.sum() + examples.toxic.sum()
-        of = lambda x: np.bincount(examples.term, weights=x[examples.entry], minlength=len(words))
-        share = (of(examples.clean) + of(examples.toxic)) / max(1, n)
-        expected = examples.toxic.sum() * share
-        z = (of(examples.toxic) - expected) / np.sqrt(expected * (1 - share) + 1e-9)
-        self.weight = idf * np.abs(z) * (share > 0)
-        value = self.vectors(examples.entry, examples.term, examples.count, len(examples.clean))
+        self.weight = weigh(len(words), idf, examples)
+        value = vectors(self.weight, examples.entry, examples.term, examples.count, len(examples.clean))
         order = np.lexsort((examples.entry, examples.term))
         self.first = np.concatenate([[0], np.cumsum(np.bincount(examples.term, minlength=len(words)))])
         self.document, self.impact = examples.entry[order], value[order]
@@ -99,17 +114,18 @@ class Model:
             self._index = Index(list(range(len(self.clean))), np.arange(len(self.words)).astype(np.uint64), self.first, self.document, self.impact)
         return self._index
 
-    def vectors(self, row: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
-        """The weights of the terms of n rows, each row of length one."""
-        raw = (1 + np.log(count)) * self.weight[term]
-        norm = np.sqrt(np.bincount(row, weights=raw * raw, minlength=n))
-        return raw / np.where(norm > 0, norm, 1)[row]
-
     def nearest(self, row: np.ndarray, term: np.ndarray, count: np.ndarray, n: int, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows, entries and cosines of each row's k nearest entries that share a term of weight, best first; sorted rows given."""
-        cut = np.searchsorted(row, np.arange(n + 1))
-        block = Block([(-1, term[a:b].astype(np.uint64)) for a, b in zip(cut, cut[1:])], self.vectors(row, term, count, n))
-        return self.index.search(block, k)
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for low in range(0, n, TOGETHER):  # as many as the index answers at once
+            some = min(TOGETHER, n - low)
+            cut = np.searchsorted(row, np.arange(low, low + some + 1))
+            ours = slice(cut[0], cut[-1])
+            value = vectors(self.weight, row[ours] - low, term[ours], count[ours], some)
+            block = Block([(-1, term[a:b].astype(np.uint64)) for a, b in zip(cut, cut[1:])], value)
+            asker, entry, cosine = self.index.search(block, k)
+            parts.append((asker + low, entry, cosine))
+        return tuple(map(np.concatenate, zip(*parts)))
 
     def votes(self, row: np.ndarray, entry: np.ndarray, cosine: np.ndarray, n: int) -> np.ndarray:
         """Share of toxic weight among the neighbours and a prior of weight ``MASS``; one at distance d (1 less its cosine)
@@ -196,6 +212,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     stays[one[length[one] > 0]] = True  # the first of equal examples, none of the empty ones
     place, rows = np.cumsum(stays) - 1, np.repeat(stays, length)
     examples = Examples(np.repeat(place, length)[rows].astype(np.int32), term[rows], count[rows], labelled[0][entry[stays]], labelled[1][entry[stays]])
+    del term, count, key, rows, entry, place
 
     def count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(number) + 1, np.int64)
@@ -213,8 +230,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     # entries with the same word of most weight lie together
     everything = sum(total.values()) / sum(size.values())
     weight = (total[0] / size[0] / everything, total[1] / size[1] / everything)
-    examples = _together(vocabulary, idf, examples, weight, prior)
-    del term, count, key, rows, entry, number
+    examples = _together(len(vocabulary), idf, examples)
     votes, truth, weights = [], [], []
     half = np.arange(len(examples.clean)) % 2 == 0
     for ours in (half, ~half):
@@ -235,13 +251,13 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     return model
 
 
-def _together(words: list[str], idf: np.ndarray, examples: Examples, weight: tuple[float, float], prior: float) -> Examples:
+def _together(n_words: int, idf: np.ndarray, examples: Examples) -> Examples:
     """The examples in the order of their words of most weight, so that blocks differ in what they can score."""
-    model = Model(words, idf, examples, weight, prior)
     n = len(examples.clean)
-    value = model.vectors(examples.entry, examples.term, examples.count, n)
+    value = vectors(weigh(n_words, idf, examples), examples.entry, examples.term, examples.count, n)
     order = np.lexsort((-value, examples.entry))
-    lead = examples.term[order[np.searchsorted(examples.entry[order], np.arange(n))]]
+    lead = examples.term[order[np.searchsorted(examples.entry, np.arange(n))]]
+    del value, order
     place = np.empty(n, np.int32)
     moved = np.lexsort((np.arange(n), lead))
     place[moved] = np.arange(n)
