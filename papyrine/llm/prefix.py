@@ -11,6 +11,7 @@ rows or ``BLOCK`` markers of a group. Nulls form a group; sums are of longs, nul
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 from operator import and_
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from papyrine.llm.common import materialize
+from papyrine.llm.common import checkpoint_dir
 
 #: Partitions whose markers of a group are added up together.
 BLOCK = 1000
@@ -47,6 +48,20 @@ def before(total: str) -> str:
     return f"before_{total}"
 
 
+def earlier(df: DataFrame, groups: list[str], at: str, totals: list[str], block: int = BLOCK) -> DataFrame:
+    """(groups, at, totals): the totals over the rows of a group with a smaller ``at``, a number from 0 that is in one row of a group."""
+
+    def so_far(df: DataFrame, keys: list[str], by: str) -> DataFrame:
+        rows = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({t: F.coalesce(F.sum(t).over(rows), F.lit(0)) for t in totals})
+
+    keys = [*groups, "__block"]
+    rows = df.select(*groups, at, *totals).withColumn("__block", F.floor(F.col(at) / block))
+    blocks = so_far(rows.groupBy(*keys).agg(*(F.sum(t).alias(t) for t in totals)), groups, "__block")
+    within = so_far(rows, keys, at)
+    return within.join(blocks, same(within, blocks, keys)).select(*(within[k] for k in [*groups, at]), *((within[t] + blocks[t]).alias(t) for t in totals))
+
+
 class Running:
     """``df`` sorted and stored, with the totals of ``totals`` over the rows before each row in its partition and group."""
 
@@ -94,23 +109,17 @@ class Running:
                 yield made(row, np.array([first]), True, [np.array([x]) for x in sums])
 
         keys = [*(F.col(g).asc_nulls_first() for g in groups), *order]
-        self._stored = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema), name)
+        folder, spark = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", df.sparkSession
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema).write.option("compression", "zstd").parquet(folder)
+        self._stored = spark.read.schema(schema).parquet(folder)
         #: All rows, without their totals.
         self.table = self._stored.where(~F.col("__marker")).select(*self.columns)
 
     def _carry(self) -> DataFrame:
         """(__pid, totals): what a partition's first group has in earlier partitions, where that isn't nothing."""
-        markers = self._stored.where("__marker").select(*self.groups, "__pid", F.floor(F.col("__pid") / BLOCK).alias("__block"), *(F.col(before(t)).alias(f"__{t}") for t in self.totals))
         names = [f"__{t}" for t in self.totals]
-
-        def so_far(df: DataFrame, keys: list[str], by: str) -> DataFrame:
-            earlier = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-            return df.withColumns({n: F.coalesce(F.sum(n).over(earlier), F.lit(0)) for n in names})
-
-        keys = [*self.groups, "__block"]
-        blocks = so_far(markers.groupBy(*keys).agg(*(F.sum(n).alias(n) for n in names)), self.groups, "__block")
-        within = so_far(markers, keys, "__pid")
-        found = within.join(blocks, same(within, blocks, keys)).select("__pid", *((within[n] + blocks[n]).alias(n) for n in names))
+        markers = self._stored.where("__marker").select(*self.groups, "__pid", *(F.col(before(t)).alias(f"__{t}") for t in self.totals))
+        found = earlier(markers, self.groups, "__pid", names).select("__pid", *names)
         return found.where(reduce(lambda a, b: a | b, (F.col(n) != 0 for n in names)))
 
     def rows(self, keep: Column | None = None) -> DataFrame:
