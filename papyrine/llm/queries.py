@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import bpe, langid, lm, packing, quality, ranking, search, secrets, simhash, toxicity, urls
+from papyrine.llm import bpe, concat, langid, lm, packing, quality, ranking, search, secrets, simhash, toxicity, trie, urls
 from papyrine.llm.common import held_out, pick, read
 
 
@@ -64,13 +64,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(read(spark, sf_dir, "conversations"))
+
+
 def op12_ranking_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.first_lines(read(spark, sf_dir, "sale_lines"))
 
 
+def op13_concat_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concat.concat_pack(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_bm25_search, op3_toxicity, op4_lm_scores, op5_simhash, op6_language_id, op7_quality, op8_secrets, op9_packing, op10_url_filter, op12_ranking_ties)}
+    first = (op1_byte_bpe, op2_bm25_search, op3_toxicity, op4_lm_scores, op5_simhash, op6_language_id, op7_quality, op8_secrets, op9_packing, op10_url_filter)
+    return {f.__name__: f for f in (*first, op11_prefix_trie, op12_ranking_ties, op13_concat_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_bm25_search": search.ORACLE_SQL, "op4_lm_scores": lm.ORACLE_SQL, "op7_quality": quality.ORACLE_SQL, "op12_ranking_ties": ranking.ORACLE_SQL}
+    return {"op2_bm25_search": search.ORACLE_SQL, "op4_lm_scores": lm.ORACLE_SQL, "op7_quality": quality.ORACLE_SQL, "op11_prefix_trie": trie.ORACLE_SQL, "op12_ranking_ties": ranking.ORACLE_SQL}
