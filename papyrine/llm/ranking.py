@@ -95,7 +95,7 @@ ORACLE_SQL = f"""
 WITH ids AS (SELECT DISTINCT sale_id, CAST(sale_id AS VARCHAR) AS s FROM sale_lines WHERE sale_id IS NOT NULL),
 c AS (SELECT sale_id, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(length(s)), lambda i: [ord(substr(s, i + 1, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
  lambda a, b: CASE WHEN xor(a, b) & 1 = 1 THEN xor(xor(a, b) >> 1, 3988292384) ELSE xor(a, b) >> 1 END)) AS crc FROM ids),
-l AS (SELECT *, coalesce(crc % {COMMON} = 0, false) AS common, CAST(floor(quantity / 10.0) AS BIGINT) AS tens, CAST(floor(100 * discount + 0.5) AS BIGINT) AS percent, CAST(floor(100 * amount + 0.5) AS BIGINT) AS amount_cents
+l AS (SELECT sale_id, line_no, vendor_id, item_id, shipped_at, quantity, coalesce(crc % {COMMON} = 0, false) AS common, CAST(floor(quantity / 10.0) AS BIGINT) AS tens, CAST(floor(100 * discount + 0.5) AS BIGINT) AS percent, CAST(floor(100 * amount + 0.5) AS BIGINT) AS amount_cents
  FROM sale_lines LEFT JOIN c USING (sale_id)),
 g AS (SELECT CAST(CASE WHEN common THEN -1 ELSE vendor_id END AS BIGINT) AS vendor_id, CAST(CASE WHEN common THEN -1 ELSE coalesce(item_id % 5, -1) END AS BIGINT) AS part,
  CAST(CASE WHEN common THEN -1 ELSE coalesce(100 * year(shipped_at) + month(shipped_at), -1) END AS BIGINT) AS month, tens, percent, sale_id, CAST(line_no AS BIGINT) AS line_no, CAST(quantity AS BIGINT) AS quantity, amount_cents FROM l),
