@@ -16,6 +16,7 @@ from papyrine.operators import html as H
 from papyrine.operators import segment as S
 from papyrine.operators.summarize import summarize
 from papyrine.plans.document import corpus_stats, process_documents
+from papyrine.plans import similarity
 from papyrine.plans.oracle import DAY, ORACLE
 from papyrine.sources import views as V
 
@@ -315,6 +316,7 @@ def sentences(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
+QUERIES.update(similarity.queries())
 QUERIES["corpus_stats"] = lambda spark, sf_dir: corpus_stats(V.markdown(spark, sf_dir))
 
 
@@ -323,4 +325,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in ORACLE.items() if k in QUERIES}
+    return {k: v for k, v in (ORACLE | similarity.ORACLE).items() if k in QUERIES}

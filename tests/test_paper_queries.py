@@ -8,7 +8,7 @@ from conftest import SF
 
 from papyrine.plans.queries import oracle_sql, queries
 
-TABLES = "documents pages"
+TABLES = "documents pages benchmark embeddings labels"
 
 
 @pytest.fixture(scope="module")
