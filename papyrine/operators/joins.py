@@ -7,13 +7,15 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key with more than one row of so many is hot. There are fewer hot keys than this, so a row each can be broadcast.
 HOT = 400
 #: Bytes of a hot key's payload that are broadcast at most, so all of them take 40 MB at most.
 HOT_BYTES = 100_000
+#: Bits of a bitmap of keys.
+MARKS = 1 << 27
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -47,6 +49,37 @@ def look_up(rows: DataFrame, table: DataFrame, key: str, weight: str, how: str =
     return rows.join(F.broadcast(sent), key).unionByName(left.join(rest, key, how))
 
 
+def _marked(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``__marked``: false only where ``key`` is not among ``ids``.
+
+    The ids' hashes are set in a bitmap of MARKS bits at most (16 MB), kept in pieces of 32768 bits, and sent to all tasks. The
+    more ids, the more rows are marked in vain.
+    """
+    def bit(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(MARKS))
+
+    pieces = ids.select(bit(ids.columns[0]).alias("m")).distinct().groupBy(F.expr("m div 32768").alias("__piece")).agg(F.expr("bitmap_construct_agg(m % 32768)").alias("__bits"))
+    at = bit(key) % 32768
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    here = rows.withColumn("__piece", F.floor(bit(key) / 32768)).join(F.broadcast(pieces), "__piece", "left")
+    return here.select(*rows.columns, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)).alias("__marked"))
+
+
+def only_of(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is in ``ids`` (one column, null is a key): a semi join that exchanges few of the others."""
+    ids = ids.select(F.col(ids.columns[0]).alias("__id")).distinct()
+    few = _marked(rows, ids, key).where("__marked").drop("__marked")
+    return few.join(ids, few[key].eqNullSafe(ids["__id"]), "left_semi")
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is not in ``ids``: an anti join that exchanges few rows but those of ``ids``."""
+    ids = ids.select(F.col(ids.columns[0]).alias("__id")).distinct()
+    marked = _marked(rows, ids, key)
+    few = marked.where("__marked").drop("__marked")
+    return marked.where("NOT __marked").drop("__marked").unionByName(few.join(ids, few[key].eqNullSafe(ids["__id"]), "left_anti"))
+
+
 def components(links: DataFrame, rounds: int = 80) -> DataFrame:
     """(node, root) of the nodes in ``links``' first two columns; root is the least node that a node reaches.
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from papyrine.operators.joins import components, look_up, stored
+from papyrine.operators.joins import components, look_up, only_of, stored
 from papyrine.operators.shingles import by_text, hash_words, mix, ngrams
 
 N, SIMILAR = 5, 0.8
@@ -136,8 +136,7 @@ def near_copies(docs: DataFrame, n: int = N, similar: float = SIMILAR, chunk: in
     buckets = stored(look_up_shared(each), "buckets")
     pairs = stored(stars(buckets, similar), "stars")
     members = buckets.select("class").distinct().join(classes.select("class", "class_id"), "class")
-    members = members.select("class_id").distinct()
-    texts = docs.join(members, docs["doc_id"].eqNullSafe(members["class_id"]), "left_semi")
+    texts = only_of(docs, members.select("class_id"), "doc_id")
     sets = stored(_sets(texts, n).dropDuplicates(["class"]), "class-sets")
     links = verified(pairs, sets, similar)
     more = stored(across(buckets, components(links), similar, chunk).join(pairs, ["a", "b"], "left_anti"), "across")
