@@ -2,6 +2,9 @@
 
 ``python -m papyrine paper.pdf [out]`` for a file, ``python -m papyrine --batch folder [out]`` for a folder; without
 arguments ``./pdf`` goes to ``./json_output``.
+
+``python -m papyrine index build --input <json folder> --out <index>`` indexes processed documents for the search for near
+copies; run again, it adds what is new.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from papyrine.sources import papers
 from papyrine.sources.sinks import export_documents
 
 logger = logging.getLogger("papyrine")
-USAGE = "Usage:\n  python -m papyrine <pdf> [out]\n  python -m papyrine --batch <folder> [out]\n  python -m papyrine    (./pdf to ./json_output)"
+USAGE = "Usage:\n  python -m papyrine <pdf> [out]\n  python -m papyrine --batch <folder> [out]\n  python -m papyrine index build --input <json folder> --out <index>\n  python -m papyrine    (./pdf to ./json_output)"
 
 
 def run(spark: SparkSession, files: DataFrame, out: str, make: Callable = papers.docling_converter, options: papers.ConvertOptions | None = None, version: int = 2) -> list[tuple[str, str, str | None]]:
@@ -41,9 +44,22 @@ def run(spark: SparkSession, files: DataFrame, out: str, make: Callable = papers
     return report
 
 
+def build_index(spark: SparkSession, source: str, out: str) -> int:
+    """Add the new processed documents of ``source`` to the index in ``out``: how many documents it has."""
+    from papyrine.streaming.index import Index, index_stream, processed_changes
+
+    index = Index(spark, out)
+    index_stream(processed_changes(spark, source), index, f"{out.rstrip('/')}/checkpoint").awaitTermination()
+    return index.read().count()
+
+
 def main(args: list[str], make: Callable = papers.docling_converter) -> int:
+    if args[:2] == ["index", "build"] and args[2::2] == ["--input", "--out"] and len(args) == 6:
+        logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s")
+        logger.info("%d documents indexed", build_index(SparkSession.builder.appName("papyrine").getOrCreate(), args[3], args[5]))
+        return 0
     batch = args[:1] == ["--batch"]
-    if batch and len(args) < 2 or not args and not os.path.isdir("./pdf"):
+    if args[:1] == ["index"] or batch and len(args) < 2 or not args and not os.path.isdir("./pdf"):
         print(USAGE)
         return 1
     source, out = (args[1:] if batch else args)[0] if args else "./pdf", ((args[2:] if batch else args[1:]) or ["./json_output"])[0]

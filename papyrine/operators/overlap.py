@@ -77,6 +77,23 @@ def passages(docs: DataFrame, items: DataFrame, n: int = N, broadcast_ngrams: in
     return found.select("doc_id", "item_id", *PASSAGE)
 
 
+#: A word with the white space before it.
+PIECE = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
+
+
+def characters(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """``passages`` with start and end: the positions of their first character and after their last one in the document's text.
+
+    Ids must be unique; a passage without its document, or beyond its words, is left out.
+    """
+    pieces = docs.select("doc_id", F.regexp_extract_all("text", F.lit(PIECE), F.lit(0)).alias("pieces")).join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    upto = lambda n: F.char_length(F.array_join(F.slice("pieces", F.lit(1), F.col(n).cast("int")), "")).cast("long")
+    first = F.element_at("pieces", (F.col("doc_start") + 1).cast("int"))
+    blank = F.char_length(F.regexp_extract(first, r"^[\x20\x09-\x0D]*", 0))
+    both = found.join(pieces, "doc_id").where(F.col("doc_end") <= F.size("pieces"))
+    return both.withColumns({"start": upto("doc_start") + blank, "end": upto("doc_end")}).drop("pieces")
+
+
 def _in_tasks(docs: DataFrame, known: DataFrame, n: int) -> DataFrame:
     table = known.orderBy("hash").toArrow()  # its size was checked
     spark = docs.sparkSession

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 PAPERS = StructType([StructField(c, StringType()) for c in ("paper_name", "year", "conference_name", "workshop_or_main_conference", "paper_path")])
@@ -181,8 +181,16 @@ class Listing(DataSource):
 
     Options: ``url`` (with ``{skip}`` for paged listings), ``pages``, ``size``, ``urls`` (comma-joined), ``retries``,
     ``timeout``, ``delay`` (seconds, or a range like ``1.5-3.5`` from which each is drawn), ``pause`` (seconds after a
-    failure), ``agent``. A page that can't be had is a row with its status and no body. With ``until``, a pattern that
-    every page with entries has, a paged listing is read until a page lacks it: ``readers`` tasks take turns of pages.
+    failure), ``agent``. A page that can't be had is a row with its status and no body. A listing with ``{skip}`` and
+    without ``pages`` is read until a page lacks ``until``, a pattern that every page with entries has (ENTRIES, unless
+    given): ``readers`` tasks take turns of pages.
+
+    ``rate`` is a number of requests a second for each host, however many tasks there are: requests are numbered by host,
+    and each waits for its number's time (``Schedule``).
+
+    ``spark.readStream.format("listing")`` reads a paged listing as it grows. Its offset is the number of pages read; how
+    many there are now is found by doubling and halving, and ``readers`` tasks read the new ones. A restart goes on at the
+    stored offset, so no page is given twice or left out.
     """
 
     @classmethod
@@ -195,35 +203,74 @@ class Listing(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return ListingReader(dict(self.options))
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return ListingStream(dict(self.options))
+
+
+#: What a listing's page with entries has.
+ENTRIES = r"<(?:entry|li|article)\b"
+
+
+#: Seconds until the first request of a schedule is due: tasks that begin later than that make up for it at once.
+LEAD = 3.0
+
+
+class Schedule:
+    """Times of requests: the n-th of a host is due n / rate seconds after the start, whichever task makes it."""
+
+    def __init__(self, rate: float | None, start: float | None = None):
+        self.rate, self.start, self.seen = rate, time.time() + LEAD if start is None else start, {}
+
+    def next(self, url: str) -> float:
+        """The time of the next request of the url's host."""
+        host = re.sub(r"^[a-z]+://([^/?#]*).*$", r"\1", url, flags=re.S)
+        n = self.seen[host] = self.seen.get(host, -1) + 1
+        return self.at(n)
+
+    def at(self, n: int) -> float:
+        return self.start + n / self.rate if self.rate else 0.0
+
+
+def wait_until(due: float) -> None:
+    time.sleep(max(0.0, due - time.time()))
+
 
 class ListingReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.options = options
-        if options.get("urls"):
-            self.urls = options["urls"].split(",")
-        else:
-            size = int(options.get("size", 2000))
-            self.urls = [options["url"].format(skip=k * size) for k in range(int(options.get("pages", 1)))] if not options.get("until") else []
+        self.options, self.rate = options, float(options["rate"]) if options.get("rate") else None
+        paged = not options.get("urls") and "{skip}" in options["url"] and not options.get("pages")
+        self.until = options.get("until") or (ENTRIES if paged else None)
+        self.readers, self.size = int(options.get("readers", 4)), int(options.get("size", 2000))
+        self.urls = [] if self.until else options["urls"].split(",") if options.get("urls") else [self.page(k) for k in range(int(options.get("pages", 1)))]
+
+    def page(self, number: int) -> str:
+        return self.options["url"].format(skip=number * self.size)
 
     def partitions(self) -> list[InputPartition]:
-        if self.options.get("until"):
-            return [InputPartition(k) for k in range(int(self.options.get("readers", 4)))]
-        return [InputPartition(u) for u in self.urls]
+        schedule = Schedule(self.rate)
+        if self.until:
+            return [InputPartition((k, schedule.start)) for k in range(self.readers)]
+        return [InputPartition((u, schedule.next(u))) for u in self.urls]
 
     def read(self, partition: InputPartition) -> Iterator[tuple[str, int, str | None]]:
-        o = self.options
-        if not o.get("until"):
-            yield self.fetch(partition.value)
+        number, when = partition.value
+        if not self.until:
+            wait_until(when)
+            yield self.fetch(number)
             return
-        number = partition.value
+        schedule = Schedule(self.rate, when)
         while True:
-            row = self.fetch(o["url"].format(skip=number * int(o.get("size", 2000))))
-            if row[2] is None or not re.search(o["until"], row[2]):
-                if row[1] not in (200, 404):
+            wait_until(schedule.at(number))
+            row = self.fetch(self.page(number))
+            if not self.has_entries(row):
+                if row[2] is None and row[1] not in (200, 404):
                     yield row  # a failure isn't the listing's end: it is told
                 return
             yield row
-            number += int(o.get("readers", 4))
+            number += self.readers
+
+    def has_entries(self, row: tuple[str, int, str | None]) -> bool:
+        return row[2] is not None and re.search(self.until or ENTRIES, row[2]) is not None
 
     def fetch(self, url: str) -> tuple[str, int, str | None]:
         import urllib.error
@@ -247,3 +294,50 @@ class ListingReader(DataSourceReader):
         low, _, high = str(o.get("delay", 0)).partition("-")
         time.sleep(random.uniform(float(low), float(high or low)) + (float(o.get("pause", 0)) if body is None else 0))
         return url, status, body
+
+
+class ListingStream(DataSourceStreamReader, ListingReader):
+    """Offsets are numbers of pages; pages once read aren't asked for again."""
+
+    def __init__(self, options: dict[str, str]):
+        ListingReader.__init__(self, options)
+        self.until, self.known = self.until or ENTRIES, 0
+        self.schedule = Schedule(self.rate)
+
+    def initialOffset(self) -> dict:
+        return {"pages": int(self.options.get("first", 0))}
+
+    def latestOffset(self) -> dict:
+        """How many pages there are, all of those before with entries: doubling steps from the last number on, then halving."""
+        low, high, step = max(self.known, self.initialOffset()["pages"]), None, 1
+        while high is None or low < high:
+            probe = low + step if high is None else (low + high + 1) // 2
+            if self._there(probe - 1):
+                low, step = probe, step * 2
+            else:
+                high = probe - 1
+        return {"pages": low}
+
+    def _there(self, page: int) -> bool:
+        url = self.page(page)
+        wait_until(self.schedule.next(url))
+        row = self.fetch(url)
+        return self.has_entries(row)
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.known = end["pages"]
+        pages = range(start["pages"], end["pages"])
+        due = [self.schedule.next(self.page(p)) for p in pages]
+        if due and self.rate:  # the schedule goes on from now, not from turns that went by without a request
+            late = max(0.0, time.time() + LEAD - due[0])
+            due = [d + late for d in due]
+            self.schedule.start += late
+        return [InputPartition(list(zip(pages, due))[k :: self.readers]) for k in range(min(self.readers, len(pages)))]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple[str, int, str | None]]:
+        for page, when in partition.value:
+            wait_until(when)
+            yield self.fetch(self.page(page))
+
+    def commit(self, end: dict) -> None:
+        self.known = max(self.known, end["pages"])

@@ -87,8 +87,12 @@ def save_images(images: DataFrame, folder: str) -> DataFrame:
     return images.where("content IS NOT NULL").select("path", "page", "image", "content").mapInPandas(run, "file string, status string, message string")
 
 
-def download(rows: DataFrame, url: str = "pdf_url", path: str = "paper_path", delay: float = 0.3, timeout: float = 30.0, chunk: int = 8192) -> DataFrame:
-    """Fetch each URL to its path in a shared folder, in chunks, and rename when whole; returns (path, status, message)."""
+def download(rows: DataFrame, url: str = "pdf_url", path: str = "paper_path", delay: float = 0.3, timeout: float = 30.0, chunk: int = 8192, rate: float | None = None, tasks: int = 4) -> DataFrame:
+    """Fetch each URL to its path in a shared folder, in chunks, and rename when whole; returns (path, status, message).
+
+    With ``rate``, requests a second over all tasks, the rows are dealt to ``tasks`` tasks and each waits ``tasks / rate``
+    seconds from one request to the next; else each waits ``delay`` seconds after a request.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
@@ -99,6 +103,7 @@ def download(rows: DataFrame, url: str = "pdf_url", path: str = "paper_path", de
         for batch in batches:
             out = []
             for source, target in zip(batch["url"], batch["path"]):
+                began = time.monotonic()
                 part = f"{target}.{uuid.uuid4().hex}.part"
                 try:
                     os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
@@ -111,7 +116,8 @@ def download(rows: DataFrame, url: str = "pdf_url", path: str = "paper_path", de
                     if os.path.exists(part):
                         os.remove(part)
                     out.append((target, "error", str(e)))
-                time.sleep(delay)
+                time.sleep(max(0.0, began + tasks / rate - time.monotonic()) if rate else delay)
             yield pd.DataFrame(out, columns=["path", "status", "message"])
 
+    rows = rows.repartition(tasks) if rate else rows
     return rows.select(F.col(url).alias("url"), F.col(path).alias("path")).mapInPandas(run, "path string, status string, message string")
