@@ -7,9 +7,11 @@ pools that a two-proportion test can't tell apart are one. Merged siblings are o
 the share of blocked among its labelled pages, smoothed towards its parent's, and so on up to the host and the whole table;
 a page is rejected if its leaf's is high enough. Labels come from the rules: pages that a rule decides are the labelled ones.
 
-A round handles the next branching of every node at once (what all paths below a node share is skipped), so there are as
-many rounds as branchings on the deepest path, whatever its length. Rows are distinct paths, not pages; a key with a large
-share of them is joined by a broadcast of bounded size (``join_spread``).
+Rows are distinct paths, not pages. A node with few of them below it (``LEAVES`` and ``LEAF_BYTES``) is finished by one task,
+in plain Python over its sorted partition. Only the others take part in rounds: a round handles the next branching of all of
+them at once (what all paths below a node share is skipped) and hands on the children that have become small enough. So the
+number of rounds is set by how deep very large nodes branch, not by how deep paths are. A key with a large share of the rows
+is joined by a broadcast of bounded size (``join_spread``).
 
 Edge cases: a null url or one without ``://`` has an empty host and path, no rule, and the verdict of its template; pages
 without a path have the template ``/``; null page_ids, repeated rows and ties are kept row by row; an empty table gives none.
@@ -17,8 +19,11 @@ without a path have the template ``/``; null page_ids, repeated rows and ties ar
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +48,8 @@ SMOOTH, REJECT = 5.0, 0.8
 CHILDREN, RARE = 20, 5.0
 #: Square of the normal quantile below which two purities count as alike; steps of purity in which siblings are pooled.
 ALIKE, STEPS = 1.96**2, 20
+#: Distinct paths below a node, and their bytes, that one task finishes.
+LEAVES, LEAF_BYTES = 5_000, 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -115,6 +122,79 @@ def _branch(now: DataFrame) -> DataFrame:
     return moved.select("host", "key", F.col("next").alias("prefix"), F.when(done, F.lit(None)).otherwise(rest).alias("rest"), F.col("now_purity").alias("purity"), "pages", "labelled", "blocked")
 
 
+def finish(prefix: str, purity: float, rests: list[list[str]], counts: list[tuple[int, int, int]]) -> list[tuple[str, float]]:
+    """The template and purity of each path below a node: ``rests`` are their segments, ``counts`` their pages, labelled and blocked ones."""
+    out: list[tuple[str, float]] = [("", 0.0)] * len(rests)
+    smooth = lambda l, b, above: (b + SMOOTH * above) / (l + SMOOTH)
+    total = lambda rows: tuple(sum(counts[i][k] for i in rows) for k in range(3))
+    nodes = [(prefix, purity, list(range(len(rests))), 0)]
+    while nodes:
+        prefix, purity, rows, depth = nodes.pop()
+        low, high = min((rests[i] for i in rows), key=lambda r: r[depth:]), max((rests[i] for i in rows), key=lambda r: r[depth:])
+        end = depth
+        while end < min(len(low), len(high)) and low[end] == high[end]:
+            end += 1
+        prefix, depth = prefix + "".join(f"/{s}" for s in low[depth:end]), end
+        kids: dict[str, list[int]] = {}
+        for i in rows:
+            kids.setdefault(rests[i][depth] if len(rests[i]) > depth else "", []).append(i)
+        done = kids.pop("", None)
+        if done:
+            _, l, b = total(done)
+            for i in done:
+                out[i] = (prefix or "/", smooth(l, b, purity))
+        if len(kids) > CHILDREN and sum(counts[i][0] for k in kids.values() for i in k) < RARE * len(kids):
+            kids = {"{*}": [i for k in kids.values() for i in k]}
+        steps: dict[int, list[str]] = {}
+        sums = {k: total(v)[1:] for k, v in kids.items()}
+        for k, (l, b) in sums.items():
+            if l:
+                steps.setdefault(math.floor(b / l * STEPS + 0.5), []).append(k)
+            else:
+                nodes.append((f"{prefix}/{k}", smooth(l, b, purity), kids[k], depth + 1))
+        groups: list[list[str]] = []
+        last = None
+        for step in sorted(steps):
+            l, b = (sum(sums[k][j] for k in steps[step]) for j in (0, 1))
+            if last:
+                share, gap = (last[1] + b) / (last[0] + l), last[1] / last[0] - b / l
+            if last and gap * gap <= ALIKE * share * (1 - share) * (1 / last[0] + 1 / l):
+                groups[-1] += steps[step]
+            else:
+                groups.append(steps[step])
+            last = (l, b)
+        for number, group in enumerate(groups, 1):
+            below = [i for k in group for i in kids[k]]
+            _, l, b = total(below)
+            nodes.append((f"{prefix}/{group[0] if len(group) == 1 else f'{{~{number}}}'}", smooth(l, b, purity), below, depth + 1))
+    return out
+
+
+def _finished(rows: DataFrame) -> DataFrame:
+    """(host, key, template, purity, pages) of all paths of small nodes (host, key, prefix, rest, purity, pages, labelled, blocked)."""
+    names = ["host", "key", "template", "purity", "pages"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, held = None, []
+
+        def end() -> pa.RecordBatch:
+            found = finish(node[1], held[0]["purity"], [r["rest"] for r in held], [(r["pages"], r["labelled"], r["blocked"]) for r in held])
+            columns = ([r["host"] for r in held], [r["key"] for r in held], [t for t, _ in found], [p for _, p in found], [r["pages"] for r in held])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.float64(), pa.int64()))], names=names)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if node != (row["host"], row["prefix"]):
+                    if held:
+                        yield end()
+                    node, held = (row["host"], row["prefix"]), []
+                held.append(row)
+        if held:
+            yield end()
+
+    return rows.repartition("host", "prefix").sortWithinPartitions("host", "prefix").mapInArrow(run, "host string, key string, template string, purity double, pages long")
+
+
 def templates(leaves: DataFrame) -> DataFrame:
     """(host, key, template, purity, pages) of stored ``leaves`` (host, key, segments, pages, labelled, blocked)."""
     whole = leaves.agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("l"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("b")).first()
@@ -124,12 +204,17 @@ def templates(leaves: DataFrame) -> DataFrame:
     now = join_spread(leaves, hosts, ["host"], "rows").select("host", "key", F.lit("").alias("prefix"), F.col("segments").alias("rest"), "purity", "pages", "labelled", "blocked")
     done = None
     while True:
-        now = materialize(_branch(now), "url-nodes")
-        ended = now.where("rest IS NULL").select("host", "key", F.when(F.col("prefix") == "", F.lit("/")).otherwise(F.col("prefix")).alias("template"), "purity", "pages")
+        sizes = now.groupBy("host", "prefix").agg(F.count("*").alias("rows"), F.sum(F.octet_length("key")).alias("bytes"))
+        sizes = sizes.withColumn("small", (F.col("rows") <= LEAVES) & (F.col("bytes") <= LEAF_BYTES)).drop("bytes")
+        now = materialize(join_spread(now, sizes, ["host", "prefix"], "rows"), "url-nodes")
+        ended = _finished(now.where("small").drop("small"))
         done = ended if done is None else done.unionByName(ended)
-        now = now.where("rest IS NOT NULL")
+        now = now.where("NOT small").drop("small")
         if now.isEmpty():
             return done
+        now = materialize(_branch(now), "url-nodes")
+        ended = now.where("rest IS NULL").select("host", "key", F.when(F.col("prefix") == "", F.lit("/")).otherwise(F.col("prefix")).alias("template"), "purity", "pages")
+        done, now = done.unionByName(ended), now.where("rest IS NOT NULL")
 
 
 def judge(df: DataFrame, rules: list[UrlRule] = RULES, key: str = "page_id", url: str = "url") -> DataFrame:

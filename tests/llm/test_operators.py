@@ -630,8 +630,10 @@ class Tree:
         self.node(host, prefix, rows, purity)
 
 
-def test_url_tree(spark):
-    """Templates and purities at any depth are those of the plain tree; deep, long and odd paths included."""
+@pytest.mark.parametrize("leaves", [urls.LEAVES, 60, 0])
+def test_url_tree(spark, monkeypatch, leaves):
+    """Templates and purities at any depth are those of the plain tree; deep, long and odd paths included, in tasks and in rounds."""
+    monkeypatch.setattr(urls, "LEAVES", leaves)
     rnd = random.Random(12)
     names = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
     made = [f"http://a.com/u/{n}/post/{rnd.randrange(999)}" for n in names[:40]] + [f"http://a.com/u/{n}/about" for n in names[:40]]
@@ -649,3 +651,11 @@ def test_url_tree(spark):
         assert r.template == template and math.isclose(r.purity, purity, rel_tol=1e-9), r
         assert r.verdict == (verdict[r.rule] if r.rule else "block" if purity >= urls.REJECT else "allow")
     assert {r.template for r in found if r.host == "a.com"} == {"/u/{*}/post/{n}", "/u/{*}/about"}
+
+
+def test_deep_paths_take_no_rounds(spark, monkeypatch):
+    """Twenty-five branchings below each other are one task's work."""
+    rounds = []
+    monkeypatch.setattr(urls, "_branch", lambda now: rounds.append(1) or now)
+    made = [(d, "http://deep.com" + "".join(f"/s{k}" for k in range(d)) + f"/end{d % 2}") for d in range(25)]
+    assert len(urls.judge(spark.createDataFrame(made, "page_id long, url string")).collect()) == 25 and not rounds
