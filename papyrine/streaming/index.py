@@ -11,7 +11,7 @@ doc_id is left out; a null text is indexed as an empty one; removing what isn't
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -82,10 +82,14 @@ def index_stream(changes: DataFrame, index: Index, checkpoint: str, once: bool =
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def processed_text() -> Column:
+    """The abstract and the sections' text of a processed document."""
+    return F.concat_ws("\n\n", "abstract", F.array_join(F.transform("sections", lambda s: s["summary"]), "\n\n"))
+
+
 def processed_changes(spark: SparkSession, folder: str, files: int = 1000) -> DataFrame:
     """Processed JSON documents as additions, as they arrive: their abstract and their sections' text."""
     from papyrine.sources.papers import PROCESSED
 
     found = spark.readStream.schema(PROCESSED).option("multiLine", True).option("maxFilesPerTrigger", files).json(folder)
-    text = F.concat_ws("\n\n", "abstract", F.array_join(F.transform("sections", lambda s: s["summary"]), "\n\n"))
-    return found.select("doc_id", text.alias("text"), F.lit(False).alias("deleted"), F.col("_metadata.file_modification_time").alias("at"))
+    return found.select("doc_id", processed_text().alias("text"), F.lit(False).alias("deleted"), F.col("_metadata.file_modification_time").alias("at"))

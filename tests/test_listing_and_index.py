@@ -165,3 +165,25 @@ def test_command_line_builds_and_extends(spark, tmp_path, monkeypatch):
         (folder / f"{n}.json").write_text(json.dumps(paper(n), indent=1))
         assert cli.build_index(spark, str(folder), f"file://{tmp_path}/index") == n + 1
     assert cli.main(["index", "build"]) == 1
+
+
+def test_detection_from_the_command_line(spark, tmp_path, monkeypatch):
+    import papyrine.__main__ as cli
+    from papyrine.plans.detect import Settings
+
+    shared = "these very words stand in both of them & more"
+    paper = lambda name, text: {"doc_id": name, "title": "T", "abstract": text, "sections": [{"section_id": "1", "title": "S", "summary": f"own words of {name} only here"}], "references": []}
+    for folder, some in (("in", {"p/1": f"Intro. {shared} end", "p2": "nothing in common at all here"}), ("corpus", {"c1": f"x {shared} y", "c2": f"{shared}", "c3": "these very words stand in", "p/1": f"Intro. {shared} end"})):
+        (tmp_path / folder).mkdir()
+        for k, (name, text) in enumerate(some.items()):
+            (tmp_path / folder / f"{k}.json").write_text(json.dumps(paper(name, text), indent=1))
+    monkeypatch.setenv("PAPYRINE_CANDIDATES", "2")
+    assert Settings.load(words=7) == Settings(words=7, candidates=2)
+    with pytest.raises(ValueError):
+        Settings.load(nonsense=1)
+    got = cli.report_reuse(spark, str(tmp_path / "in"), str(tmp_path / "corpus"), str(tmp_path / "out"))
+    assert sorted((f[len(str(tmp_path)) :], s) for f, s, _ in got) == [("/out/p_1.html", "ok"), ("/out/p_1.json", "ok")]
+    report = json.loads((tmp_path / "out" / "p_1.json").read_text())
+    assert report["covered"] == len(shared) and report["parts"] == [{"start": 7, "end": 7 + len(shared)}] and {s["label"] for s in report["spans"]} == {"c1", "c2"}
+    page = (tmp_path / "out" / "p_1.html").read_text()
+    assert '<mark data-of="c1 c2">these very words stand in both of them &amp; more</mark> end' in page
