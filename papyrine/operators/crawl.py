@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyrine.functions.text import sanitize
+from papyrine.operators import html as H
+
 #: The one metadata model; sources that lack a column leave it null.
 PAPER_COLUMNS = ["paper_name", "year", "conference_name", "workshop_or_main_conference", "paper_path"]
 
@@ -54,3 +57,32 @@ def follow(frontier: DataFrame, links: DataFrame, level: str, keep: Callable[[Co
     """
     down = links.where(keep(F.col("target"))) if keep else links
     return frontier.withColumnRenamed("url", level).join(down.select(F.col("url").alias(level), "target").distinct(), level).withColumnRenamed("target", "url").distinct()
+
+
+#: Where a proceedings site has its volumes and papers.
+VOLUME_LIST, VOLUME_LINK, PAPER_BLOCK, PAPER_TITLE, PAPER_DETAILS, PAPER_FILE = "field-item", "proceedings", "paper_wrapper", "title", "details", r"\.pdf$"
+
+
+def volumes(index: DataFrame) -> DataFrame:
+    """The distinct (url) of the volumes that ``index`` pages (url, html) list."""
+    listed = H.section(F.col("html"), "div", "class", VOLUME_LIST)
+    found = index.select("url", F.explode(H.links(listed)).alias("l")).where(F.col("l.href").contains(VOLUME_LINK))
+    return found.select(H.resolve(F.col("url"), F.col("l.href")).alias("url")).distinct()
+
+
+def volume_papers(pages: DataFrame, conference: str = "IJCAI") -> DataFrame:
+    """``pages`` (url, html, ..) as papers: a row for each block with a title and a link to a file; columns but html are kept."""
+    block = F.col("block")
+    blocks = pages.withColumn("block", F.explode(H.sections(F.col("html"), "div", "class", PAPER_BLOCK))).drop("html")
+    file = H.first_link(H.find_first(block, "div", "class", PAPER_DETAILS), PAPER_FILE)
+    year = H.url_year(F.col("url"))
+    rows = blocks.withColumns({"paper_name": H.joined_text(H.find_first(block, "div", "class", PAPER_TITLE)), "year": year, "conference_name": F.concat(F.lit(f"{conference} "), year), "workshop_or_main": F.lit("main"), "pdf_url": H.resolve(F.col("url"), file)})
+    return rows.where("paper_name IS NOT NULL AND pdf_url IS NOT NULL").drop("block")
+
+
+def proceedings(index: DataFrame, fetch: Callable[[DataFrame], DataFrame], known: DataFrame | None = None, conference: str = "IJCAI") -> DataFrame:
+    """The papers of all volumes that ``index`` lists, those whose paper_path is ``known`` left out; ``fetch`` gives (url, html) of a table of urls."""
+    papers = volume_papers(fetch(volumes(index)), conference)
+    name = F.concat(F.col("year"), F.lit("_"), F.left(sanitize(F.col("paper_name")), F.lit(120)), F.lit(".pdf"))
+    papers = papers.withColumn("paper_path", name)
+    return papers if known is None else new_by_path(papers, known)

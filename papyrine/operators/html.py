@@ -38,6 +38,17 @@ def find_first(html: Column, tag: str, attribute: str | None = None, value: str
     return F.get(find_all(html, tag, attribute, value), 0)
 
 
+def sections(html: Column, tag: str, attribute: str | None = None, value: str | None = None) -> Column:
+    """What follows each start tag of ``tag``, with an attribute of this value if given, up to the next such tag: elements that hold their own kind, one after another."""
+    parts = F.split(elements_only(html), f"(?is){_start(tag, attribute, value)}")
+    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+
+
+def section(html: Column, tag: str, attribute: str | None = None, value: str | None = None) -> Column:
+    """The first of ``sections``; null if there is none."""
+    return F.get(sections(html, tag, attribute, value), 0)
+
+
 def text_of(fragment: Column) -> Column:
     """Text without tags, entities decoded."""
     return unescape(F.regexp_replace(fragment, "<[^>]*>", ""))

@@ -244,6 +244,8 @@ SELECT v.doc_id, {PAPER_TITLE} AS title, {abstract(2)} AS abstract, coalesce(sec
     "link_expand": f"""WITH {LINKS} SELECT DISTINCT page_id, href, {SITE} || href AS target FROM k WHERE starts_with(href, '/')""",
     "crawl_levels": f"""WITH {LINKS}, e AS (SELECT DISTINCT page_id % 40 AS u, (page_id * 7 + pos * 3 + length(href)) % 40 AS t FROM k)
 SELECT DISTINCT a.u AS event, a.t AS volume, b.t AS paper FROM e a JOIN e b ON b.u = a.t WHERE a.u < 5 AND a.t >= 5 AND b.t % 2 = 0""",
+    "proceedings_papers": f"""WITH {PAGE}, z AS (SELECT page_id, url, unnest({elements('li')}) AS li FROM c), y AS (SELECT page_id, {strip(text_of('li'))} AS paper_name, coalesce(nullif({extract('url', '((?:19|20)[0-9]{2})')}, ''), 'Unknown') AS year, {SITE} AS site FROM z)
+SELECT page_id, paper_name, year, 'IJCAI ' || year AS conference_name, site || '/p' || paper_name || '.pdf' AS pdf_url FROM y""",
     "href_substring": f"WITH {LINKS} SELECT page_id, CAST(pos AS INT) AS pos, href FROM k WHERE href LIKE '%an%'",
     "paper_id_links": f"""WITH {LINKS} SELECT DISTINCT page_id, 'https://a.example/P' || CAST(page_id % 100 AS VARCHAR) || '-' || CAST(pos + 1000 AS VARCHAR) || CASE WHEN pos % 4 = 0 THEN '/' ELSE '' END AS paper
 FROM k WHERE pos % 2 = 0 UNION SELECT DISTINCT page_id, 'https://a.example' || href FROM k WHERE pos % 2 = 1 AND regexp_matches(href, '^/[A-Z][0-9]+-[0-9]+/?$')""",

@@ -157,6 +157,15 @@ def html_single_quoted_links(spark, sf_dir):
     return H.explode_links(_pages(spark, sf_dir).withColumn("html", F.regexp_replace(html, "(href='[^\"]*)\"", "$1'"))).select("page_id", "pos", "href", "anchor")
 
 
+@query
+def proceedings_papers(spark, sf_dir):
+    """Papers of volume pages; every page's list items stand for paper blocks here, those of odd places without a file."""
+    item = r"(?is)<li>(.*?)</li>"
+    block = '<div class="a paper_wrapper"><div class="title"> $1</div><div class="details"><a href="x.html">x</a><a href="/p$1.pdf">PDF</a></div></div>'
+    pages = _pages(spark, sf_dir).select("page_id", "url", F.regexp_replace(F.regexp_replace("html", '<a href="/[^"]*">([^<]*)</a>', "$1"), item, block).alias("html"))
+    return C.volume_papers(pages).select("page_id", "paper_name", "year", "conference_name", "pdf_url")
+
+
 @query
 def empty_sections(spark, sf_dir):
     return V.markdown(spark, sf_dir).select("doc_id", F.posexplode(S.empty_sections(S.parse_sections(F.col(md), 1))).alias("pos", "title"))

@@ -324,3 +324,16 @@ def test_converter_options_from_the_environment(monkeypatch):
 
     monkeypatch.setenv("DOCLING_DEVICE", "mps"), monkeypatch.setenv("DOCLING_OCR", "false")
     assert ConvertOptions.from_environment() == ConvertOptions("mps", False) and ConvertOptions.from_environment(ocr=True).ocr
+
+
+def test_proceedings_in_two_levels(spark):
+    """Volumes of the list only, papers with a title and a file only, known paths left out."""
+    site = "https://h.org"
+    index = '<a href="/proceedings/1999/">no</a><div class="x field-item even"><a href="/proceedings/2021/">21</a><a href="/proceedings/2021/">again</a><a href="proceedings/v">v</a><a href="/about">no</a></div>'
+    block = lambda title, link: f'<div class="paper_wrapper" id=p><div class="title">{title}</div><div class="authors">A</div><div class="details">[<a href="{link}">PDF</a> | <a href="/d/1">Details</a>]</div></div>'
+    volumes = {f"{site}/proceedings/2021/": block(" A <b>Study</b>: of x ", "0001.pdf") + block("No file", "0002.html") + '<div class="paper_wrapper"><div class="details"><a href="3.pdf">no title</a></div></div>' + block("Known", "4.pdf"), f"{site}/all/proceedings/v": block("B", "/b.pdf")}
+    table = spark.createDataFrame(list(volumes.items()), "url string, html string")
+    known = spark.createDataFrame([("2021_Known.pdf",)], "paper_path string")
+    found = C.proceedings(spark.createDataFrame([(f"{site}/all/", index)], "url string, html string"), lambda urls: table.join(urls, "url"), known).collect()
+    got = sorted((r.paper_name, r.year, r.conference_name, r.workshop_or_main, r.pdf_url, r.paper_path) for r in found)
+    assert got == [("AStudy: of x", "2021", "IJCAI 2021", "main", f"{site}/proceedings/2021/0001.pdf", "2021_AStudy of x.pdf"), ("B", "Unknown", "IJCAI Unknown", "main", f"{site}/b.pdf", "Unknown_B.pdf")]

@@ -140,8 +140,7 @@ def test_passages(spark, texts, most, monkeypatch):
     assert overlap.passages(empty, items, broadcast_ngrams=most).collect() == [] == overlap.passages(frame(spark, texts), empty.withColumnRenamed("doc_id", "item_id"), broadcast_ngrams=most).collect()
 
 
-@pytest.mark.parametrize("most", [tfidf.BROADCAST_TERMS, 0])
-@pytest.mark.parametrize(("rare", "sublinear"), [(0, True), (8, True), (8, False), (1000, False)])
+@pytest.mark.parametrize(("most", "rare", "sublinear"), [(tfidf.BROADCAST_TERMS, 0, True), (tfidf.BROADCAST_TERMS, 8, True), (0, 8, True), (tfidf.BROADCAST_TERMS, 8, False), (0, 1000, False)])
 def test_tfidf_neighbours(spark, texts, most, rare, sublinear):
     bags = [(i, Counter(re.findall(r"\w\w+", (t or "").lower()))) for i, t in texts]
     n, df = len(bags), Counter(w for _, b in bags for w in b)
