@@ -145,9 +145,36 @@ def pdf_blocks(files: DataFrame, open_pdf: Callable[[bytes], object] = _pages_of
     return _isolated(files, "path string, page int, block_idx int, text string, x0 double, y0 double, x1 double, y1 double", rows_of)
 
 
+def paddle_recogniser(language: str = "en", make: Callable[..., object] | None = None) -> Callable[[bytes], list[tuple[str, float]]]:
+    """A recogniser of text in an image by PaddleOCR, which is imported where it runs: (text, confidence) of each line.
+
+    Both shapes of its answers are read: a list of lines for each page (older releases), and one mapping for each page.
+    """
+    if make is None:
+        from paddleocr import PaddleOCR as make  # noqa: N813
+    engine = make(use_angle_cls=True, lang=language)
+
+    def run(image: bytes) -> list[tuple[str, float]]:
+        import tempfile
+
+        with tempfile.NamedTemporaryFile(suffix=".png") as file:  # this task's own, gone with it
+            file.write(image)
+            file.flush()
+            pages = engine.ocr(file.name) or []
+        found = []
+        for page in pages:
+            if isinstance(page, dict):
+                found += zip(page["rec_texts"], map(float, page["rec_scores"]))
+            else:
+                found += [(text, float(score)) for _, (text, score) in page or []]
+        return found
+
+    return run
+
+
 def pdf_images(files: DataFrame, recognise: Callable[[], Callable[[bytes], list[tuple[str, float]]]] | None = None, open_pdf: Callable[[bytes], object] = _pages_of) -> DataFrame:
-    """Embedded images keyed by (path, page, image), with recognised text and confidence if a recogniser is given; a file
-    that can't be read is a row with its error."""
+    """Embedded images keyed by (path, page, image), with recognised text and confidence if a maker of a recogniser is given,
+    like ``paddle_recogniser``; a file that can't be read is a row with its error."""
     made: list = []
 
     def rows_of(path: str, content: bytes) -> list[tuple]:

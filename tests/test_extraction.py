@@ -337,3 +337,19 @@ def test_proceedings_in_two_levels(spark):
     found = C.proceedings(spark.createDataFrame([(f"{site}/all/", index)], "url string, html string"), lambda urls: table.join(urls, "url"), known).collect()
     got = sorted((r.paper_name, r.year, r.conference_name, r.workshop_or_main, r.pdf_url, r.paper_path) for r in found)
     assert got == [("AStudy: of x", "2021", "IJCAI 2021", "main", f"{site}/proceedings/2021/0001.pdf", "2021_AStudy of x.pdf"), ("B", "Unknown", "IJCAI Unknown", "main", f"{site}/b.pdf", "Unknown_B.pdf")]
+
+
+@pytest.mark.parametrize("answer", [[[[[0, 0], ("seen", 0.5)], [[1, 1], ("too", 1)]], None], [{"rec_texts": ["seen", "too"], "rec_scores": [0.5, 1]}], None])
+def test_recogniser_reads_both_shapes(answer):
+    class Engine:
+        def __init__(self, **given):
+            assert given == {"use_angle_cls": True, "lang": "en"}
+
+        def ocr(self, path):
+            with open(path, "rb") as f:
+                assert f.read() == b"image"
+            return answer
+
+    from papyrine.sources.papers import paddle_recogniser
+
+    assert paddle_recogniser(make=Engine)(b"image") == ([("seen", 0.5), ("too", 1.0)] if answer else [])
