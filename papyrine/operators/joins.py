@@ -83,15 +83,16 @@ def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 def components(links: DataFrame, rounds: int = 80) -> DataFrame:
     """(node, root) of the nodes in ``links``' first two columns; root is the least node that a node reaches.
 
-    Contraction: each node moves to the neighbour, or itself, of the least random number, drawn anew each round, and links
-    move with their ends. That leaves a fraction of the nodes a round, whatever the links' shape.
+    Contraction: each node moves to the neighbour, or itself, of the least number, and links move with their ends. In every
+    other round numbers are random, drawn anew, which leaves a fraction of the nodes whatever the links' shape; in the others
+    they are the nodes themselves, so stars around their least node are done in one.
     """
     a, b = links.columns[:2]
     ends = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     edges = stored(ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
     place = stored(edges.select(F.col("u").alias("node"), F.col("u").alias("at")).distinct(), "places")
     for k in range(rounds):
-        number = lambda c: F.struct(F.xxhash64(F.lit(k), c).alias("number"), F.col(c).alias("to"))  # noqa: B023, E731
+        number = lambda c: F.struct((F.xxhash64(F.lit(k), c) if k % 2 else F.lit(0)).alias("number"), F.col(c).alias("to"))  # noqa: B023, E731
         best = edges.groupBy("u").agg(F.min(number("v")).alias("best"), F.count("*").alias("n"))
         move = stored(best.select("u", F.least("best", number("u"))["to"].alias("to"), "n"), "moves")
         if move.isEmpty():
