@@ -63,20 +63,52 @@ def runs(keys: list[np.ndarray], at: np.ndarray) -> tuple[list[np.ndarray], np.n
     return [k[start] for k in keys], at[start], at[np.append(start[1:], len(at))[: len(start)] - 1]
 
 
+def _items(items: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Stored (item_id, text, item) of distinct items, and (item, hash, at) of their n-grams."""
+    items = items.select("item_id", "text").dropDuplicates().withColumn("item", F.monotonically_increasing_id())
+    items = stored(items, "items")
+    return items, stored(grams(items.drop("item_id"), n), "item-ngrams")
+
+
+def _named(found: DataFrame, items: DataFrame) -> DataFrame:
+    """``found`` with item_id in place of item; any number of rows may be of one item."""
+    found = stored(found, "found")
+    counted = found.groupBy("item").agg(F.count("*").alias("n")).join(items.select("item", "item_id"), "item")
+    return look_up(found, counted, "item", "n")
+
+
 def passages(docs: DataFrame, items: DataFrame, n: int = N, broadcast_ngrams: int = BROADCAST_NGRAMS) -> DataFrame:
     """(doc_id, item_id, doc_start, doc_end, item_start, item_end): word positions from 0, ends exclusive. Texts in ``text``."""
-    docs, items = docs.select("doc_id", "text"), items.select("item_id", "text").dropDuplicates().withColumn("item", F.monotonically_increasing_id())
-    items = stored(items, "items")
-    known = stored(grams(items.drop("item_id"), n), "item-ngrams")
+    docs = docs.select("doc_id", "text")
+    items, known = _items(items, n)
     if known.count() <= broadcast_ngrams:
         found = _in_tasks(docs, known, n).join(F.broadcast(items.select("item", "item_id").join(known, "item", "left_semi")), "item")
     else:
-        found = stored(_by_exchange(docs, known, n), "passages")
-        counted = found.groupBy("item").agg(F.count("*").alias("n")).join(items.select("item", "item_id"), "item")
-        found = look_up(found, counted, "item", "n")
+        found = _named(_by_exchange(docs, known, n), items)
     return found.select("doc_id", "item_id", *PASSAGE)
 
 
+def jaccards(docs: DataFrame, items: DataFrame, n: int = N, broadcast_ngrams: int = BROADCAST_NGRAMS) -> DataFrame:
+    """(doc_id, item_id, shared, jaccard, containment) of the sets of n-grams of each document and item that share one.
+
+    Containment is the share of the item's set. A repeated document has a row for each.
+    """
+    docs = docs.select("doc_id", "text")
+    items, known = _items(items, n)
+    known = stored(known.select("hash", "item").distinct(), "item-sets")
+    if known.count() <= broadcast_ngrams:
+        found = _sets_in_tasks(docs, known, n)
+    else:
+        seeds = stored(grams(docs.withColumn("row", F.monotonically_increasing_id()), n).select("row", "doc_id", "hash").distinct(), "sets")
+        met = _meet(seeds, known, FREQUENT).groupBy("row", "item").agg(F.count("*").alias("shared"))
+        found = seeds.groupBy("row", "doc_id").agg(F.count("*").alias("size")).join(met, "row").drop("row")
+    sizes = known.groupBy("item").agg(F.count("*").alias("item_size")).join(items.select("item", "item_id"), "item")
+    found = stored(found, "found")
+    counted = found.groupBy("item").agg(F.count("*").alias("n")).join(sizes, "item")
+    rows = look_up(found, counted, "item", "n")
+    return rows.select("doc_id", "item_id", "shared", (F.col("shared") / (F.col("size") + F.col("item_size") - F.col("shared"))).alias("jaccard"), (F.col("shared") / F.col("item_size")).alias("containment"))
+
+
 #: A word with the white space before it.
 PIECE = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 
@@ -122,16 +154,54 @@ def _in_tasks(docs: DataFrame, known: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _by_exchange(docs: DataFrame, known: DataFrame, n: int, least: int = FREQUENT) -> DataFrame:
-    seeds = stored(grams(docs.withColumn("row", F.monotonically_increasing_id()), n), "ngrams")
+def _sets_in_tasks(docs: DataFrame, known: DataFrame, n: int) -> DataFrame:
+    """(doc_id, size, item, shared): n-grams of a document, and those it shares with each item."""
+    table = known.orderBy("hash", "item").toArrow()  # its size was checked
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("hash", "item")))
+    schema = StructType([docs.schema["doc_id"], *longs("size", "item", "shared")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, items = sent.value
+        for whole in batches:
+            for batch in portions(whole, 1):
+                all_, begins = words(batch.column(1))
+                found = ngrams(hash_words(all_), n).view(np.int64)
+                row = np.searchsorted(begins, np.arange(len(found)), "right") - 1
+                inside = np.arange(len(found)) + n <= begins[row + 1]
+                found, row = found[inside], row[inside]
+                order = np.lexsort((found, row))
+                found, row = found[order], row[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (found[1:] != found[:-1])
+                found, row = found[new], row[new]
+                size = np.bincount(row, minlength=batch.num_rows)
+                low = np.searchsorted(hashes, found)
+                many = np.searchsorted(hashes, found, "right") - low
+                of = np.repeat(np.arange(len(found)), many)
+                item = items[np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + low[of]]
+                order = np.lexsort((item, row[of]))
+                doc, item = row[of][order], item[order]
+                start = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]))) if len(doc) else np.zeros(0, np.int64)
+                made = [size[doc[start]], item[start], np.diff(np.append(start, len(doc)))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[start], pa.int64())), *(pa.array(x, pa.int64()) for x in made)], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _meet(seeds: DataFrame, known: DataFrame, least: int) -> DataFrame:
+    """``seeds`` (row, hash, ..) with each of ``known`` (hash, ..) of their hash; a frequent hash's seeds are dealt out in SPREAD parts."""
     counts = stored(seeds.groupBy("hash").agg(F.count("*").alias("rows")), "ngram-counts")
     frequent = F.col("rows") > max(least, (counts.agg(F.sum("rows")).first()[0] or 0) / HOT)  # so there are fewer than HOT
     often = F.broadcast(counts.where(frequent).select("hash", F.lit(SPREAD).alias("parts")))
-    counted = known.join(counts, "hash")
     parts = F.when(frequent, SPREAD).otherwise(1)
-    spread = counted.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("hash", "part", "item", F.col("at").alias("item_at"))
-    dealt = seeds.join(often, "hash", "left").withColumn("part", F.pmod(F.xxhash64("row", "at"), F.coalesce("parts", F.lit(1))).cast("int"))
-    hits = dealt.join(spread, ["hash", "part"]).select("row", "doc_id", "item", (F.col("at") - F.col("item_at")).alias("diagonal"), "at")
+    spread = known.join(counts, "hash").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("rows")
+    dealt = seeds.join(often, "hash", "left").withColumn("part", F.pmod(F.xxhash64(*seeds.columns), F.coalesce("parts", F.lit(1))).cast("int"))
+    return dealt.join(spread, ["hash", "part"]).drop("part", "parts")
+
+
+def _by_exchange(docs: DataFrame, known: DataFrame, n: int, least: int = FREQUENT) -> DataFrame:
+    seeds = stored(grams(docs.withColumn("row", F.monotonically_increasing_id()), n), "ngrams")
+    hits = _meet(seeds, known.withColumnRenamed("at", "item_at"), least).select("row", "doc_id", "item", (F.col("at") - F.col("item_at")).alias("diagonal"), "at")
     along = Window.partitionBy("row", "item", "diagonal").orderBy("at")
     numbered = hits.withColumn("group", F.col("at") - F.row_number().over(along))
     joined = numbered.groupBy("row", "doc_id", "item", "diagonal", "group").agg(F.min("at").alias("first"), (F.max("at") + n).alias("end"))

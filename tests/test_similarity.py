@@ -134,7 +134,10 @@ def test_passages(spark, texts, most, monkeypatch):
                     while (a + n, b + n) in hits:
                         n += 1
                     want[i, k, a, a + n + 4, b, b + n + 4] += 1
+    sets = lambda t: {tuple(w[i : i + 5]) for w in [WORD.findall(lower(t))] for i in range(len(w) - 4)}
+    near = Counter((i, k, len(a & b), len(a & b) / len(a | b), len(a & b) / len(b)) for i, t in texts for k, u in set(items) for a, b in [(sets(t), sets(u))] if a & b)
     items = spark.createDataFrame([(*r, "clash") for r in items], "item_id long, text string, item string")
+    assert Counter(map(tuple, overlap.jaccards(frame(spark, texts), items, broadcast_ngrams=most).collect())) == near
     assert Counter(map(tuple, overlap.passages(frame(spark, texts), items, broadcast_ngrams=most).collect())) == want
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert overlap.passages(empty, items, broadcast_ngrams=most).collect() == [] == overlap.passages(frame(spark, texts), empty.withColumnRenamed("doc_id", "item_id"), broadcast_ngrams=most).collect()
