@@ -16,6 +16,8 @@ HOT = 400
 HOT_BYTES = 100_000
 #: Bits of a bitmap of keys.
 MARKS = 1 << 27
+#: Classes of a chunk, and those that a group of blocks holds, on average.
+TOGETHER, HELD = 200, 1_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -80,6 +82,27 @@ def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return marked.where("NOT __marked").drop("__marked").unionByName(few.join(ids, few[key].eqNullSafe(ids["__id"]), "left_anti"))
 
 
+def blocks(pairs: DataFrame, together: int = TOGETHER, held: int = HELD) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` with the block in which each is compared, and (block, class): what each block needs.
+
+    Classes with the same least neighbour are dealt to chunks of ``together`` on average; pairs of the same two chunks are in
+    one block, so a class of a dense group goes to a few blocks, not to each of its pairs. Blocks share tasks' groups of
+    about ``held`` classes.
+    """
+    ends = pairs.select(F.col("a").alias("class"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("class"), F.col("a").alias("other")))
+    least = ends.groupBy("class").agg(F.min(F.least("class", "other")).alias("group"))
+    many = least.groupBy("group").agg(F.count("*").alias("n"))
+    placed = look_up(stored(least, "groups"), many.withColumn("chunks", F.ceil(F.col("n") / together)), "group", "n")
+    placed = stored(placed.select("class", F.xxhash64("group", F.pmod(F.xxhash64("class"), F.col("chunks"))).alias("chunk")).join(ends.groupBy("class").agg(F.count("*").alias("n")), "class"), "chunks")
+    half = look_up(pairs.withColumnRenamed("a", "class"), placed, "class", "n").select(F.col("class").alias("a"), "b", F.col("chunk").alias("chunk_a"))
+    both = look_up(half.withColumnRenamed("b", "class"), placed, "class", "n").select("a", F.col("class").alias("b"), F.xxhash64("chunk_a", "chunk").alias("block"))
+    both = stored(both, "blocks")
+    needed = both.select("block", F.col("a").alias("class")).unionByName(both.select("block", F.col("b").alias("class"))).distinct()
+    groups = F.lit(1 + needed.count() // held)
+    needed = stored(needed.select(F.pmod("block", groups).alias("block"), "class").distinct(), "needed")
+    return both.withColumn("block", F.pmod("block", groups)), needed
+
+
 def components(links: DataFrame, rounds: int = 80) -> DataFrame:
     """(node, root) of the nodes in ``links``' first two columns; root is the least node that a node reaches.
 

@@ -2,7 +2,8 @@
 
 1. One pass over the texts gives each its set's digest, its size and a hash of each band of its signature. Equal sets are one
    class from here on, so exact copies are never compared.
-2. In each bucket (band, hash) every class is paired with the bucket's least class, a star. Pairs are verified on whole sets.
+2. In each bucket (band, hash) every class is paired with the bucket's least class, a star. Pairs are verified on whole sets,
+   in blocks to which a set goes once.
 3. Classes that share a bucket but aren't yet in one component are paired too, those already tested left out; buckets of many
    are split into chunks for that. So every pair that shares a bucket is either verified or already connected: nothing is
    dropped, and a group of very many copies costs its stars, not all of its pairs.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from papyrine.operators.joins import components, look_up, only_of, stored
+from papyrine.operators.joins import blocks, components, look_up, only_of, stored
 from papyrine.operators.shingles import by_text, hash_words, mix, ngrams
 
 N, SIMILAR = 5, 0.8
@@ -86,22 +87,22 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """``pairs`` (a, b) of classes whose sets' Jaccard similarity is ``similar`` or more, and it."""
-    counts = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n"))
-    table = stored(sets.join(counts, "class"), "sets")
-    half = look_up(pairs.withColumnRenamed("a", "class"), table, "class", "n", payload="set").withColumnsRenamed({"class": "a", "set": "set_a"})
-    both = look_up(half.withColumnRenamed("b", "class"), table, "class", "n", payload="set").select("a", F.col("class").alias("b"), "set_a", "set")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                common = np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y)
-                score.append(common / (len(x) + len(y) - common))
-            keep = np.asarray(score) >= similar
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)), pa.array(np.asarray(score, float)[keep])], names=["a", "b", "jaccard"])
-
-    return stored(both.mapInArrow(run, "a long, b long, jaccard double"), "verified")
+    pairs, needed = blocks(pairs)
+    table = sets.join(needed.groupBy("class").agg(F.count("*").alias("n")), "class")
+    sent = look_up(needed, stored(table, "sets"), "class", "n", payload="set")
+
+    def run(pairs: pa.Table, sent: pa.Table) -> pa.Table:
+        held = {name: np.frombuffer(x.as_buffer(), np.uint64) for name, x in zip(sent.column("class").to_pylist(), sent.column("set"))}
+        score = np.zeros(pairs.num_rows)
+        for i, (a, b) in enumerate(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist())):
+            x, y = held[a], held[b]
+            common = np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y)
+            score[i] = common / (len(x) + len(y) - common)
+        keep = score >= similar
+        return pa.table({"a": pairs.column("a").filter(pa.array(keep)), "b": pairs.column("b").filter(pa.array(keep)), "jaccard": score[keep]})
+
+    compared = pairs.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(run, "a long, b long, jaccard double")
+    return stored(compared, "verified")
 
 
 def stars(buckets: DataFrame, similar: float) -> DataFrame:
