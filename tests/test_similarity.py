@@ -1,12 +1,14 @@
 """Operators of the search for reused text against plain Python: whole results, odd rows, hot keys, both ways of each size check."""
 
 import html
+import itertools
 import math
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 
@@ -177,6 +179,30 @@ def test_tfidf_neighbours(spark, texts, most, rare, sublinear):
     assert tfidf.neighbours(spark.createDataFrame([], "doc_id long, text string"), broadcast_terms=most).collect() == []
 
 
+def test_prefixes_meet_in_blocks(spark):
+    """Equal pairs from one block, and from many with tiny portions; no row is made for a shared term."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(120):
+        terms = np.unique(rng.choice(40, 6)) if i % 2 else np.unique(np.append(rng.choice(40, 2), [1, 2, 3]))
+        rows.append((i, [int(t) << 24 for t in terms], [float(x) for x in np.full(len(terms), 0.9 / len(terms) ** 0.5)], 1 << 31, 0.3))
+    prefix = spark.createDataFrame(rows, tfidf.PREFIX)
+    want = set()
+    for a, b in itertools.combinations(rows, 2):
+        total = sum(x * b[2][0] for p, x in zip(a[1], a[2]) if p in b[1])
+        if total + 0.3 * 0.3 >= 0.8 - 1e-5:
+            want.add((a[0], b[0]))
+    assert len(want) > 10
+    for block, blocks in ((1000, 1), (13, 3)):
+        found = tfidf.candidates(prefix, block=block, blocks=blocks)
+        assert Counter((r.a, r.b) for r in found.collect()) == Counter(want)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan
+    whole = pa.Table.from_batches(prefix.coalesce(1).toArrow().to_batches())
+    block = tfidf.Block(whole)
+    assert {(min(p), max(p)) for p in zip(*tfidf.meet(block, block, 0.8, portion=3))} == want
+
+
 def made_vectors(n=500, d=12):
     rnd = np.random.default_rng(4)
     out = rnd.normal(size=(n, d))
