@@ -24,7 +24,8 @@ def paper_title(md: Column) -> Column:
 
 
 def organization(md: Column) -> Column:
-    return F.left(strip(F.regexp_extract(F.left(md, F.lit(P.ORGANIZATION_REGION)), f"(?i){P.ORGANIZATION}", 1)), F.lit(P.ORGANIZATION_CUT))
+    # a match starts where a line does, so only there it is tried: elsewhere each character of a line without one would cost the rest of the line
+    return F.left(strip(F.regexp_extract(F.left(md, F.lit(P.ORGANIZATION_REGION)), f"(?idm)^{P.ORGANIZATION}", 1)), F.lit(P.ORGANIZATION_CUT))
 
 
 def _day(year: Column, month: Column, day: Column, ok: Column) -> Column:
