@@ -1,6 +1,8 @@
 """Edge strings, with expected values worked out by hand."""
 
 import json
+import random
+import time
 
 import pandas as pd
 import pytest
@@ -12,6 +14,7 @@ from papyrine.operators import blocks as B
 from papyrine.operators import crawl as C
 from papyrine.operators import html as H
 from papyrine.operators import segment as S
+from papyrine.operators import summarize as summarizer
 from papyrine.operators.summarize import lexrank_order, summarize
 from papyrine.plans.document import process_documents
 from papyrine.sources import papers, sinks
@@ -353,3 +356,28 @@ def test_recogniser_reads_both_shapes(answer):
     from papyrine.sources.papers import paddle_recogniser
 
     assert paddle_recogniser(make=Engine)(b"image") == ([("seen", 0.5), ("too", 1.0)] if answer else [])
+
+
+def test_organization_is_tried_once_a_line(spark):
+    """A line without an affiliation costs its length, not the square of it."""
+    lines = spark.range(1500).select(F.concat(F.col("id").cast("string"), F.repeat(F.lit(" plain words"), 260)).alias("md"))
+    started = time.time()
+    assert lines.where(M.organization(F.col("md")) != "").count() == 0
+    assert time.time() - started < 15
+    odd = {"a\nxx College of\nUniversity b": "xx College of", "one school two School" + "x" * 100: "one school two School" + "x" * 80, "é\x85School x\ry": "é\x85School x\ry", "no\n": ""}
+    found = spark.createDataFrame([(k,) for k in odd], "md string").select("md", M.organization(F.col("md")).alias("o")).collect()
+    assert {r.md: r.o for r in found} == odd
+
+
+def test_documents_are_ranked_together_as_alone():
+    """Short and long ones, without words, links or sentences; with bounds so small that rows and documents are cut."""
+    rnd = random.Random(4)
+    texts = [[" ".join(f"w{rnd.randrange(30)}" for _ in range(rnd.randrange(1, 9))) + "." for _ in range(rnd.randrange(1, 40))] for _ in range(30)]
+    want = [*map(plain_lexrank, texts), [], [0, 1], [0], [0, 2, 1]]
+    texts += [[], ["...", "!"], ["a b"], ["a", "...", "a b"]]
+    assert summarizer.lexrank_orders(texts) == want
+    held, summarizer.HELD = summarizer.HELD, 7
+    try:
+        assert summarizer.lexrank_orders(texts) == want
+    finally:
+        summarizer.HELD = held
