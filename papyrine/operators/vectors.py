@@ -9,7 +9,8 @@ Vectors are brought to length 1, so cosine c is distance sqrt(2 - 2c), and dista
   centre nor its code, whose error is stored, rules it out. With ``probes`` the search ends after that many cells, ranks by
   codes and compares the best of each cell exactly.
 * ``links``: a vector is at home in its nearest cell, and visits each cell whose bisector it is near enough to for a pair
-  across to exist; each pair is found once, in the home of its lesser member.
+  across to exist; each pair is found once, in the home of its lesser member. Visits are counted first: where cells rule out
+  so little that a vector would be sent to more of them than there are blocks of ``TOGETHER``, all pairs of blocks are compared.
 
 Cells and queries meet in blocks of bounded size, so neither a cell with a third of all vectors nor many queries are one task.
 Equal vectors are one class before anything is compared.
@@ -37,6 +38,8 @@ DRAW, PASSES = 8_000, 4
 PER_CELL, MOST_CELLS = 2_000, 1_024
 #: Vectors of a block of a cell, queries of a block.
 BLOCK, QUERIES = 2_048, 1_024
+#: Vectors of a block where all are compared, blocks at least, vectors of a block that are compared with the other at once.
+TOGETHER, LEAST_BLOCKS, AT_ONCE = 16_384, 8, 512
 PARTS, DIGITS = 8, 9
 K, EVERY, SIMILAR = 10, 20, 0.85
 
@@ -256,7 +259,34 @@ def _near(similar: float):
     return work
 
 
-def links(df: DataFrame, key: str = "vec_id", vector: str = "embedding", similar: float = SIMILAR, block: int = BLOCK, **sizes: int) -> DataFrame:
+def _in_blocks(rows: DataFrame, similar: float, many: int) -> DataFrame:
+    """(a, b): all pairs of ``rows`` (id, v) of a cosine of ``similar`` or more; a row goes once to each pair of blocks that its own is in."""
+    own = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(many))
+    dealt = rows.select("id", "v", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))).alias("other"))
+    dealt = dealt.select("id", "v", "own", (F.least("own", "other") * many + F.greatest("own", "other")).alias("pair"))
+
+    def work(rows: pa.Table) -> pa.Table:
+        first, second = divmod(rows.column("pair")[0].as_py(), many)
+        ids, points, own = _column(rows, "id"), _points(rows), _column(rows, "own")
+        left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
+        short = points.astype(np.float32)
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for start in range(0, len(left), AT_ONCE):
+            some = left[start : start + AT_ONCE]
+            # products of 32 bits leave out what is far below, the others are made again
+            i, j = np.nonzero(short[some] @ short[right].T >= similar - 1e-4)
+            i, j = some[i], right[j]
+            if first == second:
+                i, j = i[ids[i] < ids[j]], j[ids[i] < ids[j]]
+            score = np.concatenate([np.zeros(0), *(np.round((points[i[x : x + TOGETHER]] * points[j[x : x + TOGETHER]]).sum(1), DIGITS) for x in range(0, len(i), TOGETHER))])
+            out.append((ids[i[score >= similar]], ids[j[score >= similar]]))
+        i, j = map(np.concatenate, zip(*out))
+        return pa.table({"a": np.minimum(i, j), "b": np.maximum(i, j)})
+
+    return dealt.groupBy("pair").applyInArrow(work, "a long, b long")
+
+
+def links(df: DataFrame, key: str = "vec_id", vector: str = "embedding", similar: float = SIMILAR, block: int = BLOCK, together: int = TOGETHER, **sizes: int) -> DataFrame:
     """(id, class_id, n_links): the least id with an equal vector, and how many other classes have a cosine of ``similar`` or more with it."""
     vectors = stored(prepared(df, key, vector).withColumn("class", F.xxhash64("v")), "vectors")
     classes = stored(vectors.groupBy("class", "v").agg(F.min("id").alias("class_id"), F.count("*").alias("n")), "vector-classes")
@@ -266,7 +296,7 @@ def links(df: DataFrame, key: str = "vec_id", vector: str = "embedding", similar
     width = math.sqrt(2 - 2 * similar) + 1e-6
     centres = cells.centres
 
-    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rims(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
         between = distances(centres, centres)
         np.fill_diagonal(between, np.inf)
         for batch in batches:
@@ -278,12 +308,25 @@ def links(df: DataFrame, key: str = "vec_id", vector: str = "embedding", similar
             # how far the bisector of two centres is from a point on the home's side of it
             rim = (to - own[:, None]) / (2 * np.maximum(between[home], 1e-12)) <= width
             rim[np.arange(len(to)), home] = True
+            yield batch, rim
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, rim in rims(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([int(rim.sum())])], names=["n", "visits"])
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, rim in rims(batches):
             i, c = np.nonzero(rim)
             at = pa.array(i)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(c)], names=["id", "v", "cell"])
 
-    around = stored(placed.mapInArrow(visits, "id long, v array<double>, cell long"), "rims")
-    pairs = stored(_meet(placed, around, _near(similar), "a long, b long", block, block), "links")
+    seen = placed.mapInArrow(count, "n long, visits long").agg(F.sum("n").alias("n"), F.sum("visits").alias("visits")).first()
+    many = max(LEAST_BLOCKS, math.ceil((seen.n or 0) / together))
+    if (seen.visits or 0) > many * (seen.n or 0):
+        pairs = stored(_in_blocks(placed, similar, many), "links")
+    else:
+        around = stored(placed.mapInArrow(visits, "id long, v array<double>, cell long"), "rims")
+        pairs = stored(_meet(placed, around, _near(similar), "a long, b long", block, block), "links")
     ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_links"))
     known = classes.drop("v").join(ends, "class", "left").select("class", "class_id", "n", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return look_up(vectors.select("id", "class"), known, "class", "n").select("id", "class_id", "n_links")

@@ -256,6 +256,21 @@ def test_semantic_links(spark, per_cell, block):
     assert sum(w[2] for w in want) > 1000
 
 
+@pytest.mark.parametrize("least", [1, 5])
+def test_links_of_spread_vectors_meet_in_blocks(spark, monkeypatch, least):
+    """Where cells rule out little, no vector is sent to its rims; pairs are the same."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(150, 10))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate([base, base[:60] + rng.normal(size=(60, 10)) * 0.25]).astype(np.float32))]
+    score = cosine(rows)
+    monkeypatch.setattr(vectors, "LEAST_BLOCKS", least)
+    monkeypatch.setattr(vectors, "_meet", None)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    want = [(i, i, sum(1 for j, _ in rows if j != i and score[i, j] >= 0.85)) for i, _ in rows]
+    assert sorted(map(tuple, vectors.links(df, per_cell=10, draw=200, together=100).collect())) == want
+    assert sum(w[2] for w in want) > 50
+
+
 @pytest.mark.parametrize("held", [10, 10_000])
 def test_top_k(spark, held):
     rnd = random.Random(8)
