@@ -371,3 +371,11 @@ def test_plans_have_no_cartesian_product(spark):
     for name in ("ngram_overlap", "candidates_topk", "citation_context"):
         plan = queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
+
+
+def test_equal_spans_are_covered_once(spark):
+    """Many equal spans over a whole text are one part, however they are ordered."""
+    spans_ = spark.createDataFrame([(1, 7 + k % 2, 0, 6) for k in range(14)], "doc_id long, label long, start long, end long").repartition(5)
+    found = spans.report(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string"), spans_).first()
+    assert (found.n_spans, found.covered) == (14, 6)
+    assert '"parts":[{"start":0,"end":6}]' in found.report
