@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from papyrine.operators.joins import blocks, components, look_up, only_of, stored
-from papyrine.operators.shingles import by_text, hash_words, mix, ngrams
+from papyrine.operators.shingles import PORTION, by_text, hash_words, mix, ngrams
 
 N, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 5
@@ -130,7 +130,7 @@ def across(buckets: DataFrame, roots: DataFrame, similar: float, chunk: int = CH
 def near_copies(docs: DataFrame, n: int = N, similar: float = SIMILAR, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, size, class_id, component_id): the least doc_id with the same set of shingles, and the least that links reach."""
     docs = docs.select("doc_id", "text")
-    found = stored(sketches(docs, n), "sketches")
+    found = stored(sketches(docs, n), "sketches", PORTION)
     classes = stored(found.where("size > 0").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.count("*").alias("n")), "classes")
     # the band's number is in its hash
     each = classes.select("class", "size", F.explode("bands").alias("bucket"))
@@ -138,7 +138,7 @@ def near_copies(docs: DataFrame, n: int = N, similar: float = SIMILAR, chunk: in
     pairs = stored(stars(buckets, similar), "stars")
     members = buckets.select("class").distinct().join(classes.select("class", "class_id"), "class")
     texts = only_of(docs, members.select("class_id"), "doc_id")
-    sets = stored(_sets(texts, n).dropDuplicates(["class"]), "class-sets")
+    sets = stored(_sets(texts, n).dropDuplicates(["class"]), "class-sets", PORTION)
     links = verified(pairs, sets, similar)
     more = stored(across(buckets, components(links), similar, chunk).join(pairs, ["a", "b"], "left_anti"), "across")
     links = links.unionByName(verified(more, sets, similar))

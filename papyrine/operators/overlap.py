@@ -4,7 +4,8 @@ A hit is an n-gram of a document that an item has too; hits of one document and
 positions) without a gap are one maximal passage.
 
 * The items' n-grams, when few enough (``BROADCAST_NGRAMS``, counted first), go to every task as one sorted array: documents
-  are never exchanged, whatever their size or how frequent an n-gram is.
+  are never exchanged, whatever their size or how frequent an n-gram is. A task holds about PORTION bytes of text and HITS
+  hits at a time, however many rows it has.
 * Else the documents' n-grams meet the items' by their hash in an exchange, an n-gram that holds many rows being dealt out in
   ``SPREAD`` parts of the documents' side; passages then come from windows over (document, item, diagonal).
 
@@ -15,7 +16,7 @@ give a passage on each diagonal.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from papyrine.operators.joins import HOT, look_up, stored
-from papyrine.operators.shingles import by_text, hash_words, ngrams, portions, words
+from papyrine.operators.shingles import PORTION, by_text, hash_words, ngrams, portions, stretches, words
 
 N = 5
 #: N-grams of items that are sent to all tasks at most (24 bytes each).
 BROADCAST_NGRAMS = 1_000_000
+#: Hits of documents' n-grams on items' that a task holds at once; those of one n-gram (``jaccards``: of one text) go together.
+HITS = 1 << 18
 #: Parts of the documents' side of a frequent n-gram, and from how many rows on it is frequent.
 SPREAD, FREQUENT = 64, 10_000
 PASSAGE = ["doc_start", "doc_end", "item_start", "item_end"]
@@ -51,23 +54,23 @@ def grams(df: DataFrame, n: int) -> DataFrame:
     return by_text(df, longs("hash", "at"), work)
 
 
-def runs(keys: list[np.ndarray], at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Maximal runs of consecutive ``at`` of equal keys: their keys, first and last."""
-    order = np.lexsort((at, *reversed(keys)))
-    keys, at = [k[order] for k in keys], at[order]
-    new = np.ones(len(at), bool)
-    new[1:] = at[1:] != at[:-1] + 1
+def runs(keys: list[np.ndarray], first: np.ndarray, last: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Maximal runs of equal keys' spans, each of which begins right after the one before: their keys, first and last."""
+    order = np.lexsort((first, *reversed(keys)))
+    keys, first, last = [k[order] for k in keys], first[order], last[order]
+    new = np.ones(len(first), bool)
+    new[1:] = first[1:] != last[:-1] + 1
     for k in keys:
         new[1:] |= k[1:] != k[:-1]
     start = np.flatnonzero(new)
-    return [k[start] for k in keys], at[start], at[np.append(start[1:], len(at))[: len(start)] - 1]
+    return [k[start] for k in keys], first[start], last[np.append(start[1:], len(last))[: len(start)] - 1]
 
 
 def _items(items: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """Stored (item_id, text, item) of distinct items, and (item, hash, at) of their n-grams."""
     items = items.select("item_id", "text").dropDuplicates().withColumn("item", F.monotonically_increasing_id())
     items = stored(items, "items")
-    return items, stored(grams(items.drop("item_id"), n), "item-ngrams")
+    return items, stored(grams(items.drop("item_id"), n), "item-ngrams", PORTION)
 
 
 def _named(found: DataFrame, items: DataFrame) -> DataFrame:
@@ -82,7 +85,7 @@ def passages(docs: DataFrame, items: DataFrame, n: int = N, broadcast_ngrams: in
     docs = docs.select("doc_id", "text")
     items, known = _items(items, n)
     if known.count() <= broadcast_ngrams:
-        found = _in_tasks(docs, known, n).join(F.broadcast(items.select("item", "item_id").join(known, "item", "left_semi")), "item")
+        found = _in_tasks(docs, known, ["hash", "item", "at"], ["item", *PASSAGE], passages_of, n).join(F.broadcast(items.select("item", "item_id").join(known, "item", "left_semi")), "item")
     else:
         found = _named(_by_exchange(docs, known, n), items)
     return found.select("doc_id", "item_id", *PASSAGE)
@@ -97,13 +100,12 @@ def jaccards(docs: DataFrame, items: DataFrame, n: int = N, broadcast_ngrams: in
     items, known = _items(items, n)
     known = stored(known.select("hash", "item").distinct(), "item-sets")
     if known.count() <= broadcast_ngrams:
-        found = _sets_in_tasks(docs, known, n)
+        found = _in_tasks(docs, known, ["hash", "item"], ["size", "item", "shared"], sets_of, n)
     else:
-        seeds = stored(grams(docs.withColumn("row", F.monotonically_increasing_id()), n).select("row", "doc_id", "hash").distinct(), "sets")
+        seeds = stored(grams(docs.withColumn("row", F.monotonically_increasing_id()), n).select("row", "doc_id", "hash").distinct(), "sets", PORTION)
         met = _meet(seeds, known, FREQUENT).groupBy("row", "item").agg(F.count("*").alias("shared"))
-        found = seeds.groupBy("row", "doc_id").agg(F.count("*").alias("size")).join(met, "row").drop("row")
+        found = stored(seeds.groupBy("row", "doc_id").agg(F.count("*").alias("size")).join(met, "row").drop("row"), "found")
     sizes = known.groupBy("item").agg(F.count("*").alias("item_size")).join(items.select("item", "item_id"), "item")
-    found = stored(found, "found")
     counted = found.groupBy("item").agg(F.count("*").alias("n")).join(sizes, "item")
     rows = look_up(found, counted, "item", "n")
     return rows.select("doc_id", "item_id", "shared", (F.col("shared") / (F.col("size") + F.col("item_size") - F.col("shared"))).alias("jaccard"), (F.col("shared") / F.col("item_size")).alias("containment"))
@@ -126,66 +128,87 @@ def characters(found: DataFrame, docs: DataFrame) -> DataFrame:
     return both.withColumns({"start": upto("doc_start") + blank, "end": upto("doc_end")}).drop("pieces")
 
 
-def _in_tasks(docs: DataFrame, known: DataFrame, n: int) -> DataFrame:
-    table = known.orderBy("hash").toArrow()  # its size was checked
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("hash", "item", "at")))
-    schema = StructType([docs.schema["doc_id"], *longs("item", *PASSAGE)])
+def _seeds(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of ``texts``: hash, text and position, sorted by text and position."""
+    all_, begins = words(texts)
+    found = ngrams(hash_words(all_), n).view(np.int64)
+    row = np.searchsorted(begins, np.arange(len(found)), "right") - 1
+    inside = np.flatnonzero(np.arange(len(found)) + n <= begins[row + 1])
+    row = row[inside]
+    return found[inside], row, inside - begins[row]
+
+
+def _entries(low: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries low, low + 1, .. (``many``) of each seed: the seed's number and the entry."""
+    of = np.repeat(np.arange(len(many)), many)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + low[of]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, items, ats = sent.value
-        for whole in batches:
-            for batch in portions(whole, 1):
-                all_, begins = words(batch.column(1))
-                found = ngrams(hash_words(all_), n).view(np.int64)
-                low = np.searchsorted(hashes, found)
-                hit = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == found) if len(hashes) else np.zeros(0, np.int64)
-                row = np.searchsorted(begins, hit, "right") - 1
-                inside = hit + n <= begins[row + 1]
-                hit, row = hit[inside], row[inside]
-                many = np.searchsorted(hashes, found[hit], "right") - low[hit]
-                of = np.repeat(np.arange(len(hit)), many)
-                entry = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + low[hit][of]
-                at = hit[of] - begins[row[of]]
-                (doc, item, diagonal), first, last = runs([row[of], items[entry], at - ats[entry]], at)
-                made = [item, first, last + n, first - diagonal, last + n - diagonal]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int64())), *map(pa.array, made)], names=schema.names)
-
-    return docs.mapInArrow(run, schema)
-
-
-def _sets_in_tasks(docs: DataFrame, known: DataFrame, n: int) -> DataFrame:
-    """(doc_id, size, item, shared): n-grams of a document, and those it shares with each item."""
-    table = known.orderBy("hash", "item").toArrow()  # its size was checked
-    sent = docs.sparkSession.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("hash", "item")))
-    schema = StructType([docs.schema["doc_id"], *longs("size", "item", "shared")])
+
+def passages_of(texts: pa.Array, hashes: np.ndarray, items: np.ndarray, ats: np.ndarray, n: int, most: int = HITS) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays (text, item, *PASSAGE) of the passages in the entries sorted by hash, from about ``most`` hits at a time.
+
+    A run that reaches the end of a stretch of hits goes on in the next one.
+    """
+    found, row, at = _seeds(texts, n)
+    low = np.searchsorted(hashes, found)
+    many = np.searchsorted(hashes, found, "right") - low
+    hit = np.flatnonzero(many)
+    row, at, low, many = row[hit], at[hit], low[hit], many[hit]
+    going = [np.zeros(0, np.int64)] * 5
+    for a, b in stretches(many, most):
+        of, entry = _entries(low[a:b], many[a:b])
+        here = at[a:b][of]
+        *keys, first, last = (np.append(old, new) for old, new in zip(going, [row[a:b][of], items[entry], here - ats[entry], here, here]))
+        keys, first, last = runs(keys, first, last)
+        open_ = (keys[0] == row[b - 1]) & (last == at[b - 1]) & (b < len(many))
+        going = [x[open_] for x in (*keys, first, last)]
+        doc, item, diagonal, first, last = (x[~open_] for x in (*keys, first, last))
+        yield doc, item, first, last + n, first - diagonal, last + n - diagonal
+
+
+def sets_of(texts: pa.Array, hashes: np.ndarray, items: np.ndarray, n: int, most: int = HITS) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays (text, size, item, shared) of the texts' sets that share entries, sorted by hash, from about ``most`` hits at a time.
+
+    The hits of one text, at most the number of entries, go together.
+    """
+    found, row, _ = _seeds(texts, n)
+    order = np.lexsort((found, row))
+    found, row = found[order], row[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (found[1:] != found[:-1])
+    found, row = found[new], row[new]
+    size = np.bincount(row, minlength=len(texts))
+    low = np.searchsorted(hashes, found)
+    many = np.searchsorted(hashes, found, "right") - low
+    hit = np.flatnonzero(many)
+    row, low, many = row[hit], low[hit], many[hit]
+    begins = np.searchsorted(row, np.arange(len(texts) + 1))
+    upto = np.append(0, np.cumsum(many))
+    for a, b in stretches(np.diff(upto[begins]), most):
+        part = slice(begins[a], begins[b])
+        of, entry = _entries(low[part], many[part])
+        doc, item = row[part][of], items[entry]
+        order = np.lexsort((item, doc))
+        doc, item = doc[order], item[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
+        start = np.flatnonzero(new)
+        yield doc[start], size[doc[start]], item[start], np.diff(np.append(start, len(doc)))
+
+
+def _in_tasks(docs: DataFrame, known: DataFrame, columns: list[str], names: list[str], work: Callable[..., Iterator[tuple[np.ndarray, ...]]], n: int) -> DataFrame:
+    """(doc_id, *names) of ``work`` on the texts and ``columns`` of ``known``, which go to every task, sorted by them."""
+    table = known.orderBy(*columns).toArrow()  # its size was checked
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in columns))
+    schema = StructType([docs.schema["doc_id"], *longs(*names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, items = sent.value
         for whole in batches:
             for batch in portions(whole, 1):
-                all_, begins = words(batch.column(1))
-                found = ngrams(hash_words(all_), n).view(np.int64)
-                row = np.searchsorted(begins, np.arange(len(found)), "right") - 1
-                inside = np.arange(len(found)) + n <= begins[row + 1]
-                found, row = found[inside], row[inside]
-                order = np.lexsort((found, row))
-                found, row = found[order], row[order]
-                new = np.ones(len(row), bool)
-                new[1:] = (row[1:] != row[:-1]) | (found[1:] != found[:-1])
-                found, row = found[new], row[new]
-                size = np.bincount(row, minlength=batch.num_rows)
-                low = np.searchsorted(hashes, found)
-                many = np.searchsorted(hashes, found, "right") - low
-                of = np.repeat(np.arange(len(found)), many)
-                item = items[np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + low[of]]
-                order = np.lexsort((item, row[of]))
-                doc, item = row[of][order], item[order]
-                start = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]))) if len(doc) else np.zeros(0, np.int64)
-                made = [size[doc[start]], item[start], np.diff(np.append(start, len(doc)))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[start], pa.int64())), *(pa.array(x, pa.int64()) for x in made)], names=schema.names)
-
-    return docs.mapInArrow(run, schema)
+                for text, *made in work(batch.column(1), *sent.value, n):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text, pa.int64())), *(pa.array(x, pa.int64()) for x in made)], names=schema.names)
+
+    return stored(docs.mapInArrow(run, schema), "found", PORTION)
 
 
 def _meet(seeds: DataFrame, known: DataFrame, least: int) -> DataFrame:
@@ -200,7 +223,7 @@ def _meet(seeds: DataFrame, known: DataFrame, least: int) -> DataFrame:
 
 
 def _by_exchange(docs: DataFrame, known: DataFrame, n: int, least: int = FREQUENT) -> DataFrame:
-    seeds = stored(grams(docs.withColumn("row", F.monotonically_increasing_id()), n), "ngrams")
+    seeds = stored(grams(docs.withColumn("row", F.monotonically_increasing_id()), n), "ngrams", PORTION)
     hits = _meet(seeds, known.withColumnRenamed("at", "item_at"), least).select("row", "doc_id", "item", (F.col("at") - F.col("item_at")).alias("diagonal"), "at")
     along = Window.partitionBy("row", "item", "diagonal").orderBy("at")
     numbered = hits.withColumn("group", F.col("at") - F.row_number().over(along))

@@ -145,6 +145,68 @@ def test_passages(spark, texts, most, monkeypatch):
     assert overlap.passages(empty, items, broadcast_ngrams=most).collect() == [] == overlap.passages(frame(spark, texts), empty.withColumnRenamed("doc_id", "item_id"), broadcast_ngrams=most).collect()
 
 
+@pytest.mark.parametrize("most", [1, 7, overlap.HITS])
+def test_hits_a_stretch_at_a_time(most):
+    """Equal results, and nothing larger than a stretch and what goes together, where many texts share an n-gram with many items."""
+    texts = ["x " * 12 + "a b c d e f x x x x x", None, "", "a b c d e f g h i j", "q r s t u"] + ["k l m n o"] * 20
+    items = ["x " * 7, "a b c d e f g h", "b c d e f g h i j", "A  b c d e f x x x x"] + [f"k l m n o {i}" for i in range(30)]
+    grams = lambda t: [tuple(w[i : i + 5]) for w in [WORD.findall(lower(t))] for i in range(len(w) - 4)]
+    hashes, item, at = overlap._seeds(pa.array(items), 5)
+    order = np.argsort(hashes, kind="stable")
+    table = hashes[order], item[order], at[order]
+    want, near = set(), {}
+    for i, t in enumerate(texts):
+        for k, u in enumerate(items):
+            a, b = grams(t), grams(u)
+            hits = {(x, y) for x in range(len(a)) for y in range(len(b)) if a[x] == b[y]}
+            for x, y in hits:
+                if (x - 1, y - 1) not in hits:
+                    m = next(m for m in range(1, 99) if (x + m, y + m) not in hits)
+                    want.add((i, k, x, x + m + 4, y, y + m + 4))
+            if hits:
+                near[i, k] = len(set(a)), len(set(a) & set(b))
+    made = list(overlap.passages_of(pa.array(texts), *table, 5, most))
+    rows = [r for x in made for r in zip(*(c.tolist() for c in x))]
+    assert len(rows) == len(want) and set(rows) == want
+    assert max(len(x[0]) for x in made) <= most + 2 * len(hashes)
+    once = np.array(sorted(set(zip(hashes.tolist(), item.tolist()))))
+    made = list(overlap.sets_of(pa.array(texts), once[:, 0], once[:, 1], 5, most))
+    rows = [r for x in made for r in zip(*(c.tolist() for c in x))]
+    assert len(rows) == len(near) and {(i, k): (size, shared) for i, size, k, shared in rows} == near
+    assert max(len(x[0]) for x in made) <= max(most, len(items))
+    assert len(made) >= (20 if most <= 7 else 1)
+
+
+def test_batches_for_python_are_bounded(spark, monkeypatch):
+    """However many rows a task has, Python gets about PORTION bytes of text at a time, in every step that reads texts."""
+    docs = spark.range(3000).coalesce(1).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 300) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    before = spark.conf.get(joins.BATCH_BYTES)
+    found = joins.stored(docs.mapInArrow(sizes, "n long, bytes long"), "sizes", shingles.PORTION).collect()
+    assert sum(r.n for r in found) == 3000 and max(r.bytes for r in found) < 1.2 * shingles.PORTION
+    seen = []
+
+    def spy(df, name, batch_bytes=None):
+        seen.append((name, "MapInArrow" in df._jdf.queryExecution().executedPlan().toString(), batch_bytes))
+        return joins.stored(df, name, batch_bytes)
+
+    for module in (overlap, minhash, tfidf):
+        monkeypatch.setattr(module, "stored", spy)
+    some, items = docs.limit(40), docs.limit(9).withColumnRenamed("doc_id", "item_id")
+    for most in (overlap.BROADCAST_NGRAMS, 0):
+        overlap.jaccards(some, items, broadcast_ngrams=most)
+        overlap.passages(some, items, broadcast_ngrams=most).count()
+    minhash.near_copies(some)
+    tfidf.neighbours(some)
+    assert {"found", "sets", "ngrams", "item-ngrams", "sketches", "class-sets", "bags"} <= {name for name, python, _ in seen if python}
+    assert all(b == shingles.PORTION for name, python, b in seen if python and name in ("found", "sets", "ngrams", "item-ngrams", "sketches", "class-sets", "bags"))
+    assert spark.conf.get(joins.BATCH_BYTES) == before
+
+
 @pytest.mark.parametrize(("most", "rare", "sublinear"), [(tfidf.BROADCAST_TERMS, 0, True), (tfidf.BROADCAST_TERMS, 8, True), (0, 8, True), (tfidf.BROADCAST_TERMS, 8, False), (0, 1000, False)])
 def test_tfidf_neighbours(spark, texts, most, rare, sublinear):
     bags = [(i, Counter(re.findall(r"\w\w+", (t or "").lower()))) for i, t in texts]
