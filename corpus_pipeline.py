@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrine.llm import packing, quality, secrets, simhash, toxicity
-from papyrine.llm.common import checkpoint_dir, pick, read
+from papyrine.llm.common import checkpoint_dir, give_back, pick, read
 
 
 def guarded(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -21,7 +21,10 @@ def guarded(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFra
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose toxicity score is below the threshold, unchanged."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return guarded(docs, lambda d: toxicity.score(d, model).where(F.col("score") < toxicity.THRESHOLD))
+    kept = guarded(docs, lambda d: toxicity.score(d, model).where(F.col("score") < toxicity.THRESHOLD))
+    del model  # it has been sent
+    give_back()
+    return kept
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps (Kiveris et al., 2014).
 
-Neighbourhoods are never gathered: each step is an aggregation with map-side combine and a join, so a node with very many
-neighbours splits like any skewed join. Every round is stored in the shared folder; nothing comes to the driver but two sums.
+Neighbourhoods are never gathered: each step is an aggregation with map-side combine and one join. Every step is stored in the
+shared folder, so no plan holds another step's; rounds end as soon as the edges are stars. Nothing comes to the driver but a count.
 """
 
 from __future__ import annotations
@@ -12,17 +12,29 @@ from pyspark.sql import functions as F
 from papyrine.llm.common import materialize
 
 
+def _both(edges: DataFrame) -> DataFrame:
+    """A row (node, other) for each end of the edges (u, v)."""
+    ends = F.array(*(F.struct(F.col(x).alias("node"), F.col(y).alias("other")) for x, y in ("uv", "vu")))
+    return edges.select(F.explode(ends).alias("e")).select("e.*")
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges (u, v), v < u. Large: link larger neighbours to the least of the neighbourhood; small: the others and oneself."""
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
     if large:
-        joined = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = _both(edges).groupBy(F.col("node").alias("v")).agg(F.min("other").alias("m")).withColumn("m", F.least("m", "v"))
+        joined = edges.join(least, "v").select("u", F.col("m").alias("v"))
     else:
-        joined = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        joined = edges.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
     return joined.where("u <> v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether each larger end has one edge and is no other edge's lesser end: then the edges are stars around least nodes."""
+    seen = _both(edges).groupBy("node").agg(F.count_if(F.col("node") > F.col("other")).alias("up"), F.count("*").alias("n"))
+    return not seen.where("up > 1 or (up = 1 and n > 1)").agg(F.count("*")).first()[0]
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): root is the least node that ``node`` reaches; nodes without an edge don't appear.
 
@@ -31,11 +43,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     a, b = edges.columns[:2]
     state = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     state = materialize(state, "edges")
-    seen = None
     for _ in range(max_rounds):
-        state = materialize(_star(_star(state, True), False), "edges")
-        mark = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        if _settled(state):
             return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        seen = mark
+        for large in (True, False):
+            state = materialize(_star(state, large), "edges")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -451,6 +451,7 @@ def near_unique(df: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFr
     roots = components(near)
     rooted = shared.join(roots, "node", "left").select("sig", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
     far = materialize(apart(rooted, some, size, similarity), "verified")
-    labelled = least.join(components(near.unionByName(far)), "node", "left").select(F.coalesce("root", "node").alias("root"), "o")
+    stars = roots.where("node <> root").toDF("a", "b")  # they connect what ``near`` connects
+    labelled = least.join(components(stars.unionByName(far)), "node", "left").select(F.coalesce("root", "node").alias("root"), "o")
     stay = labelled.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.__row").alias("__row"))
     return pick(stored.join(stay, "__row", "left_semi"), *columns)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from papyrine.llm.common import append_columns, chance, decode_texts, materialize, pick, remainder, slices
+from papyrine.llm.common import append_columns, chance, decode_texts, give_back, materialize, pick, remainder, slices
 from papyrine.llm.search import TOGETHER, Block, Index
 
 PER_CLASS = 4000
@@ -92,26 +92,31 @@ def vectors(weight: np.ndarray, row: np.ndarray, term: np.ndarray, count: np.nda
 
 
 class Model:
-    """Weights of the terms, the entries' index, and what turns a vote into a probability."""
+    """Weights of the terms, the entries' index, and what turns a vote into a probability. The terms stay in Arrow: as Python
+    strings they would be most of the memory that learning takes."""
 
-    def __init__(self, words: list[str], idf: np.ndarray, examples: Examples, class_weight: tuple[float, float], prior: float):
-        self.words, self.prior, self.none = words, prior, prior
+    def __init__(self, vocabulary: pa.Array, idf: np.ndarray, examples: Examples, class_weight: tuple[float, float], prior: float):
+        self.vocabulary, self.prior, self.none = vocabulary, prior, prior
         self.slope, self.shift = 1.0, 0.0
         self.clean, self.toxic = examples.clean * class_weight[0], examples.toxic * class_weight[1]
-        self.weight = weigh(len(words), idf, examples)
+        self.weight = weigh(len(vocabulary), idf, examples)
         value = vectors(self.weight, examples.entry, examples.term, examples.count, len(examples.clean))
         order = np.lexsort((examples.entry, examples.term))
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(examples.term, minlength=len(words)))])
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(examples.term, minlength=len(vocabulary)))])
         self.document, self.impact = examples.entry[order], value[order]
         self._index: Index | None = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_index": None}
 
+    @property
+    def words(self) -> list[str]:
+        return self.vocabulary.to_pylist()
+
     @property
     def index(self) -> Index:
         if self._index is None:
-            self._index = Index(list(range(len(self.clean))), np.arange(len(self.words)).astype(np.uint64), self.first, self.document, self.impact)
+            self._index = Index(list(range(len(self.clean))), np.arange(len(self.vocabulary)).astype(np.uint64), self.first, self.document, self.impact)
         return self._index
 
     def nearest(self, row: np.ndarray, term: np.ndarray, count: np.ndarray, n: int, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,13 +145,13 @@ class Model:
         made = 1 / (1 + np.exp(-np.clip(self.slope * np.log(v / (1 - v)) + self.shift, -35, 35)))
         return np.where(vote < 0, self.none, made)
 
-    def names(self) -> list[str]:
-        """Each entry's label and its terms of most weight."""
+    def names(self, words: list[str]) -> list[str]:
+        """Each entry's label and its terms of most weight; ``words`` are this model's."""
         order = np.lexsort((-self.impact, self.document))
-        term = np.repeat(np.arange(len(self.words)), np.diff(self.first))[order]
+        term = np.repeat(np.arange(len(words)), np.diff(self.first))[order]
         cut = np.searchsorted(self.document[order], np.arange(len(self.clean) + 1))
         label = np.where(self.toxic > self.clean, "toxic", "clean")
-        return [f"{x}:{'+'.join(self.words[t] for t in term[a : min(b, a + 3)])}" for x, a, b in zip(label, cut, cut[1:])]
+        return [f"{x}:{'+'.join(words[t] for t in term[a : min(b, a + 3)])}" for x, a, b in zip(label, cut, cut[1:])]
 
 
 def _curve(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -167,7 +172,7 @@ def _curve(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[fl
 
 def _no_examples(prior: float) -> Model:
     none = np.zeros(0, np.int64)
-    return Model([], np.zeros(0), Examples(none, none, none, none, none), (1.0, 1.0), prior)
+    return Model(pa.array([], pa.string()), np.zeros(0), Examples(none, none, none, none, none), (1.0, 1.0), prior)
 
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
@@ -200,10 +205,9 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     none = np.bincount(toxic[length == 0], minlength=2)
     flat = pc.list_flatten(table.column("words")).combine_chunks().dictionary_encode()
     rank = pc.sort_indices(flat.dictionary).to_numpy()  # as Python sorts them: by bytes of UTF-8, or code points
-    vocabulary, place = flat.dictionary.take(pa.array(rank)).to_pylist(), np.empty(len(rank), np.int32)
+    vocabulary, place = flat.dictionary.take(pa.array(rank)), np.empty(len(rank), np.int32)
     place[rank] = np.arange(len(rank))
     term = place[flat.indices.to_numpy()]
-    number = {w: i for i, w in enumerate(vocabulary)}
     count = pc.list_flatten(table.column("counts")).to_numpy().astype(np.float32)
     del table, flat, rank, place
     _, one, entry = np.unique(np.where(length > 0, key, -1), return_index=True, return_inverse=True)
@@ -213,8 +217,10 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     place, rows = np.cumsum(stays) - 1, np.repeat(stays, length)
     examples = Examples(np.repeat(place, length)[rows].astype(np.int32), term[rows], count[rows], labelled[0][entry[stays]], labelled[1][entry[stays]])
     del term, count, key, rows, entry, place
+    give_back()
 
     def count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {w: i for i, w in enumerate(vocabulary.to_pylist())}
         n = np.zeros(len(number) + 1, np.int64)
         for whole in batches:
             for batch in slices(whole, 0):
@@ -224,13 +230,14 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], names=["term", "n"])
 
     frequency = documents.select("text").mapInArrow(count_documents, StructType([StructField("term", IntegerType()), StructField("n", LongType())]))
-    df, counted = np.zeros(len(number) + 1), frequency.groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row a known word
+    df, counted = np.zeros(len(vocabulary) + 1), frequency.groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row a known word
     df[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     # entries with the same word of most weight lie together
     everything = sum(total.values()) / sum(size.values())
     weight = (total[0] / size[0] / everything, total[1] / size[1] / everything)
     examples = _together(len(vocabulary), idf, examples)
+    give_back()
     votes, truth, weights = [], [], []
     half = np.arange(len(examples.clean)) % 2 == 0
     for ours in (half, ~half):
@@ -248,6 +255,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     model.none = (none[1] * weight[1] + prior) / (none[0] * weight[0] + none[1] * weight[1] + 1)
     if votes:
         model.slope, model.shift = _curve(*map(np.concatenate, (votes, truth, weights)))
+    give_back()
     return model
 
 
@@ -272,7 +280,8 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def make():
         model = sent.value
-        number, names = {w: i for i, w in enumerate(model.words)}, model.names()
+        words = model.words
+        number, names = {w: i for i, w in enumerate(words)}, model.names(words)
 
         def run(column: pa.Array) -> list:
             n = len(column)
