@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrine.llm import packing, quality, secrets, simhash, toxicity
-from papyrine.llm.common import checkpoint_dir, give_back, pick, read
+from papyrine.llm.common import checkpoint_dir, give_back, pick, read, small_batches
 
 
 def guarded(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``stage`` of ``docs`` with all columns but doc_id and text under neutral names, so no name can clash with its own."""
+    small_batches(docs.sparkSession)
     names = docs.columns
     plain = [n if n in ("doc_id", "text") else f"x{i}" for i, n in enumerate(names)]
     return pick(stage(docs.toDF(*plain)), *plain).toDF(*names)
@@ -20,6 +21,7 @@ def guarded(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFra
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose toxicity score is below the threshold, unchanged."""
+    small_batches(spark)
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
     kept = guarded(docs, lambda d: toxicity.score(d, model).where(F.col("score") < toxicity.THRESHOLD))
     del model  # it has been sent
@@ -45,6 +47,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of each document, with its sequence and offset."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

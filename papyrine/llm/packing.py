@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from papyrine.llm.bpe import RANK_FILE, encoder
-from papyrine.llm.common import decode_texts, materialize, pick, slices
+from papyrine.llm.common import decode_texts, materialize, pick, returning, slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -101,7 +101,7 @@ def split_pieces(df: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID,
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, t) for x, t in zip(out, kinds))], names=names)
 
-    return df.mapInArrow(run, StructType(fields))
+    return df.mapInArrow(returning(run), StructType(fields))
 
 
 class Plan:
@@ -251,4 +251,4 @@ def assign(stored: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             found = table[row]
             yield pa.RecordBatch.from_arrays([*batch.columns[:rank_at], pa.array(found[:, 3] + rank - found[:, 1]), pa.array(found[:, 4])], names=names)
 
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(returning(run), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from papyrine.llm.common import append_columns, byte_texts, join_spread, materialize, pick, slices
+from papyrine.llm.common import append_columns, byte_texts, join_spread, materialize, pick, returning, slices
 from papyrine.llm.components import components
 from papyrine.llm.shards import count_globally, make_shards, open_docs, pack, pack_sorted, unpack, unpack_sorted
 
@@ -178,7 +178,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, masks: list[int] | None = N
         if len(rest):
             yield solve(rest)
 
-    return members.mapInArrow(run, schema)
+    return members.mapInArrow(returning(run), schema)
 
 
 def near_duplicates(df: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -261,7 +261,7 @@ def shared_enough(stored: DataFrame, size: int, similarity: float) -> DataFrame:
             total[: len(part)] += part
         return pa.table({"node": node[(n > 0) & (total >= similarity * n - 1e-6)]})
 
-    sent = stored.select("__node", "text").mapInArrow(send, "batch string, bucket int, sig binary, of binary, node binary, n binary")
+    sent = stored.select("__node", "text").mapInArrow(returning(send), "batch string, bucket int, sig binary, of binary, node binary, n binary")
     answered = sent.groupBy("bucket").applyInArrow(meet, "batch string, seen binary, node binary, n binary")
     return answered.groupBy("batch").applyInArrow(decide, "node long").distinct()
 
@@ -375,9 +375,9 @@ def apart(rooted: DataFrame, some: DataFrame, size: int, similarity: float) -> D
         return cells(batches, work)
 
     in_cells = lambda df: df.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    left = materialize(in_cells(met).mapInArrow(thin, "sig long, i int, j int, own int, root long, node long"), "cells")
+    left = materialize(in_cells(met).mapInArrow(returning(thin), "sig long, i int, j int, own int, root long, node long"), "cells")
     texts = left.join(some.select("node", "text"), "node").select("sig", "i", "j", "own", "root", "node", "text")
-    return in_cells(texts).mapInArrow(compare, "a long, b long")
+    return in_cells(texts).mapInArrow(returning(compare), "a long, b long")
 
 
 def near_unique(df: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -429,7 +429,7 @@ def near_unique(df: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFr
         met = cut.select("a", "part", F.explode(F.array("a", "b")).alias("node")).distinct()
         texts = some.select("node", "text").join(met, "node").select("a", "part", "node", "text", (F.col("a") != F.col("node")).alias("later"))
         texts = texts.repartition("a", "part").sortWithinPartitions("a", "part", "later").drop("later")
-        return materialize(texts.mapInArrow(compare, "a long, b long"), "verified")
+        return materialize(texts.mapInArrow(returning(compare), "a long, b long"), "verified")
 
     def possible(p: str, q: str) -> Column:
         """Whether two sets whose first common hash is this one can be similar by their sizes and places."""

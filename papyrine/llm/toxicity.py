@@ -32,24 +32,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from papyrine.llm.common import append_columns, chance, decode_texts, give_back, materialize, pick, remainder, slices
+from papyrine.llm.common import append_columns, byte_texts, chance, decode_texts, give_back, materialize, pick, remainder, returning, slices
 from papyrine.llm.search import TOGETHER, Block, Index
 
 PER_CLASS = 4000
 NEIGHBOURS, MASS = 10, 0.2
 THRESHOLD = 0.7
 WORDS = re.compile(r"[^\W_]+")
+#: Text that is split, or scored, at once: Python's strings and the index's sums take many times as much.
+SPLIT_BYTES, SCORE_BYTES = 256 << 10, 512 << 10
 
 
 def count_words(text: str | None) -> Counter:
     return Counter(WORDS.findall(text.lower())) if text else Counter()
 
 
-def coded(texts: list[str | None], number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Numbers:
+    """The places of words in a vocabulary of distinct ones, by sorted hashes: a dict of Python strings takes ten times as much."""
+
+    def __init__(self, vocabulary: pa.Array):
+        self.vocabulary, self.seed = vocabulary, 0
+        while True:
+            hashes = np.concatenate([np.zeros(0, np.uint64), *(self._hashes(vocabulary.slice(i, 1 << 14)) for i in range(0, len(vocabulary), 1 << 14))])
+            self.place = np.argsort(hashes, kind="stable").astype(np.int32)
+            self.hashes = hashes[self.place]
+            if (self.hashes[1:] != self.hashes[:-1]).all():
+                return
+            self.seed += 1  # no two words may share a hash
+
+    def __len__(self) -> int:
+        return len(self.vocabulary)
+
+    def _hashes(self, words: pa.Array) -> np.ndarray:
+        return np.fromiter((xxhash.xxh3_64_intdigest(w, self.seed) for w in byte_texts(words)), np.uint64, len(words))
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        """The words' places; -1 for others."""
+        if not len(self):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes := self._hashes(words)), len(self) - 1)
+        like = np.flatnonzero(self.hashes[at] == hashes)
+        place = self.place[at[like]]
+        same = pc.equal(self.vocabulary.take(pa.array(place)), words.take(pa.array(like))).to_numpy(zero_copy_only=False)
+        out = np.full(len(words), -1)
+        out[like[same]] = place[same]
+        return out
+
+
+def coded(texts: list[str | None], number: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, numbers and counts of the known words of texts, by row and number."""
-    found = [WORDS.findall(t.lower()) if t else [] for t in texts]
-    words = pa.array([w for x in found for w in x], pa.string()).dictionary_encode()
-    term = np.array([number.get(w, -1) for w in words.dictionary.to_pylist()], np.int64)[words.indices.to_numpy()]
+    found = [pa.array(WORDS.findall(t.lower()) if t else [], pa.string()) for t in texts]  # as Python strings one text's at a time
+    words = pa.concat_arrays([pa.array([], pa.string()), *found]).dictionary_encode()
+    term = number.of(words.dictionary)[words.indices.to_numpy()]
     row = np.repeat(np.arange(len(found)), [len(x) for x in found])
     key, count = np.unique(row[term >= 0] * max(1, len(number)) + term[term >= 0], return_counts=True)
     return *np.divmod(key, max(1, len(number))), count.astype(float)
@@ -145,13 +179,16 @@ class Model:
         made = 1 / (1 + np.exp(-np.clip(self.slope * np.log(v / (1 - v)) + self.shift, -35, 35)))
         return np.where(vote < 0, self.none, made)
 
-    def names(self, words: list[str]) -> list[str]:
-        """Each entry's label and its terms of most weight; ``words`` are this model's."""
+    def names(self) -> list[str]:
+        """Each entry's label and its terms of most weight."""
         order = np.lexsort((-self.impact, self.document))
-        term = np.repeat(np.arange(len(words)), np.diff(self.first))[order]
         cut = np.searchsorted(self.document[order], np.arange(len(self.clean) + 1))
+        some = [order[a : min(b, a + 3)] for a, b in zip(cut, cut[1:])]
+        at = np.concatenate([np.zeros(0, np.int64), *some])
+        term = np.searchsorted(self.first, at, "right") - 1
+        words = iter(self.vocabulary.take(pa.array(term)).to_pylist())
         label = np.where(self.toxic > self.clean, "toxic", "clean")
-        return [f"{x}:{'+'.join(words[t] for t in term[a : min(b, a + 3)])}" for x, a, b in zip(label, cut, cut[1:])]
+        return [f"{x}:{'+'.join(next(words) for _ in s)}" for x, s in zip(label, some)]
 
 
 def _curve(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -189,14 +226,14 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, SPLIT_BYTES):
                 found = [sorted(count_words(t).items()) for t in decode_texts(batch.column(1))]
                 words, counts = pa.array([[w for w, _ in x] for x in found], pa.list_(pa.string())), pa.array([[n for _, n in x] for x in found], pa.list_(pa.int32()))
                 key = [xxhash.xxh3_64_intdigest(repr(x)) >> 1 for x in found]  # equal examples have equal keys
                 yield pa.RecordBatch.from_arrays([batch.column(0), words, counts, pa.array(key, pa.int64())], names=["toxic", "words", "counts", "key"])
 
     # about ``per_class`` rows of each label
-    table = sample.mapInArrow(split, "toxic int, words array<string>, counts array<int>, key long").toArrow().combine_chunks()
+    table = sample.mapInArrow(returning(split), "toxic int, words array<string>, counts array<int>, key long").toArrow().combine_chunks()
     prior = total.get(1, 0) / max(1, sum(total.values()))
     toxic, key, length = table.column("toxic").to_numpy(), table.column("key").to_numpy(), pc.list_value_length(table.column("words")).to_numpy()
     size = Counter(toxic.tolist())
@@ -220,7 +257,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     give_back()
 
     def count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {w: i for i, w in enumerate(vocabulary.to_pylist())}
+        number = Numbers(vocabulary)
         n = np.zeros(len(number) + 1, np.int64)
         for whole in batches:
             for batch in slices(whole, 0):
@@ -229,7 +266,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], names=["term", "n"])
 
-    frequency = documents.select("text").mapInArrow(count_documents, StructType([StructField("term", IntegerType()), StructField("n", LongType())]))
+    frequency = documents.select("text").mapInArrow(returning(count_documents), StructType([StructField("term", IntegerType()), StructField("n", LongType())]))
     df, counted = np.zeros(len(vocabulary) + 1), frequency.groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row a known word
     df[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
@@ -280,8 +317,10 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def make():
         model = sent.value
-        words = model.words
-        number, names = {w: i for i, w in enumerate(words)}, model.names(words)
+        number, names = Numbers(model.vocabulary), model.names()
+        give_back()
+        model.index  # made before the first texts are in memory
+        give_back()
 
         def run(column: pa.Array) -> list:
             n = len(column)
@@ -292,4 +331,4 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         return run
 
-    return append_columns(df, StructType([StructField("score", DoubleType()), StructField("evidence", StringType())]), make, text)
+    return append_columns(df, StructType([StructField("score", DoubleType()), StructField("evidence", StringType())]), make, text, SCORE_BYTES)
