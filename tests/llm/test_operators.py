@@ -171,6 +171,31 @@ def test_index_prunes_nothing_it_needs(monkeypatch, block):
         assert [(round(s, 6), i) for s, i in zip(scores.tolist(), found.tolist())] == [(round(-s, 6), i) for s, i in want]
 
 
+def test_ties_with_the_threshold_are_kept_up_to_the_last_id():
+    """Documents as good as the tenth of the shards asked before are answers up to its id, however large ids are."""
+    n, ids = 40, list(range(5000, 5040))
+    index = search.Index(ids, np.array([3], np.uint64), np.array([0, n]), np.arange(n), np.full(n, 2.0))
+    block = search.Block([(5003, np.array([3], np.uint64)), (1, np.array([3], np.uint64))])
+    query, found, _ = index.search(block, 10, np.full(2, 2.0), np.array([5007, 10**9]))
+    assert found[query == 0].tolist() == [0, 1, 2, 4, 5, 6, 7] and found[query == 1].tolist() == list(range(10))
+
+
+def test_queries_asked_in_another_order_have_the_same_answers():
+    rnd = np.random.default_rng(3)
+    n, vocabulary = 700, 50
+    document, term = map(np.concatenate, zip(*((d := np.flatnonzero(rnd.random(n) < rnd.choice([0.01, 0.1, 0.5])), np.full(len(d), t)) for t in range(vocabulary))))
+    index = search.Index(list(range(n)), np.arange(vocabulary).astype(np.uint64), np.searchsorted(term, np.arange(vocabulary + 1)), document, np.round(rnd.random(len(document)) * 3, 3))
+    asked = [(int(q), np.sort(rnd.choice(vocabulary, rnd.integers(0, 20), replace=False)).astype(np.uint64)) for q in range(600)]
+    ordered = search.alike(asked)
+    assert sorted(q for q, _ in ordered) == list(range(600)) and search.alike([]) == []
+    answers = [[] for _ in range(2)]
+    for some, out in zip((asked, ordered), answers):
+        block = search.Block(some)
+        query, found, score = index.search(block)
+        out += sorted(zip(block.own[query].tolist(), found.tolist(), score.tolist()))
+    assert answers[0] == answers[1] and len(answers[0]) > 5000
+
+
 def test_rows_of_the_query_itself_take_no_place_among_the_best():
     n = 600
     impact = np.linspace(5, 1, n)  # of one term, rare in a shard of twelve times as many documents
