@@ -265,6 +265,48 @@ def test_prefixes_meet_in_blocks(spark):
     assert {(min(p), max(p)) for p in zip(*tfidf.meet(block, block, 0.8, portion=3))} == want
 
 
+def test_few_pairs_need_exact_norms(monkeypatch):
+    """Of pairs with a term in common nearly all are ruled out by norms at whole levels; the others are those found by exact norms."""
+    rng = np.random.default_rng(11)
+    rows, n = [], 1500
+    for i in range(n):
+        if i % 50 == 1:
+            rows.append((i, *rows[-1][1:]))
+            continue
+        place = np.unique(rng.integers(0, 40, 24) << 24 | rng.integers(0, 40, 24))
+        weight = rng.random(len(place))
+        weight = (weight / np.sqrt((weight**2).sum()) * 0.65).astype(np.float32)
+        rows.append((i, place.astype(np.int32), weight, int(rng.integers(38, 44)) << 24, 0.75))
+    made = pa.table({"class": [r[0] for r in rows], "places": [r[1] for r in rows], "weights": [r[2] for r in rows], "next": [r[3] for r in rows], "rest": [r[4] for r in rows]})
+    whole = np.zeros((n, 40 * 40))
+    for i, (_, place, weight, _, _) in enumerate(rows):
+        whole[i, (place >> 24) * 40 + (place & 0xFFFFFF)] = weight
+    total = whole @ whole.T
+    want, met = set(), 0
+    for i in range(n):
+        others = np.flatnonzero(total[i, i + 1 :] > 0) + i + 1
+        met += len(others)
+        for j in others.tolist():
+            x, y = (i, j) if rows[i][3] <= rows[j][3] else (j, i)
+            norm = np.sqrt((rows[y][2].astype(float)[rows[y][1] >= rows[x][3]] ** 2).sum() + rows[y][4] ** 2)
+            if total[i, j] + rows[x][4] * norm >= 0.8 - 1e-5:
+                want.add((i, j))
+    asked, norm = [], tfidf.Block.norm
+    monkeypatch.setattr(tfidf.Block, "norm", lambda self, row, place: asked.append(len(row)) or norm(self, row, place))
+    block = tfidf.Block(made)
+    assert {(min(p), max(p)) for p in zip(*tfidf.meet(block, block, 0.8))} == want and len(want) >= n // 50
+    assert sum(asked) < met / 10
+
+
+def test_terms_of_any_text_are_those_of_the_pattern():
+    texts = [None, "", "a", "Ab ab AB x", "ÄÖ ß ÿÿ µm ²³ ª1 ¼½ naïve_x", "one\x85two\xa0three\x1cfour", "İstanbul ΣΑΣ ʼn œuvre", "日本 語", "tail end", "\n\n", "x" * 70]
+    for some in (texts, texts[:6], texts[6:8], [], [None]):
+        hashed, row = tfidf.hashed_terms(some)
+        found = [(i, w) for i, t in enumerate(some) for w in tfidf.TERM.findall((t or "").lower())]
+        want = shingles.hash_words(pa.array([w for _, w in found], pa.string()))
+        assert sorted(zip(row.tolist(), hashed.tolist())) == sorted(zip([i for i, _ in found], want.tolist()))
+
+
 def made_vectors(n=500, d=12):
     rnd = np.random.default_rng(4)
     out = rnd.normal(size=(n, d))
